@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +55,17 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a context; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_plumbline_sent", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    place = Path(tempfile.mkdtemp(prefix="plumbline-")) / "plumbline_package.zip"
+    with zipfile.ZipFile(place, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(place))
+    context._plumbline_sent = True

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, quality, secret_scan, source_mix
+from . import exact_dedup, language_id, line_dedup, packing, quality, secret_scan, source_mix
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op3_source_mix": source_mix.op3_source_mix,
+        "op4_packing": packing.op4_packing,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op7_quality": quality.op7_quality,
         "op8_line_dedup": line_dedup.op8_line_dedup,

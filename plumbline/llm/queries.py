@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, packing, quality, secret_scan, source_mix
+from . import embedding_dedup, exact_dedup, language_id, line_dedup, packing, quality, secret_scan, source_mix
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_source_mix": source_mix.op3_source_mix,
         "op4_packing": packing.op4_packing,
         "op5_secret_scan": secret_scan.op5_secret_scan,
+        "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
         "op7_quality": quality.op7_quality,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": source_mix.OP3_SQL, "op5_secret_scan": secret_scan.OP5_SQL, "op8_line_dedup": line_dedup.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op3_source_mix": source_mix.OP3_SQL, "op5_secret_scan": secret_scan.OP5_SQL, "op6_embedding_dedup": embedding_dedup.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, language_id, line_dedup, packing, quality, secret_scan, source_mix
+from . import embedding_dedup, exact_dedup, language_id, line_dedup, near_dedup, packing, quality, secret_scan, source_mix
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_source_mix": source_mix.op3_source_mix,
         "op4_packing": packing.op4_packing,
         "op5_secret_scan": secret_scan.op5_secret_scan,

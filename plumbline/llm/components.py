@@ -1,7 +1,8 @@
-"""Connected components of an edge table, by star contraction on stored tables."""
+"""Connected components: of an edge table by star contraction on stored tables, and of arrays in memory."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,22 @@ def components(links: DataFrame) -> DataFrame:
         forget(spark, path, least_path, large_path, least2_path)
         edges, path = small, small_path
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+
+
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that edges a-b connect with each of n."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    while (label[label] != label).any():
+        label = label[label]
+    return label

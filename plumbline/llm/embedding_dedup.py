@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import components
+from .components import components, connected
 from .work import ship, stored
 
 #: Covering radii of the levels below a block's root, in chord length of unit vectors; the last level is the vectors.
@@ -81,25 +81,6 @@ def _expanded(level_a: dict, level_b: dict, a: np.ndarray, b: np.ndarray) -> tup
     return level_a["children"][np.repeat(sa[a], many) + within // width], level_b["children"][np.repeat(sb[b], many) + within % width]
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index that edges a-b connect with each of n."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-    while (label[label] != label).any():
-        label = label[label]
-    return label
-
-
 def dual_links(one: CoverTree, two: CoverTree | None, threshold: float) -> pd.DataFrame:
     """vec_id, links, root of every vector that links in one (two None) or between one and two.
 
@@ -166,7 +147,7 @@ def dual_links(one: CoverTree, two: CoverTree | None, threshold: float) -> pd.Da
             break
     if not edges_a:
         return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-    label = _labels(len(count), np.concatenate(edges_a), np.concatenate(edges_b))
+    label = connected(len(count), np.concatenate(edges_a), np.concatenate(edges_b))
     ids = one.ids if same else np.concatenate([one.ids, two.ids])
     root = np.full(len(count), np.iinfo(np.int64).max)
     np.minimum.at(root, label, ids)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import mixed, slabs
-from .components import components
+from .components import components, connected
 from .work import documents, forget, ship, stored
 
 WORDS, THRESHOLD = 5, 0.8
@@ -112,29 +112,26 @@ def signatures(all_bags: list[tuple[np.ndarray, np.ndarray]], positions: int = P
         seed = mixed(hashes[of] + (height.astype(np.uint64) + np.uint64(1)) * GOLD)
         top, place, t = weight[of], owner[of], np.zeros(len(of))
         found_t, found_at, found_id = [], [], []
-        k = 0
+        drawn, k = 0, 2
         while len(seed):
-            k += 1
-            h = mixed(seed + np.uint64(2 * k * int(GOLD) % 2**64))
-            t = t - np.log(_uniform(h)) / wide
-            on = t <= limit[place]
-            seed, top, place, t, low, wide, h = (x[on] for x in (seed, top, place, t, low, wide, h))
-            if not len(seed):
-                break
-            g = mixed(h + GOLD)
-            at = place * positions + (_uniform(g) * positions).astype(np.int64)
-            high = np.flatnonzero(low)
-            beyond = high[low[high] + np.floor(_uniform(mixed(g[high])) * wide[high]) + 1 > top[high]]
-            if len(beyond):
-                counts = np.ones(len(t), bool)
-                counts[beyond] = False
-                found_t.append(t[counts])
-                found_at.append(at[counts])
-                found_id.append(h[counts])
-            else:
-                found_t.append(t)
-                found_at.append(at)
-                found_id.append(h)
+            step = np.arange(drawn + 1, drawn + k + 1, dtype=np.uint64) * np.uint64(2) * GOLD
+            h = mixed(seed[:, None] + step)
+            times = t[:, None] - np.cumsum(np.log(_uniform(h)), axis=1) / wide[:, None]
+            on = times <= limit[place][:, None]
+            row = np.repeat(np.arange(len(seed)), k)[on.ravel()]
+            points, ids = times[on], h[on]
+            g = mixed(ids + GOLD)
+            at = place[row] * positions + (_uniform(g) * positions).astype(np.int64)
+            high = np.flatnonzero(low[row])
+            beyond = high[low[row[high]] + np.floor(_uniform(mixed(g[high])) * wide[row[high]]) + 1 > top[row[high]]]
+            counts = np.ones(len(row), bool)
+            counts[beyond] = False
+            found_t.append(points[counts])
+            found_at.append(at[counts])
+            found_id.append(ids[counts])
+            more = on[:, -1]
+            seed, top, place, low, wide, t = seed[more], top[more], place[more], low[more], wide[more], times[more, -1]
+            drawn, k = drawn + k, min(2 * k, 64)
         t, at, ids = np.concatenate(found_t), np.concatenate(found_at), np.concatenate(found_id)
         first = np.full(len(todo) * positions, np.inf)
         np.minimum.at(first, at, t)
@@ -156,11 +153,42 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return mixed(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
-def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two bags."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    return float(both / max(a[1].sum() + b[1].sum() - both, 1))
+def similarities(some: list[tuple[np.ndarray, np.ndarray]], width: int = 8192) -> np.ndarray:
+    """The weighted Jaccard similarity of every two bags.
+
+    A shingle that occurs n times is n features, so that shared features count the multisets' overlap; features of one
+    bag only are left out, the others multiplied in slices of `width`.
+    """
+    n = len(some)
+    total = np.array([w.sum() for _, w in some], np.float64)
+    owner = np.repeat(np.arange(n), total.astype(np.int64))
+    hashes = np.concatenate([np.repeat(h, w) for h, w in some])
+    level = np.concatenate([np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) for _, w in some])
+    _, feature, many = np.unique(hashes + level.astype(np.uint64) * GOLD, return_inverse=True, return_counts=True)
+    shared = many[feature] > 1
+    feature, owner = feature[shared], owner[shared]
+    _, feature = np.unique(feature, return_inverse=True)
+    order = np.argsort(feature, kind="stable")
+    feature, owner = feature[order], owner[order]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, int(feature[-1]) + 1 if len(feature) else 0, width):
+        i, j = np.searchsorted(feature, (low, low + width))
+        x = np.zeros((n, width), np.float32)
+        x[owner[i:j], feature[i:j] - low] = 1
+        both += x @ x.T
+    return both / np.maximum(total[:, None] + total[None, :] - both, 1)
+
+
+def family_links(docs: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links (a, b) that connect the texts of one or two blocks as all pairs of threshold or more do; b is a root."""
+    ids = docs["rep"].to_numpy(np.int64)
+    near = similarities(bags(docs["text"].tolist())) >= threshold - 1e-7
+    a, b = np.nonzero(np.triu(near, 1))
+    label = connected(len(ids), a, b)
+    root = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(root, label, ids)
+    out = pd.DataFrame({"a": ids, "b": root[label]})
+    return out[out["a"] != out["b"]]
 
 
 def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -183,38 +211,17 @@ def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(sign, "doc_id long, bag binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts' weighted Jaccard similarity is threshold or more, with it. texts: (doc_id, text)."""
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, last_bag = None, None
-        for batch in batches:
-            for start, part in slabs(batch["text_b"].tolist(), 2_000_000):
-                rows = batch.iloc[start : start + len(part)]
-                near = []
-                for a, text, bag in zip(rows["a"], rows["text_a"], bags(part)):
-                    if (a, text) != last:
-                        last, last_bag = (a, text), bags([text])[0]
-                    near.append(jaccard(last_bag, bag))
-                out = pd.DataFrame({"a": rows["a"].to_numpy(), "b": rows["b"].to_numpy(), "similarity": near})
-                yield out[out["similarity"] >= threshold]
-
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long, similarity double")
-
-
-def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, class_id, kept.
 
     Classes are the connected components of links between texts whose bags of five-word shingles have a weighted
     Jaccard similarity of threshold or more; class_id is a class's smallest doc_id, whose row is kept. Texts with equal
-    bags become one before any pair is made. A bucket of equal band keys first offers each member paired with its
-    smallest, verified on the whole texts; buckets that this leaves in several components then offer every pair
-    that lies in two of them, so no bucket has a cap and no copies are expanded into all pairs. With 25 bands of 5, a
-    pair at 0.8 is missed once in 20,000 times. Null texts and those without a letter or digit are classes of their own,
-    as are rows with a null doc_id (class_id null). Rows that repeat a doc_id with other texts count as texts of one
-    document when pairs are verified. An empty table gives an empty result; other columns are not read.
+    bags become one before any pair is made. Buckets of equal band keys join their members to families; every two
+    texts of a family are verified on their whole multisets, in blocks of `block` texts that meet two at a time. A
+    meeting returns a root a text, never pairs, and a family of any size is spread over its meetings, without caps.
+    With 25 bands of 5, a pair at 0.8 shares no bucket once in 20,000 times. Null texts and those without a letter or
+    digit are classes of their own, as are rows with a null doc_id (class_id null). Rows that repeat a doc_id with
+    other texts are classed by their own text. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     sigs, _ = stored(signed(docs, text, key), "signatures")
@@ -222,24 +229,18 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text"
     reps, _ = stored(bagged.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "bags")
     entries = reps.select("rep", F.explode("bands").alias("band"))
     leaders, leaders_path = stored(entries.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("band", "leader"), "leaders")
-    members, members_path = stored(entries.join(leaders, "band"), "bucket-members")
-    pairs, pairs_path = stored(members.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts, texts_path = stored(whole.join(ids, "doc_id", "left_semi"), "pair-texts")
-    links, links_path = stored(verified(pairs, texts, threshold).select("a", "b"), "links")
-    found, found_path = stored(components(links), "first-classes")
-
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
-    torn, torn_path = stored(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"), "torn-buckets")
-    if not torn.isEmpty():
-        rest, rest_path = stored(placed.join(torn, "band"), "torn-members")
-        one, two = rest.select("band", F.col("rep").alias("a"), F.col("c").alias("ca")), rest.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"))
-        more = one.join(two, "band").where("a < b and ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        again, again_path = stored(verified(more, texts, threshold).select("a", "b"), "more-links")
-        found, _ = stored(components(links.unionByName(again)), "classes")
-        forget(spark, rest_path, again_path, found_path)
-    forget(spark, members_path, leaders_path, pairs_path, texts_path, links_path, torn_path)
+    joined, joined_path = stored(entries.join(leaders, "band").where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "bucket-joins")
+    grown = components(joined)
+    forget(spark, leaders_path, joined_path)
+    family, family_path = stored(grown.unionByName(grown.select(F.col("component").alias("node"), "component").distinct()), "families")
+    sizes, sizes_path = stored(family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "family-sizes")
+    whole = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(text, F.lit("")).alias("text"))
+    placed = family.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("mine"))
+    spread = whole.join(placed, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = spread.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "text")
+    links, links_path = stored(tasks.groupBy("family", "i", "j").applyInPandas(lambda p: family_links(p, threshold), "a long, b long"), "near-links")
+    found = components(links)
+    forget(spark, family_path, sizes_path, links_path)
     out = sigs.select("doc_id", "bag").join(reps.select("bag", "rep"), "bag", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", mine.alias("class_id"), F.col("doc_id").eqNullSafe(mine).alias("kept"))

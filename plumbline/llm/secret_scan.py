@@ -87,10 +87,13 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     spark = versions.sparkSession
     ledger = spark.createDataFrame([], LEDGER_SCHEMA) if ledger is None else ledger
     known = ledger.where(F.col("rules") == rule_version(rules))
+    has_known = not known.isEmpty()
     contents = versions.select(address(F.col(text)).alias("blob"), F.coalesce(text, F.lit("")).alias("content"))
-    blobs = contents.join(known.select("blob"), "blob", "left_anti").groupBy("blob").agg(F.first("content").alias("content"))
+    blobs = contents.groupBy("blob").agg(F.first("content").alias("content"))
+    if has_known:
+        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
     fresh, _ = stored(scan_blobs(blobs, rules), "secret-ledger")
-    findings = known.select("blob", "spans").unionByName(fresh.select("blob", "spans")) if not ledger.isEmpty() else fresh.select("blob", "spans")
+    findings = known.select("blob", "spans").unionByName(fresh.select("blob", "spans")) if has_known else fresh.select("blob", "spans")
     found = versions.drop("blob", "spans").withColumn("blob", address(F.col(text))).join(findings, "blob", "left")
     return found, fresh
 

@@ -1,15 +1,66 @@
-"""A corpus pipeline of operators of plumbline.llm."""
+"""A corpus pipeline: language ID, line dedup, near-dedup, mixing of sources, packing.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs. All but the last return the columns of docs. Counts of characters follow
+the text where it is changed. No SQL expresses the stages (a parser, a tokenizer), so tests hold them against plain versions.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm.language_id import identify, labelled_sample
+from plumbline.llm.line_dedup import line_dedup
+from plumbline.llm.near_dedup import near_dedup
+from plumbline.llm.packing import pack
+from plumbline.llm.source_mix import mix_sources
+from plumbline.llm.work import documents, forget, stored
+
+#: A text of which the best language's phrases are shorter on average is no text of any labelled language.
+LEAST_PHRASE = 1.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter (und) and those that no language's labelled text parses."""
+    found = identify(docs, labelled_sample(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("phrase_chars") >= LEAST_PHRASE)).select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that a document of smaller id holds."""
+    cut = line_dedup(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
+    return cut.select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near-duplicates; rows with a null doc_id stay."""
+    gone = near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target rate draws, in one random order."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [("language", language_stage), ("lines", line_stage), ("near", near_stage), ("mix", mix_stage), ("pack", pack_stage)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs, old = documents(spark, sf_dir), None
+    for name, stage in STAGES:
+        docs, path = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if old:
+            forget(spark, old)
+        old = path
     return docs

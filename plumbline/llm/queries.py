@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, language_id, line_dedup, near_dedup, packing, quality, secret_scan, source_mix
+from . import embedding_dedup, exact_dedup, language_id, line_dedup, near_dedup, packing, quality, secret_scan, source_mix, suffix_dedup
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_quality": quality.op7_quality,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 

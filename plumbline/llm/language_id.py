@@ -9,11 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import code_points, letters, looked_up, lowered, slabs
-from .work import documents, held_out, ship
+from .work import documents, hashed_sample, held_out, ship
 
 #: Symbols of an automaton: 0 a gap, then the commonest letters, one for every rarer letter, and one for padding.
 SYMBOLS, GAP, RARE, PAD = 64, 0, 62, 63
@@ -28,16 +28,14 @@ def labelled_sample(docs: DataFrame, text_chars: int = 48_000, rows: int = 400,
     labels raise ValueError.
     """
     known = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & (F.length(text) > 0))
-    size = F.length(text)
-    fit = known.select(F.col(key).alias("k"), F.col(lang).alias("l"), size.alias("n"), F.xxhash64(key, F.lit(7)).alias("h")).where(F.col("n") <= text_chars // 4)
-    if fit.select("l").distinct().limit(languages + 1).count() > languages:
-        raise ValueError(f"more than {languages} languages")
-    ranked = fit.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))).where(F.col("r") <= rows)
+    fit = known.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.length(text).alias("n")).where(F.col("n") <= text_chars // 4)
     total: Counter = Counter()
+    drawn: Counter = Counter()
     chosen = []
-    for row in sorted(ranked.collect(), key=lambda x: (x.l, x.r)):
-        if total[row.l] < text_chars:
+    for row in hashed_sample(fit, "l", "k", rows, languages):
+        if total[row.l] < text_chars and drawn[row.l] < rows:
             total[row.l] += row.n
+            drawn[row.l] += 1
             chosen.append(row.k)
     if not chosen:
         return []

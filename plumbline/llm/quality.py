@@ -7,11 +7,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import TABLE, alphanumerics, code_points, looked_up, lowered, slabs
-from .work import documents, held_out, ship
+from .work import documents, hashed_sample, held_out, ship
 
 #: Classes of characters whose trigrams describe a text's form. Fixed: the commoner marks each, letters by case, digits, blanks, others.
 MARKS = ".,!|#$%&*"
@@ -120,8 +120,8 @@ class Voter:
 def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int, chars: int, text: str, label: str, key: str) -> tuple[list[str], list[int]]:
     """A bounded sample of labelled texts: of each label the `rows` of lowest hashed id, of texts of up to `chars` code points."""
     marks = labels.where(~held_out(F.col(key)) & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
-    ranked = marks.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))).where(F.col("r") <= rows)
-    wanted = {r.k: int(r.y) for r in ranked.collect()}
+    drawn = hashed_sample(marks, "y", "k", rows, 2)
+    wanted = {r.k: y for y in (0, 1) for r in [r for r in drawn if r.y == y][:rows]}
     if not wanted:
         return [], []
     got = docs.where(F.col(key).isin(list(wanted)) & (F.length(text) <= chars)).select(F.col(key), F.col(text)).collect()

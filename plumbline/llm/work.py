@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: [\x20\x09-\x0D] as characters; the contracts name this set.
@@ -69,3 +69,20 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(package.parent))
     context.addPyFile(str(place))
     context._plumbline_sent = True
+
+
+def hashed_sample(rows: DataFrame, group: str, id_column: str, most: int, groups: int) -> list[Row]:
+    """Rows of `rows` drawn by hashed id, `most` or somewhat more of each group, lowest hash first; for bounded fits.
+
+    Group sizes come first, so that each group's share is a threshold on the hash and no group meets in one task. At
+    most 4 * most rows of each of at most `groups` groups come to the driver; more groups raise ValueError.
+    """
+    sizes = rows.groupBy(group).count().limit(groups + 1).collect()
+    if len(sizes) > groups:
+        raise ValueError(f"more than {groups} values of {group}")
+    if not sizes:
+        return []
+    drawn = F.pmod(F.xxhash64(id_column, F.lit(7)), F.lit(1 << 30))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r[0], min(1 << 30, int((1 << 30) * 2.0 * most / r[1]) + 1))))
+    got = rows.withColumn("_drawn", drawn).where(F.col("_drawn") < share[F.col(group)]).limit(4 * most * len(sizes)).collect()
+    return sorted(got, key=lambda r: (str(r[group]), r["_drawn"], r[id_column]))

@@ -1,0 +1,118 @@
+"""Build configuration, layer registry and graph parameters."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass, field, replace
+
+
+@dataclass(frozen=True)
+class GraphParameters:
+    top_k: int
+    degree_cap: int
+    minimum_similarity: float
+
+    def validate(self) -> GraphParameters:
+        if self.top_k < 1:
+            raise ValueError("top_k must be 1 or more")
+        if not 1 <= self.degree_cap <= self.top_k:
+            raise ValueError("degree_cap must lie between 1 and top_k")
+        if not -1 <= self.minimum_similarity <= 1:
+            raise ValueError("minimum_similarity must lie between -1 and 1")
+        return self
+
+
+#: The layers' ids, names, columns, families, transforms and lookbacks in minutes.
+LAYER_ROWS = (
+    (1, "return_corr_raw_1m", ("ret_1m",), "price", "return_corr_raw_1m", (15, 30)),
+    (2, "volume_expansion", ("volume_z_30m", "dollar_volume_z_30m"), "activity", "standard", (5, 15, 30)),
+    (3, "trade_intensity", ("trade_count_z_30m", "avg_trade_size"), "activity", "standard", (5, 15, 30)),
+    (4, "signed_flow", ("volume_ofi_proxy", "count_ofi_proxy", "signed_dollar_flow"), "trade_flow", "standard", (5, 15, 30)),
+    (5, "large_trade_flow", ("large_trade_ofi_proxy", "large_trade_dollar_share", "large_trade_count"), "trade_flow", "standard", (30,)),
+    (6, "odd_lot_activity", ("odd_lot_trade_share", "odd_lot_volume_share"), "trade_flow", "standard", (5, 15, 30)),
+    (7, "block_activity", ("block_trade_share", "block_volume_share"), "trade_flow", "standard", (30,)),
+    (8, "off_exchange", ("off_exchange_dollar_share", "off_exchange_trade_share"), "venue", "standard", (5, 15, 30)),
+    (9, "venue_fragmentation", ("venue_fragmentation_proxy",), "venue", "standard", (5, 15, 30)),
+    (10, "price_impact", ("price_impact_proxy", "liquidity_impact_proxy"), "liquidity", "standard", (5, 15, 30)),
+    (11, "absorption", ("absorption_proxy", "flow_absorption_proxy"), "liquidity", "standard", (5, 15, 30)),
+    (12, "flow_return_alignment", ("flow_return_alignment",), "interaction", "standard", (5, 15, 30)),
+    (13, "report_latency", ("avg_report_lag_ns", "max_report_lag_ns", "correction_excluded_share"), "data_quality", "standard", (5,)),
+    (14, "return_corr_cross_sectional_1m", ("ret_1m",), "price", "return_corr_cross_sectional_1m", (15, 30)),
+    (15, "return_corr_cross_sectional_rolling_5m", ("log_ret_1m",), "price", "return_corr_cross_sectional_rolling_5m", (30,)),
+)
+SCALE_ROLES = {5: "trigger", 15: "confirm", 30: "structural"}
+STANDARD_POINTS = {5: 3, 15: 8, 30: 12}
+
+
+@dataclass(frozen=True)
+class Layer:
+    layer_id: int
+    name: str
+    columns: tuple[str, ...]
+    family: str
+    transform: str
+    lookbacks: tuple[int, ...]
+    directed: bool = False
+    lag_bars: int = 0
+
+    def minimum_points(self, lookback: int) -> int:
+        if self.transform == "standard":
+            return STANDARD_POINTS[lookback]
+        return 20 if self.transform.endswith("rolling_5m") or lookback == 30 else 10
+
+
+@dataclass(frozen=True)
+class LayerScale:
+    layer: Layer
+    lookback: int
+    step: int = 1
+
+    @property
+    def role(self) -> str:
+        return SCALE_ROLES[self.lookback]
+
+    @property
+    def minimum_points(self) -> int:
+        return self.layer.minimum_points(self.lookback)
+
+
+LAYERS = tuple(Layer(*row) for row in LAYER_ROWS)
+
+
+def layer_scales(layers: tuple[Layer, ...] = LAYERS) -> tuple[LayerScale, ...]:
+    return tuple(LayerScale(layer, lookback) for layer in layers for lookback in layer.lookbacks)
+
+
+@dataclass(frozen=True)
+class BuildConfig:
+    """Graph build settings. overrides maps a family, a layer or layer@scale to some of the three graph parameters."""
+
+    frequency: str = "1min"
+    market_timezone: str = "America/New_York"
+    market_open: str = "09:30"
+    market_close: str = "16:00"
+    top_k: int = 20
+    degree_cap: int = 20
+    minimum_similarity: float = 0.2
+    horizons_minutes: tuple[int, ...] = (5, 15, 30)
+    label_bar_minutes: int = 5
+    overrides: Mapping[str, Mapping[str, float]] = field(default_factory=dict)
+
+    def parameters_for(self, layer: str, family: str, lookback: int) -> GraphParameters:
+        """Base values, then those of the family, the layer and the layer's scale; unknown keys raise."""
+        values = {"top_k": self.top_k, "degree_cap": self.degree_cap, "minimum_similarity": self.minimum_similarity}
+        for key in (family, layer, f"{layer}@{lookback}"):
+            for name, value in self.overrides.get(key, {}).items():
+                if name not in values:
+                    raise KeyError(f"unknown graph parameter {name}")
+                values[name] = value
+        return GraphParameters(int(values["top_k"]), int(values["degree_cap"]), float(values["minimum_similarity"])).validate()
+
+    def with_parameters(self, p: GraphParameters) -> BuildConfig:
+        return replace(self, top_k=p.top_k, degree_cap=p.degree_cap, minimum_similarity=p.minimum_similarity)
+
+    def digest(self) -> str:
+        """SHA-256 of the settings as JSON with sorted keys."""
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, default=list).encode()).hexdigest()

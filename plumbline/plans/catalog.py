@@ -450,3 +450,385 @@ def best_candidates(spark, sf):
 def effect_size(spark, sf):
     rows = _snapshots(spark, sf).withColumn("late", F.year("decision_time") >= 1998)
     return rounded(diagnostics.effect_size(rows, "edge_count", "late", ["layer_id"]), "effect_size")
+
+
+# ---- forests and relations
+
+FCELL = ["decision_time", "layer_id", "scale"]
+PAIRS = """
+fe AS (SELECT decision_time, layer_id, '30' AS scale, src_id, dst_id, weight FROM edges),
+pairs AS (SELECT decision_time, layer_id, scale, least(src_id, dst_id) AS a, greatest(src_id, dst_id) AS b, max(abs(coalesce(weight, 0))) AS weight FROM fe WHERE src_id <> dst_id GROUP BY 1, 2, 3, 4, 5)"""
+LEAVES = "leaves AS (SELECT DISTINCT decision_time, layer_id, scale, 'L' || lpad((m // 10)::VARCHAR, 2, '0') AS theme_id, m AS member_id FROM (SELECT *, a AS m FROM pairs UNION ALL SELECT *, b FROM pairs))"
+
+
+def _pairs(spark, sf):
+    return forest.compact_pairs(normalized_edges(I.edges(spark, sf)).withColumn("scale", F.lit("30")))
+
+
+def _leaves(pairs):
+    m = pairs.select(*FCELL, F.explode(F.array("a", "b")).alias("member_id")).distinct()
+    return m.withColumn("theme_id", F.concat(F.lit("L"), F.lpad(F.floor(F.col("member_id") / 10).cast("string"), 2, "0")))
+
+
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, a, b, round(weight, 6) AS weight FROM pairs", (I.EDGES, PAIRS))
+def pair_compaction(spark, sf):
+    return rounded(_pairs(spark, sf).withColumn("decision_time", day("decision_time")).drop("scale"), "weight")
+
+
+DEG = "deg AS (SELECT decision_time, layer_id, scale, m AS member_id, sum(weight) AS degree FROM (SELECT *, a AS m FROM pairs UNION ALL SELECT *, b FROM pairs) GROUP BY 1, 2, 3, 4)"
+
+
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, member_id, round(degree, 6) AS degree FROM deg", (I.EDGES, PAIRS, DEG))
+def weighted_degree(spark, sf):
+    out = forest.weighted_degree(_pairs(spark, sf)).withColumn("decision_time", day("decision_time")).drop("scale")
+    return rounded(out, "degree", digits=6)
+
+
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, theme_id, member_id, row_number() OVER (w ORDER BY round(degree, 6) DESC, member_id) AS rank_in_theme, round(round(degree, 6) / max(round(degree, 6)) OVER w, 9) AS core_score FROM leaves JOIN deg USING (decision_time, layer_id, scale, member_id) WINDOW w AS (PARTITION BY decision_time, layer_id, theme_id)", (I.EDGES, PAIRS, LEAVES, DEG))
+def ranked_members(spark, sf):
+    p = _pairs(spark, sf)
+    out = forest.ranked_members(_leaves(p), rounded(forest.weighted_degree(p), "degree", digits=6), [*FCELL, "theme_id"])
+    return rounded(out.withColumn("decision_time", day("decision_time")).drop("scale", "degree"), "core_score", digits=9)
+
+
+RELATIONS = """
+re AS (SELECT p.*, x.theme_id AS s, y.theme_id AS t FROM pairs p JOIN leaves x ON x.decision_time = p.decision_time AND x.layer_id = p.layer_id AND x.member_id = p.a JOIN leaves y ON y.decision_time = p.decision_time AND y.layer_id = p.layer_id AND y.member_id = p.b),
+ri AS (SELECT decision_time, layer_id, s AS theme_id, sum(weight) AS w FROM re WHERE s = t GROUP BY 1, 2, 3),
+ra AS (SELECT decision_time, layer_id, least(s, t) AS src_theme_id, greatest(s, t) AS dst_theme_id, sum(weight) AS inter_leaf_weight, count(*) AS edge_count FROM re WHERE s <> t GROUP BY 1, 2, 3, 4),
+rn AS (SELECT ra.*, inter_leaf_weight / sqrt(greatest(coalesce(i.w, 0), 1e-12) * greatest(coalesce(j.w, 0), 1e-12)) AS normalized_weight FROM ra
+  LEFT JOIN ri i ON i.decision_time = ra.decision_time AND i.layer_id = ra.layer_id AND i.theme_id = src_theme_id LEFT JOIN ri j ON j.decision_time = ra.decision_time AND j.layer_id = ra.layer_id AND j.theme_id = dst_theme_id),
+rel AS (SELECT *, least(1, normalized_weight / 0.25) AS relation_strength, normalized_weight >= 0.25 AS hard_keep FROM rn WHERE normalized_weight >= 0.25 OR normalized_weight / 0.25 >= 0.15)"""
+
+
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, src_theme_id, dst_theme_id, round(relation_strength, 4) AS relation_strength, CASE WHEN relation_strength >= 0.6 THEN 'strong' WHEN relation_strength >= 0.35 THEN 'medium' ELSE 'weak' END AS relation_tier, hard_keep, edge_count FROM rel", (I.EDGES, PAIRS, LEAVES, RELATIONS))
+def relation_edges(spark, sf):
+    p = _pairs(spark, sf)
+    out = forest.relation_edges(p, _leaves(p)).withColumn("decision_time", day("decision_time"))
+    return rounded(out.select("decision_time", "layer_id", "src_theme_id", "dst_theme_id", "relation_strength", "relation_tier", "hard_keep", "edge_count"), "relation_strength", digits=4)
+
+
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, count(*) AS leaf_count, max(n) AS leaf_max, quantile_cont(n, 0.5) AS leaf_median, round(quantile_cont(n, 0.9), 6) AS leaf_p90 FROM (SELECT decision_time, layer_id, theme_id, count(*) AS n FROM leaves GROUP BY 1, 2, 3) GROUP BY 1, 2", (I.EDGES, PAIRS, LEAVES))
+def leaf_stats(spark, sf):
+    out = forest.leaf_stats(_leaves(_pairs(spark, sf)), FCELL).withColumn("decision_time", day("decision_time")).drop("scale")
+    return rounded(out, "leaf_p90")
+
+
+CONT = """
+tl AS (SELECT DISTINCT decision_time, layer_id, 'T' || (member_id * 7 + year(decision_time)) % 13 AS theme_id, member_id FROM leaves),
+tt AS (SELECT layer_id, decision_time, lead(decision_time) OVER (PARTITION BY layer_id ORDER BY decision_time) AS dst_time FROM (SELECT DISTINCT layer_id, decision_time FROM tl)),
+tsz AS (SELECT layer_id, decision_time, theme_id, count(*) AS n FROM tl GROUP BY 1, 2, 3),
+tov AS (SELECT a.layer_id, a.decision_time AS src_time, t.dst_time, a.theme_id AS src_theme_id, b.theme_id AS dst_theme_id, count(*) AS overlap FROM tl a JOIN tt t ON t.layer_id = a.layer_id AND t.decision_time = a.decision_time JOIN tl b ON b.layer_id = a.layer_id AND b.decision_time = t.dst_time AND b.member_id = a.member_id GROUP BY 1, 2, 3, 4, 5),
+tj AS (SELECT o.*, overlap / (x.n + y.n - overlap) AS jaccard, overlap / least(x.n, y.n) AS containment FROM tov o JOIN tsz x ON x.layer_id = o.layer_id AND x.decision_time = src_time AND x.theme_id = src_theme_id JOIN tsz y ON y.layer_id = o.layer_id AND y.decision_time = dst_time AND y.theme_id = dst_theme_id),
+tb AS (SELECT *, greatest(jaccard, 0.7::DOUBLE * jaccard + 0.3::DOUBLE * containment) AS strength FROM tj QUALIFY row_number() OVER (PARTITION BY layer_id, src_time, src_theme_id ORDER BY greatest(jaccard, 0.7::DOUBLE * jaccard + 0.3::DOUBLE * containment) DESC, dst_theme_id) = 1)"""
+
+
+@query(f"SELECT layer_id, {DAY.format('src_time')} AS src_time, {DAY.format('dst_time')} AS dst_time, src_theme_id, dst_theme_id, overlap, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment, round(strength, 6) AS continuation_strength, jaccard >= 0.25 AS hard_continue, strength >= 0.15 AS fuzzy_continue FROM tb WHERE strength >= 0.15 OR jaccard >= 0.25", (I.EDGES, PAIRS, LEAVES, CONT))
+def theme_continuation(spark, sf):
+    m = _leaves(_pairs(spark, sf)).withColumn("theme_id", F.concat(F.lit("T"), ((F.col("member_id") * 7 + F.year("decision_time")) % 13).cast("string")))
+    out = forest.continuation(m, ["layer_id"])
+    return rounded(out.withColumns({"src_time": day("src_time"), "dst_time": day("dst_time")}), "jaccard", "containment", "continuation_strength")
+
+
+@query()
+def theme_forest(spark, sf):
+    return forest.build_forest(_pairs(spark, sf)).withColumn("decision_time", day("decision_time"))
+
+
+# ---- alpha
+
+
+def _labels(spark, sf):
+    return alpha.past_labels(I.labels(spark, sf), 1, "label_1", "DAYS", lag=2)
+
+
+PAST = I.LABELS + ",\npl AS (SELECT l.*, p.label_1 AS past_label_1 FROM labels l LEFT JOIN labels p ON p.symbol = l.symbol AND p.decision_time = l.decision_time - INTERVAL 2 DAY)"
+
+
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, symbol, label_1, past_label_1 FROM pl", (PAST,))
+def past_labels(spark, sf):
+    return _labels(spark, sf).withColumn("decision_time", day("decision_time")).select("decision_time", "symbol", "label_1", "past_label_1")
+
+
+TR_SQL = """(SELECT decision_time, layer_id, scale, level, theme_id, count(*) AS member_count, avg(x) AS mean_return, sum(core_score * x) / nullif(sum(core_score), 0) AS core_weighted_return, avg(x) FILTER (WHERE r <= 5) AS top5_return, avg(x) FILTER (WHERE r <= 10) AS top10_return FROM
+  (SELECT m.*, l.{0} AS x, row_number() OVER (PARTITION BY m.decision_time, m.theme_id ORDER BY core_score DESC, member_id) AS r FROM members m JOIN pl l ON l.symbol = m.member_id AND l.decision_time = m.decision_time) GROUP BY 1, 2, 3, 4, 5)"""
+RETURNS = f"trf AS {TR_SQL.format('label_1')}, trp AS {TR_SQL.format('past_label_1')}"
+
+
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, theme_id, member_count, round(mean_return, 10) AS mean_return, round(core_weighted_return, 10) AS core_weighted_return, round(top5_return, 10) AS top5_return, round(top10_return, 10) AS top10_return FROM trf", (PAST, I.MEMBERS, RETURNS))
+def theme_returns(spark, sf):
+    out = alpha.theme_returns(I.members(spark, sf), I.labels(spark, sf), "label_1").withColumn("decision_time", day("decision_time")).drop("layer_id", "scale", "level")
+    return rounded(out, "mean_return", "core_weighted_return", "top5_return", "top10_return", digits=10)
+
+
+def _spillover(spark, sf):
+    m = I.members(spark, sf)
+    key = alpha.THEME[:-1]
+    t = m.select(*key, "theme_id").distinct()
+    rel = t.withColumnRenamed("theme_id", "src_theme_id").join(t.withColumnRenamed("theme_id", "dst_theme_id"), key).where("src_theme_id < dst_theme_id").withColumn("relation_strength", (F.substring("src_theme_id", 2, 1).cast("int") + 1) / 10.0)
+    labels = _labels(spark, sf)
+    past = alpha.theme_returns(m, labels, "past_label_1")
+    return alpha.spillover(rel, past, alpha.theme_returns(m, labels, "label_1"))
+
+
+SPILL = """
+th2 AS (SELECT DISTINCT decision_time, theme_id FROM members),
+spill AS (SELECT s.decision_time, d.theme_id AS dst_theme_id, avg((substr(s.theme_id, 2, 1)::INTEGER + 1) / 10 * coalesce(p.mean_return, 0)) AS signal, avg((substr(s.theme_id, 2, 1)::INTEGER + 1) / 10) AS mean_strength, count(*) AS source_count, any_value(f.mean_return) AS target_return
+  FROM th2 s JOIN th2 d ON s.decision_time = d.decision_time AND s.theme_id < d.theme_id JOIN trp p ON p.decision_time = s.decision_time AND p.theme_id = s.theme_id JOIN trf f ON f.decision_time = d.decision_time AND f.theme_id = d.theme_id GROUP BY 1, 2)"""
+
+
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, dst_theme_id, round(signal, 10) AS signal, round(mean_strength, 10) AS mean_strength, source_count, round(target_return, 10) AS target_return FROM spill", (PAST, I.MEMBERS, RETURNS, SPILL))
+def spillover(spark, sf):
+    out = _spillover(spark, sf).withColumn("decision_time", day("decision_time")).drop("layer_id", "scale", "level")
+    return rounded(out, "signal", "mean_strength", "target_return", digits=10)
+
+
+@query(f"""SELECT {DAY.format('decision_time')} AS decision_time, theme_id, any_value(n) AS member_count, round(avg(p) FILTER (WHERE r < greatest(1, floor(n * 0.2))), 10) AS core_past, round(avg(x) FILTER (WHERE r >= n - greatest(1, floor(n * 0.5))), 10) AS peripheral_future,
+  round(avg(p) FILTER (WHERE r < greatest(1, floor(n * 0.2))) * (max(core_score) - avg(core_score) FILTER (WHERE r >= n - greatest(1, floor(n * 0.5)))), 10) AS signal
+  FROM (SELECT m.*, label_1 AS x, past_label_1 AS p, count(*) OVER (PARTITION BY m.decision_time, theme_id) AS n, row_number() OVER (PARTITION BY m.decision_time, theme_id ORDER BY core_score DESC, member_id) - 1 AS r FROM members m JOIN pl ON symbol = member_id AND pl.decision_time = m.decision_time) WHERE n >= 5 GROUP BY 1, 2""", (PAST, I.MEMBERS))
+def core_peripheral(spark, sf):
+    out = alpha.core_peripheral(I.members(spark, sf), _labels(spark, sf), "label_1").withColumn("decision_time", day("decision_time")).drop("layer_id", "scale", "level")
+    return rounded(out, "core_past", "peripheral_future", "signal", digits=10)
+
+
+IC = """
+icr AS (SELECT decision_time, symbol % 2 AS side, past_label_1 AS s, label_1 AS t FROM pl WHERE past_label_1 IS NOT NULL AND label_1 IS NOT NULL),
+icq AS (SELECT *, quantile_cont(s, 0.8) OVER w AS q80, quantile_cont(s, 0.2) OVER w AS q20, rank() OVER (w ORDER BY s) + (count(*) OVER (PARTITION BY decision_time, side, s) - 1) / 2 AS a, rank() OVER (w ORDER BY t) + (count(*) OVER (PARTITION BY decision_time, side, t) - 1) / 2 AS b FROM icr WINDOW w AS (PARTITION BY decision_time, side)),
+ic AS (SELECT decision_time, side, count(*) AS n, corr(a, b) AS rank_ic, avg(t) FILTER (WHERE s >= q80) AS top_mean, avg(t) FILTER (WHERE s <= q20) AS bottom_mean, avg((s * t > 0)::INTEGER) AS hit_rate FROM icq GROUP BY 1, 2 HAVING count(*) >= 20 AND count(DISTINCT s) >= 3)"""
+
+
+def _ic(spark, sf):
+    return alpha.rank_ic(_labels(spark, sf).withColumn("side", F.col("symbol") % 2), ["decision_time", "side"], "past_label_1", "label_1")
+
+
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, side, n, round(rank_ic, 5) AS rank_ic, round(top_mean, 5) AS top_mean, round(bottom_mean, 5) AS bottom_mean, round(hit_rate, 5) AS hit_rate, round(top_mean - bottom_mean, 5) AS spread FROM ic", (PAST, IC))
+def rank_ic(spark, sf):
+    return rounded(_ic(spark, sf).withColumn("decision_time", day("decision_time")), "rank_ic", "top_mean", "bottom_mean", "hit_rate", "spread", digits=5)
+
+
+@query("""SELECT side, sum(n)::BIGINT AS n, round(sum(coalesce(rank_ic, 0) * n) / sum(n), 5) AS rank_ic, round(sum(coalesce(top_mean - bottom_mean, 0) * n) / sum(n), 5) AS spread, round(avg((coalesce(rank_ic, 0) > 0)::INTEGER), 5) AS positive_date_ratio,
+  round(CASE WHEN count(*) >= 2 THEN avg(coalesce(rank_ic, 0)) / (stddev_samp(coalesce(rank_ic, 0)) / sqrt(count(*))) END, 4) AS t_stat FROM ic GROUP BY side""", (PAST, IC))
+def alpha_summary(spark, sf):
+    return rounded(rounded(alpha.alpha_summary(_ic(spark, sf), ["side"], "decision_time"), "rank_ic", "spread", "positive_date_ratio", digits=5), "t_stat", digits=4)
+
+
+BIRTH = "bt AS (SELECT trf.*, min(decision_time) OVER (PARTITION BY layer_id, theme_id) AS f FROM (SELECT * FROM trf WHERE (substr(theme_id, 2, 1)::INTEGER * 3) <= day(decision_time)) trf)"
+
+
+@query(f"""SELECT {DAY.format('decision_time')} AS decision_time, count(*) FILTER (WHERE f = decision_time) AS born, round(avg(mean_return) FILTER (WHERE f = decision_time), 5) AS born_return, round(avg(mean_return) FILTER (WHERE f <> decision_time), 5) AS old_return,
+  round(avg(mean_return) FILTER (WHERE f = decision_time) - avg(mean_return) FILTER (WHERE f <> decision_time), 5) AS excess FROM bt GROUP BY 1""", (PAST, I.MEMBERS, RETURNS, BIRTH))
+def theme_birth(spark, sf):
+    r = alpha.theme_returns(I.members(spark, sf), I.labels(spark, sf), "label_1").where(F.substring("theme_id", 2, 1).cast("int") * 3 <= F.dayofmonth("decision_time"))
+    return rounded(alpha.theme_birth(r).withColumn("decision_time", day("decision_time")), "born_return", "old_return", "excess", digits=5)
+
+
+# ---- communities, consensus, lifecycle, paths
+
+
+def _graphs(spark, sf):
+    return _mutual(spark, sf).withColumn("snapshot_time", F.lit("2024-01-01").cast("timestamp"))
+
+
+@query()
+def communities_detected(spark, sf):
+    return communities.detect(_graphs(spark, sf), ["snapshot_time", "layer_id"]).withColumn("snapshot_time", day("snapshot_time"))
+
+
+def _units(spark, sf):
+    """Communities of users a day: two layers that group them by events of the day and by id."""
+    b = I.bars(spark, sf)
+    one = b.select(F.col("timestamp").alias("snapshot_time"), F.lit("signed_flow@30m").alias("layer_name"), (F.col("n_events") % 5).cast("int").alias("community_id"), "symbol")
+    two = b.select(F.col("timestamp").alias("snapshot_time"), F.lit("price_impact@30m").alias("layer_name"), (F.col("symbol") % 9).cast("int").alias("community_id"), "symbol")
+    return one.unionByName(two).groupBy("snapshot_time", "layer_name", "community_id").agg(F.array_sort(F.collect_set("symbol")).alias("members")).withColumn("is_market_mode", F.lit(False))
+
+
+UNITS = """
+us AS (SELECT DISTINCT "timestamp" AS snapshot_time, 'signed_flow@30m' AS layer_name, n_events % 5 AS community_id, symbol FROM bars UNION ALL SELECT DISTINCT "timestamp", 'price_impact@30m', symbol % 9, symbol FROM bars)"""
+
+
+@query(f"SELECT {DAY.format('a.snapshot_time')} AS snapshot_time, a.symbol AS a, b.symbol AS b, round(count(*) * 0.5, 6) AS score FROM us a JOIN us b ON a.snapshot_time = b.snapshot_time AND a.layer_name = b.layer_name AND a.community_id = b.community_id AND a.symbol < b.symbol GROUP BY 1, 2, 3 HAVING count(*) * 0.5 >= 0.8", (I.BARS, UNITS))
+def consensus_pairs(spark, sf):
+    weights = {"signed_flow": 0.5, "price_impact": 0.5}
+    out = communities.pair_scores(_units(spark, sf), weights, least=0.8)
+    return rounded(out.withColumn("snapshot_time", day("snapshot_time")), "score")
+
+
+def _themes(spark, sf):
+    families = {"signed_flow": "trade_flow", "price_impact": "liquidity"}
+    return communities.consensus_themes(_units(spark, sf), families, weights={"signed_flow": 0.5, "price_impact": 0.5}, least=0.8)
+
+
+@query()
+def consensus_themes(spark, sf):
+    return _themes(spark, sf).withColumn("snapshot_time", day("snapshot_time"))
+
+
+@query()
+def theme_lifecycle(spark, sf):
+    return communities.lifecycle(_themes(spark, sf).select("snapshot_time", "theme_instance_id", "members"), 1440).withColumn("snapshot_time", day("snapshot_time"))
+
+
+@query()
+def theme_latest(spark, sf):
+    events = communities.lifecycle(_themes(spark, sf).select("snapshot_time", "theme_instance_id", "members"), 1440)
+    return communities.latest_per_path(events).withColumn("snapshot_time", day("snapshot_time"))
+
+
+@query()
+def structural_forest(spark, sf):
+    u = _units(spark, sf)
+    roots = u.where("layer_name = 'price_impact@30m'").groupBy("snapshot_time", (F.col("community_id") % 2).alias("k")).agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members"))
+    themes = roots.select("snapshot_time", F.concat(F.lit("T"), F.col("k").cast("string")).alias("theme_instance_id"), "members")
+    return forest.structural_forest(themes, u).withColumn("snapshot_time", day("snapshot_time"))
+
+
+@query()
+def tracked_paths(spark, sf):
+    return paths.track_paths(_units(spark, sf), ["layer_name"], least=5)
+
+
+@query()
+def path_metrics(spark, sf):
+    return paths.arm_metrics(paths.track_paths(_units(spark, sf), ["layer_name"], least=5), ["layer_name", "arm"])
+
+
+@query()
+def hysteresis_replay(spark, sf):
+    out = hysteresis.replay(I.edges(spark, sf).where("layer_id = 1"), hysteresis.Hysteresis(0.6, 0.6, 0.5, 1))
+    return rounded(out.withColumn("decision_time", day("decision_time")), "weight")
+
+
+# ---- semantics
+
+TL = "tm AS (SELECT 't' || c_custkey % 20 AS theme_id, c_custkey AS member_id FROM customer)"
+
+
+def _theme_members(spark, sf):
+    return I.table(spark, sf, "customer").select(F.concat(F.lit("t"), (F.col("c_custkey") % 20).cast("string")).alias("theme_id"), F.col("c_custkey").alias("member_id"))
+
+
+TOPS = """
+tops AS (SELECT theme_id, sector AS value, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY theme_id) AS share, row_number() OVER (PARTITION BY theme_id ORDER BY count(*) DESC, sector) AS r FROM tm JOIN metadata ON symbol_id = member_id WHERE sector IS NOT NULL GROUP BY 1, 2),
+topi AS (SELECT theme_id, industry AS value, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY theme_id) AS share, row_number() OVER (PARTITION BY theme_id ORDER BY count(*) DESC, industry) AS r FROM tm JOIN metadata ON symbol_id = member_id WHERE industry IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query("""SELECT m.theme_id, m.member_count, CASE WHEN cap >= 200e9 THEN 'mega' WHEN cap >= 10e9 THEN 'large' WHEN cap >= 2e9 THEN 'mid' WHEN cap >= 300e6 THEN 'small' ELSE 'micro' END AS market_cap_bucket, s.value AS main_sector, round(s.share, 6) AS sector_coherence, i.value AS main_industry, round(i.share, 6) AS industry_coherence
+  FROM (SELECT theme_id, count(*) AS member_count, median(market_cap) AS cap FROM tm LEFT JOIN metadata ON symbol_id = member_id GROUP BY 1) m JOIN tops s ON s.theme_id = m.theme_id AND s.r = 1 JOIN topi i ON i.theme_id = m.theme_id AND i.r = 1""", (I.METADATA, TL, TOPS))
+def semantic_labels(spark, sf):
+    out = semantics.labels(_theme_members(spark, sf), I.metadata(spark, sf)).drop("sector_shares", "industry_shares")
+    return rounded(out, "sector_coherence", "industry_coherence")
+
+
+@query("""SELECT m.theme_id, round(cov, 6) AS metadata_coverage, array_to_string(names[1:15], ',') AS top_symbols, s.value AS top_sector, round(s.share, 6) AS top_sector_share
+  FROM (SELECT theme_id, avg((symbol IS NOT NULL)::INTEGER) AS cov, list(symbol::VARCHAR ORDER BY member_id) FILTER (WHERE symbol IS NOT NULL) AS names FROM tm LEFT JOIN metadata ON symbol_id = member_id GROUP BY 1) m LEFT JOIN tops s ON s.theme_id = m.theme_id AND s.r = 1""", (I.METADATA, TL, TOPS))
+def member_summary(spark, sf):
+    return rounded(semantics.member_summary(_theme_members(spark, sf), I.metadata(spark, sf)), "metadata_coverage", "top_sector_share")
+
+
+@query("""SELECT theme_id, round(0.35 * 0.5 + 0.25 * 0.6 + 0.2 * 0.7 + 0.1 * 0.8 + 0.1 * least(1, avg(abs(c_acctbal / 10000))), 6) AS theme_quality_score, round(least(1, avg(abs(c_acctbal / 10000))), 6) AS flow_support FROM tm JOIN customer ON c_custkey = member_id GROUP BY 1""", (TL,))
+def theme_quality(spark, sf):
+    t = _theme_members(spark, sf).groupBy("theme_id").agg(F.collect_list("member_id").alias("members")).withColumns({"structure_score": F.lit(0.5), "consensus_score": F.lit(0.6), "stability_score": F.lit(0.7), "semantic_score": F.lit(0.8)})
+    flow = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("member_id"), (F.col("c_acctbal") / 10000).alias("neighbor_signed_flow"))
+    return rounded(semantics.theme_quality(t, flow).select("theme_id", "theme_quality_score", "flow_support"), "theme_quality_score", "flow_support")
+
+
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, count(*) AS communities, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75, round(quantile_cont(n, 0.95), 6) AS p95, round(avg((n <= 5)::INTEGER), 6) AS share_le_5, round(avg((n <= 10)::INTEGER), 6) AS share_le_10, round(avg((n <= 50)::INTEGER), 6) AS share_le_50 FROM (SELECT decision_time, theme_id, count(*) AS n FROM members GROUP BY 1, 2) GROUP BY 1", (I.BARS, I.MEMBERS))
+def size_distribution(spark, sf):
+    sizes = I.members(spark, sf).groupBy("decision_time", "theme_id").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(semantics.size_distribution(sizes, ["decision_time"]).withColumn("decision_time", day("decision_time")), "p95", "share_le_5", "share_le_10", "share_le_50")
+
+
+@query("SELECT theme_id, size, core_share, top_sector_share, round(0.4 * core_share + 0.3 * least(1, ln(1 + size) / ln(51)) + 0.3 * top_sector_share, 6) AS leaf_quality FROM (SELECT 't' || p_partkey AS theme_id, p_size AS size, (p_partkey % 10) / 10 AS core_share, (p_partkey % 7) / 7 AS top_sector_share FROM part) ORDER BY 0.4 * core_share + 0.3 * least(1, ln(1 + size) / ln(51)) + 0.3 * top_sector_share DESC, theme_id LIMIT 100")
+def forest_quality(spark, sf):
+    leaves = I.table(spark, sf, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("theme_id"), F.col("p_size").alias("size"), ((F.col("p_partkey") % 10) / 10).alias("core_share"), ((F.col("p_partkey") % 7) / 7).alias("top_sector_share"))
+    return rounded(semantics.forest_quality(leaves, 100), "leaf_quality")
+
+
+# ---- QA, stores and serving
+
+
+@query(f"""SELECT {DAY.format('decision_time')} AS decision_time, layer_id, count(*) AS edges, count(*) - count(DISTINCT (least(src_id, dst_id), greatest(src_id, dst_id))) AS duplicate_pairs, count(*) FILTER (WHERE src_id = dst_id) AS self_loops, count(*) FILTER (WHERE weight IS NULL OR NOT isfinite(weight)) AS non_finite, any_value(v) AS cap_violations
+  FROM edges JOIN (SELECT decision_time, layer_id, count(*) FILTER (WHERE n > 30) AS v FROM (SELECT decision_time, layer_id, node, count(*) AS n FROM (SELECT decision_time, layer_id, src_id AS node FROM edges UNION ALL SELECT decision_time, layer_id, dst_id FROM edges) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (decision_time, layer_id) GROUP BY 1, 2""", (I.EDGES,))
+def edge_violations(spark, sf):
+    return qa.edge_violations(I.edges(spark, sf), ["decision_time", "layer_id"], 30).withColumn("decision_time", day("decision_time"))
+
+
+@query("SELECT key, side FROM (SELECT DISTINCT user_id AS key, 'left' AS side FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events))")
+def key_differences(spark, sf):
+    a, b = I.table(spark, sf, "events").select(F.col("user_id").alias("key")), I.table(spark, sf, "orders").select(F.col("o_custkey").alias("key"))
+    return qa.key_differences(a, b, ["key"])
+
+
+@query("""SELECT d AS trade_date, count(p.symbol) AS present, count(*) FILTER (WHERE p.symbol IS NULL) AS missing, count(*) FILTER (WHERE u.symbol IS NULL) AS unexpected FROM (
+  SELECT coalesce(p.d, e.d) AS d, p.symbol AS p_symbol, e.symbol AS e_symbol FROM (SELECT DISTINCT "timestamp"::DATE::VARCHAR AS d, symbol FROM bars) p FULL JOIN (SELECT d, s.symbol FROM (SELECT DISTINCT "timestamp"::DATE::VARCHAR AS d FROM bars), (SELECT DISTINCT c_custkey AS symbol FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 200) s) e ON p.d = e.d AND p.symbol = e.symbol) j, LATERAL (SELECT p_symbol AS symbol) p, LATERAL (SELECT e_symbol AS symbol) u GROUP BY 1""", (I.BARS,))
+def universe_stability(spark, sf):
+    rows = I.bars(spark, sf).select(F.to_date("timestamp").cast("string").alias("trade_date"), "symbol")
+    members = I.table(spark, sf, "customer").where("c_custkey % 3 = 0 and c_custkey < 200").select(F.col("c_custkey").alias("symbol"))
+    return qa.universe_stability(rows, members)
+
+
+@query("""SELECT trade_date, s.symbol, count(b."close") AS available_points, round(1 - count(b."close") / any_value(t), 6) AS missing_ratio, count(b."close") < 5 AS fallback FROM (SELECT strftime("timestamp", '%Y-W%W') AS trade_date, count(DISTINCT "timestamp") AS t FROM bars GROUP BY 1) d CROSS JOIN (SELECT unnest([1, 2, 9999])::BIGINT AS symbol) s LEFT JOIN bars b ON b.symbol = s.symbol AND strftime(b."timestamp", '%Y-W%W') = d.trade_date GROUP BY 1, 2""", (I.BARS,))
+def benchmark_coverage(spark, sf):
+    week = F.concat(F.lit("2024-W"), F.lpad(F.floor((F.dayofyear("timestamp") + 6) / 7).cast("string"), 2, "0"))
+    return rounded(qa.benchmark_coverage(I.bars(spark, sf).withColumn("trade_date", week), [1, 2, 9999], 5), "missing_ratio")
+
+
+@query("SELECT year(decision_time) AS y, layer_id, count(*) AS row_count FROM edges GROUP BY 1, 2", (I.EDGES,))
+def inventory(spark, sf):
+    return qa.inventory(I.edges(spark, sf).withColumn("y", F.year("decision_time").cast("long")), ["y", "layer_id"])
+
+
+@query(f"SELECT 'bars' AS artifact, count(*) AS row_count, {DAY.format('min(\"timestamp\")')} AS min_time, {DAY.format('max(\"timestamp\")')} AS max_time FROM bars", (I.BARS,))
+def artifact_manifest(spark, sf):
+    return qa.artifact_manifest(I.bars(spark, sf), "bars", "timestamp").withColumns({"min_time": day("min_time"), "max_time": day("max_time")})
+
+
+PATCH = "patch AS (SELECT decision_time, (CASE layer_id WHEN 1 THEN 1 ELSE 14 END)::INTEGER AS layer_id, lookback_minutes, src_id, dst_id, weight / 2 AS weight FROM edges WHERE layer_id IN (1, 2))"
+
+
+def _patched(spark, sf):
+    e = I.edges(spark, sf)
+    patch = e.where("layer_id in (1, 2)").withColumns({"layer_id": F.when(F.col("layer_id") == 1, 1).otherwise(14), "weight": F.col("weight") / 2})
+    return replaced_layers(e, patch, [1, 14, 15], [*G, "src_id", "dst_id"])
+
+
+@query("SELECT layer_id, count(*) AS n, round(sum(weight), 4) AS weight FROM (SELECT * FROM edges WHERE layer_id NOT IN (1, 14, 15) UNION ALL SELECT * FROM patch) GROUP BY 1", (I.EDGES, PATCH))
+def patch_merge(spark, sf):
+    return _patched(spark, sf)[0].groupBy("layer_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
+@query("SELECT (SELECT count(*) FROM edges) AS baseline_rows, (SELECT count(*) FROM edges WHERE layer_id NOT IN (1, 14, 15)) AS preserved_rows, (SELECT count(*) FROM patch) AS patch_rows, (SELECT count(*) FROM edges WHERE layer_id NOT IN (1, 14, 15)) + (SELECT count(*) FROM patch) AS merged_rows, 0::BIGINT AS duplicates", (I.EDGES, PATCH))
+def patch_statistics(spark, sf):
+    return _patched(spark, sf)[1]
+
+
+@query("SELECT src_id, dst_id, weight FROM edges WHERE decision_time = TIMESTAMP '1997-01-01' AND layer_id IN (1, 3)", (I.EDGES,))
+def graph_snapshot(spark, sf):
+    return features.snapshot(I.edges(spark, sf), "1997-01-01", [1, 3]).select("src_id", "dst_id", "weight")
+
+
+@query(f"""SELECT {DAY.format('b."timestamp"')} AS datetime, b.symbol AS instrument, b."close" AS feature__close, b.n_events AS "feature__n_events", l.label_1 AS label__1, g.g AS feature__graph__flow__degree FROM bars b LEFT JOIN labels l ON l.symbol = b.symbol AND l.decision_time = b."timestamp"
+  LEFT JOIN (SELECT "timestamp", symbol, n_events + 1 AS g FROM bars) g ON g.symbol = b.symbol AND g."timestamp" = b."timestamp" WHERE b."timestamp" >= TIMESTAMP '2024-01-05' AND b."timestamp" <= TIMESTAMP '2024-01-20'""", (I.LABELS,))
+def wide_matrix(spark, sf):
+    b = I.bars(spark, sf).withColumnRenamed("timestamp", "decision_time")
+    nodes = b.select("decision_time", "symbol", F.lit(4).alias("layer_id"), F.lit(30).alias("lookback_minutes"), (F.col("n_events") + 1).alias("degree"))
+    nodes = nodes.unionByName(nodes.withColumns({"lookback_minutes": F.lit(5), "degree": F.lit(0).cast("long")}))
+    out = features.wide_matrix(b.select("decision_time", "symbol", "close", "n_events"), I.labels(spark, sf), features.graph_pivot(nodes, {4: "flow"}, ["degree"]), "2024-01-05", "2024-01-20")
+    return out.withColumn("datetime", day("datetime"))
+
+
+@query("""SELECT event_id, upper(trim(' ' || event_type || ' ')) AS token, regexp_extract('flow@' || user_id || 'm', '@([0-9]+)m$', 1) AS minutes, substr(sha256(event_type || ',' || user_id), 1, 12) AS digest, json_extract_string(props, '$.k') AS k, least(user_id, event_id) AS low, greatest(user_id, event_id) AS high, TRY_CAST(event_type AS DOUBLE) AS number,
+  round(sqrt(abs(value)) + ln(1 + abs(value)), 6) AS curve, regexp_replace(event_type || ':' || user_id || ' x', '[: ]', '_', 'g') AS safe, ceil(value)::BIGINT AS up, floor(value)::BIGINT AS down FROM events""")
+def scalar_functions(spark, sf):
+    v = F.col("value")
+    user = F.col("user_id").cast("string")
+    return I.table(spark, sf, "events").select(
+        "event_id", F.upper(F.trim(F.concat(F.lit(" "), "event_type", F.lit(" ")))).alias("token"), F.regexp_extract(F.concat(F.lit("flow@"), user, F.lit("m")), "@([0-9]+)m$", 1).alias("minutes"), F.substring(F.sha2(F.concat_ws(",", "event_type", user).cast("binary"), 256), 1, 12).alias("digest"),
+        F.get_json_object("props", "$.k").alias("k"), F.least("user_id", "event_id").alias("low"), F.greatest("user_id", "event_id").alias("high"), F.expr("try_cast(event_type AS double)").alias("number"), F.round(F.sqrt(F.abs(v)) + F.log1p(F.abs(v)), 6).alias("curve"),
+        F.regexp_replace(F.concat("event_type", F.lit(":"), user, F.lit(" x")), "[: ]", "_").alias("safe"), F.ceil(v).alias("up"), F.floor(v).alias("down"),
+    )
+
+
+@query("SELECT count(*) AS n, count(value) AS finite, round(avg(value), 6) AS mean FROM (SELECT CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS value FROM events)")
+def nan_as_null(spark, sf):
+    e = I.table(spark, sf, "events").select(F.when(F.col("event_id") % 10 == 0, float("nan")).otherwise(F.col("value")).alias("value"))
+    return rounded(nan_to_null(e).agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("finite"), F.avg("value").alias("mean")), "mean")

@@ -26,7 +26,8 @@ from .work import documents, forget, ship, stored
 
 GRAM = 40
 CHUNK = 2_000_000
-BUCKET_BITS = 6
+#: An exchange has 2^6 buckets, or as many more as keep a bucket to the records of 64 MB of text.
+BUCKET_BITS, BUCKET_BYTES = 6, 64_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
@@ -84,7 +85,7 @@ class Chunk:
 
     def records(self, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(leading token, hull) fingerprints of the runs; a hull's holds its anchor's place and token."""
-        token = self.prints(anchor, anchor + GRAM)
+        token = mixed(self.prints(anchor, anchor + GRAM) + np.uint64(BASE))  # anchors are smallest grams; mixed again, their tokens fill all buckets alike
         hull = self.prints(first, last + self.width)
         return token, mixed(hull ^ mixed(token + (anchor - first).astype(np.uint64)) ^ mixed((last - first).astype(np.uint64)))
 
@@ -228,7 +229,7 @@ def chunked(docs: DataFrame, text: str, key: str, size: int = CHUNK) -> DataFram
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(pack, "chunk long, doc_ids array<long>, lengths array<long>, body binary")
 
 
-def suffix_dedup(docs: DataFrame, width: int = 200, text: str = "text", key: str = "doc_id", bits: int = BUCKET_BITS, keep_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 200, text: str = "text", key: str = "doc_id", bits: int | None = None, keep_text: bool = False) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (its bytes) if keep_text.
 
     A byte goes if a string of `width` bytes that covers it also starts anywhere else, in this or another document.
@@ -242,6 +243,9 @@ def suffix_dedup(docs: DataFrame, width: int = 200, text: str = "text", key: str
     name = f"chunks_{uuid.uuid4().hex}"
     chunked(docs, text, key).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").format("parquet").option("compression", "none").saveAsTable(name)
     chunks = spark.table(name)
+    if bits is None:
+        size = chunks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, n: s + n))).first()[0] or 0
+        bits = max(BUCKET_BITS, (size // BUCKET_BYTES).bit_length())
 
     def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

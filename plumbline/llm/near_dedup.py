@@ -211,7 +211,7 @@ def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(sign, "doc_id long, bag binary, bands array<long>")
 
 
-def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 128, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, class_id, kept.
 
     Classes are the connected components of links between texts whose bags of five-word shingles have a weighted

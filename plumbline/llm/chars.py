@@ -50,7 +50,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slabs(texts, most: int = 4_000_000, rows: int = 10_000):
+def slabs(texts, most: int = 2_000_000, rows: int = 10_000):
     """Lists of up to `rows` consecutive texts of about `most` code points in all (one text may have more), with their first index."""
     start, total, part = 0, 0, []
     for n, x in enumerate(texts):

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import code_points, letters, looked_up, lowered, slabs
-from .work import documents, hashed_sample, held_out, ship
+from .work import claim, documents, hashed_sample, held_out, ship
 
 #: Symbols of an automaton: 0 a gap, then the commonest letters, one for every rarer letter, and one for padding.
 SYMBOLS, GAP, RARE, PAD = 64, 0, 62, 63
 BLOCK = 256
 
 
-def labelled_sample(docs: DataFrame, text_chars: int = 48_000, rows: int = 400, languages: int = 64, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
+def labelled_sample(docs: DataFrame, text_chars: int = 32_000, rows: int = 400, languages: int = 64, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
     """(language, text) of whole labelled texts, at most text_chars code points and `rows` texts a language.
 
     A documented bounded sample: of each language the `rows` texts of lowest hashed id, taken in that order until
@@ -171,6 +171,7 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]], text: str = "text")
 
     @F.pandas_udf("lang_pred string, score double, phrase_chars double")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("language", parser.cache_clear)
         for texts in batches:
             yield parser(known).predict([x or "" for x in texts])
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .chars import mixed, slabs
 from .components import components, connected
-from .work import documents, forget, ship, stored
+from .work import claim, documents, forget, ship, stored
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -29,7 +29,7 @@ class WordHashes(dict):
     Words are runs of letters and digits in lower case, so a token may hold none or several.
     """
 
-    KEPT, LONGEST, WORD = 400_000, 48, re.compile(r"[^\W_]+")
+    KEPT, LONGEST, WORD = 150_000, 40, re.compile(r"[^\W_]+")
 
     def __missing__(self, token: str) -> bytes:
         out = b"".join([xxhash.xxh64_digest(w.encode("utf-8", "surrogatepass"))[::-1] for w in self.WORD.findall(token.lower())])
@@ -181,6 +181,7 @@ def similarities(some: list[tuple[np.ndarray, np.ndarray]], width: int = 8192) -
 
 def family_links(docs: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links (a, b) that connect the texts of one or two blocks as all pairs of threshold or more do; b is a root."""
+    claim("near", WORD_HASHES.clear)
     ids = docs["rep"].to_numpy(np.int64)
     near = similarities(bags(docs["text"].tolist())) >= threshold - 1e-7
     a, b = np.nonzero(np.triu(near, 1))
@@ -196,6 +197,7 @@ def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("near", WORD_HASHES.clear)
         for batch in batches:
             texts, ids = [x or "" for x in batch["text"]], batch["doc_id"]
             for start, part in slabs(texts):

@@ -16,11 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .work import documents, ship, stored
+from .work import claim, documents, ship, stored
 
 CAPACITY = 2048
 #: Words kept with their ids in each Python worker, and the longest that are.
-WORDS_KEPT, LONGEST_KEPT = 400_000, 48
+WORDS_KEPT, LONGEST_KEPT = 150_000, 40
 CUT = re.compile(r"(?<=\S)(?= )")
 HARD = re.compile(r"[^\S ] |  ")
 
@@ -103,6 +103,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str, key: s
         sent = spark.sparkContext.broadcast(f.read())
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("packing", encoder.cache_clear)
         encode, part = encoder(sent.value).ids, TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import mixed
-from .work import documents, forget, ship, stored
+from .work import claim, documents, forget, ship, stored
 
 GRAM = 40
 CHUNK = 2_000_000
@@ -34,12 +34,15 @@ BYTE = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 TOKEN, HULL, WINDOW = 1, 2, 3
 
 
-def _powers(base: int, n: int, kept: dict[int, np.ndarray] = {}) -> np.ndarray:
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
     """base^0 ... base^(n-1) modulo 2^64."""
-    out = kept.get(base, np.ones(1, np.uint64))
+    out = _POWERS.get(base, np.ones(1, np.uint64))
     while len(out) < n:
         out = np.concatenate([out, out * np.uint64(pow(base, len(out), 2**64))])
-        kept[base] = out
+        _POWERS[base] = out
     return out[:n]
 
 
@@ -200,6 +203,7 @@ class Stages:
 
 
 def opened(body: bytes, lengths: np.ndarray, width: int) -> Chunk:
+    claim("suffix", _POWERS.clear)
     return Chunk(np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8), np.asarray(lengths, np.int64), width)
 
 

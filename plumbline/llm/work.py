@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -57,9 +60,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bounds on the Arrow batches that go to Python workers: texts are long, and memory beside the executor's heap is small.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, drop: Callable[[], None]) -> None:
+    """In a Python worker: owner will keep caches that drop() empties; those of other owners are emptied now.
+
+    Workers outlive stages, so the caches of one operator would stand beside those of the next.
+    """
+    others = [name for name in _HELD if name != owner]
+    for name in others:
+        _HELD.pop(name)()
+    _HELD[owner] = drop
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once a context; they need not have it installed."""
+    """Send this package to the executors' Python, once a context; they need not have it installed. Bounds Arrow batches."""
     context = spark.sparkContext
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        number = int(now.rstrip("b"))
+        if number <= 0 or number > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     if getattr(context, "_plumbline_sent", False):
         return
     package = Path(__file__).resolve().parent.parent

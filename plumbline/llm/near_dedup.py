@@ -29,7 +29,7 @@ class WordHashes(dict):
     Words are runs of letters and digits in lower case, so a token may hold none or several.
     """
 
-    KEPT, LONGEST, WORD = 150_000, 40, re.compile(r"[^\W_]+")
+    KEPT, LONGEST, WORD = 250_000, 40, re.compile(r"[^\W_]+")
 
     def __missing__(self, token: str) -> bytes:
         out = b"".join([xxhash.xxh64_digest(w.encode("utf-8", "surrogatepass"))[::-1] for w in self.WORD.findall(token.lower())])

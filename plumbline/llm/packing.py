@@ -20,7 +20,7 @@ from .work import claim, documents, ship, stored
 
 CAPACITY = 2048
 #: Words kept with their ids in each Python worker, and the longest that are.
-WORDS_KEPT, LONGEST_KEPT = 150_000, 40
+WORDS_KEPT, LONGEST_KEPT = 300_000, 40
 CUT = re.compile(r"(?<=\S)(?= )")
 HARD = re.compile(r"[^\S ] |  ")
 

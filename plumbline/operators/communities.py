@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import _typed
+from .graph import _typed, repeated
 
 
 def moved_communities(a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = 0, passes: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +92,9 @@ def detect(edges: DataFrame, group: list[str], resolution: float = 1.0, seed: in
                 kids, kid_of = moved_communities(a[inside], b[inside], w[inside], child_resolution, seed + parent + 1)
                 parts = [kids[kid_of == c] for c in range(kid_of.max() + 1 if len(kid_of) else 0)]
                 found += [(parent, x, False) for x in parts if least <= len(x) < len(m)]
-        return pd.DataFrame({**{c: [p[c].iloc[0]] * len(found) for c in group}, "community_id": range(len(found)), "parent_id": pd.array([x for x, _, _ in found], "Int32"), "members": [m.tolist() for _, m, _ in found], "is_market_mode": [k for _, _, k in found]})
+        return repeated(p, group, len(found)).assign(
+            community_id=np.arange(len(found), dtype=np.int32), parent_id=pd.array([x for x, _, _ in found], "Int32"), members=pd.Series([m.tolist() for _, m, _ in found], dtype=object), is_market_mode=np.array([bool(k) for _, _, k in found], bool)
+        )
 
     return edges.groupBy(*group).applyInPandas(run, _typed(edges, group, "community_id int, parent_id int, members array<long>, is_market_mode boolean"))
 
@@ -181,7 +183,7 @@ def lifecycle(themes: DataFrame, frame_minutes: int, least: float = 0.5, run: st
                 now.append({"name": name, "path": path, "age": age, "members": members})
             out += [(time, o["name"], o["path"], "death", "inactive", o["age"], o["age"] * frame_minutes, 0.0, o["name"]) for n, o in enumerate(before) if n not in touched]
             before = now
-        return pd.DataFrame(out, columns=[x.split()[0] for x in LIFE.split(", ")])
+        return pd.DataFrame(out, columns=[x.split()[0] for x in LIFE.split(", ")]).astype({"snapshot_time": "datetime64[ns]"})
 
     return rows.groupBy(key).applyInPandas(follow, LIFE)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import _typed
+from .graph import _typed, repeated
 
 CELL = ["decision_time", "layer_id", "scale"]
 
@@ -226,6 +227,8 @@ def structural_forest(themes: DataFrame, units: DataFrame, least: int = 5, most:
             if len(chosen) < children and all(len(m & o) / len(m | o) <= duplicate for o, _ in chosen):
                 chosen.append((m, list(layers)))
         chosen = chosen if len(chosen) >= 2 else []
-        return pd.DataFrame({"snapshot_time": [p["snapshot_time"].iloc[0]] * len(chosen), "theme_instance_id": [p["theme_instance_id"].iloc[0]] * len(chosen), "child": range(1, len(chosen) + 1), "members": [sorted(m) for m, _ in chosen], "layers": [x for _, x in chosen]})
+        return repeated(p, ["snapshot_time", "theme_instance_id"], len(chosen)).assign(
+            child=np.arange(1, len(chosen) + 1, dtype=np.int32), members=pd.Series([sorted(m) for m, _ in chosen], dtype=object), layers=pd.Series([x for _, x in chosen], dtype=object)
+        )
 
     return parts.groupBy("snapshot_time", "theme_instance_id").applyInPandas(choose, _typed(parts, ["snapshot_time", "theme_instance_id"], "child int, members array<long>, layers array<string>"))

@@ -16,6 +16,11 @@ def _typed(df: DataFrame, group: list[str], more: str) -> T.StructType:
     return T.StructType([*own, *T.StructType.fromDDL(more).fields])
 
 
+def repeated(p: pd.DataFrame, group: list[str], n: int) -> pd.DataFrame:
+    """The group's values on n rows, with their types even if n is 0."""
+    return p[group].iloc[[0] * n].reset_index(drop=True)
+
+
 def directed_topk(vectors: DataFrame, group: list[str], top_k: int, minimum_similarity: float, block: int = 2048) -> DataFrame:
     """(group, src_id, dst_id, similarity, rank): each node's top_k most similar others at or above the threshold.
 
@@ -38,10 +43,8 @@ def directed_topk(vectors: DataFrame, group: list[str], top_k: int, minimum_simi
             sim = np.take_along_axis(s, order, 1)
             row, rank = np.nonzero(np.isfinite(sim))
             parts.append(pd.DataFrame({"src_id": ids[start + row], "dst_id": ids[order[row, rank]], "similarity": sim[row, rank], "rank": rank.astype(np.int32) + 1}))
-        out = pd.concat(parts)
-        for n, c in enumerate(group):
-            out.insert(n, c, p[c].iloc[0])
-        return out
+        out = pd.concat(parts, ignore_index=True)
+        return pd.concat([repeated(p, group, len(out)), out], axis=1)
 
     return vectors.groupBy(*group).applyInPandas(search, _typed(vectors, group, "src_id long, dst_id long, similarity double, rank int"))
 

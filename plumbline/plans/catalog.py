@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alpha, communities, diagnostics, features, forest, graph, paths, pit, qa, semantics, trajectory
+from ..session import ship
 from ..sinks import replaced_layers
 from ..sources.events import nan_to_null, normalized_edges, numeric_features
 from ..streaming import hysteresis
@@ -24,7 +25,11 @@ def query(sql: str | None = None, needs: tuple[str, ...] = ()):
     """Register a query under its function's name. needs: common table expressions that its SQL reads."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             SQL[f.__name__] = ("WITH " + ",".join(n.strip() for n in needs) + "\n" if needs else "") + sql.strip()
         return f
@@ -724,11 +729,11 @@ def member_summary(spark, sf):
     return rounded(semantics.member_summary(_theme_members(spark, sf), I.metadata(spark, sf)), "metadata_coverage", "top_sector_share")
 
 
-@query("""SELECT theme_id, round(0.35 * 0.5 + 0.25 * 0.6 + 0.2 * 0.7 + 0.1 * 0.8 + 0.1 * least(1, avg(abs(c_acctbal / 10000))), 6) AS theme_quality_score, round(least(1, avg(abs(c_acctbal / 10000))), 6) AS flow_support FROM tm JOIN customer ON c_custkey = member_id GROUP BY 1""", (TL,))
+@query("""SELECT theme_id, round(0.35 * 0.5 + 0.25 * 0.6 + 0.2 * 0.7 + 0.1 * 0.8 + 0.1 * least(1, avg(abs(c_acctbal / 10000))), 9) AS theme_quality_score, round(least(1, avg(abs(c_acctbal / 10000))), 9) AS flow_support FROM tm JOIN customer ON c_custkey = member_id GROUP BY 1""", (TL,))
 def theme_quality(spark, sf):
     t = _theme_members(spark, sf).groupBy("theme_id").agg(F.collect_list("member_id").alias("members")).withColumns({"structure_score": F.lit(0.5), "consensus_score": F.lit(0.6), "stability_score": F.lit(0.7), "semantic_score": F.lit(0.8)})
     flow = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("member_id"), (F.col("c_acctbal") / 10000).alias("neighbor_signed_flow"))
-    return rounded(semantics.theme_quality(t, flow).select("theme_id", "theme_quality_score", "flow_support"), "theme_quality_score", "flow_support")
+    return rounded(semantics.theme_quality(t, flow).select("theme_id", "theme_quality_score", "flow_support"), "theme_quality_score", "flow_support", digits=9)
 
 
 @query(f"SELECT {DAY.format('decision_time')} AS decision_time, count(*) AS communities, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75, round(quantile_cont(n, 0.95), 6) AS p95, round(avg((n <= 5)::INTEGER), 6) AS share_le_5, round(avg((n <= 10)::INTEGER), 6) AS share_le_10, round(avg((n <= 50)::INTEGER), 6) AS share_le_50 FROM (SELECT decision_time, theme_id, count(*) AS n FROM members GROUP BY 1, 2) GROUP BY 1", (I.BARS, I.MEMBERS))

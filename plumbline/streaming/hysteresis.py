@@ -65,7 +65,7 @@ def replay(edges: DataFrame, config: Hysteresis = Hysteresis(), frames: DataFram
                     if state or time in weights:
                         state, out = config.step(state, {0: weights[time]} if time in weights else {})
                         rows += [(time, layer, back, src, dst, w, raw, status) for _, w, raw, status in out]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"raw_weight": float})
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"decision_time": "datetime64[ns]", "raw_weight": float})
 
     on = one.join(times, KEY).select(F.col("layer_id").cast("int"), F.col("lookback_minutes").cast("int"), F.col("src_id").cast("long"), F.col("dst_id").cast("long"), "seen", "_times")
     return on.mapInPandas(walk, OUT)
@@ -87,7 +87,7 @@ def replay_stream(edges: DataFrame, config: Hysteresis = Hysteresis()) -> DataFr
         for time, frame in pd.concat(list(batches)).groupby("decision_time", sort=True):
             real = frame.dropna(subset=["src_id"])
             held, out = config.step(held, dict(zip(zip(real["src_id"].astype(int), real["dst_id"].astype(int)), real["weight"])))
-            yield pd.DataFrame([(time, *key, *edge, w, raw, status) for edge, w, raw, status in out], columns=[x.split()[0] for x in OUT.split(", ")]).astype({"raw_weight": float})
+            yield pd.DataFrame([(time, *key, *edge, w, raw, status) for edge, w, raw, status in out], columns=[x.split()[0] for x in OUT.split(", ")]).astype({"decision_time": "datetime64[ns]", "raw_weight": float})
         state.update(([s for s, _ in held], [d for _, d in held], [v[0] for v in held.values()], [bool(v[1]) for v in held.values()], [v[2] for v in held.values()]))
 
     typed = edges.select("decision_time", F.col("layer_id").cast("int").alias("layer_id"), F.col("lookback_minutes").cast("int").alias("lookback_minutes"), F.col("src_id").cast("double"), F.col("dst_id").cast("double"), "weight")

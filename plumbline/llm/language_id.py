@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import code_points, letters, looked_up, lowered, slabs
-from .work import claim, documents, hashed_sample, held_out, ship
+from .work import claim, documents, fresh, hashed_sample, held_out, ship
 
 #: Symbols of an automaton: 0 a gap, then the commonest letters, one for every rarer letter, and one for padding.
 SYMBOLS, GAP, RARE, PAD = 64, 0, 62, 63
@@ -175,8 +175,9 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]], text: str = "text")
         for texts in batches:
             yield parser(known).predict([x or "" for x in texts])
 
-    found = docs.drop("lang_pred", "score", "phrase_chars").withColumn("_parsed", parse(F.col(text)))
-    return found.select(*(c for c in found.columns if c != "_parsed"), "_parsed.lang_pred", "_parsed.score", "_parsed.phrase_chars")
+    kept = docs.drop("lang_pred", "score", "phrase_chars")
+    (parsed,) = fresh(docs.columns, "_parsed")
+    return kept.withColumn(parsed, parse(F.col(text))).select(*kept.columns, f"{parsed}.lang_pred", f"{parsed}.score", f"{parsed}.phrase_chars")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import BLANKS, ascii_lower, documents, forget, stored
+from .work import BLANKS, ascii_lower, documents, forget, fresh, stored
 
 RUN_SCHEMA = T.StructType([T.StructField("line_hash", T.BinaryType()), T.StructField("first_doc", T.LongType()), T.StructField("shared", T.BooleanType())])
 
@@ -93,7 +93,7 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_cha
     [\\x20\\x09-\\x0D] at both ends, with A-Z lower-cased. A key of min_chars code points or more that two documents
     hold loses all its lines except in the smallest doc_id; there all stay. Batches are ranges of doc_id in rising
     order, so that the first run that holds a key names its smallest doc_id. Rows with a null doc_id lose nothing;
-    rows that repeat a doc_id are one document. Empty tables give empty results.
+    rows that repeat a doc_id are one document. Columns n_lines and n_dropped are replaced. Empty tables give empty results.
     """
     spark = docs.sparkSession
     lines, lines_path = stored(line_hashes(docs, text, key, min_chars), "lines")
@@ -110,14 +110,16 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_cha
     drops = repeated_lines(lines, runs.all_runs()).groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
     drops, _ = stored(drops, "line-drops")
     forget(spark, lines_path, *(path for level in runs.levels for _, path in level))
-    whole = docs.withColumns({"_id": F.col(key), "_text_id": F.xxhash64(text)})
-    marked = whole.join(drops.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), F.col("drops").alias("_drops")), ["_id", "_text_id"], "left")
-    cut = F.col("_drops").isNotNull()
+    docs = docs.drop("n_lines", "n_dropped")
+    row_id, text_id, gone = fresh(docs.columns, "_id", "_text_id", "_drops")
+    whole = docs.withColumns({row_id: F.col(key), text_id: F.xxhash64(text)})
+    marked = whole.join(drops.select(F.col("doc_id").alias(row_id), F.col("text_id").alias(text_id), F.col("drops").alias(gone)), [row_id, text_id], "left")
+    cut = F.col(gone).isNotNull()
     return marked.select(
         *(c for c in docs.columns if c != text),
-        F.when(cut, F.array_join(without(split_lines(F.col(text)), F.col("_drops")), "\n")).otherwise(F.coalesce(text, F.lit(""))).alias(text),
+        F.when(cut, F.array_join(without(split_lines(F.col(text)), F.col(gone)), "\n")).otherwise(F.coalesce(text, F.lit(""))).alias(text),
         F.size(split_lines(F.col(text))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     ).select(*docs.columns, "n_lines", "n_dropped")
 
 

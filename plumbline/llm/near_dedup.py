@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .chars import mixed, slabs
 from .components import components, connected
-from .work import claim, documents, forget, ship, stored
+from .work import claim, documents, forget, keyed_texts, ship, stored
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -199,18 +199,18 @@ def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("near", WORD_HASHES.clear)
         for batch in batches:
-            texts, ids = [x or "" for x in batch["text"]], batch["doc_id"]
+            texts, ids = [x or "" for x in batch["text"]], pd.arrays.IntegerArray(batch["doc_id"].to_numpy(np.int64), batch["no_id"].to_numpy(bool))
             for start, part in slabs(texts):
                 got = bags(part)
                 keys = band_keys(signatures(got))
                 some = [len(h) > 0 for h, _ in got]
                 yield pd.DataFrame({
-                    "doc_id": ids.iloc[start : start + len(part)].astype("Int64"),
+                    "doc_id": ids[start : start + len(part)],
                     "bag": [bag_id(g) if s else None for g, s in zip(got, some)],
                     "bands": [k if s else None for k, s in zip(keys, some)],
                 })
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(sign, "doc_id long, bag binary, bands array<long>")
+    return keyed_texts(docs, text, key).mapInPandas(sign, "doc_id long, bag binary, bands array<long>")
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 128, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .work import claim, documents, ship, stored
+from .work import claim, documents, keyed_texts, ship, stored
 
 CAPACITY = 2048
 #: Words kept with their ids in each Python worker, and the longest that are.
@@ -89,7 +89,7 @@ def encoder(file: bytes) -> Encoder:
     return Encoder(file)
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
+PIECES = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str, key: str) -> DataFrame:
@@ -108,17 +108,17 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str, key: s
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            for doc, whole in zip(batch["doc_id"], batch["text"]):
+            for doc, no_id, whole in zip(batch["doc_id"], batch["no_id"], batch["text"]):
                 ids = (encode(whole) if whole else b"") + b"\0\0\0\0"
                 n, start = len(ids) // 4, 0
                 while start < n:
                     length = (n - start) % capacity or capacity
-                    rows.append((doc, 0 if start == 0 else rows[-1][1] + 1, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
+                    rows.append((doc, no_id, 0 if start == 0 else rows[-1][2] + 1, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
                     seen[length] += 1
                     start += length
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, PIECES)
+    return keyed_texts(docs, text, key).mapInPandas(cut, PIECES)
 
 
 class Capacities:
@@ -218,10 +218,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str =
         for b in batches:
             rank = b.pop("rank").to_numpy(np.int64)
             at = np.searchsorted(keys, (b["length"].to_numpy(np.int64) << 48) + rank, "right") - 1
-            yield b.assign(sequence_id=runs[at, 3] + rank - runs[at, 1], offset=runs[at, 4]).astype({"doc_id": "Int64"})
+            yield b.assign(sequence_id=runs[at, 3] + rank - runs[at, 1], offset=runs[at, 4])
 
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*columns, "rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    columns = ["doc_id", "no_id", "piece", "start", "length", "ids_crc32"]
+    placed = ranked.select(*columns, "rank").mapInPandas(place, "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

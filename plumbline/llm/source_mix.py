@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import documents, stored
+from .work import documents, fresh
 
 #: Bits of MD5 that make a document's uniform number: 13 hexadecimal digits, exact in a double.
 HEX_DIGITS = 13
@@ -50,22 +50,25 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     are then dealt to tasks by a second hash and sorted by it within, which is one random order of all copies. Nulls
     are a source of their own; rows that repeat a doc_id have equal counts. total: rows wanted over rows given.
     The rates of all sources travel as a literal table, so more than max_sources sources, or a rate above max_rate
-    (a distribution of thousands of steps), are refused with ValueError. Empty tables give empty results.
+    (a distribution of thousands of steps), are refused with ValueError. Columns copy and place
+    are replaced. Empty tables give empty results.
     """
     if docs.select(source).distinct().limit(max_sources + 1).count() > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     rates = repetition_rates(docs, weights, temperature, total, source)
     if max(rates.values(), default=0) > max_rate:
         raise ValueError(f"a source would be repeated more than {max_rate} times")
-    table = docs.sparkSession.createDataFrame([(s, poisson_steps(r)) for s, r in rates.items()], "_source string, _steps array<double>")
+    table = docs.sparkSession.createDataFrame([(None if s is None else str(s), poisson_steps(r)) for s, r in rates.items()], "_source string, _steps array<double>")
     return replicate(docs, table, seed, source, key)
 
 
 def replicate(docs: DataFrame, steps: DataFrame, seed: int, source: str, key: str) -> DataFrame:
-    u = uniform(seed, F.col(key))
-    out = docs.join(F.broadcast(steps), docs[source].cast("string").eqNullSafe(steps["_source"])).withColumn("_u", u)
-    out = out.withColumn("_n", F.size(F.filter("_steps", lambda c: c <= F.col("_u")))).where("_n > 0")
-    out = out.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+    docs = docs.drop("copy", "place")
+    name, cdf, u, n = fresh(docs.columns, "_source", "_steps", "_u", "_n")
+    steps = steps.toDF(name, cdf)
+    out = docs.join(F.broadcast(steps), F.col(source).cast("string").eqNullSafe(F.col(name))).withColumn(u, uniform(seed, F.col(key)))
+    out = out.withColumn(n, F.size(F.filter(cdf, lambda c: c <= F.col(u)))).where(F.col(n) > 0)
+    out = out.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("copy"))
     out = out.withColumn("place", uniform(seed + 1, F.col(key), F.col("copy")))
     return out.repartition("place").sortWithinPartitions("place")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import mixed
-from .work import claim, documents, forget, ship, stored
+from .work import claim, documents, forget, keyed_texts, ship, stored
 
 GRAM = 40
 CHUNK = 2_000_000
@@ -219,18 +219,18 @@ def chunked(docs: DataFrame, text: str, key: str, size: int = CHUNK) -> DataFram
             return pd.DataFrame({"chunk": [base + number], "doc_ids": [ids], "lengths": [[len(x) for x in parts]], "body": [squeeze.compress(b"".join(parts))]})
 
         for batch in batches:
-            for doc, whole in zip(batch["doc_id"].astype(object), batch["text"]):
+            for doc, no_id, whole in zip(batch["doc_id"], batch["no_id"], batch["text"]):
                 raw = whole.encode("utf-8", "surrogatepass") if whole else b""
                 if parts and total + len(raw) > size:
                     yield row()
                     ids, parts, total, number = [], [], 0, number + 1
-                ids.append(None if pd.isna(doc) else int(doc))
+                ids.append(None if no_id else int(doc))
                 parts.append(raw)
                 total += len(raw)
         if parts:
             yield row()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(pack, "chunk long, doc_ids array<long>, lengths array<long>, body binary")
+    return keyed_texts(docs, text, key).mapInPandas(pack, "chunk long, doc_ids array<long>, lengths array<long>, body binary")
 
 
 def suffix_dedup(docs: DataFrame, width: int = 200, text: str = "text", key: str = "doc_id", bits: int | None = None, keep_text: bool = False) -> DataFrame:
@@ -276,7 +276,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, text: str = "text", key: str
         at = whole.ends - lost[whole.ends]
         kept = [left[s - lost[s] : e] for s, e in zip(starts, at)]
         return pd.DataFrame({
-            "doc_id": pd.array(list(chunk["doc_ids"].iloc[0]), "Int64"), "n_bytes": whole.lengths, "n_removed": lost[whole.ends] - lost[starts], "n_spans": spans[whole.ends] - spans[starts],
+            "doc_id": pd.array([None if pd.isna(x) else int(x) for x in chunk["doc_ids"].iloc[0]], "Int64"), "n_bytes": whole.lengths, "n_removed": lost[whole.ends] - lost[starts], "n_spans": spans[whole.ends] - spans[starts],
             "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
         } | ({"kept": kept} if keep_text else {}))
 

@@ -6,24 +6,26 @@ import ctypes
 import gc
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: [\x20\x09-\x0D] as characters; the contracts name this set.
 BLANKS = " \t\n\x0b\f\r"
 LINE_BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests, one machine), a temporary folder is set."""
+    """The cluster's spark.checkpoint.dir; where it is unset (one machine), a temporary folder of this context's own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not getattr(context, "_plumbline_folder", None):
+            context._plumbline_folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        folder = context._plumbline_folder
     return folder.rstrip("/")
 
 
@@ -56,6 +58,23 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names like those given that no column has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keyed_texts(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc_id, no_id, text) for Python: a null id is 0 and marked, so that pandas keeps all ids whole numbers."""
+    doc_id = F.col(key).cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc_id"), doc_id.isNull().alias("no_id"), F.col(text).alias("text"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -84,21 +103,12 @@ def claim(owner: str, drop: Callable[[], None]) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once a context; they need not have it installed. Bounds Arrow batches."""
-    context = spark.sparkContext
+    session.ship(spark)
     for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
         now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
         number = int(now.rstrip("b"))
         if number <= 0 or number > most:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-    if getattr(context, "_plumbline_sent", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    place = Path(tempfile.mkdtemp(prefix="plumbline-")) / "plumbline_package.zip"
-    with zipfile.ZipFile(place, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    context.addPyFile(str(place))
-    context._plumbline_sent = True
 
 
 def hashed_sample(rows: DataFrame, group: str, id_column: str, most: int, groups: int) -> list[Row]:

@@ -18,6 +18,8 @@ from .work import claim, documents, forget, keyed_texts, ship, stored
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 POSITIONS = BANDS * ROWS
+#: Texts signed at a time; each takes some thousand points, however short it is.
+SLAB_TEXTS = 300
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Odd multipliers of a shingle's places.
 FACTORS = [np.uint64(int(GOLD) ** (2 * k + 1) % 2**64) for k in range(64)]
@@ -200,7 +202,7 @@ def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
         claim("near", WORD_HASHES.clear)
         for batch in batches:
             texts, ids = [x or "" for x in batch["text"]], pd.arrays.IntegerArray(batch["doc_id"].to_numpy(np.int64), batch["no_id"].to_numpy(bool))
-            for start, part in slabs(texts):
+            for start, part in slabs(texts, 1_000_000, SLAB_TEXTS):
                 got = bags(part)
                 keys = band_keys(signatures(got))
                 some = [len(h) > 0 for h, _ in got]

@@ -116,3 +116,26 @@ class BuildConfig:
     def digest(self) -> str:
         """SHA-256 of the settings as JSON with sorted keys."""
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, default=list).encode()).hexdigest()
+
+
+def load_config(path: str) -> BuildConfig:
+    """A configuration from JSON, or from YAML where PyYAML is installed; unknown keys raise TypeError."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        values = json.loads(text)
+    else:
+        import yaml
+
+        values = yaml.safe_load(text)
+    if "horizons_minutes" in values:
+        values["horizons_minutes"] = tuple(values["horizons_minutes"])
+    return BuildConfig(**values)
+
+
+def registry_yaml(parameter_set: str, winners: list[tuple[str, int, GraphParameters]]) -> str:
+    """The overrides that make winners (layer, lookback, parameters) the parameters of their scales, as YAML text."""
+    lines = [f"parameter_set_id: {parameter_set}", "overrides:"]
+    for layer, lookback, p in sorted(winners, key=lambda x: x[:2]):
+        lines += [f'  "{layer}@{lookback}":', f"    top_k: {p.top_k}", f"    degree_cap: {p.degree_cap}", f"    minimum_similarity: {p.minimum_similarity}"]
+    return "\n".join(lines) + "\n"

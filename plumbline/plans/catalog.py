@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import BuildConfig, Layer
 from ..operators import alpha, communities, diagnostics, features, forest, graph, paths, pit, qa, semantics, trajectory
 from ..session import ship
 from ..sinks import replaced_layers
 from ..sources.events import nan_to_null, normalized_edges, numeric_features
 from ..streaming import hysteresis
+from . import build
 from . import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,6 +337,28 @@ def lsh_edges(spark, sf):
     return rounded(graph.reciprocal(directed, LAYER), "weight")
 
 
+#: The bars' columns as two layers; a day stands for a minute.
+BAR_LAYERS = (Layer(1, "return_corr_raw_1m", ("close",), "price", "return_corr_raw_1m", (15, 30)), Layer(4, "signed_flow", ("signed_flow", "n_events"), "trade_flow", "standard", (5, 15, 30)))
+
+
+def _built(spark, sf):
+    b = I.bars(spark, sf)
+    symbols = b.select("symbol", F.col("symbol").alias("symbol_id")).distinct()
+    last = pit.decision_grid(b, "1 day").where("decision_time >= '2024-01-30'")
+    return build.build_edges(b, last, symbols, BuildConfig(top_k=8, degree_cap=6), BAR_LAYERS, 86400), symbols
+
+
+@query()
+def graph_build(spark, sf):
+    edges, _ = _built(spark, sf)
+    return rounded(edges.withColumn("decision_time", day("decision_time")), "weight")
+
+
+@query()
+def graph_build_nodes(spark, sf):
+    return rounded(build.build_nodes(*_built(spark, sf)).withColumn("decision_time", day("decision_time")), "strength", "core_z")
+
+
 # ---- diagnostics on yearly edges
 
 THRESH = "th AS (SELECT layer_id, lookback_minutes, quantile_cont(weight, 0.8) AS q80, quantile_cont(weight, 0.9) AS q90, quantile_cont(weight, 0.95) AS q95 FROM edges GROUP BY 1, 2)"

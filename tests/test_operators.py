@@ -235,3 +235,43 @@ def test_sources(spark, tmp_path):
     assert sorted((r.src_id, r.dst_id, r.abs_weight, r.scale) for r in e.collect()) == [(1, 2, 0.0, "default"), (2, 3, 0.4, "default")]
     shards = write_shards(e.withColumn("date", F.lit("2024-01-02")), str(tmp_path / "shards"))
     assert [r.row_count for r in shards.collect()] == [2]
+
+
+def test_build_equals_the_declarative_path(spark):
+    from plumbline.operators import trajectory
+    from plumbline.plans import catalog, inputs
+
+    sf = "/root/testdata/sf0.01"
+    edges, symbols = catalog._built(spark, sf)
+    got = edges.where("decision_time = '2024-01-30' and layer_id = 1 and lookback_minutes = 30").toPandas()
+    b = inputs.bars(spark, sf).where("available_time <= '2024-01-30'").withColumn("lookback", F.lit(30))
+    z = trajectory.standardized(trajectory.median_filled(trajectory.last_values(b, ["close"], ["lookback"]), b.select("symbol").distinct(), ["lookback"]), ["lookback"])
+    v = trajectory.vectors(z, ["lookback"]).withColumnRenamed("symbol", "node_id")
+    want = graph.degree_cap(graph.reciprocal(graph.directed_topk(v, ["lookback"], 8, 0.2), ["lookback"]), ["lookback"], 6).toPandas()
+    assert len(got) > 50
+    assert set(zip(got.src_id, got.dst_id, got.weight.round(9))) == set(zip(want.src_id, want.dst_id, want.weight.round(9)))
+    degree = pd.concat([edges.toPandas().groupby(["decision_time", "layer_id", "lookback_minutes", c]).size() for c in ("src_id", "dst_id")]).groupby(level=[0, 1, 2, 3]).sum()
+    assert degree.max() <= 6
+
+
+def test_market_residual():
+    from plumbline.plans.build import market_residual, rolled
+
+    rng = np.random.default_rng(0)
+    m = rng.standard_normal(30)
+    x = np.vstack([m, 2 * m + 1, -m + 3])
+    assert np.abs(market_residual(x, x, [0], 8)).max() < 1e-4
+    assert np.allclose(market_residual(x, np.full_like(x, np.nan), [0], 8), x - np.median(x, axis=0))
+    assert rolled(x).shape == (3, 26)
+
+
+def test_config_from_files(tmp_path):
+    from plumbline.config import load_config, registry_yaml
+
+    (tmp_path / "c.json").write_text('{"top_k": 8, "degree_cap": 6, "overrides": {"signed_flow@30": {"top_k": 7}}}')
+    config = load_config(str(tmp_path / "c.json"))
+    assert config.parameters_for("signed_flow", "trade_flow", 30).top_k == 7
+    assert "signed_flow@30" in registry_yaml("set", [("signed_flow", 30, config.parameters_for("signed_flow", "trade_flow", 30))])
+    with pytest.raises(TypeError):
+        (tmp_path / "d.json").write_text('{"nope": 1}')
+        load_config(str(tmp_path / "d.json"))

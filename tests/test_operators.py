@@ -275,3 +275,24 @@ def test_config_from_files(tmp_path):
     with pytest.raises(TypeError):
         (tmp_path / "d.json").write_text('{"nope": 1}')
         load_config(str(tmp_path / "d.json"))
+
+
+def test_command_line(spark, tmp_path):
+    from plumbline import cli
+
+    rng = np.random.default_rng(8)
+    rows = [(f"S{s}", datetime(2024, 1, 2, 14, 30) + timedelta(minutes=t), datetime(2024, 1, 2, 14, 31) + timedelta(minutes=t), "2024-01-02", float(100 + rng.random()), float(rng.standard_normal() + (s % 3) * np.sin(t))) for s in range(9) for t in range(40)]
+    spark.createDataFrame(rows, "symbol string, timestamp timestamp, available_time timestamp, trade_date string, close double, ret_1m double").write.parquet(str(tmp_path / "ev"))
+    (tmp_path / "c.json").write_text('{"top_k": 4, "degree_cap": 3, "minimum_similarity": 0.05, "frequency": "5min"}')
+    place = ["--events", str(tmp_path / "ev"), "--store", str(tmp_path / "st"), "--date", "2024-01-02", "--config", str(tmp_path / "c.json")]
+    cli.main(["build-date", *place])
+    store = Store(spark, str(tmp_path / "st"))
+    edges = store.read("edges").toPandas()
+    assert set(edges.layer_id) == {1, 14} and len(edges) and edges.weight.between(0.05, 1).all()
+    assert store.read("labels").count() and set(store.read("node_features").toPandas().layer_id) == {0, 1, 14}
+    cli.main(["patch-layers", *place, "--layers", "14"])
+    assert store.read("edges_patched").count() == len(edges)
+    cli.main(["features", "--events", str(tmp_path / "ev"), "--store", str(tmp_path / "st"), "--start", "2024-01-02 14:30:00", "--end", "2024-01-02 15:00:00", "--out", str(tmp_path / "wide")])
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    assert wide.count() == 9 * 30 and "label__5" in wide.columns
+    assert cli.unreadable(spark, str(tmp_path / "wide")) == []

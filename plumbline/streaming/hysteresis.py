@@ -52,23 +52,31 @@ def replay(edges: DataFrame, config: Hysteresis = Hysteresis(), frames: DataFram
     one task, and the result does not depend on how the history is cut.
     """
     frames = (edges if frames is None else frames).select(*KEY, "decision_time").distinct()
-    times = frames.groupBy(*KEY).agg(F.sort_array(F.collect_set("decision_time")).alias("_times"))
-    one = edges.groupBy(*KEY, "src_id", "dst_id").agg(F.sort_array(F.collect_list(F.struct("decision_time", F.col("weight").cast("double").alias("weight")))).alias("seen"))
+    micros = F.unix_micros(F.col("decision_time").cast("timestamp"))
+    times = frames.groupBy(*KEY).agg(F.sort_array(F.collect_set(micros)).alias("_times"))
+    weight = F.col("weight").cast("double")
+    one = edges.groupBy(*KEY, "src_id", "dst_id").agg(F.collect_list(micros).alias("_at"), F.collect_list(weight).alias("_w"))
+    columns = ["_t", *KEY, "src_id", "dst_id", "weight", "raw_weight", "temporal_status"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for layer, back, src, dst, seen, times in zip(batch["layer_id"], batch["lookback_minutes"], batch["src_id"], batch["dst_id"], batch["seen"], batch["_times"]):
-                weights = {pd.Timestamp(x["decision_time"]): x["weight"] for x in seen}
+            for layer, back, src, dst, at, seen, times in zip(*(batch[c] for c in (*KEY, "src_id", "dst_id", "_at", "_w", "_times"))):
+                weights = dict(zip(at.tolist(), seen.tolist()))
                 state: dict = {}
-                for time in map(pd.Timestamp, times):
-                    if state or time in weights:
-                        state, out = config.step(state, {0: weights[time]} if time in weights else {})
-                        rows += [(time, layer, back, src, dst, w, raw, status) for _, w, raw, status in out]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"decision_time": "datetime64[ns]", "raw_weight": float})
-
-    on = one.join(times, KEY).select(F.col("layer_id").cast("int"), F.col("lookback_minutes").cast("int"), F.col("src_id").cast("long"), F.col("dst_id").cast("long"), "seen", "_times")
-    return on.mapInPandas(walk, OUT)
+                for t in times.tolist():
+                    if t in weights:
+                        state, out = config.step(state, {0: weights[t]})
+                    elif state:
+                        state, out = config.step(state, {})
+                    else:
+                        continue
+                    rows += [(t, layer, back, src, dst, w, raw, status) for _, w, raw, status in out]
+            yield pd.DataFrame(rows, columns=columns).astype({"raw_weight": float})
+
+    on = one.join(times, KEY).select(F.col("layer_id").cast("int"), F.col("lookback_minutes").cast("int"), F.col("src_id").cast("long"), F.col("dst_id").cast("long"), "_at", "_w", "_times")
+    found = on.mapInPandas(walk, "_t long, " + OUT.split(", ", 1)[1])
+    return found.select(F.timestamp_micros("_t").alias("decision_time"), *columns[1:])
 
 
 STATE = "src array<long>, dst array<long>, weight array<double>, active array<boolean>, missed array<int>"

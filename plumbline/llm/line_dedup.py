@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .work import BLANKS, ascii_lower, documents, forget, fresh, stored
 
-RUN_SCHEMA = T.StructType([T.StructField("line_hash", T.BinaryType()), T.StructField("first_doc", T.LongType()), T.StructField("shared", T.BooleanType())])
+RUN_SCHEMA = T.StructType([T.StructField("line_hash", T.BinaryType()), T.StructField("first_doc", T.LongType())])
 
 
 def line_key(line: Column) -> Column:
@@ -30,11 +30,11 @@ def line_hashes(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFra
 
 
 class LineRuns:
-    """Sorted runs of line hashes in levels, each a table (line_hash, first_doc, shared) in the shared folder.
+    """Sorted runs of line hashes in levels, each a table (line_hash, first_doc) in the shared folder.
 
     A hash is in one run only. add() takes a batch: hashes that no run holds become a new run of level 0; when a level
     has `fan_in` runs, they are merged into one of the next level, so that a batch meets at most
-    fan_in * log(batches) runs. `shared` says that the hash was seen in two documents when its run was made.
+    fan_in * log(batches) runs.
     """
 
     def __init__(self, spark: SparkSession, fan_in: int = 4):
@@ -50,8 +50,8 @@ class LineRuns:
         return out
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add a batch; the rows of earlier runs that the batch meets again, which later batches count as shared."""
-        fresh = lines.groupBy("line_hash").agg(F.min("doc_id").alias("first_doc"), (F.min("doc_id") < F.max("doc_id")).alias("shared"))
+        """Add a batch's hashes that no run holds, with the smallest doc_id of each; the new run."""
+        fresh = lines.groupBy("line_hash").agg(F.min("doc_id").alias("first_doc"))
         for run in self.tables():
             fresh = fresh.join(run.select("line_hash"), "line_hash", "left_anti")
         table = stored(fresh.sortWithinPartitions("line_hash"), "line-run")
@@ -75,7 +75,7 @@ class LineRuns:
 
 
 def repeated_lines(lines: DataFrame, runs: DataFrame) -> DataFrame:
-    """(doc_id, text_id, pos) of lines whose hash an earlier document holds; runs need no shuffle beyond their own."""
+    """(doc_id, text_id, pos) of lines whose hash an earlier document holds. Both sides are stored tables, so a hot line's rows can be split."""
     return lines.join(runs.select("line_hash", "first_doc"), "line_hash").where(F.col("doc_id") > F.col("first_doc")).select("doc_id", "text_id", "pos")
 
 

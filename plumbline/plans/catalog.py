@@ -445,6 +445,21 @@ def component_metrics(spark, sf):
     return rounded(diagnostics.component_metrics(m, ["decision_time", "layer_id"], 200).withColumn("decision_time", day("decision_time")), "giant_coverage", "size_hhi")
 
 
+def _components(spark, sf):
+    return diagnostics.graph_components(I.edges(spark, sf), ["decision_time", "layer_id"])
+
+
+@query()
+def graph_components_whole(spark, sf):
+    return _components(spark, sf).withColumn("decision_time", day("decision_time"))
+
+
+@query()
+def component_metrics_whole(spark, sf):
+    m = diagnostics.component_metrics(_components(spark, sf), ["decision_time", "layer_id"], 200)
+    return rounded(m.withColumn("decision_time", day("decision_time")), "giant_coverage", "size_hhi")
+
+
 @query(f"""SELECT {DAY.format('decision_time')} AS decision_time, layer_id, round(sum(within / m - (degree / (2 * m)) * (degree / (2 * m))), 6) AS modularity, round(sum(within / m), 6) AS within_ratio FROM (
   SELECT *, sum(degree) OVER (PARTITION BY decision_time, layer_id) / 2 AS m FROM (SELECT decision_time, layer_id, c, sum(weight) AS degree, sum(w) AS within FROM (
     SELECT decision_time, layer_id, src_id % 10 AS c, weight, CASE WHEN src_id % 10 = dst_id % 10 THEN weight ELSE 0 END AS w FROM edges UNION ALL SELECT decision_time, layer_id, dst_id % 10, weight, 0 FROM edges) GROUP BY 1, 2, 3)) GROUP BY 1, 2""", (I.EDGES,))

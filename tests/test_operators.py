@@ -1,5 +1,6 @@
 """Small fixtures with known results, and invariants of operators that SQL does not express."""
 
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -111,6 +112,32 @@ def test_diagnostics(spark):
     assert (res.pairs, res.pairs_layers_2) == (2, 1)
 
 
+def test_components_of_whole_graphs(spark):
+    from plumbline.plans import catalog, inputs
+
+    sf = "/root/testdata/sf0.001"
+    root: dict = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for e in inputs.edges(spark, sf).collect():
+        a, b = sorted(find((str(e.decision_time), e.layer_id, n)) for n in (e.src_id, e.dst_id))
+        root[b] = a
+    want = {x: find(x)[2] for x in root}
+    got = catalog.QUERIES["graph_components_whole"](spark, sf).collect()
+    assert {(r.decision_time, r.layer_id, r.node_id): r.component_id for r in got} == want and len(got) == len(want)
+    metrics = {(r.decision_time, r.layer_id): r for r in catalog.QUERIES["component_metrics_whole"](spark, sf).collect()}
+    for key, r in metrics.items():
+        sizes = list(Counter(c for x, c in want.items() if x[:2] == key).values())
+        assert (r.component_count, r.giant_coverage) == (len(sizes), round(max(sizes) / 200, 6))
+        assert r.size_hhi == pytest.approx(sum(n * n for n in sizes) / sum(sizes) ** 2, abs=1e-6)
+    assert set(metrics) == {x[:2] for x in want}
+
+
 def test_forest_partitions_members(spark):
     rng = np.random.default_rng(1)
     pairs = {(int(a), int(b)): float(w) for a, b, w in zip(rng.integers(0, 300, 2000), rng.integers(0, 300, 2000), rng.random(2000)) if a < b}

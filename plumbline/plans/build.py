@@ -76,11 +76,15 @@ def layer_vectors(rows: pd.DataFrame, columns: list[str], transform: str, symbol
     return (np.hstack(blocks), points) if blocks else None
 
 
-def neighbours(x: np.ndarray, p: GraphParameters, exact: bool, block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(src, dst, similarity, rank) of each row's top_k: exact from the threshold up, else among near LSH codes and then cut at the threshold."""
+def neighbours(x: np.ndarray, p: GraphParameters, exact: bool, block: int = 2048, cells: int = 8_192_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, similarity, rank) of each row's top_k: exact from the threshold up, else among near LSH codes and then cut at the threshold.
+
+    Similarities are held for `block` rows at a time, fewer where a block would have more than `cells` of them.
+    """
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     u = np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-12)
     n = len(u)
+    block = max(1, min(block, cells // max(n, 1)))
     if not exact:
         bits = graph.lsh_bits(n)
         code = ((u @ graph.lsh_projection(u.shape[1], bits).astype(float) > 0) << np.arange(bits)).sum(1)
@@ -117,16 +121,14 @@ def mutual_edges(x: np.ndarray, symbols: np.ndarray, p: GraphParameters, exact:
     return graph.capped(edges, p.degree_cap)
 
 
-def build_edges(events: DataFrame, decisions: DataFrame, symbols: DataFrame, config: BuildConfig, layers: tuple[Layer, ...] = LAYERS, unit_seconds: int = 60, benchmarks: tuple = (), most_symbols: int = 20_000) -> DataFrame:
+def build_edges(events: DataFrame, decisions: DataFrame, symbols: DataFrame, config: BuildConfig, layers: tuple[Layer, ...] = LAYERS, unit_seconds: int = 60, benchmarks: tuple = ()) -> DataFrame:
     """Edges of every decision, layer and lookback: (decision_time, EDGE_ROWS).
 
     Each event is exploded to the decisions that see it and to the layers, with a layer's columns alone; a (decision,
-    layer) is one task, which builds its scales. The universe (symbol_id, symbol) travels with the task: at most
-    most_symbols, more raise ValueError. Layers without one of their columns are skipped.
+    layer) is one task, which builds its scales: its memory grows with the symbols, its time with their square. The
+    universe (symbol_id, symbol) travels with the task. Layers without one of their columns are skipped.
     """
-    known = symbols.orderBy("symbol_id").limit(most_symbols + 1).collect()
-    if len(known) > most_symbols:
-        raise ValueError(f"more than {most_symbols} symbols")
+    known = symbols.orderBy("symbol_id").collect()
     ids = np.array([r.symbol_id for r in known], np.int64)
     marks = [n for n, r in enumerate(known) if r.symbol in benchmarks]
     usable = {x.layer_id: x for x in layers if set(x.columns) <= set(events.columns)}

@@ -344,8 +344,7 @@ BAR_LAYERS = (Layer(1, "return_corr_raw_1m", ("close",), "price", "return_corr_r
 def _built(spark, sf):
     b = I.bars(spark, sf)
     symbols = b.select("symbol", F.col("symbol").alias("symbol_id")).distinct()
-    last = pit.decision_grid(b, "1 day").where("decision_time >= '2024-01-30'")
-    return build.build_edges(b, last, symbols, BuildConfig(top_k=8, degree_cap=6), BAR_LAYERS, 86400), symbols
+    return build.build_edges(b, pit.decision_grid(b, "1 day"), symbols, BuildConfig(top_k=8, degree_cap=6), BAR_LAYERS, 86400), symbols
 
 
 @query()

@@ -281,6 +281,67 @@ def test_build_equals_the_declarative_path(spark):
     assert degree.max() <= 6
 
 
+def plain_graph(rows, symbols, time, back, layer, p):
+    """{(a, b): weight} of one decision of a one-column layer by plain loops."""
+    seen = [r for r in rows if r.available_time <= time and r.timestamp > time - timedelta(days=back)]
+    times = sorted({r.timestamp for r in seen})
+    if len(times) < layer.minimum_points(back):
+        return {}
+    value = {(r.symbol, r.timestamp): r.close for r in seen}
+    middle = {t: np.median([value[s, t] for s in symbols if (s, t) in value]) for t in times}
+    unit = {}
+    for s in symbols:
+        v = np.array([value.get((s, t), middle[t]) for t in times])
+        v = (v - v.mean()) / v.std() if v.std() > 1e-12 else v * 0
+        unit[s] = v / np.sqrt((v * v).sum()) if (v * v).sum() > 1e-24 else v
+    sims = {(a, b): float(unit[a] @ unit[b]) for a in symbols for b in symbols if a != b}
+    near = {a: sorted((b for b in symbols if b != a and sims[a, b] >= p.minimum_similarity), key=lambda b: -sims[a, b])[: p.top_k] for a in symbols}
+    degree, out = Counter(), {}
+    for a, b in sorted(((a, b) for a in symbols for b in near[a] if a < b and a in near[b]), key=lambda x: -sims[x]):
+        if degree[a] < p.degree_cap and degree[b] < p.degree_cap:
+            degree.update((a, b))
+            out[a, b] = round(sims[a, b], 6)
+    return out
+
+
+def test_build_of_every_decision(spark):
+    from plumbline.plans import catalog, inputs
+
+    sf = "/root/testdata/sf0.001"
+    rows = inputs.bars(spark, sf).collect()
+    symbols, layer = sorted({r.symbol for r in rows}), catalog.BAR_LAYERS[0]
+    config = BuildConfig(top_k=8, degree_cap=6)
+    first, last = min(r.available_time for r in rows), max(r.available_time for r in rows)
+    want = {}
+    for back in layer.lookbacks:
+        for n in range((last - first).days + 1):
+            time = first + timedelta(days=n)
+            want |= {(str(time), back, *ab): w for ab, w in plain_graph(rows, symbols, time, back, layer, config.parameters_for(layer.name, layer.family, back)).items()}
+    edges = catalog.QUERIES["graph_build"](spark, sf).toPandas()
+    own = edges[edges.layer_id == 1]
+    got = {(e.decision_time, e.lookback_minutes, e.src_id, e.dst_id): e.weight for e in own.itertuples()}
+    assert set(got) == set(want) and all(abs(got[e] - want[e]) < 2e-6 for e in want)
+    assert len({e[0] for e in want}) > 10 and edges.decision_time.nunique() >= len({e[0] for e in want})
+    nodes = catalog.QUERIES["graph_build_nodes"](spark, sf).toPandas()
+    degree = Counter((e.decision_time, e.layer_id, e.lookback_minutes, n) for e in edges.itertuples() for n in (e.src_id, e.dst_id))
+    single = nodes[(nodes.layer_id != 0) & (nodes.degree > 0)]
+    assert {(r.decision_time, r.layer_id, r.lookback_minutes, r.node_id): r.degree for r in single.itertuples()} == dict(degree)
+
+
+def test_build_has_no_bound_on_symbols(spark):
+    from plumbline.plans import catalog
+    from plumbline.plans.build import build_edges, neighbours
+
+    p = BuildConfig(top_k=3, degree_cap=3).parameters_for("return_corr_raw_1m", "price", 30)
+    x = np.random.default_rng(2).standard_normal((500, 8))
+    for exact in (True, False):
+        a, b = neighbours(x, p, exact), neighbours(x, p, exact, cells=500 * 7)
+        assert all(np.allclose(u, v) for u, v in zip(a, b)) and len(a[0])
+    symbols = spark.range(20_001).select(F.col("id").alias("symbol_id"), F.col("id").alias("symbol"))
+    bar = spark.createDataFrame([(1, T0, minutes(1), 2.0)], "symbol long, timestamp timestamp, available_time timestamp, close double")
+    assert "weight" in build_edges(bar, pit.decision_grid(bar, "1 day"), symbols, BuildConfig(), catalog.BAR_LAYERS[:1]).columns
+
+
 def test_market_residual():
     from plumbline.plans.build import market_residual, rolled
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import documents, fresh
+from .work import documents, forget, fresh, stored
 
 #: Bits of MD5 that make a document's uniform number: 13 hexadecimal digits, exact in a double.
 HEX_DIGITS = 13
+#: Rates of more sources than this are joined as Spark decides, not sent to every task.
+BROADCAST_SOURCES = 10_000
 
 
 def uniform(seed: int, *parts) -> F.Column:
@@ -30,44 +33,73 @@ def poisson_steps(rate: float) -> list[float]:
     return out
 
 
-def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float, total: float, source: str) -> dict[str | None, float]:
-    """Mean copies a document of each source: rate = target share * total rows wanted / rows of the source.
+def poisson_window(rate: float) -> tuple[int, list[float]]:
+    """(first, the distribution function at first, first + 1, ...) over all that a double can tell from 0 and 1.
+
+    Terms are taken relative to the mode's and divided by their sum, so no rate is too large for exp(-rate).
+    """
+    mode = int(rate)
+    low, high = [], [1.0]
+    term, k = 1.0, mode
+    while k and term > 1e-20:
+        term *= k / rate
+        k -= 1
+        low.append(term)
+    term, first, k = 1.0, k, mode
+    while term > 1e-20:
+        k += 1
+        term *= rate / k
+        high.append(term)
+    terms = low[::-1] + high
+    whole = math.fsum(terms)
+    return first, [min(x / whole, 1.0) for x in accumulate(terms)]
+
+
+def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float, total: float, source: str) -> DataFrame:
+    """(_source, _rate), stored: mean copies a document of each source: rate = target share * total rows wanted / rows of the source.
 
     weights: the target shares; None: every source's share is rows^temperature. A source without a weight has rate 0.
     """
-    rows = {r[0]: r[1] for r in docs.groupBy(source).count().collect()}
-    n = sum(rows.values())
-    shares = {s: float(weights.get(s, 0.0)) if weights is not None else c**temperature for s, c in rows.items()}
-    whole = sum(shares.values()) or 1.0
-    return {s: total * n * shares[s] / whole / c for s, c in rows.items()}
+    rows, path = stored(docs.groupBy(F.col(source).cast("string").alias("_source")).agg(F.count(F.lit(1)).alias("_rows")), "source-rows")
+    if weights is None:
+        shares = rows.withColumn("_share", F.sqrt("_rows") if temperature == 0.5 else F.pow("_rows", F.lit(float(temperature))))
+    else:
+        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "_source string, _share double")
+        shares = rows.join(given, "_source", "left").fillna({"_share": 0.0})
+    n, whole = shares.agg(F.sum("_rows"), F.sum("_share")).first()
+    rate = F.lit(total * (n or 0)) * F.col("_share") / F.lit(whole or 1.0) / F.col("_rows")
+    out = stored(shares.select("_source", rate.alias("_rate")), "source-rates")[0]
+    forget(docs.sparkSession, path)
+    return out
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, total: float = 1.0, seed: int = 17, source: str = "source", key: str = "doc_id", max_sources: int = 10_000, max_rate: float = 500.0) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, total: float = 1.0, seed: int = 17, source: str = "source", key: str = "doc_id", max_sources: int | None = None, max_rate: float = 500.0) -> DataFrame:
     """Every column of docs, with copy (from 0) and place (a random sort key): each row comes Poisson(rate) times.
 
     A row's count inverts the Poisson distribution of its source's mean rate at a number hashed from seed and doc_id,
     so a rerun gives the same copies and a row's count depends on no other row but through its source's rate. Copies
     are then dealt to tasks by a second hash and sorted by it within, which is one random order of all copies. Nulls
     are a source of their own; rows that repeat a doc_id have equal counts. total: rows wanted over rows given.
-    The rates of all sources travel as a literal table, so more than max_sources sources, or a rate above max_rate
-    (a distribution of thousands of steps), are refused with ValueError. Columns copy and place
-    are replaced. Empty tables give empty results.
+    The rates are a table; only distinct rates come to the driver, and sources of equally many rows share one unless
+    weighted. A rate above max_rate has its distribution computed from the mode. More than max_sources
+    sources, if given, are refused with ValueError. Columns copy and place are replaced. Empty tables give empty results.
     """
-    if docs.select(source).distinct().limit(max_sources + 1).count() > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
     rates = repetition_rates(docs, weights, temperature, total, source)
-    if max(rates.values(), default=0) > max_rate:
-        raise ValueError(f"a source would be repeated more than {max_rate} times")
-    table = docs.sparkSession.createDataFrame([(None if s is None else str(s), poisson_steps(r)) for s, r in rates.items()], "_source string, _steps array<double>")
-    return replicate(docs, table, seed, source, key)
+    sources = rates.count()
+    if max_sources is not None and sources > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    distinct = [r[0] for r in rates.select("_rate").distinct().collect()]
+    steps = docs.sparkSession.createDataFrame([(r, *((0, poisson_steps(r)) if r <= max_rate else poisson_window(r))) for r in distinct], "_rate double, _first int, _steps array<double>")
+    return replicate(docs, F.broadcast(rates) if sources <= BROADCAST_SOURCES else rates, steps, seed, source, key)
 
 
-def replicate(docs: DataFrame, steps: DataFrame, seed: int, source: str, key: str) -> DataFrame:
+def replicate(docs: DataFrame, rates: DataFrame, steps: DataFrame, seed: int, source: str, key: str) -> DataFrame:
+    """rates: (_source, _rate); steps: (_rate, _first, _steps)."""
     docs = docs.drop("copy", "place")
-    name, cdf, u, n = fresh(docs.columns, "_source", "_steps", "_u", "_n")
-    steps = steps.toDF(name, cdf)
-    out = docs.join(F.broadcast(steps), F.col(source).cast("string").eqNullSafe(F.col(name))).withColumn(u, uniform(seed, F.col(key)))
-    out = out.withColumn(n, F.size(F.filter(cdf, lambda c: c <= F.col(u)))).where(F.col(n) > 0)
+    name, rate, own, first, cdf, u, n = fresh(docs.columns, "_source", "_rate", "_own", "_first", "_steps", "_u", "_n")
+    out = docs.join(rates.toDF(name, rate), F.col(source).cast("string").eqNullSafe(F.col(name)))
+    out = out.join(F.broadcast(steps.toDF(own, first, cdf)), F.col(rate) == F.col(own)).withColumn(u, uniform(seed, F.col(key)))
+    out = out.withColumn(n, F.col(first) + F.size(F.filter(cdf, lambda c: c <= F.col(u)))).where(F.col(n) > 0)
     out = out.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("copy"))
     out = out.withColumn("place", uniform(seed + 1, F.col(key), F.col("copy")))
     return out.repartition("place").sortWithinPartitions("place")

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from decimal import Decimal, localcontext
 
 import numpy as np
 import public_tokenizers
@@ -287,6 +288,42 @@ def test_source_mix(spark, docs, none):
     assert source_mix.mix_sources(none).count() == 0
 
 
+def exact_poisson(rate, u):
+    """How many values of the distribution function are at most u, in 60 digits."""
+    with localcontext() as c:
+        c.prec = 60
+        term = total = (-Decimal(rate)).exp()
+        k = 0
+        while total <= Decimal(u):
+            k += 1
+            term *= Decimal(rate) / k
+            total += term
+        return k
+
+
+def test_source_mix_of_large_rates(spark, monkeypatch):
+    many, size = 40_000, 3
+    docs = spark.range(many + size).select(F.col("id").alias("doc_id"), F.when(F.col("id") >= many, None).otherwise("a").alias("source"))
+    docs = docs.unionByName(spark.createDataFrame([(n, f"s{n}") for n in range(1_000_000, 1_000_100)], "doc_id long, source string"))
+    weights = {"a": 1.0, "s1000000": 1.0, "s1000001": 8.0}
+    for few in (10_000, 3):
+        monkeypatch.setattr(source_mix, "BROADCAST_SOURCES", few)
+        out = source_mix.mix_sources(docs, weights)
+        got = {r.doc_id: r["count"] for r in out.where("source <> 'a'").groupBy("doc_id").count().collect()}
+        want = {}
+        for i, share in ((1_000_000, 1), (1_000_001, 8)):
+            u = int(hashlib.md5(f"17|{i}".encode()).hexdigest()[:13], 16) / 16**13
+            want[i] = exact_poisson((many + size + 100) * share / 10, u)
+        assert got == want
+        assert out.where("source = 's1000001'").agg(F.countDistinct("copy")).first()[0] == want[1_000_001]
+    for rate in (500.5, 640.0):
+        first, steps = source_mix.poisson_window(rate)
+        plain = source_mix.poisson_steps(rate)
+        assert max(abs(a - b) for a, b in zip(steps, plain[first:])) < 1e-12
+    null = source_mix.mix_sources(docs.where("source is null or source = 'a'"), temperature=-1.0)
+    assert null.where("source is null").count() > 500 * size
+
+
 def test_language_id(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     got = language_id.op1_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

@@ -736,7 +736,7 @@ def path_metrics(spark, sf):
 
 @query()
 def hysteresis_replay(spark, sf):
-    out = hysteresis.replay(I.edges(spark, sf).where("layer_id = 1"), hysteresis.Hysteresis(0.6, 0.6, 0.5, 1))
+    out = hysteresis.replay(I.edges(spark, sf), hysteresis.Hysteresis(0.6, 0.6, 0.5, 1))
     return rounded(out.withColumn("decision_time", day("decision_time")), "weight")
 
 

@@ -193,6 +193,20 @@ def test_hysteresis(spark):
     assert out == [(T0, 10, 20, 0.8, "active"), (minutes(1), 10, 20, 0.68, "active"), (minutes(2), 10, 20, 0.68, "grace")]
 
 
+def test_hysteresis_of_every_layer(spark):
+    from plumbline.plans import catalog, inputs
+
+    sf = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in catalog.QUERIES["hysteresis_replay"](spark, sf).collect()}
+    columns, want = catalog.QUERIES["hysteresis_replay"](spark, sf).columns, set()
+    for layer in (1, 2, 3):
+        one = replay(inputs.edges(spark, sf).where(f"layer_id = {layer}"), Hysteresis(0.6, 0.6, 0.5, 1))
+        rows = catalog.rounded(one.withColumn("decision_time", catalog.day("decision_time")), "weight").select(*columns).collect()
+        assert rows and {r.layer_id for r in rows} == {layer}
+        want |= {tuple(r) for r in rows}
+    assert got == want
+
+
 def test_hysteresis_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = [(minutes(t), 1, 30, int(i), int(i) + 1, float(rng.random())) for t in range(6) for i in rng.choice(8, 5, replace=False)]

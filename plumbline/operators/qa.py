@@ -45,5 +45,5 @@ def inventory(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def artifact_manifest(rows: DataFrame, name: str, time: str) -> DataFrame:
-    """One row: name, rows, first and last time, and a digest that does not depend on row order."""
+    """One row: name, rows, first and last time."""
     return rows.agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("row_count"), F.min(time).alias("min_time"), F.max(time).alias("max_time"))

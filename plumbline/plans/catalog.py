@@ -734,6 +734,21 @@ def path_metrics(spark, sf):
     return paths.arm_metrics(paths.track_paths(_units(spark, sf), ["layer_name"], least=5), ["layer_name", "arm"])
 
 
+def _arm_summary(spark, sf):
+    units = _units(spark, sf).withColumn("date", F.date_format("snapshot_time", "yyyy-MM-dd"))
+    return paths.arm_summary(paths.track_paths(units, ["date", "layer_name"], least=5))
+
+
+@query()
+def arm_summary(spark, sf):
+    return rounded(_arm_summary(spark, sf), *paths.MEANS, "score")
+
+
+@query()
+def recommended_arms(spark, sf):
+    return rounded(paths.recommended_arms(_arm_summary(spark, sf)), *paths.MEANS, "score")
+
+
 @query()
 def hysteresis_replay(spark, sf):
     out = hysteresis.replay(I.edges(spark, sf), hysteresis.Hysteresis(0.6, 0.6, 0.5, 1))

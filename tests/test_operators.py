@@ -182,6 +182,21 @@ def test_paths():
     assert sorted((p[2], p[3]) for p in paths.track(frames, "A")) == [(0, 0), (0, 3), (3, 3)]
 
 
+def test_arm_summary(spark):
+    rows = [("d1", "x", "A", 0, 0, 3, 3, True, 0, 0), ("d1", "x", "A", 1, 0, 11, 9, True, 2, 1), ("d2", "x", "A", 0, 2, 4, 2, True, 1, 0), ("d3", "x", "A", 0, 0, 0, 1, False, 0, 0), ("d1", "x", "B", 0, 0, 11, 12, True, 1, 1), ("d1", "y", "A", 0, 0, 0, 1, False, 0, 0)]
+    df = spark.createDataFrame(rows, f"date string, layer_name string, {paths.PATH}")
+    out = {(r.layer_name, r.arm): r for r in paths.arm_summary(df).collect()}
+    a = out["x", "A"]
+    assert (a.days, a.confirmed_paths, a.days_with_paths) == (3, 3, 2)
+    assert a.median_life == pytest.approx((2 * 40 + 15) / 3) and a.mean_hits == pytest.approx(14 / 3)
+    assert (a.s15, a.s30, a.s60) == pytest.approx((1, 1 / 3, 1 / 3)) and a.revival_rate == pytest.approx(2 / 3)
+    assert a.score == pytest.approx(0.35 + 0.35 / 3 + 0.15 / 3 + 0.1 / 3 - 0.1 / 3 + 0.05 * 3 / 1000)
+    y = out["y", "A"]
+    assert (y.days, y.confirmed_paths, y.days_with_paths, y.score) == (1, 0, 0, None)
+    best = {r.layer_name: r.arm for r in paths.recommended_arms(paths.arm_summary(df)).collect()}
+    assert best == {"x": "B", "y": "A"}
+
+
 EDGE_ROWS = "decision_time timestamp, layer_id int, lookback_minutes int, src_id long, dst_id long, weight double"
 
 

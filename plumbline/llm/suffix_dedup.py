@@ -1,11 +1,11 @@
-"""Removal of byte strings that repeat anywhere in the corpus, by sparse suffix sorting.
+"""Removal of byte strings that repeat anywhere in the corpus, by a hash exchange of anchored windows.
 
-Suffixes that begin at content-chosen anchors stand for all suffixes: the anchor of a 200-byte window is its smallest
+This stands in place of a dealt suffix sort: no suffixes are sorted. The anchor of a 200-byte window is its smallest
 40-byte gram, so equal windows have equal anchors at equal places. A run of windows of one anchor is one record:
-its leading token (the gram) and its hull (all bytes of its windows). Records are range-partitioned by their leading
-tokens' fingerprints, each bucket sorts them by leading token and ties by what follows, and neighbours are compared.
-A hull that another record repeats settles all its windows; where a leading token leads two hulls, single windows go
-through the same exchange. Splitters lie between fingerprints, so equal ones never fall on two sides of a boundary.
+its leading token (the gram) and its hull (all bytes of its windows). Tokens, hulls and windows are dealt to buckets
+by ranges of their own 64-bit hashes, and a bucket groups equal hashes. A token's exchange carries a chunk's one hull
+hash, or that it has several. A hull that another record repeats settles all its windows; where a leading token
+leads two hulls, single windows go through the same exchange.
 """
 
 from __future__ import annotations

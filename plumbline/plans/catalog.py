@@ -824,6 +824,12 @@ def universe_stability(spark, sf):
     return qa.universe_stability(rows, members)
 
 
+@query()
+def universe_stability_whole(spark, sf):
+    rows = I.bars(spark, sf).select(F.to_date("timestamp").cast("string").alias("trade_date"), "symbol")
+    return qa.universe_stability(rows, I.table(spark, sf, "customer").select(F.col("c_custkey").alias("symbol")))
+
+
 @query("""SELECT trade_date, s.symbol, count(b."close") AS available_points, round(1 - count(b."close") / any_value(t), 6) AS missing_ratio, count(b."close") < 5 AS fallback FROM (SELECT strftime("timestamp", '%Y-W%W') AS trade_date, count(DISTINCT "timestamp") AS t FROM bars GROUP BY 1) d CROSS JOIN (SELECT unnest([1, 2, 9999])::BIGINT AS symbol) s LEFT JOIN bars b ON b.symbol = s.symbol AND strftime(b."timestamp", '%Y-W%W') = d.trade_date GROUP BY 1, 2""", (I.BARS,))
 def benchmark_coverage(spark, sf):
     week = F.concat(F.lit("2024-W"), F.lpad(F.floor((F.dayofyear("timestamp") + 6) / 7).cast("string"), 2, "0"))

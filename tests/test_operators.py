@@ -138,6 +138,18 @@ def test_components_of_whole_graphs(spark):
     assert set(metrics) == {x[:2] for x in want}
 
 
+def test_stability_of_the_whole_universe(spark):
+    from plumbline.plans import catalog, inputs
+
+    sf = "/root/testdata/sf0.001"
+    universe = {r[0] for r in inputs.table(spark, sf, "customer").select("c_custkey").collect()}
+    seen: dict = {}
+    for r in inputs.bars(spark, sf).collect():
+        seen.setdefault(r.timestamp.strftime("%Y-%m-%d"), set()).add(r.symbol)
+    got = {r.trade_date: (r.present, r.missing, r.unexpected) for r in catalog.QUERIES["universe_stability_whole"](spark, sf).collect()}
+    assert got == {d: (len(s), len(universe - s), len(s - universe)) for d, s in seen.items()}
+
+
 def test_forest_partitions_members(spark):
     rng = np.random.default_rng(1)
     pairs = {(int(a), int(b)): float(w) for a, b, w in zip(rng.integers(0, 300, 2000), rng.integers(0, 300, 2000), rng.random(2000)) if a < b}

@@ -6,7 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -19,25 +20,64 @@ LINE_BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (one machine), a temporary folder of this context's own."""
+    """The cluster's spark.checkpoint.dir; where it is unset on one machine, a temporary folder of this context's own.
+
+    Unset on a cluster raises: executors would write to disks of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not getattr(context, "_plumbline_folder", None):
             context._plumbline_folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         folder = context._plumbline_folder
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, name: str, *partitions: str) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read back, with its path. Any executor can read it again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
 
+@contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, scans of bucketed tables with one file a bucket tell the planner that buckets are sorted."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class SortedRun:
+    """A table in the shared folder, bucketed and sorted by one column, one file a bucket.
+
+    Runs of equally many buckets meet in merge joins without another exchange or sort. The rows given must lie in
+    tasks by the hash of the column already, or be dealt (dealt=True). Results that outlive it must be stored elsewhere.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, buckets: int, name: str, dealt: bool = False):
+        self.spark, self.key, self.buckets = rows.sparkSession, key, buckets
+        self.table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(self.spark)}/{self.table}"
+        rows = rows.repartition(buckets, key) if dealt else rows
+        rows.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("compression", "zstd").option("path", self.path).saveAsTable(self.table)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        forget(self.spark, self.path)
+
+
 def forget(spark: SparkSession, *paths: str) -> None:
     """Delete stored tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -111,18 +151,18 @@ def ship(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
-def hashed_sample(rows: DataFrame, group: str, id_column: str, most: int, groups: int) -> list[Row]:
-    """Rows of `rows` drawn by hashed id, `most` or somewhat more of each group, lowest hash first; for bounded fits.
+def hashed_sample(rows: DataFrame, group: str, id_column: str, most: int) -> list[Row]:
+    """Distinct (group, id) of `rows` drawn by hashed id, `most` or somewhat more of each group, lowest hash first.
 
     Group sizes come first, so that each group's share is a threshold on the hash and no group meets in one task. At
-    most 4 * most rows of each of at most `groups` groups come to the driver; more groups raise ValueError.
+    most 4 * most rows a group come to the driver; groups are labels, and one number of each comes too.
     """
-    sizes = rows.groupBy(group).count().limit(groups + 1).collect()
-    if len(sizes) > groups:
-        raise ValueError(f"more than {groups} values of {group}")
+    spark = rows.sparkSession
+    sizes = rows.groupBy(group).count().collect()
     if not sizes:
         return []
     drawn = F.pmod(F.xxhash64(id_column, F.lit(7)), F.lit(1 << 30))
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r[0], min(1 << 30, int((1 << 30) * 2.0 * most / r[1]) + 1))))
-    got = rows.withColumn("_drawn", drawn).where(F.col("_drawn") < share[F.col(group)]).limit(4 * most * len(sizes)).collect()
+    share = spark.createDataFrame([(r[0], min(1 << 30, int((1 << 30) * 2.0 * most / r[1]) + 1)) for r in sizes], rows.select(F.col(group).alias("_group")).schema.add("_share", "long"))
+    near = rows.select(group, id_column).withColumn("_drawn", drawn).where(F.col("_drawn") < int(max((1 << 30) * 2.0 * most / min(r[1] for r in sizes) + 1, 1)))
+    got = near.join(F.broadcast(share), F.col(group) == F.col("_group")).where("_drawn < _share").select(group, id_column, "_drawn").distinct().limit(4 * most * len(sizes)).collect()
     return sorted(got, key=lambda r: (str(r[group]), r["_drawn"], r[id_column]))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,32 +15,39 @@ from pyspark.sql import functions as F
 from .chars import code_points, letters, looked_up, lowered, slabs
 from .work import claim, documents, fresh, hashed_sample, held_out, ship
 
-#: Symbols of an automaton: 0 a gap, then the commonest letters, one for every rarer letter, and one for padding.
-SYMBOLS, GAP, RARE, PAD = 64, 0, 62, 63
+#: Symbols are the UTF-8 bytes of lower-cased letters; a run of other characters is one GAP. Bytes that no letter has stand for these.
+PAD, GAP, BREAK = 0, 1, 255
 BLOCK = 256
 
 
-def labelled_sample(docs: DataFrame, text_chars: int = 32_000, rows: int = 400, languages: int = 64, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
-    """(language, text) of whole labelled texts, at most text_chars code points and `rows` texts a language.
+def labelled_sample(docs: DataFrame, text_chars: int = 32_000, rows: int = 400, total_chars: int = 1_000_000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
+    """(language, text) of labelled texts that are not held out: the bounded sample that the parsers learn.
 
-    A documented bounded sample: of each language the `rows` texts of lowest hashed id, taken in that order until
-    their code points reach text_chars; a text of more than a quarter of that is left out. More than `languages`
-    labels raise ValueError.
+    Of each language the `rows` documents of lowest hashed id are taken in that order until their code points reach
+    text_chars, or total_chars over the number of languages where that is less. A text of more than a quarter of that
+    teaches a window of a quarter, which begins at a place drawn by its id, so that languages of long texts alone are
+    learned too. Any number of languages is learned. Rows that repeat an id teach once.
     """
-    known = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & (F.length(text) > 0))
-    fit = known.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.length(text).alias("n")).where(F.col("n") <= text_chars // 4)
-    total: Counter = Counter()
-    drawn: Counter = Counter()
-    chosen = []
-    for row in hashed_sample(fit, "l", "k", rows, languages):
-        if total[row.l] < text_chars and drawn[row.l] < rows:
-            total[row.l] += row.n
-            drawn[row.l] += 1
-            chosen.append(row.k)
-    if not chosen:
+    spark = docs.sparkSession
+    known = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    drawn = hashed_sample(known.select("k", "l"), "l", "k", rows)
+    if not drawn:
         return []
-    got = docs.where(F.col(key).isin(chosen) & F.col(lang).isNotNull()).select(F.col(lang), F.col(text), F.col(key)).collect()
-    return sorted((r[0], r[1]) for r in got if r[1])
+    most = max(min(text_chars, total_chars // len({r.l for r in drawn})), 4)
+    schema = known.select("k", "l").schema
+    ranked = known.join(F.broadcast(spark.createDataFrame([(r.k, r.l) for r in drawn], schema)), ["k", "l"])
+    size = {(r.k, r.l): r.n for r in ranked.groupBy("k", "l").agg(F.min(F.length("t")).alias("n")).collect()}
+    total: dict = defaultdict(int)
+    number: dict = defaultdict(int)
+    chosen = []
+    for r in drawn:
+        if total[r.l] < most and number[r.l] < rows:
+            total[r.l] += min(size[r.k, r.l], most // 4)
+            number[r.l] += 1
+            chosen.append((r.k, r.l))
+    begin = F.pmod(F.xxhash64("k", F.lit(3)), F.greatest(F.length("t") - most // 4, F.lit(0)) + 1).cast("int") + 1
+    got = known.join(F.broadcast(spark.createDataFrame(chosen, schema)), ["k", "l"]).select("k", "l", F.substr("t", begin, F.lit(most // 4)).alias("t"))
+    return sorted((r.l, r.t) for r in got.groupBy("k", "l").agg(F.min("t").alias("t")).collect())
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -73,69 +80,113 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return go
 
 
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' symbols on end, and the number of symbols of each."""
+    codes, sizes = code_points(texts)
+    low = looked_up(lowered(), codes, 0) if len(codes) else codes
+    word = looked_up(letters(), codes, False)
+    ends = np.cumsum(sizes)
+    begin = np.ones(len(codes), bool)
+    begin[1:] = word[:-1]
+    begin[(ends - sizes)[sizes > 0]] = True
+    out = np.where(word, low, GAP).astype(np.uint32)[word | begin]
+    wide = 1 + (out > 0x7F).astype(np.int64) + (out > 0x7FF) + (out > 0xFFFF)
+    kept = np.concatenate([[0], np.cumsum(word | begin)])
+    at = np.concatenate([[0], np.cumsum(wide)])
+    spelled = np.frombuffer(out.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+    return spelled, at[kept[ends]] - at[kept[ends - sizes]]
+
+
+class Model:
+    """One language's automaton as a table [state * width + class] of next state's row and, in the lowest bit, whether a phrase begins.
+
+    classes gives each symbol's class; symbols that the labelled text lacks share one that no state goes on from. In
+    the start state no phrase is open. PAD leaves everything as it is.
+    """
+
+    def __init__(self, texts: list[str]):
+        parts = [symbols([t])[0].tolist() for t in texts]
+        whole = [x for part in parts for x in (*part, BREAK)]
+        seen = sorted(set(whole) - {BREAK})
+        self.classes = np.full(256, len(seen) + 1, np.int32)
+        self.classes[PAD] = 0
+        for n, s in enumerate(seen, 1):
+            self.classes[s] = n
+        go, width = suffix_automaton(whole), len(seen) + 2
+        first = np.zeros(width, np.int32)
+        for s, to in go[0].items():
+            if s != BREAK:
+                first[self.classes[s]] = to
+        table = np.broadcast_to((first * width) << 1 | 1, (len(go), width)).copy()
+        classes = self.classes.tolist()
+        for state, out in enumerate(go[1:], 1):
+            for s, to in out.items():
+                if s != BREAK:
+                    table[state, classes[s]] = (to * width) << 1
+        table[:, 0] = (np.arange(len(go), dtype=np.int32) * width) << 1
+        self.table, self.bits = table.ravel(), math.log2(len(whole) + 2)
+
+    def phrases(self, grid: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Phrases of each column of symbols; a column that is not `first` of its text goes on from the column before.
+
+        All columns are parsed at once from the start state. Then those whose predecessor ends elsewhere are parsed again
+        from there, as far as their states differ, which is some phrases; until every column began where it should.
+        """
+        steps = self.classes[grid]
+        row, count = np.zeros(grid.shape[1], np.int32), np.zeros(grid.shape[1], np.int64)
+        path = np.empty(grid.shape, np.int32)
+        for n, step in enumerate(steps):
+            path[n] = x = self.table[row + step]
+            count += x & 1
+            row = x >> 1
+        begun = np.zeros(grid.shape[1], np.int32)
+        while True:
+            wanted = np.where(first, 0, np.concatenate([row[:1] * 0, row[:-1]]))
+            todo = np.flatnonzero(wanted != begun)
+            if not len(todo):
+                return count
+            begun[todo] = wanted[todo]
+            now = wanted[todo]
+            for n in range(len(grid)):
+                x, old = self.table[now + steps[n, todo]], path[n, todo]
+                path[n, todo] = x
+                count[todo] += (x & 1) - (old & 1)
+                apart = x >> 1 != old >> 1
+                now, todo = x[apart] >> 1, todo[apart]
+                if not len(todo):
+                    break
+            row[todo] = now
+
+
 class Parser:
     """Counts the phrases that parse texts by longest matches in each language's labelled text."""
 
     def __init__(self, sample: list[tuple[str, str]]):
         self.languages = sorted({lang for lang, _ in sample})
-        common = Counter(c for _, t in sample for c in t.lower() if c.isalpha())
-        alphabet = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[: RARE - 1]]
-        fold = np.where(letters(), RARE, GAP).astype(np.uint8)
-        for n, c in enumerate(alphabet, 1):
-            if ord(c) < len(fold):
-                fold[ord(c)] = n
-        self.table = fold[np.minimum(lowered(), len(fold) - 1)]
-        self.models = [self.compiled(self.symbols([t for lang, t in sample if lang == name])[0]) for name in self.languages]
-
-    def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The texts' symbols on end with runs of gaps made one, and the number of symbols of each."""
-        codes, sizes = code_points(texts)
-        out = looked_up(self.table, codes, GAP)
-        keep = np.ones(len(out), bool)
-        keep[1:] = (out[1:] != GAP) | (out[:-1] != GAP)
-        ends = np.cumsum(sizes)
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        return out[keep], kept[ends] - kept[ends - sizes]
-
-    @staticmethod
-    def compiled(symbols: np.ndarray) -> tuple[np.ndarray, float]:
-        """A table [state * SYMBOLS + symbol] of next state's row and, in the lowest bit, whether a phrase begins there; bits a phrase costs."""
-        go = suffix_automaton(symbols.tolist())
-        first = np.zeros(SYMBOLS, np.int32)
-        for s, to in go[0].items():
-            first[s] = to
-        table = np.broadcast_to((first * SYMBOLS) << 1 | 1, (len(go), SYMBOLS)).copy()
-        for state, out in enumerate(go):
-            for s, to in out.items():
-                table[state, s] = (to * SYMBOLS) << 1
-        table[:, PAD] = (np.arange(len(go), dtype=np.int32) * SYMBOLS) << 1
-        return table.ravel(), math.log2(len(symbols) + 2)
+        self.models = [Model([t for lang, t in sample if lang == name]) for name in self.languages]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each text (rows) in each language (columns), and the texts' symbols. A parse restarts every BLOCK symbols."""
-        symbols, sizes = self.symbols(texts)
+        """Phrases of each text (rows) in each language (columns), and the texts' symbols."""
+        spelled, sizes = symbols(texts)
         blocks = -(-sizes // BLOCK)
         first = np.cumsum(blocks) - blocks
         grid = np.full((int(blocks.sum()), BLOCK), PAD, np.uint8)
         starts = np.cumsum(sizes) - sizes
-        grid.ravel()[np.arange(len(symbols)) + np.repeat(first * BLOCK - starts, sizes)] = symbols
-        grid = np.ascontiguousarray(grid.T).astype(np.int32)
+        grid.ravel()[np.arange(len(spelled)) + np.repeat(first * BLOCK - starts, sizes)] = spelled
+        grid = np.ascontiguousarray(grid.T)
         out = np.zeros((len(texts), len(self.models)))
         owner = np.repeat(np.arange(len(texts)), blocks)
-        for n, (table, _) in enumerate(self.models):
-            row, count = np.zeros(grid.shape[1], np.int32), np.ones(grid.shape[1], np.int32)
-            for step in grid:
-                step = table[row + step]
-                count += step & 1
-                row = step >> 1
-            out[:, n] = np.bincount(owner, count, len(texts))
+        begins = np.zeros(len(owner), bool)
+        begins[first[blocks > 0]] = True
+        for n, model in enumerate(self.models):
+            out[:, n] = np.bincount(owner, model.phrases(grid, begins), len(texts))
         return out, sizes
 
     def predict(self, texts: list[str]) -> pd.DataFrame:
         got = pd.DataFrame({"lang_pred": np.full(len(texts), "und", object), "score": 0.0, "phrase_chars": 0.0})
         if not self.models:
             return got
-        cost = np.array([bits for _, bits in self.models])
+        cost = np.array([m.bits for m in self.models])
         for start, part in slabs(texts):
             count, sizes = self.phrases(part)
             bits = count * cost
@@ -164,7 +215,9 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]], text: str = "text")
     Every whole text is parsed greedily: a phrase is the longest match of what follows anywhere in a language's
     labelled text. The language whose phrases cost the fewest bits (phrases times the logarithm of its labelled
     length) wins; equal costs go to the first name. score is the winner's share if bits are read as log-likelihoods,
-    phrase_chars the symbols a phrase. lang_pred is und (score 0) where text is null or has no letter, or no labelled text exists.
+    phrase_chars the symbols (bytes of letters, and gaps) a phrase. lang_pred is und (score 0) where text is null or has
+    no letter, or no labelled text exists. Rows are independent, so repeated rows get equal answers; an empty table
+    gives an empty result. Very long texts are parsed whole, in blocks that go on from one another.
     """
     ship(docs.sparkSession)
     known = tuple(sample)
@@ -181,6 +234,7 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]], text: str = "text")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from labelled ones that are not held out; identify states every case."""
     docs = documents(spark, sf_dir)
     out = identify(docs.select("doc_id", "text"), labelled_sample(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "phrase_chars")

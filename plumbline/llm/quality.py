@@ -19,6 +19,8 @@ LOWER, UPPER, DIGIT, SPACE, NEWLINE, OTHER = range(len(MARKS), len(MARKS) + 6)
 CLASSES = len(MARKS) + 6
 FORM, WORDS, REPEATS = CLASSES**3, 512, 16
 WIDTH = FORM + WORDS + REPEATS
+#: Cosines this close are ties: 32-bit products of equal vectors may differ in their last bits.
+TIE = 1e-5
 
 
 @cache
@@ -106,34 +108,55 @@ class Voter:
         return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        """The similarity-weighted share of label 1 among the nearest labelled vectors; the prior where nothing is similar."""
+        """The share of label 1 among the nearest labelled vectors, weighted by the fourth power of their cosines; the prior where nothing is similar.
+
+        Nearest are the `neighbours` of greatest cosine and all that tie with the last of them.
+        """
         if not len(self.labels):
             return np.full(len(counts), self.prior)
         x = self.unit(self.weighted(counts, self.weight) @ self.basis)
         near = x @ self.vectors.T
         k = min(self.neighbours, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        sim = np.maximum(np.take_along_axis(near, top, 1), 0) ** 4
-        return np.clip((sim * self.labels[top]).sum(1) + 1e-6 * self.prior, 0, None) / (sim.sum(1) + 1e-6)
+        last = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+        sim = np.where(near >= last - TIE, np.maximum(near, 0), 0) ** 4
+        return np.clip(sim @ self.labels + 1e-6 * self.prior, 0, None) / (sim.sum(1) + 1e-6)
+
 
+def labelled_counts(docs: DataFrame, labels: DataFrame, rows: int, text: str, label: str, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """(feature counts, labels) of a bounded sample: of each label the `rows` documents of lowest hashed id, whole texts of any length.
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int, chars: int, text: str, label: str, key: str) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts: of each label the `rows` of lowest hashed id, of texts of up to `chars` code points."""
+    Null is empty text. An id with both labels counts as 1; rows that repeat an id teach once, with the least text.
+    Texts become counts where they lie, so that what reaches the driver is bounded by the rows.
+    """
+    spark = docs.sparkSession
     marks = labels.where(~held_out(F.col(key)) & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
-    drawn = hashed_sample(marks, "y", "k", rows, 2)
-    wanted = {r.k: y for y in (0, 1) for r in [r for r in drawn if r.y == y][:rows]}
+    drawn = hashed_sample(marks, "y", "k", rows)
+    wanted = {r.k: r.y for y in (0, 1) for r in [r for r in drawn if r.y == y][:rows]}
     if not wanted:
-        return [], []
-    got = docs.where(F.col(key).isin(list(wanted)) & (F.length(text) <= chars)).select(F.col(key), F.col(text)).collect()
-    got = sorted((r[0], r[1] or "") for r in got)
-    return [t for _, t in got], [wanted[k] for k, _ in got]
+        return np.zeros((0, WIDTH), np.float32), np.zeros(0, np.float32)
+    ids = F.broadcast(spark.createDataFrame([(k,) for k in wanted], marks.select("k").schema))
+    some = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).join(ids, "k")
+    one = some.select("k", "t", F.xxhash64("t").alias("h")).groupBy("k", "h").agg(F.first("t").alias("t")).groupBy("k").agg(F.min_by("t", "h").alias("t"))
+    ship(spark)
+
+    @F.pandas_udf("binary")
+    def counted(texts: pd.Series) -> pd.Series:
+        out = []
+        for _, part in slabs(texts.tolist(), 2_000_000, 512):
+            out += [x.tobytes() for x in features(part)]
+        return pd.Series(out)
+
+    got = sorted((r.k, r.c) for r in one.select("k", counted("t").alias("c")).collect())
+    return np.frombuffer(b"".join(c for _, c in got), np.float32).reshape(-1, WIDTH), np.array([wanted[k] for k, _ in got], np.float32)
 
 
 def score_quality(docs: DataFrame, voter: Voter, text: str = "text") -> DataFrame:
     """docs with a column score, 0 to 1: the similarity-weighted vote of each whole text's nearest labelled vectors.
 
-    The labelled vectors travel in the function's closure: at most 2 * rows of them, a bound that fit_voter keeps.
-    Every text meets all of them as one block of cosines. Null is empty text; a text without features gets the labels' mean.
+    The labelled vectors are broadcast: at most 2 * rows of them, a bound that fit_voter keeps. Every text, of any
+    length, meets all of them as one block of cosines, and all that tie at the last place vote. Null is empty text; a text
+    without features gets the labels' mean. Rows are independent, so repeated rows get equal scores; a column score is
+    replaced; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(voter)
@@ -150,14 +173,16 @@ def score_quality(docs: DataFrame, voter: Voter, text: str = "text") -> DataFram
     return docs.withColumn("score", vote(F.col(text)))
 
 
-def fit_voter(docs: DataFrame, labels: DataFrame, rows: int = 1500, chars: int = 20_000, text: str = "text", label: str = "quality", key: str = "doc_id") -> Voter:
-    """A voter of at most 2 * rows labelled texts, drawn by labelled_texts from rows that are not held out."""
-    texts, marks = labelled_texts(docs, labels, rows, chars, text, label, key)
-    counts = np.concatenate([features(part) for _, part in slabs(texts, 2_000_000, 512)]) if texts else np.zeros((0, WIDTH), np.float32)
-    return Voter.fit(counts, np.array(marks))
+def fit_voter(docs: DataFrame, labels: DataFrame, rows: int = 1500, text: str = "text", label: str = "quality", key: str = "doc_id") -> Voter:
+    """A voter of at most 2 * rows labelled texts, drawn by labelled_counts from rows that are not held out.
+
+    Labels other than 0 and 1 (null too) and null ids teach nothing; without any label every score is 0.5.
+    """
+    return Voter.fit(*labelled_counts(docs, labels, rows, text, label, key))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the vote of labelled ones that are not held out; score_quality states every case."""
     docs = documents(spark, sf_dir)
     voter = fit_voter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score_quality(docs.select("doc_id", "text"), voter)

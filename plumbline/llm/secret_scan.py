@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import documents, stored
+from .work import documents, forget, shared_folder, stored
 
 
 @dataclass(frozen=True)
@@ -39,63 +40,103 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
-LEDGER_SCHEMA = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("rules", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())])))])
+#: A ledger row says that a blob was scanned by one version of one rule, and what was found.
+LEDGER_SCHEMA = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("rule", T.StringType())])
 
 
-def rule_version(rules: tuple[Rule, ...]) -> str:
-    return ",".join(f"{r.kind}/{r.version}" for r in rules)
+def rule_version(rule: Rule) -> str:
+    return f"{rule.kind}-{rule.version}"
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """array<SPAN> of a rule's matches in code points. What lies between matches and the matches give the places."""
-    pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    graded = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    between = F.split(text, rule.pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-    steps = F.arrays_zip(between.alias("gap"), whole.alias("match"), graded.alias("graded"))
+def address(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(rule.rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.length(x["graded"]) >= rule.least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(steps, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+class Ledger:
+    """Scanned (blob, rule version) pairs in a folder, a subfolder a rule version. Scans read it and append to it.
 
+    path None: a new folder in the shared folder. A new version of a rule, or a new rule, is a pair that no row holds.
+    """
 
-def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, rules, spans) of blobs (blob, content); spans by start, then rank of the kind."""
-    each = [spans_of(F.col("content"), rule) for rule in rules]
-    return blobs.select("blob", F.lit(rule_version(rules)).alias("rules"), F.array_sort(F.concat(*each)).alias("spans"))
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
 
+    def rows(self) -> DataFrame:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            return self.spark.createDataFrame([], LEDGER_SCHEMA)
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
 
-def address(text: Column) -> Column:
-    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+    def add(self, rows: DataFrame) -> None:
+        rows.select(*LEDGER_SCHEMA.names).write.mode("append").option("compression", "zstd").partitionBy("rule").parquet(self.path)
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Scan a table of paths' versions: (its rows with blob and spans, the ledger's new rows).
+def scanned(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, rule, gaps, sizes, graded) of blobs (blob, content, todo), a row for each rule version in todo.
 
-    A version's blob is the SHA-256 of its text; null text is empty text. Each (blob, rule versions) pair that the
-    ledger does not hold is scanned once, however many rows share it, and becomes a ledger row; findings are joined
-    back to every row of the blob. The ledger is a table (blob, rules, spans); None is an empty one. Ledger rows of
-    other rule versions are left alone, so a changed rule set scans everything again. All columns of versions stay
-    but `blob` and `spans`, which are replaced. Text is moved once, to meet its copies.
+    gaps, sizes and graded are, for each match, the code points before it since the last one, its own, and those of its
+    graded group. All matches are counted in one pass over the text each; no list grows match by match.
+    """
+    none = F.lit(None).cast("array<int>")
+
+    def one(rule: Rule) -> Column:
+        text, pattern, name = F.col("content"), F.lit(rule.pattern), rule_version(rule)
+        sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+        graded = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else none
+        gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+        hit = text.rlike(rule.pattern)
+        row = F.struct(F.lit(name).alias("rule"), F.when(hit, gaps).otherwise(none).alias("gaps"), F.when(hit, sizes).otherwise(none).alias("sizes"), F.when(hit, graded).otherwise(none).alias("graded"))
+        return F.when(F.array_contains("todo", name), row)
+
+    each = F.filter(F.array(*(one(rule) for rule in rules)), lambda x: x.isNotNull())
+    return blobs.select("blob", F.explode(each).alias("x")).select("blob", "x.*")
+
+
+def placed(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Ledger rows of scanned rows. The places of a text's matches are running sums over its matches, one row each."""
+    least = F.create_map(*(F.lit(x) for r in rules for x in (rule_version(r), r.least)))
+    graded = F.coalesce("graded", "sizes")
+    matches = found.where(F.col("sizes").isNotNull()).select("blob", "rule", F.posexplode(F.arrays_zip(F.slice("gaps", 1, F.size("sizes")).alias("gap"), F.col("sizes").alias("size"), graded.alias("graded"))).alias("n", "m"))
+    before = Window.partitionBy("blob", "rule").orderBy("n")
+    end = F.sum(F.col("m.gap") + F.col("m.size")).over(before).cast("int")
+    spans = matches.select("blob", "rule", "m.graded", (end - F.col("m.size")).alias("start"), end.alias("end")).where(F.col("graded") >= least[F.col("rule")])
+    spans = spans.groupBy("blob", "rule").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    return found.select("blob", "rule").join(spans, ["blob", "rule"], "left").select("blob", F.coalesce("spans", empty).alias("spans"), "rule")
+
+
+def scan_versions(versions: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Scan a table of paths' versions: (its rows with blob and spans, the ledger rows added).
+
+    A version's blob is the SHA-256 of its text; null text is empty text. Each (blob, rule version) pair that the
+    ledger does not hold is scanned once, however many rows share it, and becomes a ledger row; findings of these rules
+    are joined back to every row of the blob, by start, then rank of the kind. Text is moved once, to meet its copies.
+    ledger None is a new one. Texts of any length and any number of matches are scanned whole. All columns of versions
+    stay but `blob` and `spans`, which are replaced. An empty table gives an empty result and adds nothing.
     """
     spark = versions.sparkSession
-    ledger = spark.createDataFrame([], LEDGER_SCHEMA) if ledger is None else ledger
-    known = ledger.where(F.col("rules") == rule_version(rules))
-    has_known = not known.isEmpty()
+    ledger = Ledger(spark) if ledger is None else ledger
+    names = [rule_version(r) for r in rules]
+    known = ledger.rows().where(F.col("rule").isin(names))
     contents = versions.select(address(F.col(text)).alias("blob"), F.coalesce(text, F.lit("")).alias("content"))
     blobs = contents.groupBy("blob").agg(F.first("content").alias("content"))
-    if has_known:
-        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
-    fresh, _ = stored(scan_blobs(blobs, rules), "secret-ledger")
-    findings = known.select("blob", "spans").unionByName(fresh.select("blob", "spans")) if has_known else fresh.select("blob", "spans")
-    found = versions.drop("blob", "spans").withColumn("blob", address(F.col(text))).join(findings, "blob", "left")
-    return found, fresh
+    todo = F.array(*map(F.lit, names))
+    if not known.isEmpty():
+        seen = known.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(todo, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0)
+    else:
+        blobs = blobs.withColumn("todo", todo)
+    found, found_path = stored(scanned(blobs.select("blob", "content", "todo"), rules), "secret-matches")
+    fresh, _ = stored(placed(found, rules), "secret-spans")
+    forget(spark, found_path)
+    ledger.add(fresh)
+    kind = F.create_map(*(F.lit(x) for r in rules for x in (rule_version(r), r.kind)))[F.col("rule")]
+    rank = F.create_map(*(F.lit(x) for r in rules for x in (rule_version(r), r.rank)))[F.col("rule")]
+    hits = ledger.rows().where(F.col("rule").isin(names) & (F.size("spans") > 0)).select("blob", kind.alias("kind"), rank.alias("rank"), "spans")
+    hits = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("s"))
+    hits = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans"))
+    on = versions.drop("blob", "spans").withColumn("blob", address(F.col(text))).join(hits, "blob", "left")
+    return on.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))), fresh
 
 
 def joined(spans: Column) -> Column:
@@ -103,6 +144,7 @@ def joined(spans: Column) -> Column:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, from a new ledger; scan_versions states every case."""
     found, _ = scan_versions(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     count = {f"n_{r.kind}": F.size(F.filter(F.transform("spans", lambda s: s["rank"]), lambda rank: rank == r.rank)).cast("long") for r in BASE_RULES}

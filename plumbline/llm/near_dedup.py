@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import mixed, slabs
-from .components import components, connected
+from .components import components
 from .work import claim, documents, forget, keyed_texts, ship, stored
 
 WORDS, THRESHOLD = 5, 0.8
@@ -181,21 +182,23 @@ def similarities(some: list[tuple[np.ndarray, np.ndarray]], width: int = 8192) -
     return both / np.maximum(total[:, None] + total[None, :] - both, 1)
 
 
-def family_links(docs: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links (a, b) that connect the texts of one or two blocks as all pairs of threshold or more do; b is a root."""
-    claim("near", WORD_HASHES.clear)
-    ids = docs["rep"].to_numpy(np.int64)
-    near = similarities(bags(docs["text"].tolist())) >= threshold - 1e-7
-    a, b = np.nonzero(np.triu(near, 1))
-    label = connected(len(ids), a, b)
-    root = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(root, label, ids)
-    out = pd.DataFrame({"a": ids, "b": root[label]})
-    return out[out["a"] != out["b"]]
+def agreement(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many places each sketch of one equals each of two."""
+    out = np.zeros((len(one), len(two)), np.uint8)
+    for k in range(one.shape[1]):
+        out += one[:, k, None] == two[None, :, k]
+    return out
+
+
+def sketch_matrix(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, POSITIONS)
 
 
 def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc_id, bag, bands) of every row; bag and bands are null for texts without a word."""
+    """(doc_id, text_id, bag, bands, sketch) of every row; the last three are null for texts without a word.
+
+    A sketch is the lowest byte of each place of a signature.
+    """
     ship(docs.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,51 +207,130 @@ def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
             texts, ids = [x or "" for x in batch["text"]], pd.arrays.IntegerArray(batch["doc_id"].to_numpy(np.int64), batch["no_id"].to_numpy(bool))
             for start, part in slabs(texts, 1_000_000, SLAB_TEXTS):
                 got = bags(part)
-                keys = band_keys(signatures(got))
+                sig = signatures(got)
+                keys, low = band_keys(sig), sig.astype(np.uint8)
                 some = [len(h) > 0 for h, _ in got]
+                rows = slice(start, start + len(part))
                 yield pd.DataFrame({
-                    "doc_id": ids[start : start + len(part)],
+                    "doc_id": ids[rows], "text_id": batch["text_id"].to_numpy()[rows],
                     "bag": [bag_id(g) if s else None for g, s in zip(got, some)],
                     "bands": [k if s else None for k, s in zip(keys, some)],
+                    "sketch": [x.tobytes() if s else None for x, s in zip(low, some)],
                 })
 
-    return keyed_texts(docs, text, key).mapInPandas(sign, "doc_id long, bag binary, bands array<long>")
+    return keyed_texts(docs, text, key).withColumn("text_id", F.xxhash64("text")).mapInPandas(sign, "doc_id long, text_id long, bag binary, bands array<long>, sketch binary")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, part: int) -> DataFrame:
+    """The pairs (a, b) of bags whose multisets of shingles are as similar as threshold. texts: (bag, text), a row a bag.
+
+    Pairs meet at a; one of a's groups of about `part` partners is a task's unit, and has a's text once. So every
+    text moves once for each pair and once for each group, however many partners a bag has.
+    """
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("groups"))
+    dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("group"))
+    centres = groups.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    rows = texts.withColumnRenamed("bag", "b").join(dealt.unionByName(centres), "b")
+
+    def check(p: pd.DataFrame) -> pd.DataFrame:
+        claim("near", WORD_HASHES.clear)
+        mine = p["b"].map(bytes) == bytes(p["a"].iloc[0])
+        if not mine.any():
+            return p.iloc[:0][["a", "b"]]
+        (h, n), total = bags([p["text"][mine].iloc[0]])[0], 0
+        total = n.sum()
+        others, keep = p[~mine], []
+        for _, some in slabs(others["text"].tolist(), 1_000_000):
+            for g, m in bags(some):
+                at = np.minimum(np.searchsorted(h, g), len(h) - 1)
+                both = np.minimum(m, np.where(h[at] == g, n[at], 0)).sum()
+                keep.append(both >= (threshold - 1e-7) * (total + m.sum() - both))
+        return others[np.array(keep, bool)][["a", "b"]]
+
+    return rows.groupBy("a", "group").applyInPandas(check, "a binary, b binary")
+
+
+def unmet_pairs(members: DataFrame, least: int, block: int) -> DataFrame:
+    """Pairs (a, b) of bags of one bucket and of different classes whose sketches agree in `least` places or more.
+
+    members: (band, bag, sketch, class) of the buckets with several classes. A bucket's members form blocks of `block`,
+    which meet two at a time; only sketches travel.
+    """
+    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = members.join(sizes, "band").withColumn("mine", F.pmod(F.xxhash64("bag"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = placed.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "bag", "sketch", "class")
+
+    def meet(p: pd.DataFrame) -> pd.DataFrame:
+        left = p["mine"] == p["i"]
+        one, two = p[left], p[~left] if p["i"].iloc[0] != p["j"].iloc[0] else p[left]
+        found = agreement(sketch_matrix(one["sketch"]), sketch_matrix(two["sketch"])) >= least
+        found &= one["class"].map(bytes).to_numpy()[:, None] != two["class"].map(bytes).to_numpy()[None, :]
+        a, b = np.nonzero(found)
+        x, y = one["bag"].map(bytes).to_numpy()[a], two["bag"].map(bytes).to_numpy()[b]
+        swap = np.array([u > v for u, v in zip(x, y)], bool)
+        return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)}).drop_duplicates()
+
+    return tasks.groupBy("band", "i", "j").applyInPandas(meet, "a binary, b binary")
 
 
-def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 128, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, class_id, kept.
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024, part: int = 128, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per input row: doc_id, class_id, kept, text_id (the text's 64-bit hash).
 
     Classes are the connected components of links between texts whose bags of five-word shingles have a weighted
     Jaccard similarity of threshold or more; class_id is a class's smallest doc_id, whose row is kept. Texts with equal
-    bags become one before any pair is made. Buckets of equal band keys join their members to families; every two
-    texts of a family are verified on their whole multisets, in blocks of `block` texts that meet two at a time. A
-    meeting returns a root a text, never pairs, and a family of any size is spread over its meetings, without caps.
-    With 25 bands of 5, a pair at 0.8 shares no bucket once in 20,000 times. Null texts and those without a letter or
-    digit are classes of their own, as are rows with a null doc_id (class_id null). Rows that repeat a doc_id with
-    other texts are classed by their own text. An empty table gives an empty result; other columns are not read.
+    bags become one before any pair is made. Signatures' bands put bags in buckets. First every bag of a bucket is
+    verified against the bucket's least bag, which joins most of what belongs together; then, in buckets that still hold
+    several classes, all pairs of different classes are compared by sketch, and those that agree like texts of the
+    threshold (six deviations below it at most) are verified too. So the classes are those that all bucket pairs, verified
+    on their whole multisets, would give; nothing is capped. With 25 bands of 5, a pair at 0.8 shares no bucket once in
+    20,000 times. Null texts and those without a letter or digit are classes of their own, as are rows with a null
+    doc_id (class_id null). Rows that repeat a doc_id with other texts are classed by their own text; of those in one
+    class whose id is its least, the text of least bag is kept. Rows that repeat both are marked alike. An empty table
+    gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     sigs, _ = stored(signed(docs, text, key), "signatures")
     bagged = sigs.where("doc_id is not null and bag is not null")
-    reps, _ = stored(bagged.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "bags")
-    entries = reps.select("rep", F.explode("bands").alias("band"))
-    leaders, leaders_path = stored(entries.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("band", "leader"), "leaders")
-    joined, joined_path = stored(entries.join(leaders, "band").where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "bucket-joins")
-    grown = components(joined)
-    forget(spark, leaders_path, joined_path)
-    family, family_path = stored(grown.unionByName(grown.select(F.col("component").alias("node"), "component").distinct()), "families")
-    sizes, sizes_path = stored(family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "family-sizes")
-    whole = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(text, F.lit("")).alias("text"))
-    placed = family.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("mine"))
-    spread = whole.join(placed, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = spread.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "text")
-    links, links_path = stored(tasks.groupBy("family", "i", "j").applyInPandas(lambda p: family_links(p, threshold), "a long, b long"), "near-links")
-    found = components(links)
-    forget(spark, family_path, sizes_path, links_path)
-    out = sigs.select("doc_id", "bag").join(reps.select("bag", "rep"), "bag", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", mine.alias("class_id"), F.col("doc_id").eqNullSafe(mine).alias("kept"))
+    reps, _ = stored(bagged.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("text_id", "bands", "sketch"), F.struct("doc_id", "text_id")).alias("x")).select("bag", "rep", "x.*"), "bags")
+    entries = reps.select("bag", F.explode("bands").alias("band"))
+    leaders, leaders_path = stored(entries.groupBy("band").agg(F.min("bag").alias("leader"), F.max("bag").alias("last")).where("leader < last").select("band", "leader"), "leaders")
+    least = max(int(POSITIONS * threshold - 7 * math.sqrt(POSITIONS * threshold * (1 - threshold))), 1)
+    sketches = reps.select("bag", "sketch")
+
+    @F.pandas_udf("boolean")
+    def alike(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series((sketch_matrix(one) == sketch_matrix(two)).sum(1) >= least)
+
+    near = entries.join(leaders, "band").where("bag > leader").select(F.col("leader").alias("a"), F.col("bag").alias("b")).distinct()
+    near = near.join(sketches.toDF("a", "_one"), "a").join(sketches.toDF("b", "_two"), "b")
+    stars, stars_path = stored(near.where(alike("_one", "_two")).select("a", "b"), "stars")
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("bag")).unionByName(pairs.select(F.col("b").alias("bag"))).distinct()
+        return own.join(reps.join(needed, "bag", "left_semi").select("bag", "rep", "text_id"), ["rep", "text_id"]).groupBy("bag").agg(F.first("text").alias("text"))
+
+    links, links_path = stored(verified(stars, texts(stars), threshold, part), "near-links")
+    found, found_path = stored(components(links), "near-classes")
+    classed = entries.join(leaders.select("band"), "band").join(found.withColumnRenamed("node", "bag"), "bag", "left").withColumn("class", F.coalesce("component", "bag")).select("band", "bag", "class")
+    mixed_bands = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
+    members, members_path = stored(classed.join(mixed_bands, "band", "left_semi").join(sketches, "bag").select("band", "bag", "sketch", "class"), "mixed-buckets")
+    rest, rest_path = stored(unmet_pairs(members, least, block).distinct().join(stars, ["a", "b"], "left_anti"), "unmet-pairs")
+    if not rest.isEmpty():
+        more, more_path = stored(verified(rest, texts(rest), threshold, part), "near-links")
+        forget(spark, found_path)
+        found, _ = stored(components(links.unionByName(more)), "near-classes")
+        forget(spark, more_path)
+    forget(spark, leaders_path, stars_path, links_path, members_path, rest_path)
+    grouped = reps.join(found.withColumnRenamed("node", "bag"), "bag", "left").select("bag", F.coalesce("component", "bag").alias("class"), "rep")
+    first = grouped.groupBy("class").agg(F.min(F.struct("rep", "bag")).alias("first"))
+    classes = grouped.join(first, "class").select("bag", F.col("first.rep").alias("least_id"), F.col("first.bag").alias("least_bag"))
+    out = sigs.select("doc_id", "text_id", "bag").join(classes, "bag", "left")
+    mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("least_id", "doc_id"))
+    kept = F.col("doc_id").isNull() | (F.col("doc_id") == mine) & F.coalesce(F.col("bag") == F.col("least_bag"), F.lit(True))
+    return out.select("doc_id", mine.alias("class_id"), kept.alias("kept"), "text_id")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(documents(spark, sf_dir))
+    """Near-duplicate classes of all documents; near_dedup states every case."""
+    return near_dedup(documents(spark, sf_dir)).drop("text_id")

@@ -59,7 +59,7 @@ def test_exact_dedup(docs, none):
         ids = groups[norm(t)]
         keep = min((x for x in ids if x is not None), default=None)
         want.append((i, keep, len(ids), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
-    assert rows(exact_dedup.exact_dedup(docs, fan_in=2), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=str)
+    assert rows(exact_dedup.exact_dedup(docs, runs=3), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=str)
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
@@ -89,6 +89,34 @@ def test_line_dedup(docs, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_runs_kept_by_a_caller(spark, docs):
+    runs = line_dedup.LineRuns(spark, 2, 2)
+    data = [r[:2] for r in ROWS if r[0] is not None]
+    got, seen = [], set()
+    for part in range(4):
+        mine = [r for r in data if r[0] % 4 == part]
+        out = line_dedup.line_dedup(spark.createDataFrame(mine, "doc_id long, text string"), runs=runs, batches=2)
+        got += rows(out, "doc_id", "n_lines", "n_dropped", "text")
+        assert all(len(level) < 2 for level in runs.levels)
+    want = []
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(low)
+    for part in range(4):
+        mine = [r for r in data if r[0] % 4 == part]
+        for i, t in mine:
+            lines = (t or "").split("\n")
+            first = {}
+            for j, u in mine:
+                for x in (u or "").split("\n"):
+                    if len(key(x)) >= 10:
+                        first[key(x)] = min(j, first.get(key(x), j))
+            kept = [x for x in lines if key(x) not in seen and (key(x) not in first or i <= first[key(x)])]
+            want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+        seen |= {key(x) for _, t in mine for x in (t or "").split("\n") if len(key(x)) >= 10}
+    assert sorted(got, key=str) == sorted(want, key=str)
+    runs.drop()
+
+
 def plain_secrets(text):
     text, out = text or "", []
     for rank, (kind, pattern, group, least) in enumerate([
@@ -99,18 +127,35 @@ def plain_secrets(text):
 
 
 def test_secret_scan(spark, docs, none):
-    found, ledger = secret_scan.scan_versions(docs)
+    ledger = secret_scan.Ledger(spark)
+    found, new = secret_scan.scan_versions(docs, ledger)
     got = sorted(((r.doc_id, [(s.start, s.rank, s.end, s.kind) for s in r.spans if s.rank < 3]) for r in found.collect()), key=str)
     assert got == sorted(((i, plain_secrets(t)) for i, t, *_ in ROWS), key=str)
     assert "forge" in {s.kind for r in found.collect() for s in r.spans}
-    assert ledger.count() == len({t or "" for _, t, *_ in ROWS})
-    new = spark.createDataFrame([(1, ROWS[0][1]), (2, "token=abcdefgh99")], "doc_id long, text string")
-    again, more = secret_scan.scan_versions(new, ledger)
-    assert more.count() == 1 and sorted((r.doc_id, len(r.spans)) for r in again.collect()) == [(1, 0), (2, 1)]
-    assert secret_scan.scan_versions(new, ledger, secret_scan.BASE_RULES)[1].count() == 2
+    blobs = len({t or "" for _, t, *_ in ROWS})
+    assert new.count() == ledger.rows().count() == blobs * len(secret_scan.RULES)
+    versions = spark.createDataFrame([(1, ROWS[0][1]), (2, "token=abcdefgh99")], "doc_id long, text string")
+    again, more = secret_scan.scan_versions(versions, ledger)
+    assert more.count() == len(secret_scan.RULES) and sorted((r.doc_id, len(r.spans)) for r in again.collect()) == [(1, 0), (2, 1)]
+    changed = tuple(secret_scan.Rule(r.kind, 2, "token", 0, 1, 0) if r.kind == "assign" else r for r in secret_scan.RULES)
+    out, more = secret_scan.scan_versions(versions, ledger, changed)
+    assert {(r.rule, len(r.spans)) for r in more.collect()} == {("assign-2", 0), ("assign-2", 1)}
+    assert sorted((r.doc_id, [(s.kind, s.end) for s in r.spans]) for r in out.collect()) == [(1, []), (2, [("assign", 5)])]
+    assert secret_scan.scan_versions(versions, ledger, secret_scan.BASE_RULES)[1].count() == 0
     assert secret_scan.scan_versions(none)[0].count() == 0
 
 
+def test_secret_scan_of_many_matches(spark):
+    import time
+
+    part = "x" + "0a" * 16 + " "
+    one = spark.createDataFrame([(1,)], "doc_id long").select("doc_id", F.repeat(F.lit(part), 200_000).alias("text"))
+    began = time.time()
+    (row,) = secret_scan.scan_versions(one)[0].select(F.size("spans").alias("n"), F.element_at("spans", -1)["start"].alias("last")).collect()
+    assert tuple(row) == (200_000, len(part) * 199_999 + 1)
+    assert time.time() - began < 30
+
+
 def plain_windows(texts, width=200):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(t[i : i + width] for t in raw for i in range(len(t) - width + 1))
@@ -195,18 +240,50 @@ def plain_jaccard(a, b):
     return sum((a & b).values()) / max(sum((a | b).values()), 1)
 
 
+def near_classes(data):
+    """(doc_id, class_id, kept) of each distinct row by all pairs."""
+    bags = [(i, t, plain_bag(t)) for i, t in data]
+    links = [(m, n) for m, (i, _, x) in enumerate(bags) for n, (j, _, y) in enumerate(bags) if m < n and i is not None and j is not None and plain_jaccard(x, y) >= 0.8]
+    root = plain_components(links, range(len(bags)))
+    least = {}
+    for n, (i, _, _) in enumerate(bags):
+        if i is not None:
+            least[root[n]] = min(i, least.get(root[n], i))
+    return [(i, None if i is None else least[root[n]]) for n, (i, _, _) in enumerate(bags)]
+
+
 def test_near_dedup(spark, docs, none):
-    got = {}
-    for r in near_dedup.near_dedup(docs, block=2).collect():
-        got.setdefault(r.doc_id, set()).add(r.class_id)
-    bags = {i: plain_bag(t) for i, t, *_ in ROWS if i is not None and i != 19}
-    links = [(a, b) for a in bags for b in bags if a < b and plain_jaccard(bags[a], bags[b]) >= 0.8]
-    want = plain_components(links, bags)
-    assert {i: c for i, c in got.items() if i in bags} == {i: {c} for i, c in want.items()}
-    assert got[None] == {None} and {12, 13, 26} <= {min(got[i]) for i in (12, 13, 26)}
+    data = [r[:2] for r in ROWS]
+    data += [(5, prose(21, 90)), (19, prose(21, 90) + " more"), (19, prose(22, 90)), (30, prose(22, 90) + " more")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3).withColumns({k: F.lit(v) for k, v in CLASHING.items()}).withColumns({"bag": F.lit(1), "band": F.lit(2), "text_id": F.lit("x")})
+    out = near_dedup.near_dedup(df, block=2, part=2).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in out), key=str) == sorted(near_classes(data), key=str)
+    assert {r.class_id for r in out if r.doc_id == 30} == {19} and all(r.kept == (r.doc_id == r.class_id) for r in out if r.doc_id != 19)
     assert near_dedup.near_dedup(none).count() == 0
 
 
+def test_near_dedup_of_a_chain_and_recall(spark):
+    """A chain of texts that each differ from the next by a word, and random pairs about the threshold, against all pairs."""
+    rng = np.random.default_rng(8)
+    voc = [f"w{n}" for n in range(5000)]
+    words = list(rng.choice(voc, 120))
+    data = []
+    for n in range(300):
+        words = list(words)
+        words[(n * 7) % 120] = str(rng.choice(voc))
+        data.append((n, " ".join(words)))
+    for n in range(300, 700, 2):
+        one = list(rng.choice(voc, 200))
+        two = list(one)
+        for k in rng.choice(200, rng.integers(1, 7), replace=False):
+            two[k] = str(rng.choice(voc))
+        data += [(n, " ".join(one)), (n + 1, " ".join(two))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(4), part=16).collect()}
+    bags = [plain_bag(t) for _, t in data]
+    links = [(a, b) for a in range(300) for b in range(a + 1, 300) if plain_jaccard(bags[a], bags[b]) >= 0.8] + [(n, n + 1) for n in range(300, 700, 2) if plain_jaccard(bags[n], bags[n + 1]) >= 0.8]
+    assert len(links) > 400 and got == plain_components(links, range(700))
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(2)
     errors = []
@@ -337,15 +414,43 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in language_id.identify(docs, []).collect()} == {"und"}
 
 
+def longest_phrases(sample, probe):
+    """Greedy longest matches of probe's symbols in any one text of the sample."""
+    texts, q = [language_id.symbols([t])[0].tobytes() for t in sample], language_id.symbols([probe])[0].tobytes()
+    at = n = 0
+    while at < len(q):
+        size = next((k for k in range(min(len(q) - at, 60), 0, -1) if any(q[at : at + k] in t for t in texts)), 1)
+        at, n = at + size, n + 1
+    return n
+
+
 def test_phrases_are_longest_matches():
-    text = "abracadabra alakazam"
-    parser = language_id.Parser([("x", text)])
-    for probe in ("abracadabra", "zamabra", "xyz", "cadcadalak", ""):
-        at, n = 0, 0
-        while at < len(probe):
-            size = next((k for k in range(len(probe) - at, 0, -1) if probe[at : at + k] in text), 1)
-            at, n = at + size, n + 1
-        assert parser.phrases([probe])[0][0, 0] == n
+    """Over blocks' borders, too, and never across two labelled texts."""
+    sample = ["abracadabra alakazam", "öçé banana zebra"]
+    parser = language_id.Parser([("x", t) for t in sample])
+    rng = np.random.default_rng(2)
+    probes = ["abracadabra", "zamabra", "xyz", "cadcadalak", "", "mö", "?!", "zamöçé"] + ["".join(rng.choice(list("abrcdlkzm öçéx"), n)) for n in (255, 256, 257, 700, 3000)]
+    assert parser.phrases(probes)[0][:, 0].tolist() == [longest_phrases(sample, p) for p in probes]
+
+
+def test_languages_of_any_script_and_length(spark):
+    """Six languages, three of them of 140 letters each, and one of long texts only; each wins its own held-out texts."""
+    rng = np.random.default_rng(1)
+    letters = [range(97, 123), range(0x430, 0x450), range(0x4E00, 0x4E8C), range(0x4E8C, 0x4F18), range(0xAC00, 0xAC8C), range(0x561, 0x580)]
+    data = []
+    for k, alphabet in enumerate(letters):
+        words = ["".join(map(chr, rng.choice(alphabet, rng.integers(2, 7)))) for _ in range(200)]
+        data += [(len(data) + n, " ".join(rng.choice(words, 4000 if k == 5 else 60)), f"l{k}") for n in range(40)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    sample = language_id.labelled_sample(table)
+    assert {lang for lang, _ in sample} == {f"l{k}" for k in range(6)}
+    assert max(sum(len(t) for lang, t in sample if lang == f"l{k}") for k in range(6)) <= 32_000 + 8_000
+    out = language_id.identify(table, sample).collect()
+    assert all(r.lang == r.lang_pred for r in out)
+    parser = language_id.Parser([("b", "same words"), ("a", "same words")])
+    assert parser.predict(["same words"]).iloc[0, :2].tolist() == ["a", 0.5]
+    many = spark.createDataFrame([(n, f"word{n}", f"l{n}") for n in range(200)], "doc_id long, text string, lang string")
+    assert len({lang for lang, _ in language_id.labelled_sample(many)}) > 100
 
 
 def test_quality(spark, docs, none):
@@ -358,6 +463,26 @@ def test_quality(spark, docs, none):
     assert quality.score_quality(none, quality.fit_voter(none, labels.where("false"))).count() == 0
 
 
+def test_quality_votes_match_all_labelled_vectors(spark):
+    """Scores against a vote over every labelled vector, one text at a time, with copies that tie at the last place."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id")
+    texts = [r.text for r in docs.collect()]
+    texts = texts[:60] + texts[:40] + ["", LONG]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(n, (n * 7) % 3 % 2) for n in range(101)], "doc_id long, quality int")
+    voter = quality.fit_voter(table, labels)
+    taught = [n for n in range(101) if zlib.crc32(str(n).encode()) % 5]
+    assert len(voter.labels) == len(taught)
+    latent = [np.asarray(voter.unit(voter.weighted(quality.features([t]), voter.weight) @ voter.basis)[0], float) for t in texts]
+    got = {r.doc_id: r.score for r in quality.score_quality(table, voter).collect()}
+    for n, x in enumerate(latent):
+        near = sorted(((float(x @ latent[m]), (m * 7) % 3 % 2) for m in taught), reverse=True)
+        last = near[voter.neighbours - 1][0]
+        votes = [(max(s, 0) ** 4, y) for s, y in near if s >= last - quality.TIE]
+        want = (sum(w * y for w, y in votes) + 1e-6 * voter.prior) / (sum(w for w, _ in votes) + 1e-6)
+        assert got[n] == pytest.approx(want, abs=2e-3), n
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -368,7 +493,8 @@ def test_pipeline(spark):
         if name == "language":
             assert set(old) - set(new) == {i for i, t in old.items() if not any(c.isalpha() for c in t or "")}
         if name == "lines":
-            assert sorted(new.items()) == [(i, t) for i, _, _, t in sorted(plain_lines(list(old.items())), key=lambda x: x[0])]
+            assert sorted(new.items()) == [(i, t) for i, _, d, t in sorted(plain_lines(list(old.items())), key=lambda x: x[0]) if t.strip() or not d]
+            assert all(new.values())
         if name == "near":
             bags = {i: plain_bag(t) for i, t in old.items()}
             links = [(a, b) for a in bags for b in bags if a < b and plain_jaccard(bags[a], bags[b]) >= 0.8]
@@ -378,6 +504,26 @@ def test_pipeline(spark):
     assert whole.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_pipeline_stages_on_odd_tables(spark, docs, none):
+    """Stages on nulls, repeats and clashing columns, and on an empty table; junk is rejected."""
+    rng = np.random.default_rng(4)
+    junk = [(500 + n, " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(60)), "en", "a") for n in range(5)]
+    english = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select(*SCHEMA.replace(",", "").split()[::2]).limit(300)
+    clash = {**CLASHING, "_row": 8, "phrase_chars": 9, "emptied": 1}
+    table = english.unionByName(spark.createDataFrame(junk + [ROWS[2], ROWS[9], ROWS[10], (70_007, prose(4, 30), "en", "a"), (70_007, prose(4, 30), "en", "a"), (70_007, prose(5, 30), "en", "a")], SCHEMA)).withColumns({k: F.lit(v) for k, v in clash.items()})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, SF)
+        got = out.toPandas()
+        if name != "pack":
+            assert out.columns == table.columns and all((got[k] == v).all() for k, v in clash.items() if name != "lines" or k != "text"), name
+        if name == "language":
+            assert not set(got.doc_id.dropna()) & {500, 501, 502, 503, 504} and len(got) >= 300
+        if name == "near":
+            assert (got.doc_id == 70_007).sum() == 2 and got.doc_id.isna().sum() == 2
+        empty = stage(spark, none.withColumns({k: F.lit(v) for k, v in clash.items()}), SF)
+        assert empty.count() == 0
+
+
 def test_registered_queries_match_sql(spark):
     import duckdb
 

@@ -16,39 +16,62 @@ from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.near_dedup import near_dedup
 from plumbline.llm.packing import pack
 from plumbline.llm.source_mix import mix_sources
-from plumbline.llm.work import documents, forget, stored
+from plumbline.llm.work import BLANKS, documents, forget, stored
 
-#: A text of which the best language's phrases are shorter on average is no text of any labelled language.
-LEAST_PHRASE = 1.5
+#: A text of LEAST_CHARS or more of which the best language's phrases are shorter than this on average is no text of any
+#: labelled language: letters drawn at random had phrases of 1.2 to 1.6 symbols, check_s's documents 3.2 and more.
+LEAST_PHRASE, LEAST_CHARS = 2.2, 200
+
+
+def carried(docs: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of docs, and all of them as one struct _row, which no operator's own columns can clash with."""
+    return docs.select(*columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter (und) and those that no language's labelled text parses."""
-    found = identify(docs, labelled_sample(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("phrase_chars") >= LEAST_PHRASE)).select(*docs.columns)
+    """Rejects documents without a letter (null and empty ones too) and those that no language's labelled text parses.
+
+    Repeated rows are judged alike, an empty table stays empty, and columns of docs that identify would replace stay.
+    """
+    found = identify(carried(docs, "text"), labelled_sample(docs))
+    spoken = (F.col("phrase_chars") >= LEAST_PHRASE) | (F.length("text") < LEAST_CHARS)
+    return found.where((F.col("lang_pred") != "und") & spoken).select("_row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that a document of smaller id holds."""
-    cut = line_dedup(docs)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+    """Documents without the lines that a document of smaller id holds; those that keep no visible text of what they had go.
+
+    Null ids lose nothing, rows that repeat an id are one document, null text becomes empty, an empty table stays empty.
+    """
+    cut = line_dedup(carried(docs, "doc_id", "text"))
+    emptied = (F.col("n_dropped") > 0) & (F.length(F.btrim("text", F.lit(BLANKS))) == 0)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.where(~emptied).select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates; rows with a null doc_id stay."""
-    gone = near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates, that of the smallest id; rows with a null doc_id all stay.
+
+    Rows are told apart by id and text, so an id that repeats with another text is judged by that text; rows that
+    repeat both are one document. An empty table stays empty.
+    """
+    marks, _ = stored(near_dedup(docs).where("doc_id is not null").withColumnsRenamed({"doc_id": "_id", "text_id": "_text"}), "near-marks")
+    gone = marks.where("not kept").select("_id", "_text").distinct()
+    again = marks.where("kept").groupBy("_id", "_text").count().where("count > 1").select("_id", "_text")
+    rows = carried(docs, "doc_id", "text").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), "_row")
+    left = rows.join(gone, ["_id", "_text"], "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, ["_id", "_text"], "left_anti").unionByName(left.join(again, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]))
+    return left.select("_row.*")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target rate draws, in one random order."""
-    return mix_sources(docs).select(*docs.columns)
+    """Each document as often as its source's target rate draws, in one random order; null sources are one source."""
+    return mix_sources(carried(docs, "doc_id", "source")).select("_row.*")
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    """The pieces of all documents and their places in sequences of 2048 tokens; null text is the one id 0."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

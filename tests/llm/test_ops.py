@@ -171,24 +171,69 @@ def plain_windows(texts, width=200):
 
 
 def test_suffix_dedup(spark, none):
-    small = [r for r in ROWS if len(r[1] or "") < 5000] + [(90, "ab" * 300, "en", "a"), (91, prose(9, 90) + SHARED, "en", "a"), (92, prose(8, 9) + SHARED + prose(9, 90), "en", "a")]
+    small = [r for r in ROWS if len(r[1] or "") < 5000] + [(90, "ab" * 300, "en", "a"), (91, prose(9, 90) + SHARED, "en", "a"), (92, prose(8, 9) + SHARED + prose(9, 90), "en", "a"), (93, "\0" * 450 + "x", "en", "a"), (94, "y" + "\0" * 230, "en", "a")]
     df = spark.createDataFrame(small, SCHEMA).repartition(3).withColumns({"chunk": F.lit(1), "lengths": F.lit(2)})
     want = sorted(((i, *w) for (i, *_), w in zip(small, plain_windows([r[1] for r in small]))), key=str)
-    assert rows(suffix_dedup.suffix_dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    for part in (2_000_000, 300):
+        assert rows(suffix_dedup.suffix_dedup(df, part=part), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert sum(w[2] for w in want) > 500
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
-def test_suffix_chunks_of_any_cut():
+def edited_texts(seed, n):
+    """Texts of pieces that many share, cut and edited at random places, so that suffixes agree on either side only."""
+    rng = np.random.default_rng(seed)
+    pieces = ["".join(map(chr, rng.integers(97, 101, 500))) for _ in range(6)]
+    out = []
+    for _ in range(n):
+        text = "".join(p[int(rng.integers(0, 250)) : int(rng.integers(250, 500))] for p in (pieces[k] for k in rng.integers(0, 6, 3)))
+        text = list(text)
+        for k in rng.integers(0, max(len(text), 1), 3):
+            text[k] = "#"
+        out.append("".join(text))
+    return out
+
+
+@pytest.mark.parametrize("bucket_rows", [100_000, 40, 7])
+def test_suffix_dedup_across_buckets(spark, monkeypatch, bucket_rows):
+    """Against brute force with buckets so small that most tokens are cut by their borders."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", bucket_rows)
+    texts = edited_texts(bucket_rows, 90)
+    want = sorted(((i, *w) for i, w in enumerate(plain_windows(texts))), key=str)
+    got = rows(suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), part=5000), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == want and sum(w[2] for w in want) > 10_000
+
+
+def test_suffix_dedup_of_a_long_text(spark):
+    """A text of many pieces, with a copy of itself inside, against its known repeats."""
+    rng = np.random.default_rng(11)
+    body = "".join(map(chr, rng.integers(97, 123, 1_000_000)))
+    copy = body[123_456:523_456]
+    table = spark.createDataFrame([(1, body + "@" + copy + "@"), (2, "short")], "doc_id long, text string")
+    out = {r.doc_id: r for r in suffix_dedup.suffix_dedup(table, part=150_000, keep_text=True).collect()}
+    assert (out[1].n_bytes, out[1].n_removed, out[1].n_spans) == (1_400_002, 800_000, 2)
+    assert bytes(out[1].kept).decode() == body[:123_456] + body[523_456:] + "@@"
+    assert out[1].kept_sha256 == hashlib.sha256(bytes(out[1].kept)).hexdigest() and out[2].n_removed == 0
+
+
+def test_anchored_runs_cover_all_windows():
     rng = np.random.default_rng(6)
     parts = [bytes(rng.integers(97, 100, 300).astype(np.uint8)) for _ in range(6)]
     whole = b"".join(parts[k] for k in rng.integers(0, 6, 20))
     for cut in ([len(whole)], [500, 0, 1, len(whole) - 501]):
-        stage = suffix_dedup.Stages(suffix_dedup.Chunk(np.frombuffer(whole, np.uint8), np.array(cut), 200))
-        covered = suffix_dedup.expanded(stage.first, stage.last)
+        first, last, anchor, _ = suffix_dedup.anchored(np.frombuffer(whole, np.uint8), np.array(cut), 200)
+        covered = [x for f, m in zip(first, last) for x in range(f, m + 1)]
         ends = np.cumsum(cut)
-        valid = [i for i in range(len(whole)) if any(e - n <= i and i + 200 <= e for n, e in zip(cut, ends))]
-        assert sorted(covered.tolist()) == valid
+        assert covered == [i for i in range(len(whole)) if any(e - n <= i and i + 200 <= e for n, e in zip(cut, ends))]
+        assert all(m <= a <= f + 160 for f, m, a in zip(first, last, anchor))
+
+
+def test_multikey_order():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 3, (500, 6)).astype(np.uint64)
+    order, new = suffix_dedup.multikey_order(words)
+    ordered = [tuple(x) for x in words[order].tolist()]
+    assert ordered == sorted(map(tuple, words.tolist())) and new.tolist() == [True] + [a != b for a, b in zip(ordered, ordered[1:])]
 
 
 def plain_components(links, nodes):

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chars import mixed, slabs
@@ -250,78 +250,133 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, part: int) ->
     return rows.groupBy("a", "group").applyInPandas(check, "a binary, b binary")
 
 
-def unmet_pairs(members: DataFrame, least: int, block: int) -> DataFrame:
-    """Pairs (a, b) of bags of one bucket and of different classes whose sketches agree in `least` places or more.
-
-    members: (band, bag, sketch, class) of the buckets with several classes. A bucket's members form blocks of `block`,
-    which meet two at a time; only sketches travel.
+def pairs_near(p: pd.DataFrame, least: int, rows: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, second, places that agree) of all pairs of rows of one band (of p, in order of bands) and of different classes that agree in `least` places."""
+    band, code = p["band"].to_numpy(), pd.factorize(p["class"].map(bytes))[0]
+    sketch, ahead = sketch_matrix(p["sketch"]), 1
+    at = np.arange(len(p))
+    while True:
+        at = at[at + ahead < len(p)]
+        at = at[band[at] == band[at + ahead]]
+        if not len(at):
+            return
+        other = at[code[at] != code[at + ahead]]
+        for i in range(0, len(other), rows):
+            one, two = other[i : i + rows], other[i : i + rows] + ahead
+            same = (sketch[one] == sketch[two]).sum(1)
+            hit = same >= least
+            yield one[hit], two[hit], same[hit]
+        ahead += 1
+
+
+def block_pairs_near(one: pd.DataFrame, two: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of two blocks of one band."""
+    same = agreement(sketch_matrix(one["sketch"]), sketch_matrix(two["sketch"]))
+    code = pd.factorize(pd.concat([one["class"], two["class"]]).map(bytes))[0]
+    a, b = np.nonzero((same >= least) & (code[: len(one), None] != code[None, len(one) :]))
+    return a, b, same[a, b]
+
+
+def unmet_pairs(members: DataFrame, least: int, block: int, best: int | None) -> DataFrame:
+    """Pairs (a < b) of bags of one bucket and of different classes whose sketches agree in `least` places or more; of every bag the `best` nearest, or all.
+
+    members: (band, bag, sketch, class) of the buckets with several classes. Buckets of up to `block` members share
+    tasks; larger ones form blocks, which meet two at a time. Only sketches travel.
     """
+    spark = members.sparkSession
     sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "band").withColumn("mine", F.pmod(F.xxhash64("bag"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = placed.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "bag", "sketch", "class")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // 20_000)
+    large = sizes.where("blocks > 1")
+    few = members.join(large, "band", "left_anti").withColumn("task", F.pmod(F.xxhash64("band", F.lit(5)), F.lit(tasks)))
+    placed = members.join(large, "band").withColumn("mine", F.pmod(F.xxhash64("bag"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = placed.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "bag", "sketch", "class")
 
-    def meet(p: pd.DataFrame) -> pd.DataFrame:
-        left = p["mine"] == p["i"]
-        one, two = p[left], p[~left] if p["i"].iloc[0] != p["j"].iloc[0] else p[left]
-        found = agreement(sketch_matrix(one["sketch"]), sketch_matrix(two["sketch"])) >= least
-        found &= one["class"].map(bytes).to_numpy()[:, None] != two["class"].map(bytes).to_numpy()[None, :]
-        a, b = np.nonzero(found)
-        x, y = one["bag"].map(bytes).to_numpy()[a], two["bag"].map(bytes).to_numpy()[b]
+    def named(x: np.ndarray, y: np.ndarray, same: np.ndarray) -> pd.DataFrame:
         swap = np.array([u > v for u, v in zip(x, y)], bool)
-        return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)}).drop_duplicates()
+        out = pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "same": same.astype(np.int32)}).drop_duplicates(["a", "b"])
+        if best is None or out.empty:
+            return out
+        ends = pd.concat([out.assign(end=out["a"]), out.assign(end=out["b"])]).sort_values("same", ascending=False, kind="stable")
+        return ends.groupby("end").head(best).drop(columns="end").drop_duplicates(["a", "b"])
+
+    def meet_few(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("band", ignore_index=True)
+        bag = p["bag"].map(bytes).to_numpy()
+        found = list(pairs_near(p, least)) or [(np.zeros(0, int),) * 3]
+        x, y, same = (np.concatenate(c) for c in zip(*found))
+        return named(bag[x], bag[y], same)
+
+    def meet_blocks(p: pd.DataFrame) -> pd.DataFrame:
+        left = p["mine"] == p["i"]
+        one = p[left]
+        two = p[~left] if p["i"].iloc[0] != p["j"].iloc[0] else one
+        x, y, same = block_pairs_near(one, two, least)
+        return named(one["bag"].map(bytes).to_numpy()[x], two["bag"].map(bytes).to_numpy()[y], same)
 
-    return tasks.groupBy("band", "i", "j").applyInPandas(meet, "a binary, b binary")
+    pairs = few.groupBy("task").applyInPandas(meet_few, "a binary, b binary, same int")
+    pairs = pairs.unionByName(many.repartition("band", "i", "j").groupBy("band", "i", "j").applyInPandas(meet_blocks, "a binary, b binary, same int"))
+    if best is None:
+        return pairs.select("a", "b").distinct()
+    ends = pairs.distinct().select("a", "b", "same", F.explode(F.array("a", "b")).alias("end"))
+    ranked = ends.withColumn("_r", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("same"), "a", "b")))
+    return ranked.where(F.col("_r") <= best).select("a", "b").distinct()
 
 
-def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024, part: int = 128, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024, part: int = 128, best: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, class_id, kept, text_id (the text's 64-bit hash).
 
     Classes are the connected components of links between texts whose bags of five-word shingles have a weighted
     Jaccard similarity of threshold or more; class_id is a class's smallest doc_id, whose row is kept. Texts with equal
     bags become one before any pair is made. Signatures' bands put bags in buckets. First every bag of a bucket is
-    verified against the bucket's least bag, which joins most of what belongs together; then, in buckets that still hold
-    several classes, all pairs of different classes are compared by sketch, and those that agree like texts of the
-    threshold (six deviations below it at most) are verified too. So the classes are those that all bucket pairs, verified
-    on their whole multisets, would give; nothing is capped. With 25 bands of 5, a pair at 0.8 shares no bucket once in
-    20,000 times. Null texts and those without a letter or digit are classes of their own, as are rows with a null
-    doc_id (class_id null). Rows that repeat a doc_id with other texts are classed by their own text; of those in one
-    class whose id is its least, the text of least bag is kept. Rows that repeat both are marked alike. An empty table
-    gives an empty result; other columns are not read.
+    verified against the bucket's least bag, which joins most of what belongs together. In buckets that still hold several
+    classes, members of different classes are compared by sketch; twice, every bag is verified with the `best` that agree
+    with it most, and classes grow; last, all pairs of different classes that agree like texts of the threshold (five
+    deviations below it at most) are verified. So the classes are those that all bucket pairs, verified on their whole
+    multisets, would give; nothing is capped. With 25 bands of 5, a pair at 0.8 shares no bucket once in 20,000 times.
+    Null texts and those without a letter or digit are classes of their own, as are rows with a null doc_id (class_id
+    null). Rows that repeat a doc_id with other texts are classed by their own text; of those in one class whose id is its
+    least, the text of least bag is kept. Rows that repeat both are marked alike. Texts of any length are signed and
+    verified whole. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     sigs, _ = stored(signed(docs, text, key), "signatures")
     bagged = sigs.where("doc_id is not null and bag is not null")
-    reps, _ = stored(bagged.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("text_id", "bands", "sketch"), F.struct("doc_id", "text_id")).alias("x")).select("bag", "rep", "x.*"), "bags")
+    reps, _ = stored(bagged.groupBy("bag").agg(F.min(F.struct("doc_id", "text_id")).alias("x"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select("bag", F.col("x.doc_id").alias("rep"), "x.text_id", "bands", "sketch"), "bags")
     entries = reps.select("bag", F.explode("bands").alias("band"))
-    leaders, leaders_path = stored(entries.groupBy("band").agg(F.min("bag").alias("leader"), F.max("bag").alias("last")).where("leader < last").select("band", "leader"), "leaders")
-    least = max(int(POSITIONS * threshold - 7 * math.sqrt(POSITIONS * threshold * (1 - threshold))), 1)
+    leaders = entries.groupBy("band").agg(F.min("bag").alias("leader"), F.max("bag").alias("last")).where("leader < last").select("band", "leader")
+    shared, shared_path = stored(entries.join(leaders, "band"), "buckets")
+    least = max(int(POSITIONS * threshold - 5 * math.sqrt(POSITIONS * threshold * (1 - threshold))), 1)
     sketches = reps.select("bag", "sketch")
 
     @F.pandas_udf("boolean")
     def alike(one: pd.Series, two: pd.Series) -> pd.Series:
         return pd.Series((sketch_matrix(one) == sketch_matrix(two)).sum(1) >= least)
 
-    near = entries.join(leaders, "band").where("bag > leader").select(F.col("leader").alias("a"), F.col("bag").alias("b")).distinct()
+    near = shared.where("bag > leader").select(F.col("leader").alias("a"), F.col("bag").alias("b")).distinct()
     near = near.join(sketches.toDF("a", "_one"), "a").join(sketches.toDF("b", "_two"), "b")
-    stars, stars_path = stored(near.where(alike("_one", "_two")).select("a", "b"), "stars")
+    tried, tried_path = stored(near.where(alike("_one", "_two")).select("a", "b"), "tried-pairs")
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
 
     def texts(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("bag")).unionByName(pairs.select(F.col("b").alias("bag"))).distinct()
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("bag")).distinct()
         return own.join(reps.join(needed, "bag", "left_semi").select("bag", "rep", "text_id"), ["rep", "text_id"]).groupBy("bag").agg(F.first("text").alias("text"))
 
-    links, links_path = stored(verified(stars, texts(stars), threshold, part), "near-links")
+    links, links_path = stored(verified(tried, texts(tried), threshold, part), "near-links")
     found, found_path = stored(components(links), "near-classes")
-    classed = entries.join(leaders.select("band"), "band").join(found.withColumnRenamed("node", "bag"), "bag", "left").withColumn("class", F.coalesce("component", "bag")).select("band", "bag", "class")
-    mixed_bands = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
-    members, members_path = stored(classed.join(mixed_bands, "band", "left_semi").join(sketches, "bag").select("band", "bag", "sketch", "class"), "mixed-buckets")
-    rest, rest_path = stored(unmet_pairs(members, least, block).distinct().join(stars, ["a", "b"], "left_anti"), "unmet-pairs")
-    if not rest.isEmpty():
-        more, more_path = stored(verified(rest, texts(rest), threshold, part), "near-links")
-        forget(spark, found_path)
-        found, _ = stored(components(links.unionByName(more)), "near-classes")
-        forget(spark, more_path)
-    forget(spark, leaders_path, stars_path, links_path, members_path, rest_path)
+    old = [shared_path, tried_path, links_path]
+    for most in (best, best, None):
+        classed = shared.join(found.withColumnRenamed("node", "bag"), "bag", "left").select("band", "bag", F.coalesce("component", "bag").alias("class"))
+        mixed_bands = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
+        members, members_path = stored(classed.join(mixed_bands, "band", "left_semi").join(sketches, "bag").select("band", "bag", "sketch", "class"), "mixed-buckets")
+        fresh, fresh_path = stored(unmet_pairs(members, least, block, most).join(tried, ["a", "b"], "left_anti"), "tried-pairs")
+        old += [members_path, fresh_path]
+        if fresh.isEmpty():
+            break
+        more, more_path = stored(verified(fresh, texts(fresh), threshold, part), "near-links")
+        old += [more_path, found_path]
+        tried, links = tried.unionByName(fresh), links.unionByName(more)
+        found, found_path = stored(components(links), "near-classes")
+    forget(spark, *old)
     grouped = reps.join(found.withColumnRenamed("node", "bag"), "bag", "left").select("bag", F.coalesce("component", "bag").alias("class"), "rep")
     first = grouped.groupBy("class").agg(F.min(F.struct("rep", "bag")).alias("first"))
     classes = grouped.join(first, "class").select("bag", F.col("first.rep").alias("least_id"), F.col("first.bag").alias("least_bag"))

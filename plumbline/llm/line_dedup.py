@@ -13,6 +13,7 @@ from .work import BLANKS, SortedRun, ascii_lower, documents, forget, fresh, sort
 RUN_SCHEMA = T.StructType([T.StructField("line_hash", T.BinaryType()), T.StructField("first_doc", T.LongType()), T.StructField("epoch", T.IntegerType())])
 #: Bytes of text for a bucket of the runs, and bytes whose square root counts the batches.
 BUCKET_BYTES, BATCH_BYTES = 64_000_000, 32_000_000
+LEAST_BATCHES = 4
 
 
 def line_key(line: Column) -> Column:
@@ -118,8 +119,8 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_cha
     Lines are cut at \\n; null or empty text is one empty line. A line's key is the line stripped of
     [\\x20\\x09-\\x0D] at both ends, with A-Z lower-cased. A key of min_chars code points or more that two documents
     hold loses all its lines except in the smallest doc_id; there all stay. Batches are ranges of doc_id in rising
-    order, so that the first run that holds a key names its smallest doc_id; their number grows with the square root of
-    the bytes. Rows with a null doc_id lose nothing; rows that repeat a doc_id are one document. runs: those of a caller,
+    order, so that the first run that holds a key names its smallest doc_id; their number, 4 at least, grows with the
+    square root of the bytes. Rows with a null doc_id lose nothing; rows that repeat a doc_id are one document. runs: those of a caller,
     who keeps them for later tables and drops them; lines that earlier tables hold go everywhere. Columns n_lines and
     n_dropped are replaced. Texts and lines of any length are read whole. Empty tables give empty results.
     """
@@ -127,7 +128,7 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_cha
     ids = docs.where(F.col(key).isNotNull()).agg(F.sum(F.octet_length(text)).alias("n"), F.percentile_approx(F.col(key), [n / 1024 for n in range(1, 1024)], 10000).alias("cuts")).first()
     size = ids["n"] or 0
     if batches is None:
-        batches = max(1, math.isqrt(size // BATCH_BYTES))
+        batches = max(LEAST_BATCHES, math.isqrt(size // BATCH_BYTES))
     steps = ids["cuts"] or []
     edges = sorted({steps[min(n * 1024 // batches, 1023) - 1] for n in range(1, min(batches, 1024))}) if steps else []
     batch = F.lit(0)

@@ -20,6 +20,8 @@ RADII = (0.5, 0.25, 0.125, 0.0625)
 #: Slack of bounds on distances, above the rounding of 64-bit and of 32-bit products.
 SLACK, SLACK32 = 1e-9, 1e-4
 MOST_PIVOTS = 4096
+#: Blocks of a tile: tiles meet two at a time, so that a block's tree moves once for each tile and not for each block.
+TILE = 16
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -39,7 +41,7 @@ class CoverTree:
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self._unit = ids, vectors, None
         x = unit(vectors)
         gram = x @ x.T
         self.levels = [self._level(gram, np.zeros(1, np.int64), np.zeros(len(x), np.int64), np.zeros(1, np.int64))]
@@ -48,6 +50,12 @@ class CoverTree:
             centres, node = self._cover(gram, above["node"], above["centre"], radius)
             self.levels.append(self._level(gram, centres, node, above["node"][centres]))
 
+    def unit(self) -> np.ndarray:
+        """The unit vectors, made once where the tree is used; they do not travel."""
+        if self._unit is None:
+            self._unit = unit(self.vectors)
+        return self._unit
+
     @staticmethod
     def _cover(gram: np.ndarray, parent: np.ndarray, first: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         n = len(gram)
@@ -68,19 +76,23 @@ class CoverTree:
         own = centre[node]
         np.maximum.at(radius, node, np.where(own == np.arange(len(node)), 0, chord(gram[np.arange(len(node)), own])))
         order = np.argsort(parent, kind="stable")
-        return {"centre": centre, "radius": radius, "size": np.bincount(node, minlength=len(centre)), "node": node, "children": order, "child_start": np.searchsorted(parent[order], np.arange(parent.max() + 2))}
+        places = {"centre": centre, "size": np.bincount(node, minlength=len(centre)), "node": node, "children": order, "child_start": np.searchsorted(parent[order], np.arange(parent.max() + 2))}
+        return {"radius": radius} | {k: v.astype(np.int32) for k, v in places.items()}
 
 
 def _expanded(level_a: dict, level_b: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of children, in the given lower levels, of the node pairs (a, b)."""
     sa, sb = level_a["child_start"], level_b["child_start"]
-    na, nb = sa[a + 1] - sa[a], sb[b + 1] - sb[b]
+    na, nb = (sa[a + 1] - sa[a]).astype(np.int64), (sb[b + 1] - sb[b]).astype(np.int64)
     many = na * nb
     within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     width = np.repeat(nb, many)
     return level_a["children"][np.repeat(sa[a], many) + within // width], level_b["children"][np.repeat(sb[b], many) + within % width]
 
 
+NO_LINKS = pd.DataFrame({"vec_id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
+
+
 def dual_links(one: CoverTree, two: CoverTree | None, threshold: float) -> pd.DataFrame:
     """vec_id, links, root of every vector that links in one (two None) or between one and two.
 
@@ -90,8 +102,7 @@ def dual_links(one: CoverTree, two: CoverTree | None, threshold: float) -> pd.Da
     same = two is None
     two = one if same else two
     reach = math.sqrt(2 - 2 * threshold)
-    xa = unit(one.vectors)
-    xb = xa if same else unit(two.vectors)
+    xa, xb = one.unit(), two.unit()
     na = len(xa)
     shift = 0 if same else na
     count = np.zeros(na if same else na + len(xb), np.int64)
@@ -146,7 +157,7 @@ def dual_links(one: CoverTree, two: CoverTree | None, threshold: float) -> pd.Da
         if not len(a):
             break
     if not edges_a:
-        return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
+        return NO_LINKS
     label = connected(len(count), np.concatenate(edges_a), np.concatenate(edges_b))
     ids = one.ids if same else np.concatenate([one.ids, two.ids])
     root = np.full(len(count), np.iinfo(np.int64).max)
@@ -190,17 +201,16 @@ def _links_of(vectors: DataFrame, n: int, threshold: float, block: int) -> DataF
     gap, far = chord(centre @ centre.T), np.array([r[2] for r in stats])
     meet = gap <= far[:, None] + far[None, :] + math.sqrt(2 - 2 * threshold) + 1e-6
     spans = []
+    tile = max(1, min(TILE, int(first[-1]) // 8))
     for cell, n in place.items():
-        low = None
-        for m in range(len(parts) + 1):
-            on = m < len(parts) and meet[n, m]
-            if on and low is None:
-                low = m
-            if not on and low is not None:
-                spans.append((cell, int(first[n]), parts[n], int(first[low]), int(first[m]) - 1))
-                low = None
+        for m in np.flatnonzero(meet[n]):
+            low, high = int(first[m]) // tile, (int(first[m + 1]) - 1) // tile
+            if spans and spans[-1][0] == cell and low <= spans[-1][2] + 1:
+                spans[-1][2] = max(high, spans[-1][2])
+            else:
+                spans.append([cell, low, high])
     dims = spark.createDataFrame([(c, int(first[n]), parts[n]) for c, n in place.items()], "cell int, base int, parts int")
-    meets = spark.createDataFrame([(c, lo, hi) for c, _, _, lo, hi in spans], "cell int, lo int, hi int")
+    meets = spark.createDataFrame(spans, "cell int, lo int, hi int")
     blocked = cells.join(dims, "cell").withColumn("block", F.col("base") + F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int"))
 
     def build(p: pd.DataFrame) -> pd.DataFrame:
@@ -209,16 +219,32 @@ def _links_of(vectors: DataFrame, n: int, threshold: float, block: int) -> DataF
         return pd.DataFrame({"block": p["block"].iloc[:1].to_numpy(), "cell": p["cell"].iloc[:1].to_numpy(), "tree": [pickle.dumps(tree)]})
 
     trees, _ = stored(blocked.select("block", "cell", "vec_id", "x").groupBy("block").applyInPandas(build, "block int, cell int, tree binary"), "cover-trees")
-    sides = trees.join(meets, "cell").select("block", "tree", F.explode(F.sequence("lo", "hi")).alias("other"))
-    tasks = sides.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tree")
+    own = F.floor(F.col("block") / tile).cast("int")
+    sides = trees.join(meets, "cell").select("block", "tree", own.alias("own"), F.explode(F.sequence("lo", "hi")).alias("other"))
+    tasks = sides.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "block", "tree")
+
+    def meet_tiles(p: pd.DataFrame) -> pd.DataFrame:
+        i, j = p["i"].iloc[0], p["j"].iloc[0]
+        held = [(own, block, pickle.loads(t)) for own, block, t in sorted(zip(p["own"], p["block"], p["tree"]), key=lambda x: x[1])]
+        found = []
+        for n, (own, _, one) in enumerate(held):
+            if i == j:
+                found += [dual_links(one, None, threshold)] + [dual_links(one, two, threshold) for _, _, two in held[n + 1 :]]
+            elif own == i:
+                found += [dual_links(one, two, threshold) for other, _, two in held if other == j]
+        return pd.concat(found).groupby(["vec_id", "root"], as_index=False)["links"].sum()[["vec_id", "links", "root"]] if found else NO_LINKS
 
-    def meet_blocks(p: pd.DataFrame) -> pd.DataFrame:
-        if p["i"].iloc[0] != p["j"].iloc[0] and len(p) < 2:
-            return pd.DataFrame({"vec_id": [], "links": [], "root": []}).astype("int64")
-        got = [pickle.loads(t) for t in p.sort_values("block")["tree"]]
-        return dual_links(got[0], got[1] if p["i"].iloc[0] != p["j"].iloc[0] else None, threshold)
+    return tasks.groupBy("i", "j").applyInPandas(meet_tiles, "vec_id long, links long, root long")
+
+
+def _links_of_few(vectors: DataFrame, threshold: float) -> DataFrame:
+    """The same of all dimensions that few vectors have, a block each."""
+
+    def meet(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("vec_id")
+        return dual_links(CoverTree(p["vec_id"].to_numpy(np.int64), np.array(p["x"].tolist())), None, threshold)
 
-    return tasks.groupBy("i", "j").applyInPandas(meet_blocks, "vec_id long, links long, root long")
+    return vectors.groupBy(F.size("x").alias("size")).applyInPandas(meet, "vec_id long, links long, root long")
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, block: int = 2048, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -229,7 +255,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, block: int = 204
     many, form blocks of about `block`, each with its own tree. Two blocks meet if their cells' covering radii leave a
     pair within reach. A meeting returns a count and a root a vector, never the pairs, so thousands of copies are
     thousands of rows. Null vectors and those with null or non-finite components or no length link with nothing,
-    as do vectors of another dimension. Rows that repeat a vec_id are one vector, with the smallest embedding among
+    as do vectors of another dimension; dimensions that at most `block` vectors have share one pass, others have one each.
+    Rows that repeat a vec_id are one vector, with the smallest embedding among
     them; rows with a null vec_id become one row without links. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -237,12 +264,10 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, block: int = 204
     one = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("x")).groupBy("vec_id").agg(F.min("x").alias("x"))
     fit = F.col("vec_id").isNotNull() & F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.exists("x", lambda v: v != 0)
     usable, _ = stored(one.where(fit), "vectors")
-    partial = None
-    for size, n in sorted(tuple(r) for r in usable.groupBy(F.size("x")).count().collect()):
-        more = _links_of(usable.where(F.size("x") == size), n, threshold, block)
-        partial = more if partial is None else partial.unionByName(more)
-    if partial is None:
-        return one.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    sizes = usable.groupBy(F.size("x").alias("size")).count()
+    partial = _links_of_few(usable.join(sizes.where(F.col("count") <= block), F.size("x") == F.col("size"), "left_semi"), threshold)
+    for size, n in sorted(tuple(r) for r in sizes.where(F.col("count") > block).collect()):
+        partial = partial.unionByName(_links_of(usable.where(F.size("x") == size), n, threshold, block))
     partial, _ = stored(partial, "vector-links")
     links, _ = stored(partial.groupBy("vec_id").agg(F.sum("links").alias("n_links")), "link-counts")
     found = components(partial.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
@@ -252,6 +277,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, block: int = 204
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings; embedding_dedup states every case."""
     return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

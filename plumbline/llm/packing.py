@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import os
 import re
 import zlib
 from array import array
@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .chars import slabs
 from .work import claim, documents, keyed_texts, ship, stored
 
 CAPACITY = 2048
@@ -25,62 +26,40 @@ CUT = re.compile(r"(?<=\S)(?= )")
 HARD = re.compile(r"[^\S ] |  ")
 
 
-def vocabulary_bytes(vocabulary: dict[str, int]) -> dict[bytes, int]:
-    """Byte-level tokens as bytes: printable Latin-1 stands for itself, other bytes for code points from 256 up."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
-    return {bytes(byte_of[c] for c in token): n for token, n in vocabulary.items() if all(c in byte_of for c in token)}
-
-
 class Encoder:
     """Token ids of whole texts, as little-endian 32-bit bytes, equal to those of the tokenizer file.
 
     A byte-level tokenizer never joins a blank to what stands before it, so a text is cut before each space that
-    follows a visible character, and the ids of its words are looked up or made once. The words' ids come from the
-    file's vocabulary; a probe at the start holds them against the tokenizer's own, which does the work if they differ.
+    follows a visible character, and the ids of its words are looked up, or made by the tokenizer, many words at a time.
     """
 
-    PROBE = "It's 12 o'clock; naïve  façade\n\n\tword's -- x_1 y <|endoftext|> ça va?  \n z"
-
     def __init__(self, file: bytes):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_buffer(file)
         self.words: dict[str, bytes] = {}
-        made = json.loads(file)
-        special = {x["content"]: x["id"] for x in made.get("added_tokens", [])}
-        ranks = {k: v for k, v in vocabulary_bytes(made["model"]["vocab"]).items() if v not in special.values()}
-        self.fast = None
-        try:
-            import public_tokenizers
-            import tiktoken
-
-            fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            if fast.encode(self.PROBE, allowed_special="all") == self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids:
-                self.fast = fast
-        except (ImportError, ValueError, KeyError):
-            pass
-
-    def made(self, word: str) -> bytes:
-        if self.fast is not None:
-            ids = self.fast.encode_ordinary(word) if "<" not in word else self.fast.encode(word, allowed_special="all")
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = array("I", ids).tobytes()
-        if len(word) <= LONGEST_KEPT:
-            if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            self.words[word] = out
-        return out
 
-    def ids(self, text: str) -> bytes:
+    @staticmethod
+    def cut(text: str) -> list[str]:
         if text[:1] == " " or HARD.search(text):
-            words = CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-            words = [first, *[" " + w for w in rest]]
-        get = self.words.get
-        return b"".join([get(w) or self.made(w) for w in words])
+            return CUT.split(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + w for w in rest]]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        cuts = [self.cut(t) for t in texts]
+        fresh = list({w for words in cuts for w in words if w not in self.words})
+        made = {w: array("I", x.ids).tobytes() for w, x in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False))}
+        self.words.update(made)
+        get = self.words.__getitem__
+        out = [b"".join(map(get, words)) for words in cuts]
+        for w in made:
+            if len(w) > LONGEST_KEPT:
+                del self.words[w]
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
+        return out
 
 
 @lru_cache(1)
@@ -104,16 +83,18 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str, key: s
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("packing", encoder.cache_clear)
-        encode, part = encoder(sent.value).ids, TaskContext.get().partitionId()
+        encode, task = encoder(sent.value).ids, TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            for doc, no_id, whole in zip(batch["doc_id"], batch["no_id"], batch["text"]):
-                ids = (encode(whole) if whole else b"") + b"\0\0\0\0"
+            texts = [x or "" for x in batch["text"]]
+            coded = (ids for _, part in slabs(texts, 1_000_000) for ids in encode(part))
+            for doc, no_id, ids in zip(batch["doc_id"], batch["no_id"], coded):
+                ids += b"\0\0\0\0"
                 n, start = len(ids) // 4, 0
                 while start < n:
                     length = (n - start) % capacity or capacity
-                    rows.append((doc, no_id, 0 if start == 0 else rows[-1][2] + 1, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
+                    rows.append((doc, no_id, 0 if start == 0 else rows[-1][2] + 1, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, seen[length]))
                     seen[length] += 1
                     start += length
             yield pd.DataFrame(rows, columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
@@ -200,14 +181,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str =
 
     All pieces of the table are packed together, best fit in order of falling length. Only the number of pieces of
     each length, at most `capacity` numbers, comes to the driver, which places them (best_fit_runs); a piece finds its
-    place by its rank among the pieces of its length. Null text is empty text: the one id 0. Rows with null or
+    place by its rank among the pieces of its length. Texts of any length are encoded whole. Null text is empty text: the one id 0. Rows with null or
     repeated doc_id are packed like others. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     pieces, _ = stored(cut_pieces(docs, tokenizer, capacity, text, key), "pieces")
     per_task, _ = stored(pieces.groupBy("length", "part").count(), "piece-counts")
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(per_task.select("length", "part", before.alias("before")), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    firsts = per_task.select("length", "part", before.alias("before")).hint("merge")  # tasks times lengths: grows with the input, so never broadcast
+    ranked = pieces.join(firsts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     counts = {r[0]: r[1] for r in per_task.groupBy("length").agg(F.sum("count")).collect()}
     runs = np.array(sorted(best_fit_runs(counts, capacity)), np.int64).reshape(-1, 5)
     sent = spark.sparkContext.broadcast(runs)
@@ -226,6 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str =
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens; pack states every case."""
     import public_tokenizers
 
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import documents, forget, fresh, stored
+from .work import documents, forget, fresh, ship, stored
 
 #: Bits of MD5 that make a document's uniform number: 13 hexadecimal digits, exact in a double.
 HEX_DIGITS = 13
-#: Rates of more sources than this are joined as Spark decides, not sent to every task.
-BROADCAST_SOURCES = 10_000
+#: Rates of more sources than this, and distribution functions of more values, are joined as Spark decides, not sent to every task.
+BROADCAST_SOURCES, BROADCAST_STEPS = 10_000, 1_000_000
 
 
 def uniform(seed: int, *parts) -> F.Column:
@@ -80,17 +82,25 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     so a rerun gives the same copies and a row's count depends on no other row but through its source's rate. Copies
     are then dealt to tasks by a second hash and sorted by it within, which is one random order of all copies. Nulls
     are a source of their own; rows that repeat a doc_id have equal counts. total: rows wanted over rows given.
-    The rates are a table; only distinct rates come to the driver, and sources of equally many rows share one unless
-    weighted. A rate above max_rate has its distribution computed from the mode. More than max_sources
-    sources, if given, are refused with ValueError. Columns copy and place are replaced. Empty tables give empty results.
+    Rates are a table, and so are the distribution functions of distinct rates, which tasks compute; a rate above
+    max_rate has its function computed from the mode. Both are broadcast while they are few, else joined as Spark decides.
+    More than max_sources sources, if given, are refused with ValueError. Columns copy and place are replaced. Empty
+    tables give empty results.
     """
     rates = repetition_rates(docs, weights, temperature, total, source)
     sources = rates.count()
     if max_sources is not None and sources > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    distinct = [r[0] for r in rates.select("_rate").distinct().collect()]
-    steps = docs.sparkSession.createDataFrame([(r, *((0, poisson_steps(r)) if r <= max_rate else poisson_window(r))) for r in distinct], "_rate double, _first int, _steps array<double>")
-    return replicate(docs, F.broadcast(rates) if sources <= BROADCAST_SOURCES else rates, steps, seed, source, key)
+    ship(docs.sparkSession)
+
+    def functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            got = [(r, *((0, poisson_steps(r)) if r <= max_rate else poisson_window(r))) for r in p["_rate"]]
+            yield pd.DataFrame(got, columns=["_rate", "_first", "_steps"])
+
+    steps, _ = stored(rates.select("_rate").distinct().mapInPandas(functions, "_rate double, _first int, _steps array<double>"), "poisson-steps")
+    few = sources <= BROADCAST_SOURCES and (steps.agg(F.sum(F.size("_steps"))).first()[0] or 0) <= BROADCAST_STEPS
+    return replicate(docs, F.broadcast(rates) if few else rates, F.broadcast(steps) if few else steps, seed, source, key)
 
 
 def replicate(docs: DataFrame, rates: DataFrame, steps: DataFrame, seed: int, source: str, key: str) -> DataFrame:
@@ -98,7 +108,7 @@ def replicate(docs: DataFrame, rates: DataFrame, steps: DataFrame, seed: int, so
     docs = docs.drop("copy", "place")
     name, rate, own, first, cdf, u, n = fresh(docs.columns, "_source", "_rate", "_own", "_first", "_steps", "_u", "_n")
     out = docs.join(rates.toDF(name, rate), F.col(source).cast("string").eqNullSafe(F.col(name)))
-    out = out.join(F.broadcast(steps.toDF(own, first, cdf)), F.col(rate) == F.col(own)).withColumn(u, uniform(seed, F.col(key)))
+    out = out.join(steps.toDF(own, first, cdf), F.col(rate) == F.col(own)).withColumn(u, uniform(seed, F.col(key)))
     out = out.withColumn(n, F.col(first) + F.size(F.filter(cdf, lambda c: c <= F.col(u)))).where(F.col(n) > 0)
     out = out.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("copy"))
     out = out.withColumn("place", uniform(seed + 1, F.col(key), F.col("copy")))
@@ -106,6 +116,7 @@ def replicate(docs: DataFrame, rates: DataFrame, steps: DataFrame, seed: int, so
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents mixed to shares that grow with the root of a source's rows; mix_sources states every case."""
     return mix_sources(documents(spark, sf_dir))
 
 

@@ -273,6 +273,8 @@ def test_embedding_dedup(spark):
     want = [(n, int(near[n].sum()), c[n], c[n] == n) for n in range(700)] + [(n, 0, n, True) for n in range(900, 906)] + [(906, 1, 906, True), (907, 1, 906, False)]
     got = rows(embedding_dedup.embedding_dedup(df, block=256), "vec_id", "n_links", "component_id", "kept")
     assert got == sorted(want, key=str)
+    nulls = spark.createDataFrame([(None, [1.0, 0.0]), (None, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<float>")
+    assert rows(embedding_dedup.embedding_dedup(nulls), "vec_id", "n_links", "component_id", "kept") == [(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True)]
     assert embedding_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 

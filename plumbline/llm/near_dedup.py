@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chars import mixed, slabs
-from .components import components
+from .components import components, connected
 from .work import claim, documents, forget, keyed_texts, ship, stored
 
 WORDS, THRESHOLD = 5, 0.8
@@ -22,6 +22,8 @@ POSITIONS = BANDS * ROWS
 #: Texts signed at a time; each takes some thousand points, however short it is.
 SLAB_TEXTS = 300
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Large buckets whose names are sent to every task; more are joined as Spark decides.
+BROADCAST_BANDS = 100_000
 #: Odd multipliers of a shingle's places.
 FACTORS = [np.uint64(int(GOLD) ** (2 * k + 1) % 2**64) for k in range(64)]
 
@@ -278,48 +280,82 @@ def block_pairs_near(one: pd.DataFrame, two: pd.DataFrame, least: int) -> tuple[
 
 
 def unmet_pairs(members: DataFrame, least: int, block: int, best: int | None) -> DataFrame:
-    """Pairs (a < b) of bags of one bucket and of different classes whose sketches agree in `least` places or more; of every bag the `best` nearest, or all.
+    """Pairs (a < b) of bags of one bucket and of different classes whose sketches agree in `least` places or more.
 
+    best: of every bag the `best` nearest; None: so few that they connect the same bags as all such pairs do.
     members: (band, bag, sketch, class) of the buckets with several classes. Buckets of up to `block` members share
-    tasks; larger ones form blocks, which meet two at a time. Only sketches travel.
+    tasks; larger ones form blocks, which meet two at a time. Only sketches travel, and never a pair for every two.
     """
     spark = members.sparkSession
     sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // 20_000)
-    large = sizes.where("blocks > 1")
+    large, large_path = stored(sizes.where("blocks > 1"), "large-buckets")
+    large = F.broadcast(large) if large.count() <= BROADCAST_BANDS else large
     few = members.join(large, "band", "left_anti").withColumn("task", F.pmod(F.xxhash64("band", F.lit(5)), F.lit(tasks)))
     placed = members.join(large, "band").withColumn("mine", F.pmod(F.xxhash64("bag"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = placed.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "bag", "sketch", "class")
 
-    def named(x: np.ndarray, y: np.ndarray, same: np.ndarray) -> pd.DataFrame:
-        swap = np.array([u > v for u, v in zip(x, y)], bool)
-        out = pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "same": same.astype(np.int32)}).drop_duplicates(["a", "b"])
-        if best is None or out.empty:
-            return out
-        ends = pd.concat([out.assign(end=out["a"]), out.assign(end=out["b"])]).sort_values("same", ascending=False, kind="stable")
-        return ends.groupby("end").head(best).drop(columns="end").drop_duplicates(["a", "b"])
+    def named(bag: np.ndarray, x: np.ndarray, y: np.ndarray, same: np.ndarray) -> pd.DataFrame:
+        """Bags x and y (places in bag, in their order) as pairs."""
+        if best is None:
+            root = connected(len(bag), x, y)
+            x, y = np.flatnonzero(root != np.arange(len(bag))), root[root != np.arange(len(bag))]
+            return pd.DataFrame({"a": bag[y], "b": bag[x], "same": 0})
+        out = pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y), "same": same.astype(np.int32)}).drop_duplicates(["x", "y"])
+        ends = pd.concat([out.assign(end=out["x"]), out.assign(end=out["y"])]).sort_values("same", ascending=False, kind="stable")
+        out = ends.groupby("end").head(best).drop_duplicates(["x", "y"])
+        return pd.DataFrame({"a": bag[out["x"]], "b": bag[out["y"]], "same": out["same"]})
 
     def meet_few(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("band", ignore_index=True)
-        bag = p["bag"].map(bytes).to_numpy()
+        bag, at = np.unique(p["bag"].map(bytes).to_numpy(), return_inverse=True)
         found = list(pairs_near(p, least)) or [(np.zeros(0, int),) * 3]
         x, y, same = (np.concatenate(c) for c in zip(*found))
-        return named(bag[x], bag[y], same)
+        return named(bag, at[x], at[y], same)
 
     def meet_blocks(p: pd.DataFrame) -> pd.DataFrame:
         left = p["mine"] == p["i"]
         one = p[left]
         two = p[~left] if p["i"].iloc[0] != p["j"].iloc[0] else one
         x, y, same = block_pairs_near(one, two, least)
-        return named(one["bag"].map(bytes).to_numpy()[x], two["bag"].map(bytes).to_numpy()[y], same)
+        names = np.concatenate([one["bag"].map(bytes).to_numpy(), two["bag"].map(bytes).to_numpy()])
+        bag, at = np.unique(names, return_inverse=True)
+        return named(bag, at[x], at[len(one) + y], same)
 
     pairs = few.groupBy("task").applyInPandas(meet_few, "a binary, b binary, same int")
     pairs = pairs.unionByName(many.repartition("band", "i", "j").groupBy("band", "i", "j").applyInPandas(meet_blocks, "a binary, b binary, same int"))
-    if best is None:
-        return pairs.select("a", "b").distinct()
-    ends = pairs.distinct().select("a", "b", "same", F.explode(F.array("a", "b")).alias("end"))
-    ranked = ends.withColumn("_r", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("same"), "a", "b")))
-    return ranked.where(F.col("_r") <= best).select("a", "b").distinct()
+    if best is not None:
+        ends = pairs.distinct().select("a", "b", "same", F.explode(F.array("a", "b")).alias("end"))
+        pairs = ends.withColumn("_r", F.row_number().over(Window.partitionBy("end").orderBy(F.desc("same"), "a", "b"))).where(F.col("_r") <= best)
+    out = stored(pairs.select("a", "b").distinct(), "unmet-pairs")[0]
+    forget(spark, large_path)
+    return out
+
+
+def family_links(p: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links (a, b) that connect the texts of one or two blocks as all pairs of threshold or more do; a is a root."""
+    claim("near", WORD_HASHES.clear)
+    order = np.argsort(p["bag"].map(bytes).to_numpy())
+    names = p["bag"].map(bytes).to_numpy()[order]
+    near = similarities(bags(p["text"].iloc[order].tolist())) >= threshold - 1e-7
+    x, y = np.nonzero(np.triu(near, 1))
+    root = connected(len(names), x, y)
+    other = np.flatnonzero(root != np.arange(len(names)))
+    return pd.DataFrame({"a": names[root[other]], "b": names[other]})
+
+
+def met_families(pairs: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links of all bags that pairs (a, b) connect, every two of a family verified on their whole multisets.
+
+    A family's texts form blocks of `block`, which meet two at a time; a meeting returns a root a text, never pairs.
+    """
+    grown = components(pairs)
+    family, _ = stored(grown.unionByName(grown.select(F.col("component").alias("node"), "component").distinct()), "families")
+    sizes = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = family.join(sizes, "component").select(F.col("node").alias("bag"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("mine"))
+    spread = texts.join(placed, "bag").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = spread.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "bag", "text")
+    return tasks.repartition("family", "i", "j").groupBy("family", "i", "j").applyInPandas(lambda p: family_links(p, threshold), "a binary, b binary")
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024, part: int = 128, best: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -329,10 +365,11 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024,
     Jaccard similarity of threshold or more; class_id is a class's smallest doc_id, whose row is kept. Texts with equal
     bags become one before any pair is made. Signatures' bands put bags in buckets. First every bag of a bucket is
     verified against the bucket's least bag, which joins most of what belongs together. In buckets that still hold several
-    classes, members of different classes are compared by sketch; twice, every bag is verified with the `best` that agree
-    with it most, and classes grow; last, all pairs of different classes that agree like texts of the threshold (five
-    deviations below it at most) are verified. So the classes are those that all bucket pairs, verified on their whole
-    multisets, would give; nothing is capped. With 25 bands of 5, a pair at 0.8 shares no bucket once in 20,000 times.
+    classes, members of different classes are compared by sketch: every bag is verified with the `best` that agree with it
+    most, and classes grow; then what still agrees like texts of the threshold (five deviations below it at most) without
+    being one class forms families, in which every two texts are verified, in blocks of `part`. So the classes are those
+    that all bucket pairs, verified on their whole multisets, would give; nothing is capped. With 25 bands of 5, a pair
+    at 0.8 shares no bucket once in 20,000 times.
     Null texts and those without a letter or digit are classes of their own, as are rows with a null doc_id (class_id
     null). Rows that repeat a doc_id with other texts are classed by their own text; of those in one class whose id is its
     least, the text of least bag is kept. Rows that repeat both are marked alike. Texts of any length are signed and
@@ -364,17 +401,18 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024,
     links, links_path = stored(verified(tried, texts(tried), threshold, part), "near-links")
     found, found_path = stored(components(links), "near-classes")
     old = [shared_path, tried_path, links_path]
-    for most in (best, best, None):
+    for most in (best, None):
         classed = shared.join(found.withColumnRenamed("node", "bag"), "bag", "left").select("band", "bag", F.coalesce("component", "bag").alias("class"))
         mixed_bands = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
         members, members_path = stored(classed.join(mixed_bands, "band", "left_semi").join(sketches, "bag").select("band", "bag", "sketch", "class"), "mixed-buckets")
-        fresh, fresh_path = stored(unmet_pairs(members, least, block, most).join(tried, ["a", "b"], "left_anti"), "tried-pairs")
-        old += [members_path, fresh_path]
+        fresh = unmet_pairs(members, least, block, most)
+        old.append(members_path)
         if fresh.isEmpty():
             break
-        more, more_path = stored(verified(fresh, texts(fresh), threshold, part), "near-links")
+        checked = verified(fresh.join(tried, ["a", "b"], "left_anti"), texts(fresh), threshold, part) if most else met_families(fresh, texts(fresh), threshold, part)
+        more, more_path = stored(checked, "near-links")
         old += [more_path, found_path]
-        tried, links = tried.unionByName(fresh), links.unionByName(more)
+        links = links.unionByName(more)
         found, found_path = stored(components(links), "near-classes")
     forget(spark, *old)
     grouped = reps.join(found.withColumnRenamed("node", "bag"), "bag", "left").select("bag", F.coalesce("component", "bag").alias("class"), "rep")

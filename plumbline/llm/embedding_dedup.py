@@ -264,10 +264,11 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, block: int = 204
     one = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("x")).groupBy("vec_id").agg(F.min("x").alias("x"))
     fit = F.col("vec_id").isNotNull() & F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.exists("x", lambda v: v != 0)
     usable, _ = stored(one.where(fit), "vectors")
-    sizes = usable.groupBy(F.size("x").alias("size")).count()
-    partial = _links_of_few(usable.join(sizes.where(F.col("count") <= block), F.size("x") == F.col("size"), "left_semi"), threshold)
-    for size, n in sorted(tuple(r) for r in sizes.where(F.col("count") > block).collect()):
-        partial = partial.unionByName(_links_of(usable.where(F.size("x") == size), n, threshold, block))
+    size = F.size("x")
+    large = sorted(tuple(r) for r in usable.groupBy(size).count().where(F.col("count") > block).collect())
+    partial = _links_of_few(usable.where(~size.isin([k for k, _ in large])) if large else usable, threshold)
+    for k, n in large:
+        partial = partial.unionByName(_links_of(usable.where(size == k), n, threshold, block))
     partial, _ = stored(partial, "vector-links")
     links, _ = stored(partial.groupBy("vec_id").agg(F.sum("links").alias("n_links")), "link-counts")
     found = components(partial.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))

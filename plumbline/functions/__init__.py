@@ -1 +1 @@
-"""Functions of the engine."""
+"""Functions that several operators share."""

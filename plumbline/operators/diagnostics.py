@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from .graph import GROUP, _typed
 
 SCALE = ["layer_id", "lookback_minutes"]
@@ -18,52 +19,89 @@ def canonical(edges: DataFrame) -> DataFrame:
 
 
 def strong_thresholds(edges: DataFrame) -> DataFrame:
-    """Weight quantiles of each (layer, lookback)."""
-    q = edges.groupBy(*SCALE).agg(F.percentile("weight", F.array(*map(F.lit, QUANTILES))).alias("q"))
-    return q.select(*SCALE, *(F.col("q")[i].alias(f"q{round(v * 100)}") for i, v in enumerate(QUANTILES)))
+    """Weight quantiles of each (layer, lookback), exact."""
+    return exact_quantiles(edges, SCALE, "weight", {f"q{round(v * 100)}": v for v in QUANTILES})
 
 
 def snapshot_diagnostics(edges: DataFrame, universe: int, thresholds: DataFrame) -> DataFrame:
-    """Edges, active nodes, coverage, mean weight, and for each quantile the strong edges' share and their nodes' coverage."""
-    strong = {n: f"q{round(v * 100)}" for n, v in enumerate(QUANTILES)}
-    on = edges.join(thresholds, SCALE)
-    flags = [(F.col("weight") >= F.col(c)).alias(f"s{c[1:]}") for c in strong.values()]
-    ends = on.select(*GROUP, "weight", *flags, F.explode(F.array("src_id", "dst_id")).alias("node"))
-    nodes = ends.groupBy(*GROUP, "node").agg(*(F.max(f"s{c[1:]}").alias(f"s{c[1:]}") for c in strong.values())).groupBy(*GROUP)
-    nodes = nodes.agg(F.count(F.lit(1)).alias("active_nodes"), *(F.sum(F.col(f"s{c[1:]}").cast("long")).alias(f"n{c[1:]}") for c in strong.values()))
-    sums = on.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("edge_count"), F.avg("weight").alias("mean_weight"), *(F.avg((F.col("weight") >= F.col(c)).cast("double")).alias(f"strong_ratio_{c}") for c in strong.values()))
-    return sums.join(nodes, GROUP).select(*GROUP, "edge_count", "active_nodes", (F.col("active_nodes") / universe).alias("node_coverage"), "mean_weight", *(f"strong_ratio_{c}" for c in strong.values()), *((F.col(f"n{c[1:]}") / universe).alias(f"strong_coverage_{c}") for c in strong.values()))
-
-
-def temporal_diagnostics(edges: DataFrame) -> DataFrame:
-    """Birth, death and persistence rates and Jaccard of a frame's pairs against those of the frame before; null for the first."""
-    pairs = canonical(edges).select(*GROUP, "src_id", "dst_id").distinct()
+    """Edges, active nodes, coverage, mean weight, and for each quantile the strong edges' share and their nodes' coverage.
+
+    The weights' own quantiles and tails are graph.weight_diagnostics, the components component_metrics and the
+    communities community_metrics; all share these keys.
+    """
+    strong = [f"q{round(v * 100)}" for v in QUANTILES]
+    on = edges.join(thresholds, SCALE, "left")
+    ends = on.select(*GROUP, *((F.col("weight") >= F.col(c)).alias(c) for c in strong), F.explode(F.array("src_id", "dst_id")).alias("node"))
+    nodes = ends.groupBy(*GROUP, "node").agg(*(F.max(c).alias(c) for c in strong)).groupBy(*GROUP)
+    nodes = nodes.agg(F.count(F.lit(1)).alias("active_nodes"), *(F.sum(F.col(c).cast("long")).alias(c) for c in strong))
+    sums = on.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("edge_count"), F.avg("weight").alias("weight_mean"), *(F.avg((F.col("weight") >= F.col(c)).cast("double")).alias(f"strong_edge_ratio_{c}") for c in strong))
+    coverage = F.col("active_nodes") / universe
+    return sums.join(nodes, GROUP).select(*GROUP, "edge_count", "active_nodes", coverage.alias("node_coverage"), (1 - coverage).alias("isolated_node_ratio"), "weight_mean", *(f"strong_edge_ratio_{c}" for c in strong), *((F.col(c) / universe).alias(f"strong_node_coverage_{c}") for c in strong))
+
+
+def temporal_diagnostics(edges: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Birth, death and persistence rates and Jaccard of a frame's pairs against those of the frame before, of all pairs and of strong ones (weight at q90 or above).
+
+    The first frame of a (layer, lookback) has nulls. A frame without strong pairs has an empty set of them, not none.
+    """
+    strong = F.coalesce(F.col("weight") >= F.col("q90"), F.lit(False))
+    pairs = canonical(edges.join(thresholds.select(*SCALE, "q90"), SCALE, "left")).groupBy(*GROUP, "src_id", "dst_id").agg(F.max(strong).alias("s"))
     w = Window.partitionBy(*SCALE).orderBy("decision_time")
-    frames = pairs.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("now")).withColumns({"prev_time": F.lag("decision_time").over(w), "before": F.lag("now").over(w)})
-    times = frames.select(*GROUP, F.col("prev_time"))
-    kept = pairs.join(times, GROUP).join(pairs.select(F.col("decision_time").alias("prev_time"), *SCALE, "src_id", "dst_id"), ["prev_time", *SCALE, "src_id", "dst_id"], "left_semi").groupBy(*GROUP).agg(F.count(F.lit(1)).alias("kept"))
-    out = frames.join(kept, GROUP, "left").withColumn("kept", F.when(F.col("before").isNotNull(), F.coalesce("kept", F.lit(0))))
     one = F.lit(1)
-    return out.select(
-        *GROUP, ((F.col("now") - F.col("kept")) / F.greatest(one, "now")).alias("birth_rate"), ((F.col("before") - F.col("kept")) / F.greatest(one, "before")).alias("death_rate"),
-        (F.col("kept") / F.greatest(one, "before")).alias("persistence"), (F.col("kept") / F.greatest(one, F.col("now") + F.col("before") - F.col("kept"))).alias("jaccard"),
-    )
+    frames = pairs.groupBy(*GROUP).agg(F.count(one).alias("all_now"), F.sum(F.col("s").cast("long")).alias("strong_now"))
+    frames = frames.withColumns({"prev_time": F.lag("decision_time").over(w), "all_before": F.lag("all_now").over(w), "strong_before": F.lag("strong_now").over(w)})
+    old = pairs.select(F.col("decision_time").alias("prev_time"), *SCALE, "src_id", "dst_id", F.col("s").alias("t"))
+    both = pairs.join(frames.select(*GROUP, "prev_time"), GROUP).join(old, ["prev_time", *SCALE, "src_id", "dst_id"])
+    kept = both.groupBy(*GROUP).agg(F.count(one).alias("all_kept"), F.sum((F.col("s") & F.col("t")).cast("long")).alias("strong_kept"))
+    out, rates = frames.join(kept, GROUP, "left"), []
+    for kind in ("all", "strong"):
+        now, before = F.col(f"{kind}_now"), F.col(f"{kind}_before")
+        stays = F.when(F.col("prev_time").isNotNull(), F.coalesce(f"{kind}_kept", F.lit(0)))
+        shares = {"birth_rate": (now - stays, now), "death_rate": (before - stays, before), "persistence": (stays, before), "jaccard": (stays, now + before - stays)}
+        rates += [(top / F.greatest(one, bottom)).alias(f"{kind}_{name}") for name, (top, bottom) in shares.items()]
+    return out.select(*GROUP, *rates)
 
 
 def resonance(edges: DataFrame, layers: DataFrame) -> DataFrame:
-    """Per time: pairs by how many layers and families hold them. Layer 0 is left out. layers: (layer_id, family)."""
-    pairs = canonical(edges.where("layer_id <> 0").join(F.broadcast(layers), "layer_id")).groupBy("decision_time", "src_id", "dst_id")
-    each = pairs.agg(F.countDistinct("layer_id").alias("l"), F.countDistinct("family").alias("f"))
-    at_least = [F.sum((F.col("l") >= n).cast("long")).alias(f"pairs_layers_{n}") for n in (2, 3, 5)]
-    return each.groupBy("decision_time").agg(F.count(F.lit(1)).alias("pairs"), *at_least, F.avg("l").alias("mean_layers"), F.avg("f").alias("mean_families"))
+    """Per time: pairs that 2 or 3 layers or families hold, nodes of 5 layers or 3 families, mean layers of pairs and nodes.
+
+    Layer 0 is left out; a layer without a family is of the family unknown. A time of layer 0 alone has zeros. layers: (layer_id, family).
+    """
+    named = edges.join(layers.select("layer_id", "family"), "layer_id", "left").withColumn("family", F.coalesce("family", F.lit("unknown")))
+    real = canonical(named.where("layer_id <> 0"))
+
+    def counted(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy("decision_time", *keys).agg(F.countDistinct("layer_id").alias("l"), F.countDistinct("family").alias("f"))
+
+    many = lambda c, n, name: F.sum((F.col(c) >= n).cast("long")).alias(name)
+    pairs = counted(real, "src_id", "dst_id").groupBy("decision_time").agg(
+        many("l", 2, "resonant_edges_ge2_layers"), many("l", 3, "resonant_edges_ge3_layers"), many("f", 2, "resonant_edges_ge2_families"), many("f", 3, "resonant_edges_ge3_families"), F.avg("l").alias("mean_edge_layer_support")
+    )
+    nodes = counted(real.withColumn("node", F.explode(F.array("src_id", "dst_id"))), "node").groupBy("decision_time").agg(
+        many("l", 5, "core_nodes_ge5_layers"), many("f", 3, "core_nodes_ge3_families"), F.avg("l").alias("mean_node_layer_participation")
+    )
+    out = edges.select("decision_time").distinct().join(pairs, "decision_time", "left").join(nodes, "decision_time", "left")
+    return out.fillna(0).select("decision_time", *RESONANCE_METRICS)
+
+
+#: What the daily table averages.
+SNAPSHOT_METRICS = (
+    "edge_count", "node_coverage", "strong_edge_ratio_q90", "strong_node_coverage_q90", "weight_p90", "weight_p95", "weight_p99", "top_1pct_mean_weight", "tail_mass_95",
+    "giant_component_coverage", "community_hhi", "top_community_coverage", "weighted_modularity", "cpm_quality", "within_community_weight_ratio",
+)
+TEMPORAL_METRICS = ("all_birth_rate", "all_death_rate", "all_persistence", "strong_birth_rate", "strong_death_rate", "strong_persistence")
+RESONANCE_METRICS = (
+    "resonant_edges_ge2_layers", "resonant_edges_ge3_layers", "resonant_edges_ge2_families", "resonant_edges_ge3_families", "core_nodes_ge5_layers", "core_nodes_ge3_families", "mean_edge_layer_support", "mean_node_layer_participation",
+)
 
 
 def daily(snapshot: DataFrame, temporal: DataFrame, res: DataFrame, day: str = "trade_date") -> DataFrame:
-    """Daily means of the three diagnostics, joined outer on the day."""
-    a = snapshot.groupBy(day).agg(F.avg("edge_count").alias("edge_count"), F.avg("node_coverage").alias("node_coverage"))
-    b = temporal.groupBy(day).agg(F.avg("birth_rate").alias("birth_rate"), F.avg("jaccard").alias("jaccard"))
-    c = res.groupBy(day).agg(F.avg("mean_layers").alias("mean_layers"))
-    return a.join(b, day, "full_outer").join(c, day, "full_outer")
+    """Daily means of the metrics above that the three tables have, joined outer on the day."""
+    out = None
+    for table, metrics in ((snapshot, SNAPSHOT_METRICS), (temporal, TEMPORAL_METRICS), (res, RESONANCE_METRICS)):
+        means = table.groupBy(day).agg(*(F.avg(c).alias(c) for c in metrics if c in table.columns))
+        out = means if out is None else out.join(means, day, "full_outer")
+    return out
 
 
 def components_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,39 +133,89 @@ def component_metrics(members: DataFrame, group: list[str], universe: int) -> Da
     """Number of components, the largest one's coverage of the universe, and the sum of squared size shares."""
     sizes = members.groupBy(*group, "component_id").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n")
-    return sizes.groupBy(*group).agg(F.count(F.lit(1)).alias("component_count"), (F.max("n") / universe).alias("giant_coverage"), (F.sum(F.col("n") * F.col("n")) / (total * total)).alias("size_hhi"))
+    return sizes.groupBy(*group).agg(F.count(F.lit(1)).alias("component_count"), (F.max("n") / universe).alias("giant_component_coverage"), (F.sum(F.col("n") * F.col("n")) / (total * total)).alias("component_size_hhi"))
+
 
+def community_metrics(edges: DataFrame, members: DataFrame, group: list[str], universe: int, resolution: float = 1.0) -> DataFrame:
+    """Of given communities: number, sum of squared size shares, the largest one's coverage, weighted modularity, CPM quality and the share of weight within.
 
-def modularity(edges: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
-    """Sum over communities of within / m - (degree / 2m)^2, and the share of weight within. members: (group, node_id, community_id)."""
+    Modularity: the sum over communities of within / m - (degree / 2m)^2. CPM: twice the sum of weight within less
+    resolution times the possible pairs. members: (group, node_id, community_id), a row a node.
+    """
     src = members.select(*group, F.col("node_id").alias("src_id"), F.col("community_id").alias("a"))
     dst = members.select(*group, F.col("node_id").alias("dst_id"), F.col("community_id").alias("b"))
     on = edges.join(src, [*group, "src_id"]).join(dst, [*group, "dst_id"])
     ends = on.select(*group, F.explode(F.array(F.struct(F.col("a").alias("c"), "weight", F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0).alias("w")), F.struct(F.col("b").alias("c"), "weight", F.lit(0.0).alias("w")))).alias("e")).select(*group, "e.*")
     per = ends.groupBy(*group, "c").agg(F.sum("weight").alias("degree"), F.sum("w").alias("within"))
-    m = per.groupBy(*group).agg((F.sum("degree") / 2).alias("m"))
-    share = F.col("degree") / (2 * F.col("m"))
-    return per.join(m, group).groupBy(*group).agg(F.sum(F.col("within") / F.col("m") - share * share).alias("modularity"), F.sum(F.col("within") / F.col("m")).alias("within_ratio"))
+    sizes = members.groupBy(*group, F.col("community_id").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    per = sizes.join(per, [*group, "c"], "left").fillna(0.0, ["degree", "within"])
+    total = per.groupBy(*group).agg((F.sum("degree") / 2).alias("m"), F.sum("n").alias("nodes"))
+    share, n = F.col("degree") / (2 * F.col("m")), F.col("n")
+    return per.join(total, group).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("community_count"), F.sum(F.pow(n / F.col("nodes"), F.lit(2))).alias("community_hhi"), (F.max("n") / universe).alias("top_community_coverage"),
+        F.sum(F.col("within") / F.col("m") - share * share).alias("weighted_modularity"), (2 * F.sum(F.col("within") - resolution * n * (n - 1) / 2)).alias("cpm_quality"), F.sum(F.col("within") / F.col("m")).alias("within_community_weight_ratio"),
+    )
+
+
+#: Metrics that reward a candidate, penalise it, and tell regimes apart.
+GOOD_METRICS = ("strong_edge_ratio_q90", "strong_node_coverage_q90", "weight_p95", "weight_p99", "weighted_modularity", "within_community_weight_ratio", "strong_persistence")
+BAD_METRICS = ("degree_cap_saturation", "empty_rate")
+REGIME_METRICS = (
+    "strong_edge_ratio_q90", "strong_node_coverage_q90", "weight_p95", "weight_p99", "tail_mass_95", "node_coverage", "community_hhi", "weighted_modularity", "within_community_weight_ratio", "strong_birth_rate", "strong_death_rate", "strong_persistence",
+)
+RUN = ["candidate", *SCALE]
 
 
-def candidate_scores(rows: DataFrame, reward: list[str], penalty: list[str]) -> DataFrame:
-    """Score of each (layer, lookback, candidate): mean z of rewards less 0.75 of the mean z of penalties, z within (layer, lookback)."""
+def candidate_rows(snapshot: DataFrame, temporal: DataFrame, candidate: str, parameters: dict) -> DataFrame:
+    """One candidate's diagnostics: the snapshots with their temporal rows (by day, time, layer and lookback), its parameters, empty_rate and cap saturation."""
+    on = snapshot.join(temporal, ["trade_date", "decision_time", *SCALE], "left").withColumns({"candidate": F.lit(candidate), "empty_rate": (F.col("edge_count") == 0).cast("double")})
+    on = on.withColumns({"top_k": F.lit(int(parameters["top_k"])), "degree_cap": F.lit(int(parameters["degree_cap"])), "minimum_similarity": F.lit(float(parameters["minimum_similarity"]))})
+    if "degree_cap_saturation" in on.columns:
+        return on
+    nodes = F.col("universe_count") if "universe_count" in on.columns else F.lit(1.0)
+    return on.withColumn("degree_cap_saturation", F.col("edge_count") / F.greatest(nodes * F.col("degree_cap") / 2.0, F.lit(1.0)))
+
+
+def effect_size(rows: DataFrame, metric: str, regime: str, keys: list[str]) -> DataFrame:
+    """|mean in regime - mean outside| over the sample deviation of all; regime: a boolean column, null for rows of neither side."""
+    return rows.groupBy(*keys).agg(_effect(metric, F.col(regime), ~F.col(regime)).alias("effect_size"))
+
+
+def _effect(metric: str, inside: Column, outside: Column) -> Column:
+    spread = F.stddev_samp(metric)
+    apart = F.abs(F.avg(F.when(inside, F.col(metric))) - F.avg(F.when(outside, F.col(metric))))
+    return F.when(spread > 0, apart / spread)
+
+
+def candidate_scores(rows: DataFrame, active: list[str], inactive: list[str], good: tuple = GOOD_METRICS, bad: tuple = BAD_METRICS, regime: tuple = REGIME_METRICS) -> DataFrame:
+    """A row a (candidate, layer, lookback): means of the metrics, regime separation, their z, and multiobjective score.
+
+    Regime separation is the mean effect size between active and inactive days over the metrics that have one, else 0;
+    it is a reward like the good metrics. z is within (layer, lookback), population deviation, 1 where that is 0. The
+    score is the mean reward z less 0.75 of the mean penalty z. Metrics that rows lack are left out.
+    """
+    good, bad = ([c for c in cs if c in rows.columns] for cs in (good, bad))
+    day = F.col("trade_date").cast("string")
+    effects = F.array_compact(F.array(*(_effect(c, day.isin(active), day.isin(inactive)) for c in regime if c in rows.columns)))
+    mean = F.aggregate(effects, F.lit(0.0), lambda s, x: s + x) / F.size(effects)
+    runs = rows.groupBy(*RUN).agg(*(F.avg(c).alias(c) for c in (*good, *bad)), F.when(F.size(effects) > 0, mean).otherwise(0.0).alias("regime_separation"))
     w = Window.partitionBy(*SCALE)
 
-    def z(c: str):
+    def z(c: str) -> Column:
         s = F.stddev_pop(c).over(w)
-        return F.coalesce(F.when(s > 1e-12, (F.col(c) - F.avg(c).over(w)) / s), F.lit(0.0))
+        return (F.col(c) - F.avg(c).over(w)) / F.when(s > 0, s).otherwise(1.0)
 
-    mean = lambda cs: sum((z(c) for c in cs[1:]), z(cs[0])) / len(cs)
-    return rows.withColumn("score", mean(reward) - 0.75 * mean(penalty))
+    def mean_z(cs: list[str]) -> Column:
+        some = F.array_compact(F.array(*(F.col(f"{c}_z") for c in cs)))
+        return F.aggregate(some, F.lit(0.0), lambda s, x: s + x) / F.size(some) if cs else F.lit(0.0)
+
+    reward = [*good, "regime_separation"]
+    out = runs.withColumns({f"{c}_z": z(c) for c in (*reward, *bad)})
+    out = out.withColumns({"reward_score": mean_z(reward), "penalty_score": mean_z(bad)})
+    return out.withColumn("multiobjective_score", F.col("reward_score") - 0.75 * F.col("penalty_score"))
 
 
 def best_candidates(scored: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*SCALE).orderBy(F.desc("score"), "candidate")
+    """The best of each (layer, lookback), ties by candidate."""
+    w = Window.partitionBy(*SCALE).orderBy(F.desc("multiobjective_score"), "candidate")
     return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
-def effect_size(rows: DataFrame, metric: str, regime: str, keys: list[str]) -> DataFrame:
-    """|mean in regime - mean outside| over the sample deviation of all."""
-    inside, outside = F.avg(F.when(F.col(regime), F.col(metric))), F.avg(F.when(~F.col(regime), F.col(metric)))
-    return rows.groupBy(*keys).agg(F.try_divide(F.abs(inside - outside), F.stddev_samp(metric)).alias("effect_size"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import exact_quantiles, order_statistics
+
 GROUP = ["decision_time", "layer_id", "lookback_minutes"]
 
 
@@ -134,21 +136,40 @@ def symmetric(edges: DataFrame, group: list[str]) -> DataFrame:
     return edges.select(*group, "weight", F.explode(ends).alias("e")).select(*group, "e.node_id", "e.other_id", "weight")
 
 
-def node_metrics(edges: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
-    """Degree and strength of every node of each group's universe, 0 for isolated ones, and the strength's z-score."""
+def node_metrics(edges: DataFrame, nodes: DataFrame, group: list[str], graphs: DataFrame | None = None) -> DataFrame:
+    """Degree and strength of every node of each group's universe, 0 for isolated ones, and the strength's z-score. graphs: the groups, if some have no edges."""
     sums = symmetric(edges, group).groupBy(*group, "node_id").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))
-    every = edges.select(*group).distinct().crossJoin(nodes)
-    out = every.join(sums, [*group, "node_id"], "left").fillna({"degree": 0, "strength": 0.0})
+    every = (edges.select(*group).distinct() if graphs is None else graphs).crossJoin(nodes)
+    return with_core(every.join(sums, [*group, "node_id"], "left").fillna({"degree": 0, "strength": 0.0}), group)
+
+
+def with_core(nodes: DataFrame, group: list[str]) -> DataFrame:
+    """nodes with core_z, the z-score of strength within a group; 0 where it hardly varies."""
     w = Window.partitionBy(*group)
     s = F.stddev_pop("strength").over(w)
-    return out.withColumn("core_z", F.when(s > 1e-12, (F.col("strength") - F.avg("strength").over(w)) / s).otherwise(0.0))
+    return nodes.withColumn("core_z", F.when(s > 1e-12, (F.col("strength") - F.avg("strength").over(w)) / s).otherwise(0.0))
 
 
 def neighbor_mean(edges: DataFrame, signals: DataFrame, group: list[str]) -> DataFrame:
     """sum(w * signal) / sum(w) over a node's neighbours, 0 where the weights sum to 0. signals: (node_id, signal)."""
-    both = symmetric(edges, group).join(signals.withColumnRenamed("node_id", "other_id"), "other_id")
-    out = both.groupBy(*group, "node_id").agg(F.sum(F.col("weight") * F.col("signal")).alias("_n"), F.sum("weight").alias("_w"))
-    return out.select(*group, "node_id", F.when(F.abs("_w") > 0, F.col("_n") / F.col("_w")).otherwise(0.0).alias("neighbor_signal"))
+    return neighbor_means(edges, signals, group, {"signal": "neighbor_signal"})
+
+
+def neighbor_means(edges: DataFrame, signals: DataFrame, group: list[str], names: dict[str, str]) -> DataFrame:
+    """The same for several signals in one pass. signals: (node_id, signals, and decision_time if they change); names: of the means."""
+    on = [c for c in ("decision_time",) if c in signals.columns]
+    both = symmetric(edges, group).join(signals.withColumnRenamed("node_id", "other_id"), [*on, "other_id"])
+    out = both.groupBy(*group, "node_id").agg(F.sum("weight").alias("_w"), *(F.sum(F.col("weight") * F.col(c)).alias(f"_{c}") for c in names))
+    return out.select(*group, "node_id", *(F.when(F.abs("_w") > 0, F.col(f"_{c}") / F.col("_w")).otherwise(0.0).alias(n) for c, n in names.items()))
+
+
+def multiplex_metrics(edges: DataFrame, nodes: DataFrame, graphs: DataFrame, time: str = "decision_time") -> DataFrame:
+    """(time, node) of every time of graphs (time, layer_id, ...): distinct neighbours, mean strength and share of layers with an edge over all its graphs, and core_z."""
+    layers = graphs.groupBy(time).agg(F.countDistinct("layer_id").alias("_l"))
+    sums = symmetric(edges, [time, "layer_id"]).groupBy(time, "node_id").agg(F.countDistinct("other_id").alias("degree"), F.sum("weight").alias("_s"), F.countDistinct("layer_id").alias("_p"))
+    every = layers.crossJoin(nodes).join(sums, [time, "node_id"], "left").fillna({"degree": 0, "_s": 0.0, "_p": 0})
+    out = every.select(time, "node_id", "degree", (F.col("_s") / F.col("_l")).alias("strength"), (F.col("_p") / F.col("_l")).alias("layer_participation"))
+    return with_core(out, [time])
 
 
 def multiplex(edges: DataFrame, time: str = "decision_time") -> DataFrame:
@@ -159,14 +180,22 @@ def multiplex(edges: DataFrame, time: str = "decision_time") -> DataFrame:
     return out.join(layers, time).select(time, "node_id", "degree", (F.col("_s") / F.col("_l")).alias("strength"), (F.col("_p") / F.col("_l")).alias("layer_participation"))
 
 
+WEIGHT_QUANTILES = {"weight_p50": 0.5, "weight_p75": 0.75, "weight_p90": 0.9, "weight_p95": 0.95, "weight_p99": 0.99}
+
+
 def weight_diagnostics(edges: DataFrame, group: list[str]) -> DataFrame:
-    """Quantiles of weights (linear), the mean of the top ceil(1 %), and the share of weight at or above the 95 % quantile."""
-    q = edges.groupBy(*group).agg(F.percentile("weight", F.array(*map(F.lit, [0.5, 0.75, 0.9, 0.95, 0.99]))).alias("q"), F.count(F.lit(1)).alias("n"))
-    ranked = edges.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("weight"))))
-    top = F.greatest(F.lit(1), F.ceil(F.col("n") * 0.01))
-    sums = ranked.join(q, group).groupBy(*group).agg(F.avg(F.when(F.col("_r") <= top, F.col("weight"))).alias("top_1pct_mean_weight"), F.try_divide(F.sum(F.when(F.col("weight") >= F.col("q")[3], F.col("weight"))), F.sum("weight")).alias("tail_mass_95"))
-    names = ["weight_p50", "weight_p75", "weight_p90", "weight_p95", "weight_p99"]
-    return q.join(sums, group).select(*group, *(F.col("q")[i].alias(n) for i, n in enumerate(names)), "top_1pct_mean_weight", "tail_mass_95")
+    """Quantiles of weights (linear, exact), the mean of the top ceil(1 %), and the share of weight at or above the 95 % quantile.
+
+    The top's mean is the sum above its least weight and as many of that weight as are left, so no task orders a graph.
+    """
+    last = {"_least": F.col("_n") - F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.01))}
+    least = order_statistics(edges, group, "weight", last, {"_least": 0.99})
+    q = exact_quantiles(edges, group, "weight", WEIGHT_QUANTILES).join(least, group)
+    w, low = F.col("weight"), F.col("_least")
+    sums = edges.join(q, group).groupBy(*group).agg(F.sum(F.when(w > low, w)).alias("_above"), F.count(F.when(w > low, w)).alias("_k"), F.sum(F.when(w >= F.col("weight_p95"), w)).alias("_tail"), F.sum("weight").alias("_whole"))
+    k = F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.01))
+    top = (F.coalesce("_above", F.lit(0.0)) + (k - F.col("_k")) * low) / k
+    return q.join(sums, group).select(*group, *WEIGHT_QUANTILES, top.alias("top_1pct_mean_weight"), F.when(F.col("_whole") > 0, F.col("_tail") / F.col("_whole")).alias("tail_mass_95"))
 
 
 def snapshot_qa(nodes: DataFrame, group: list[str], cap: int) -> DataFrame:

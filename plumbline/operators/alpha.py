@@ -8,36 +8,52 @@ from pyspark.sql import functions as F
 THEME = ["decision_time", "layer_id", "scale", "level", "theme_id"]
 
 
-def past_labels(labels: DataFrame, horizon: int, label: str, unit: str = "minutes", lag: int | None = None) -> DataFrame:
-    """labels with past_<label>: the label that began lag (by default the horizon) before, so that it ends by now."""
-    back = horizon if lag is None else lag
-    moved = labels.select("symbol", (F.col("decision_time") + F.expr(f"INTERVAL {back} {unit}")).alias("decision_time"), F.col(label).alias(f"past_{label}"))
-    return labels.join(moved, ["decision_time", "symbol"], "left")
+def past_labels(labels: DataFrame, horizons: list[int], bar: int, unit: str = "minutes", legacy: bool = False) -> DataFrame:
+    """labels with past_label_h for each horizon h: the label that began h + bar before, which enters a bar later and so ends by now.
 
-
-def theme_returns(members: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Mean, core-weighted, top-5 and top-10 returns of each theme in one pass over members joined with labels.
-
-    The core-weighted mean divides by the scores of all members, so one without a label counts as return 0. Ranks are by core_score, ties by member.
+    legacy: the label that began h before, which looks ahead by a bar; for comparisons alone.
     """
-    on = members.join(labels.select("decision_time", F.col("symbol").alias("member_id"), F.col(label).alias("x")), ["decision_time", "member_id"])
-    r = F.row_number().over(Window.partitionBy(*THEME).orderBy(F.desc("core_score"), "member_id"))
-    top = lambda k: F.avg(F.when(F.col("_r") <= k, F.col("x")))
-    return on.withColumn("_r", r).groupBy(*THEME).agg(
-        F.count(F.lit(1)).alias("member_count"), F.avg("x").alias("mean_return"), F.try_divide(F.sum(F.col("core_score") * F.col("x")), F.sum("core_score")).alias("core_weighted_return"), top(5).alias("top5_return"), top(10).alias("top10_return")
-    )
+    out = labels
+    for h in horizons:
+        back = h if legacy else h + bar
+        moved = labels.select("symbol", (F.col("decision_time") + F.expr(f"INTERVAL {back} {unit}")).alias("decision_time"), F.col(f"label_{h}").alias(f"past_label_{h}"))
+        out = out.join(moved, ["decision_time", "symbol"], "left")
+    return out
 
 
-def spillover(relations: DataFrame, past: DataFrame, future: DataFrame) -> DataFrame:
-    """Signal of a target theme: mean of strength times the source's past return (null as 0), with mean strength and count.
+def theme_returns(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Returns of each theme for every label_h and past_label_h of labels, in one pass over members joined with labels.
 
-    past and future: THEME columns and mean_return.
+    ret_eq_h (past_eq_h) is the mean, core the mean weighted by core_score, top5 and top10 the means of the members of
+    greatest core_score, ties by member. Missing labels are skipped, but the weighted mean divides by the scores of all
+    members, so one without a label counts as return 0.
+    """
+    names = [c for c in labels.columns if c.removeprefix("past_").removeprefix("label_").isdigit()]
+    on = members.join(labels.select("decision_time", F.col("symbol").alias("member_id"), *names), ["decision_time", "member_id"])
+    on = on.withColumn("_r", F.row_number().over(Window.partitionBy(*THEME).orderBy(F.desc("core_score"), "member_id")))
+    weight = F.sum("core_score")
+    out = []
+    for c in names:
+        kind, h = ("past" if c.startswith("past_") else "ret"), c.rsplit("_", 1)[1]
+        core = F.when(weight != 0, F.coalesce(F.sum(F.col("core_score") * F.col(c)), F.lit(0.0)) / weight)
+        tops = [F.avg(F.when(F.col("_r") <= k, F.col(c))).alias(f"{kind}_top{k}_{h}") for k in (5, 10)]
+        out += [F.avg(c).alias(f"{kind}_eq_{h}"), core.alias(f"{kind}_core_{h}"), *tops]
+    return on.groupBy(*THEME).agg(F.count(F.lit(1)).alias("member_count"), *out)
+
+
+def spillover(relations: DataFrame, returns: DataFrame, past: str, targets: list[str]) -> DataFrame:
+    """Signal of a target theme: mean of strength times the source's past return (null as 0), with mean strength, sources and target returns.
+
+    returns: THEME columns, the past column and the targets, as theme_returns gives them.
     """
     key = THEME[:-1]
-    src = past.select(*key, F.col("theme_id").alias("src_theme_id"), F.col("mean_return").alias("_p"))
-    dst = future.select(*key, F.col("theme_id").alias("dst_theme_id"), F.col("mean_return").alias("target_return"))
+    src = returns.select(*key, F.col("theme_id").alias("src_theme_id"), F.col(past).alias("_p"))
+    dst = returns.select(*key, F.col("theme_id").alias("dst_theme_id"), *(F.col(c).alias(c.replace("ret_eq_", "target_")) for c in targets))
     on = relations.join(src, [*key, "src_theme_id"]).join(dst, [*key, "dst_theme_id"])
-    return on.groupBy(*key, "dst_theme_id").agg(F.avg(F.col("relation_strength") * F.coalesce("_p", F.lit(0.0))).alias("signal"), F.avg("relation_strength").alias("mean_strength"), F.count(F.lit(1)).alias("source_count"), F.first("target_return").alias("target_return"))
+    return on.groupBy(*key, "dst_theme_id").agg(
+        F.avg(F.col("relation_strength") * F.coalesce("_p", F.lit(0.0))).alias("signal"), F.avg("relation_strength").alias("mean_strength"), F.count(F.lit(1)).alias("source_count"),
+        *(F.first(c.replace("ret_eq_", "target_")).alias(c.replace("ret_eq_", "target_")) for c in targets),
+    )
 
 
 def core_peripheral(members: DataFrame, labels: DataFrame, label: str, least: int = 5) -> DataFrame:
@@ -83,9 +99,24 @@ def alpha_summary(metrics: DataFrame, keys: list[str], date: str) -> DataFrame:
     return metrics.groupBy(*keys).agg(F.sum("n").alias("n"), mean("rank_ic").alias("rank_ic"), mean("spread").alias("spread")).join(t, keys)
 
 
-def theme_birth(returns: DataFrame, date: str = "decision_time") -> DataFrame:
-    """Mean return of themes at their first date less that of themes seen before, by date."""
-    first = returns.groupBy("layer_id", "theme_id").agg(F.min(date).alias("_first"))
-    on = returns.join(first, ["layer_id", "theme_id"])
-    new = F.col(date) == F.col("_first")
-    return on.groupBy(date).agg(F.sum(new.cast("long")).alias("born"), F.avg(F.when(new, F.col("mean_return"))).alias("born_return"), F.avg(F.when(~new, F.col("mean_return"))).alias("old_return")).withColumn("excess", F.col("born_return") - F.col("old_return"))
+def births(themes: DataFrame, continuation: DataFrame, key: list[str]) -> DataFrame:
+    """themes (key, decision_time, theme_id, ...) with born: no theme of the frame before goes on in it, not even fuzzily.
+
+    continuation: (key, dst_time, dst_theme_id), as forest.continuation gives it.
+    """
+    after = continuation.select(*key, F.col("dst_time").alias("decision_time"), F.col("dst_theme_id").alias("theme_id")).distinct()
+    match = [*key, "decision_time", "theme_id"]
+    return themes.join(after, match, "left_anti").withColumn("born", F.lit(True)).unionByName(themes.join(after, match, "left_semi").withColumn("born", F.lit(False)))
+
+
+def first_seen(themes: DataFrame, key: list[str], date: str = "decision_time") -> DataFrame:
+    """themes with born by the letter: a theme id that no earlier date has."""
+    first = themes.groupBy(*key, "theme_id").agg(F.min(date).alias("_first"))
+    return themes.join(first, [*key, "theme_id"]).withColumn("born", F.col(date) == F.col("_first")).drop("_first")
+
+
+def theme_birth(returns: DataFrame, value: str, date: str = "decision_time") -> DataFrame:
+    """Mean return of born themes less that of the others, by date. returns: (date, born, value)."""
+    mean = lambda c: F.avg(F.when(c, F.col(value)))
+    out = returns.groupBy(date).agg(F.sum(F.col("born").cast("long")).alias("born"), mean(F.col("born")).alias("born_return"), mean(~F.col("born")).alias("old_return"))
+    return out.withColumn("excess", F.col("born_return") - F.col("old_return"))

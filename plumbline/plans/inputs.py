@@ -42,19 +42,20 @@ FAMILIES = [(1, "price"), (2, "activity"), (3, "activity")]
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    """One-day labels of the daily bars: label_1 = close in two days over close in one day, less 1."""
+    """Labels of the daily bars for one and two days: label_h = close in h + 1 days over close in one day, less 1."""
     b = bars(spark, sf)
     price = lambda n, name: b.select("symbol", (F.col("timestamp") - F.expr(f"INTERVAL {n} DAY")).alias("decision_time"), F.col("close").alias(name))
     key = ["symbol", "decision_time"]
-    out = b.select("symbol", F.col("timestamp").alias("decision_time")).join(price(1, "entry"), key, "left").join(price(2, "leave"), key, "left")
-    return out.select(*key, F.round(F.try_divide("leave", "entry") - 1, 6).alias("label_1"))
+    out = b.select("symbol", F.col("timestamp").alias("decision_time")).join(price(1, "entry"), key, "left").join(price(2, "one"), key, "left").join(price(3, "two"), key, "left")
+    return out.select(*key, *(F.round(F.try_divide(c, "entry") - 1, 6).alias(f"label_{h}") for h, c in ((1, "one"), (2, "two"))))
 
 
 LABELS = BARS + """,
 labels AS (
-  SELECT b.symbol, b."timestamp" AS decision_time, round(x."close" / nullif(e."close", 0) - 1, 6) AS label_1 FROM bars b
+  SELECT b.symbol, b."timestamp" AS decision_time, round(x."close" / nullif(e."close", 0) - 1, 6) AS label_1, round(y."close" / nullif(e."close", 0) - 1, 6) AS label_2 FROM bars b
   LEFT JOIN bars e ON e.symbol = b.symbol AND e."timestamp" = b."timestamp" + INTERVAL 1 DAY
   LEFT JOIN bars x ON x.symbol = b.symbol AND x."timestamp" = b."timestamp" + INTERVAL 2 DAY
+  LEFT JOIN bars y ON y.symbol = b.symbol AND y."timestamp" = b."timestamp" + INTERVAL 3 DAY
 )"""
 
 

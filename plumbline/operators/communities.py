@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +12,11 @@ from .graph import _typed, repeated
 
 
 def moved_communities(a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = 0, passes: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, community) of a weighted graph: local moves by modularity gain, contraction, and a split into connected parts.
+    """(nodes, community) of a weighted graph: local moves by modularity gain, contraction, and a refinement of the nodes.
 
-    Nodes move in an order drawn from seed until none gains, communities become nodes, and so on; a last pass splits any
-    community that is not connected. Communities are numbered by their smallest node.
+    Nodes move in an order drawn from seed until none gains, communities become nodes, and so on; at the end communities
+    are split where they are not connected and single nodes move again, until neither happens. Communities are numbered
+    by their smallest node.
     """
     nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
     i, j = where[: len(a)].tolist(), where[len(a) :].tolist()
@@ -62,22 +64,67 @@ def moved_communities(a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: f
                     fresh[x][y] = fresh[x].get(y, 0.0) + v
         member = [names[of[k]] for k in member]
         links, loops = fresh, new_loops
-    label = [-1] * n
-    for k in range(n):
-        if label[k] < 0:
-            label[k], stack = k, [k]
-            while stack:
-                for o in base[stack.pop()]:
-                    if label[o] < 0 and member[o] == member[k]:
-                        label[o] = k
-                        stack.append(o)
-    return nodes, np.unique(label, return_inverse=True)[1]
+    return nodes, settled(base, np.array(member), resolution / total)
+
+
+def modularity(a: np.ndarray, b: np.ndarray, w: np.ndarray, community: dict[int, int], resolution: float = 1.0) -> float:
+    """Weighted modularity of a partition of the nodes."""
+    total, inside, degree = 2 * float(w.sum()), 0.0, {}
+    for x, y, v in zip(a.tolist(), b.tolist(), w.tolist()):
+        inside += 2 * v * (community[x] == community[y])
+        for n in (x, y):
+            degree[community[n]] = degree.get(community[n], 0.0) + v
+    return inside / total - resolution * sum(d * d for d in degree.values()) / total**2 if total else 0.0
+
+
+def settled(links: list[dict[int, float]], of: np.ndarray, pull: float) -> np.ndarray:
+    """The partition `of`, refined until every community is connected and no node gains by leaving or by joining a neighbour's.
+
+    pull: resolution over twice the graph's weight. Communities are numbered by their smallest node.
+    """
+    degree = [sum(d.values()) + d.get(k, 0.0) for k, d in enumerate(links)]
+    of, changed = of.tolist(), True
+    while changed:
+        part, stack = [-1] * len(links), []
+        for k in range(len(links)):
+            if part[k] < 0:
+                part[k], stack = k, [k]
+                while stack:
+                    x = stack.pop()
+                    for o in links[x]:
+                        if part[o] < 0 and of[o] == of[x]:
+                            part[o] = k
+                            stack.append(o)
+        of, changed, weight = part, False, [0.0] * len(links)
+        for k, c in enumerate(of):
+            weight[c] += degree[k]
+        moved = True
+        while moved:
+            moved = False
+            for k in range(len(links)):
+                near: dict[int, float] = {}
+                for o, v in links[k].items():
+                    if o != k:
+                        near[of[o]] = near.get(of[o], 0.0) + v
+                own, rest = of[k], weight[of[k]] - degree[k]
+                value = {c: v - pull * degree[k] * (rest if c == own else weight[c]) for c, v in near.items()}
+                value.setdefault(own, -pull * degree[k] * rest)
+                if min(value.values()) < 0 and rest:
+                    empty = next((c for c, x in enumerate(weight) if not x and c not in near), None)
+                    if empty is not None:
+                        value[empty] = 0.0
+                best = max(value, key=lambda c: (value[c], c == own, -c))
+                if value[best] > value[own] + 1e-12:
+                    weight[own] -= degree[k]
+                    weight[best] += degree[k]
+                    of[k], moved, changed = best, True, True
+    return np.unique(of, return_inverse=True)[1] if links else np.zeros(0, int)
 
 
 def detect(edges: DataFrame, group: list[str], resolution: float = 1.0, seed: int = 0, least: int = 3, universe: int | None = None, market_share: float = 0.15, child_resolution: float = 1.4, least_parent: int = 30) -> DataFrame:
-    """Communities of each graph and their parts: (group, community_id, parent_id, members, is_market_mode).
+    """Communities of each graph and their parts: (group, community_id, parent_id, members, is_market_mode, modularity).
 
-    Communities of `least` members or more; those above market_share of the universe are market mode. Inside a
+    modularity is that of the graph's whole partition into communities, small ones too. Communities of `least` members or more; those above market_share of the universe are market mode. Inside a
     community of least_parent members or more, a run at child_resolution gives parts, numbered on, never market mode.
     """
 
@@ -85,6 +132,7 @@ def detect(edges: DataFrame, group: list[str], resolution: float = 1.0, seed: in
         a, b, w = p["src_id"].to_numpy(np.int64), p["dst_id"].to_numpy(np.int64), p["weight"].to_numpy(float)
         size = universe or len(np.unique(np.concatenate([a, b])))
         nodes, of = moved_communities(a, b, w, resolution, seed)
+        quality = modularity(a, b, w, dict(zip(nodes.tolist(), of.tolist())), resolution)
         found = [(None, m, len(m) > market_share * size) for m in (nodes[of == c] for c in range(of.max() + 1 if len(of) else 0)) if len(m) >= least]
         for parent, (_, m, _) in enumerate(list(found)):
             if len(m) >= least_parent:
@@ -93,10 +141,10 @@ def detect(edges: DataFrame, group: list[str], resolution: float = 1.0, seed: in
                 parts = [kids[kid_of == c] for c in range(kid_of.max() + 1 if len(kid_of) else 0)]
                 found += [(parent, x, False) for x in parts if least <= len(x) < len(m)]
         return repeated(p, group, len(found)).assign(
-            community_id=np.arange(len(found), dtype=np.int32), parent_id=pd.array([x for x, _, _ in found], "Int32"), members=pd.Series([m.tolist() for _, m, _ in found], dtype=object), is_market_mode=np.array([bool(k) for _, _, k in found], bool)
+            community_id=np.arange(len(found), dtype=np.int32), parent_id=pd.array([x for x, _, _ in found], "Int32"), members=pd.Series([m.tolist() for _, m, _ in found], dtype=object), is_market_mode=np.array([bool(k) for _, _, k in found], bool), modularity=np.full(len(found), quality)
         )
 
-    return edges.groupBy(*group).applyInPandas(run, _typed(edges, group, "community_id int, parent_id int, members array<long>, is_market_mode boolean"))
+    return edges.groupBy(*group).applyInPandas(run, _typed(edges, group, "community_id int, parent_id int, members array<long>, is_market_mode boolean, modularity double"))
 
 
 def bare_layer(name):
@@ -104,88 +152,111 @@ def bare_layer(name):
     return F.regexp_replace(name, "@[0-9]+m$", "")
 
 
-def pair_scores(communities: DataFrame, weights: dict[str, float] | None = None, excluded: tuple[str, ...] = (), least: float = 0.35) -> DataFrame:
-    """(snapshot_time, a < b, score): the summed layer weights (default 1) of communities, not market mode, that hold both."""
-    use = communities.where(~F.col("is_market_mode") & ~F.col("layer_name").isin(*excluded))
+#: Layers that never vote.
+DISABLED = ("return_corr", "return_corr_cross_sectional_residual")
+
+
+def pair_scores(communities: DataFrame, weights: dict[str, float] | None = None, excluded: tuple[str, ...] = DISABLED, least: float = 0.35) -> DataFrame:
+    """(snapshot_time, a < b, score, layers): the summed layer weights (default 1) of communities, not market mode, that hold both, and those layers.
+
+    Market mode and excluded layers go before any pair is made. A pair is a row for each community that holds it, summed
+    before it is moved.
+    """
+    bare = bare_layer(F.col("layer_name"))
     weight = F.lit(1.0)
     for name, v in (weights or {}).items():
-        weight = F.when(bare_layer(F.col("layer_name")) == name, v).otherwise(weight)
-    m = use.select("snapshot_time", F.monotonically_increasing_id().alias("c"), weight.alias("w"), F.array_sort(F.array_distinct("members")).alias("members"))
-    pairs = m.select("snapshot_time", "w", F.posexplode("members").alias("i", "a"), "members").select("snapshot_time", "w", "a", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("b"))
-    return pairs.groupBy("snapshot_time", "a", "b").agg(F.sum("w").alias("score")).where(F.col("score") >= least)
+        weight = F.when(bare == name, float(v)).otherwise(weight)
+    use = communities.where(~F.col("is_market_mode") & ~bare.isin(*excluded)).select("snapshot_time", bare.alias("layer"), weight.alias("w"), F.array_sort(F.array_distinct("members")).alias("members")).where("w > 0")
+    pairs = use.select("snapshot_time", "layer", "w", F.posexplode("members").alias("i", "a"), "members").select("snapshot_time", "layer", "w", "a", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("b"))
+    return pairs.groupBy("snapshot_time", "a", "b").agg(F.sum("w").alias("score"), F.collect_set("layer").alias("layers")).where(F.col("score") >= least)
 
 
-def consensus_themes(communities: DataFrame, families: dict[str, str], least_families: int = 2, least_members: int = 3, seed: int = 0, **scoring) -> DataFrame:
-    """Themes of each snapshot: communities of the pair graph that layers of least_families families support.
+def consensus_themes(communities: DataFrame, families: dict[str, str], least: float = 0.35, least_families: int = 2, least_members: int = 3, seed: int = 0, universe: int | None = None, market_share: float = 0.15, run: str = "run", **scoring) -> DataFrame:
+    """Themes of each snapshot: communities of the graph of pairs that score `least`, which layers of least_families families support.
 
-    A layer supports a theme if one of its communities holds two of its members. consensus_score is the mean pair score
-    inside over the layers that vote, at most 1; structure = min(1, score * (0.6 + 0.4 * min(1, 8 / n))). The id is the time and the first ten digits of the
-    SHA-1 of the members.
+    consensus_score is the mean over all scored pairs inside, those below the threshold too; structure = min(1, score *
+    (0.6 + 0.4 * min(1, 8 / n))). Layers support a theme that hold a pair inside it. The instance's id is the time and the
+    first ten digits of the SHA-1 of the members, the path's the run and the theme's number in the snapshot. With a
+    universe, size_share is the members over it, and themes above market_share are market mode. Scores are kept on
+    executors' disks, as the graph and the means both read them.
     """
-    scores = pair_scores(communities, **scoring)
-    graph = scores.select("snapshot_time", F.col("a").alias("src_id"), F.col("b").alias("dst_id"), F.col("score").alias("weight"))
-    found = detect(graph, ["snapshot_time"], seed=seed, least=least_members, market_share=2.0, least_parent=1 << 30).select("snapshot_time", F.col("community_id").alias("theme"), F.array_sort("members").alias("members"))
+    scores = pair_scores(communities, least=0.0, **scoring).persist(StorageLevel.DISK_ONLY)
+    graph = scores.where(F.col("score") >= least).select("snapshot_time", F.col("a").alias("src_id"), F.col("b").alias("dst_id"), F.col("score").alias("weight"))
+    found = detect(graph, ["snapshot_time"], seed=seed, least=least_members, universe=universe, market_share=market_share if universe else 2.0, least_parent=1 << 30).select("snapshot_time", F.col("community_id").alias("theme"), F.array_sort("members").alias("members"), "is_market_mode")
     inside = found.select("snapshot_time", "theme", F.explode("members").alias("m"))
     ends = scores.join(inside.select("snapshot_time", F.col("m").alias("a"), F.col("theme").alias("ta")), ["snapshot_time", "a"]).join(inside.select("snapshot_time", F.col("m").alias("b"), F.col("theme").alias("tb")), ["snapshot_time", "b"]).where("ta = tb")
-    mean = ends.groupBy("snapshot_time", F.col("ta").alias("theme")).agg(F.avg("score").alias("pair_score"))
-    layers = communities.where(~F.col("is_market_mode")).select("snapshot_time", bare_layer(F.col("layer_name")).alias("layer"), "community_id", F.explode("members").alias("m"))
-    support = layers.join(inside, ["snapshot_time", "m"]).groupBy("snapshot_time", "theme", "layer", "community_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    family = F.create_map(*(F.lit(x) for kv in families.items() for x in kv))[F.col("layer")]
-    support = support.groupBy("snapshot_time", "theme").agg(F.sort_array(F.collect_set("layer")).alias("source_layers"), F.sort_array(F.collect_set(F.coalesce(family, "layer"))).alias("source_families"))
-    out = found.join(mean, ["snapshot_time", "theme"]).join(support, ["snapshot_time", "theme"]).where(F.size("source_families") >= least_families)
-    score = F.least(F.lit(1.0), F.col("pair_score") / F.size("source_layers"))
-    out = out.withColumn("consensus_score", score).withColumn("structure_score", F.least(F.lit(1.0), F.col("consensus_score") * (0.6 + 0.4 * F.least(F.lit(1.0), 8 / F.size("members")))))
-    digest = F.substring(F.sha1(F.concat_ws(",", F.transform("members", lambda m: m.cast("string"))).cast("binary")), 1, 10)
-    return out.withColumn("theme_instance_id", F.concat_ws("_", F.date_format("snapshot_time", "yyyyMMdd'T'HHmmss"), digest)).drop("theme", "pair_score")
+    family = F.create_map(*(F.lit(x) for kv in families.items() for x in kv))
+    mean = ends.groupBy("snapshot_time", F.col("ta").alias("theme")).agg(F.avg("score").alias("consensus_score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("layers")))).alias("source_layers"))
+    mean = mean.withColumn("source_families", F.array_sort(F.array_distinct(F.transform("source_layers", lambda x: F.coalesce(family[x], x)))))
+    out = found.join(mean, ["snapshot_time", "theme"]).where(F.size("source_families") >= least_families)
+    n = F.size("members")
+    out = out.withColumn("structure_score", F.least(F.lit(1.0), F.col("consensus_score") * (0.6 + 0.4 * F.least(F.lit(1.0), 8 / n))))
+    if universe:
+        out = out.withColumn("size_share", n / universe)
+    digest = F.substring(F.sha1(F.array_join(F.transform("members", lambda m: m.cast("string")), ",").cast("binary")), 1, 10)
+    ids = {"theme_instance_id": F.concat_ws("_", F.date_format("snapshot_time", "yyyyMMdd'T'HHmmss"), digest), "theme_path_id": F.concat(F.lit(f"{run}_new_"), F.lpad((F.col("theme") + 1).cast("string"), 4, "0"))}
+    return out.withColumns(ids).drop("theme")
 
 
 LIFE = "snapshot_time timestamp, theme_instance_id string, theme_path_id string, event_type string, status string, age_frames int, duration_minutes int, overlap double, previous_instance_id string"
 
 
+def overlaps(themes: DataFrame, frames: DataFrame, least: float, run: list[str]) -> DataFrame:
+    """(run, frame, theme_instance_id, matches): the themes of the frame before whose overlap is least or more, best first, ties by id.
+
+    Overlap is common members over the smaller size, counted by a join on members, so that only themes that share one meet.
+    """
+    rows = themes.join(frames, [*run, "snapshot_time"]).select(*run, "frame", "theme_instance_id", F.size("members").alias("n"), F.explode("members").alias("m"))
+    old = rows.select(*run, (F.col("frame") + 1).alias("frame"), F.col("theme_instance_id").alias("previous"), F.col("n").alias("o"), "m")
+    common = rows.join(old, [*run, "frame", "m"]).groupBy(*run, "frame", "theme_instance_id", "n", "previous", "o").agg(F.count(F.lit(1)).alias("c"))
+    share = common.withColumn("overlap", F.col("c") / F.least("n", "o")).where(F.col("overlap") >= least)
+    return share.groupBy(*run, "frame", "theme_instance_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("s"), "previous"))), lambda x: F.struct(x["previous"].alias("previous"), (-x["s"]).alias("overlap"))).alias("matches"))
+
+
 def lifecycle(themes: DataFrame, frame_minutes: int, least: float = 0.5, run: str | None = None) -> DataFrame:
-    """Birth, continuation, merge, split and death of themes from frame to frame, in one ordered pass a run.
+    """Birth, continuation, merge, split and death of themes from frame to frame.
 
     A theme's matches are the frame before's themes whose overlap (common members over the smaller size) is least or
-    more, best first, ties by id. The first theme to claim its best match carries on its path (merge if it has several
-    matches); a later claimant is a split. A theme of the frame before that none overlaps dies. Themes of a frame go in
-    the order of their ids. run: a column that separates independent runs; without one the history is one task.
+    more, best first, ties by id. The first theme, in order of ids, to claim its best match carries on its path (merge if it
+    has several matches); a later claimant is a split. A theme of the frame before that none overlaps dies. All of that
+    looks at two frames alone and is joins and windows; only the paths, a name and an age handed along claimed matches, are
+    followed in order, a task a run, on rows of two ids. run: a column that separates independent runs.
     """
     key = run or "_run"
-    rows = themes if run else themes.withColumn("_run", F.lit(0))
+    rows = (themes if run else themes.withColumn("_run", F.lit(0))).select(key, "snapshot_time", "theme_instance_id", F.array_distinct("members").alias("members"))
+    times = rows.select(key, "snapshot_time").distinct()
+    frames = times.withColumn("frame", F.row_number().over(Window.partitionBy(key).orderBy("snapshot_time")))
+    own = rows.join(frames, [key, "snapshot_time"]).select(key, "frame", "snapshot_time", "theme_instance_id")
+    matched = own.join(overlaps(rows, frames, least, [key]), [key, "frame", "theme_instance_id"], "left")
+    best = F.col("matches")[0]
+    claim = F.row_number().over(Window.partitionBy(key, "frame", best["previous"]).orderBy("theme_instance_id"))
+    event = F.when(F.col("matches").isNull(), "birth").when(claim > 1, "split").when(F.size("matches") > 1, "merge").otherwise("continuation")
+    events = matched.select(key, "frame", "snapshot_time", "theme_instance_id", event.alias("event_type"), F.coalesce(best["overlap"], F.lit(1.0)).alias("overlap"), best["previous"].alias("previous_instance_id"))
+    seen = matched.select(key, (F.col("frame") - 1).alias("frame"), F.explode("matches.previous").alias("theme_instance_id")).distinct()
+    gone = own.join(seen, [key, "frame", "theme_instance_id"], "left_anti").select(key, (F.col("frame") + 1).alias("frame"), "theme_instance_id").join(frames, [key, "frame"])
+    deaths = gone.select(key, "frame", "snapshot_time", "theme_instance_id", F.lit("death").alias("event_type"), F.lit(0.0).alias("overlap"), F.col("theme_instance_id").alias("previous_instance_id"))
 
     def follow(p: pd.DataFrame) -> pd.DataFrame:
-        out, before = [], []
-        for time, frame in p.sort_values(["snapshot_time", "theme_instance_id"]).groupby("snapshot_time", sort=True):
-            owners: dict[int, list[int]] = {}
-            for n, old in enumerate(before):
-                for m in old["members"]:
-                    owners.setdefault(m, []).append(n)
-            now, used, touched = [], set(), set()
-            for name, members in zip(frame["theme_instance_id"], frame["members"]):
-                members = set(members)
-                common: dict[int, int] = {}
-                for m in members:
-                    for n in owners.get(m, ()):
-                        common[n] = common.get(n, 0) + 1
-                scored = sorted((-c / min(len(members), len(before[n]["members"])), before[n]["name"], n) for n, c in common.items())
-                matches = [(n, -s) for s, _, n in scored if -s >= least]
-                touched.update(n for n, _ in matches)
-                path, event, age, score, previous = name, "birth", 1, 1.0, None
-                if matches:
-                    best, score = matches[0]
-                    previous = before[best]["name"]
-                    if best not in used:
-                        used.add(best)
-                        path, age, event = before[best]["path"], before[best]["age"] + 1, "merge" if len(matches) > 1 else "continuation"
-                    else:
-                        event = "split"
-                out.append((time, name, path, event, "active", age, age * frame_minutes, score, previous))
-                now.append({"name": name, "path": path, "age": age, "members": members})
-            out += [(time, o["name"], o["path"], "death", "inactive", o["age"], o["age"] * frame_minutes, 0.0, o["name"]) for n, o in enumerate(before) if n not in touched]
-            before = now
-        return pd.DataFrame(out, columns=[x.split()[0] for x in LIFE.split(", ")]).astype({"snapshot_time": "datetime64[ns]"})
-
-    return rows.groupBy(key).applyInPandas(follow, LIFE)
+        p = p.sort_values(["frame", "theme_instance_id"])
+        paths: dict[tuple, tuple[str, int]] = {}
+        out = []
+        for frame, name, event, previous in zip(p["frame"], p["theme_instance_id"], p["event_type"], p["previous_instance_id"]):
+            if event == "death":
+                out.append(paths[frame - 1, name])
+            elif event in ("continuation", "merge"):
+                path, age = paths[frame - 1, previous]
+                paths[frame, name] = (path, age + 1)
+                out.append((path, age + 1))
+            else:
+                paths[frame, name] = (name, 1)
+                out.append((name, 1))
+        named = p[["snapshot_time", "theme_instance_id", "event_type", "overlap", "previous_instance_id"]].copy()
+        named["theme_path_id"], named["age_frames"] = [x for x, _ in out], np.array([n for _, n in out], np.int32)
+        named["status"] = np.where(named["event_type"] == "death", "inactive", "active")
+        named["duration_minutes"] = (named["age_frames"] * frame_minutes).astype(np.int32)
+        return named[[x.split()[0] for x in LIFE.split(", ")]]
+
+    return events.unionByName(deaths).groupBy(key).applyInPandas(follow, LIFE)
 
 
 def latest_per_path(events: DataFrame, path: str = "theme_path_id", time: str = "snapshot_time") -> DataFrame:

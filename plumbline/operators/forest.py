@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ class Boundary:
     neighbours: tuple[int, ...] = (5, 3, 2, 1)
 
 
-COARSE, FINE = Boundary("B50", 50, 5), Boundary("B35", 35, 5)
+COARSE, FINE = Boundary("B50", 50, 10), Boundary("B35", 35, 8)
 
 
 def compact_pairs(edges: DataFrame, group: list[str] = CELL) -> DataFrame:
@@ -100,6 +101,8 @@ class Splitter:
     def __init__(self, pairs: pd.DataFrame):
         self.weight: dict[int, dict[int, float]] = {}
         for a, b, w in zip(pairs["a"], pairs["b"], pairs["weight"]):
+            if w <= 0:  # such a pair links nothing; its ends are members all the same
+                continue
             self.weight.setdefault(a, {})[b] = w
             self.weight.setdefault(b, {})[a] = w
         self.near = {n: sorted(out.items(), key=lambda x: (-x[1], x[0])) for n, out in self.weight.items()}
@@ -129,24 +132,31 @@ class Splitter:
         return sorted(out.values(), key=lambda c: (-len(c), min(c)))
 
     def chunks(self, members: set[int], largest: int) -> list[set[int]]:
-        """Chunks of at most `largest`: from the heaviest member, breadth first by weight, filled up with heavy ones."""
+        """Chunks of at most `largest`. Each begins at the heaviest member left (weight to all members; ties by id).
+
+        It takes the neighbours that are left of its members, member by member in the order they came, heaviest link
+        first, and, when these are used up, the heaviest members left.
+        """
         degree = {n: sum(w for o, w in self.weight.get(n, {}).items() if o in members) for n in members}
-        by_degree = sorted(members, key=lambda n: (-degree[n], n))
-        left, out = set(members), []
+        left = dict.fromkeys(sorted(members, key=lambda n: (-degree[n], n)))
+        out = []
+
+        def neighbours_of(chunk: list[int]) -> Iterator[int]:
+            for n in chunk:  # the list grows while it is read
+                links = ((w, degree[o], o) for o, w in self.weight.get(n, {}).items() if o in left)
+                yield from (o for _, _, o in sorted(links, key=lambda x: (-x[0], -x[1], x[2])))
+
         while left:
-            queue = [next(n for n in by_degree if n in left)]
-            left.discard(queue[0])
-            at = 0
-            while at < len(queue) < largest:
-                fresh = [(o, w) for o, w in self.weight.get(queue[at], {}).items() if o in left]
-                fresh.sort(key=lambda x: (-x[1], -degree[x[0]], x[0]))
-                take = [o for o, _ in fresh[: largest - len(queue)]]
-                queue += take
-                left.difference_update(take)
-                at += 1
-            fill = [n for n in by_degree if n in left][: largest - len(queue)]
-            left.difference_update(fill)
-            out.append({*queue, *fill})
+            chunk = [next(iter(left))]
+            del left[chunk[0]]
+            for source in (neighbours_of(chunk), iter(list(left))):
+                for n in source:
+                    if len(chunk) == largest:
+                        break
+                    if n in left:
+                        del left[n]
+                        chunk.append(n)
+            out.append(set(chunk))
         return out
 
     def split(self, members: set[int], bound: Boundary) -> tuple[str, int, list[set[int]]]:

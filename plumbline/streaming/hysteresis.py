@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,35 +48,41 @@ class Hysteresis:
 def replay(edges: DataFrame, config: Hysteresis = Hysteresis(), frames: DataFrame | None = None) -> DataFrame:
     """OUT rows of the whole history. An edge's state depends on its own weights and on its key's frames, so each edge is a row.
 
-    frames: (KEY, decision_time) of all frames, empty ones too; None: those that have edges. No frame's edges meet in
-    one task, and the result does not depend on how the history is cut.
+    frames: (KEY, decision_time) of all frames, empty ones too; None: those that have edges. Frames are numbered, an edge
+    carries the numbers of its own, and numbers become times again in what comes out: an active edge's missing frames
+    are the at most `grace` numbers that follow. No frame's edges meet in one task, no edge sees a list of frames, and
+    the result does not depend on how the history is cut.
     """
-    frames = (edges if frames is None else frames).select(*KEY, "decision_time").distinct()
-    micros = F.unix_micros(F.col("decision_time").cast("timestamp"))
-    times = frames.groupBy(*KEY).agg(F.sort_array(F.collect_set(micros)).alias("_times"))
+    times = (edges if frames is None else frames).select(*KEY, F.col("decision_time").cast("timestamp").alias("decision_time")).distinct()
+    numbers = times.withColumn("_f", F.row_number().over(Window.partitionBy(*KEY).orderBy("decision_time")))
+    last = numbers.groupBy(*KEY).agg(F.max("_f").alias("_end"))
     weight = F.col("weight").cast("double")
-    one = edges.groupBy(*KEY, "src_id", "dst_id").agg(F.collect_list(micros).alias("_at"), F.collect_list(weight).alias("_w"))
-    columns = ["_t", *KEY, "src_id", "dst_id", "weight", "raw_weight", "temporal_status"]
+    rows = edges.withColumn("decision_time", F.col("decision_time").cast("timestamp")).join(numbers, [*KEY, "decision_time"])
+    one = rows.groupBy(*KEY, "src_id", "dst_id").agg(F.array_sort(F.collect_list(F.struct("_f", weight.alias("w")))).alias("_seen")).join(last, KEY)
+    columns = ["_f", *KEY, "src_id", "dst_id", "weight", "raw_weight", "temporal_status"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for layer, back, src, dst, at, seen, times in zip(*(batch[c] for c in (*KEY, "src_id", "dst_id", "_at", "_w", "_times"))):
-                weights = dict(zip(at.tolist(), seen.tolist()))
+            out = []
+            for layer, back, src, dst, at, weights, end in zip(*(batch[c] for c in (*KEY, "src_id", "dst_id", "_at", "_w", "_end"))):
+                seen = dict(zip(at.tolist(), weights.tolist()))
                 state: dict = {}
-                for t in times.tolist():
-                    if t in weights:
-                        state, out = config.step(state, {0: weights[t]})
-                    elif state:
-                        state, out = config.step(state, {})
-                    else:
-                        continue
-                    rows += [(t, layer, back, src, dst, w, raw, status) for _, w, raw, status in out]
-            yield pd.DataFrame(rows, columns=columns).astype({"raw_weight": float})
-
-    on = one.join(times, KEY).select(F.col("layer_id").cast("int"), F.col("lookback_minutes").cast("int"), F.col("src_id").cast("long"), F.col("dst_id").cast("long"), "_at", "_w", "_times")
-    found = on.mapInPandas(walk, "_t long, " + OUT.split(", ", 1)[1])
-    return found.select(F.timestamp_micros("_t").alias("decision_time"), *columns[1:])
+                following = [*list(seen)[1:], end + 1]
+                for (f, w), stop in zip(seen.items(), following):
+                    state, rows = config.step(state, {0: w})
+                    found = [(f, r) for r in rows]
+                    for missing in range(f + 1, stop):
+                        state, rows = config.step(state, {})
+                        found += [(missing, r) for r in rows]
+                        if not state:
+                            break
+                    out += [(n, layer, back, src, dst, w, raw, status) for n, (_, w, raw, status) in found]
+            yield pd.DataFrame(out, columns=columns).astype({"raw_weight": float})
+
+    on = one.select(F.col("layer_id").cast("int"), F.col("lookback_minutes").cast("int"), F.col("src_id").cast("long"), F.col("dst_id").cast("long"), F.col("_seen._f").alias("_at"), F.col("_seen.w").alias("_w"), "_end")
+    found = on.mapInPandas(walk, "_f int, " + OUT.split(", ", 1)[1])
+    named = numbers.select(F.col("layer_id").cast("int").alias("layer_id"), F.col("lookback_minutes").cast("int").alias("lookback_minutes"), "_f", "decision_time")
+    return found.join(named, [*KEY, "_f"]).select("decision_time", *columns[1:])
 
 
 STATE = "src array<long>, dst array<long>, weight array<double>, active array<boolean>, missed array<int>"

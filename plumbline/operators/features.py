@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,8 +18,15 @@ def graph_pivot(nodes: DataFrame, layers: dict[int, str], metrics: list[str]) ->
     return nodes.groupBy("decision_time", "symbol").agg(*aggregates)
 
 
+def unique(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows, with an error at the first key that repeats. The check is a window on the keys, so it shares the exchange of a join on them."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    checked = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"repeated key of {name}: "), F.concat_ws(", ", *keys))).cast("int")).otherwise(F.col("_n"))
+    return rows.withColumn("_n", n).withColumn("_n", checked).where("_n is not null").drop("_n")
+
+
 def wide_matrix(features: DataFrame, labels: DataFrame, graph: DataFrame | None = None, start=None, end=None, instruments: list | None = None) -> DataFrame:
-    """(datetime, instrument) with feature__ and label__ columns, bounds inclusive. Keys of the features must be unique: a repeat raises."""
+    """(datetime, instrument) with feature__ and label__ columns, bounds inclusive. Keys that repeat, in any of the three tables, raise when rows are read."""
     keys = ["decision_time", "symbol"]
     base = features
     if start is not None:
@@ -29,8 +36,8 @@ def wide_matrix(features: DataFrame, labels: DataFrame, graph: DataFrame | None
     if instruments is not None:
         base = base.where(F.col("symbol").isin(instruments))
     wanted = [c for c in labels.columns if c.startswith("label_") and not c.startswith(("label_entry", "label_exit"))]
-    out = base.select(*keys, *(F.col(c).alias(f"feature__{c}") for c in base.columns if c not in keys))
-    out = out.join(labels.select(*keys, *(F.col(c).alias(f"label__{c[6:]}") for c in wanted)), keys, "left")
+    out = unique(base.select(*keys, *(F.col(c).alias(f"feature__{c}") for c in base.columns if c not in keys)), keys, "features")
+    out = out.join(unique(labels.select(*keys, *(F.col(c).alias(f"label__{c[6:]}") for c in wanted)), keys, "labels"), keys, "left")
     if graph is not None:
-        out = out.join(graph.select(*keys, *(F.col(c).alias(f"feature__{c}") for c in graph.columns if c not in keys)), keys, "left")
+        out = out.join(unique(graph.select(*keys, *(F.col(c).alias(f"feature__{c}") for c in graph.columns if c not in keys)), keys, "graph features"), keys, "left")
     return out.withColumnsRenamed({"decision_time": "datetime", "symbol": "instrument"})

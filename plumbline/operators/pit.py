@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def session_filter(events: DataFrame, timezone: str, opens: str, closes: str, ts: str = "timestamp") -> DataFrame:
-    """Rows whose local HH:mm is opens or later and before closes, with session_date (local date)."""
+def session_filter(events: DataFrame, timezone: str, opens: str, closes: str, ts: str = "timestamp", closed: bool = False) -> DataFrame:
+    """Rows whose local time is opens or later and before closes (HH:mm; closed: or exactly closes), with session_date (local date)."""
     local = F.from_utc_timestamp(F.col(ts), timezone)
-    clock = F.date_format(local, "HH:mm")
-    return events.where((clock >= opens) & (clock < closes)).withColumn("session_date", F.to_date(local))
+    clock = F.date_format(local, "HH:mm:ss.SSSSSS")
+    until = clock <= f"{closes}:00.000000" if closed else clock < closes
+    return events.where((clock >= opens) & until).withColumn("session_date", F.to_date(local))
 
 
 def source_audit(events: DataFrame) -> DataFrame:
@@ -134,16 +135,31 @@ def every_kth(rows: DataFrame, k: int, order: str = "decision_time") -> DataFram
     return rows.join(ranked.where(F.col("_r") % k == 0).select(order), order, "left_semi")
 
 
-def pit_qa(events: DataFrame, decisions: DataFrame, lookback: str) -> DataFrame:
-    """Per decision: rows in reach by time, visible ones, those not yet available, and symbols seen."""
-    d = F.col("decision_time")
-    near = decisions.join(events, (F.col("timestamp") <= d) & (F.col("timestamp") > d - F.expr(f"INTERVAL {lookback}")), "left")
-    visible = F.col("available_time") <= d
+def pit_qa(events: DataFrame, decisions: DataFrame, lookback: int, unit_seconds: int) -> DataFrame:
+    """Per decision: rows within (t - lookback units, t] by time, visible ones, those not yet available, and symbols seen.
+
+    As in visible_windows, an event is exploded to the grid times that could see it, whole multiples of the unit, and meets the decisions in an equi-join.
+    """
+    first = F.ceil(F.unix_seconds("timestamp") / unit_seconds)
+    at = events.select("symbol", "timestamp", "available_time", F.explode(F.sequence(first, first + lookback - 1)).alias("k")).withColumn("decision_time", F.timestamp_seconds(F.col("k") * unit_seconds))
+    at = at.where(F.unix_seconds("decision_time") - F.unix_seconds("timestamp") < lookback * unit_seconds)
+    visible = F.col("available_time") <= F.col("decision_time")
+    near = decisions.select("decision_time").distinct().join(at, "decision_time", "left")
     return near.groupBy("decision_time").agg(
         F.count("symbol").alias("eligible"), F.coalesce(F.sum(visible.cast("long")), F.lit(0)).alias("visible"), F.coalesce(F.sum((~visible).cast("long")), F.lit(0)).alias("filtered"), F.countDistinct(F.when(visible, F.col("symbol"))).alias("symbols")
     )
 
 
+def prefix_difference(build, events: DataFrame, time) -> DataFrame:
+    """Rows that differ between what build(events) gives at one decision time and what build gives from the events available by then; empty if nothing looks ahead.
+
+    build: events to a table with decision_time.
+    """
+    at = F.col("decision_time") == F.lit(time)
+    whole, prefix = build(events).where(at), build(events.where(F.col("available_time") <= F.lit(time))).where(at)
+    return whole.exceptAll(prefix).withColumn("side", F.lit("whole")).unionByName(prefix.exceptAll(whole).withColumn("side", F.lit("prefix")))
+
+
 def cadence(times: DataFrame, order: str = "decision_time") -> DataFrame:
     """One row: the median positive gap of distinct times in whole minutes, at least 1."""
     gap = (F.unix_seconds(order) - F.unix_seconds(F.lag(order).over(Window.orderBy(order)))) / 60

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,13 +22,27 @@ def key_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return a.join(b, keys, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("right")))
 
 
-def universe_stability(rows: DataFrame, universe: DataFrame, date: str = "trade_date") -> DataFrame:
-    """Per date: symbols present, missing from the universe, and unexpected."""
-    present = rows.select(date, "symbol").distinct().withColumn("_p", F.lit(True))
-    expected = rows.select(date).distinct().crossJoin(universe.select("symbol").distinct()).withColumn("_e", F.lit(True))
-    both = present.join(expected, [date, "symbol"], "full_outer")
-    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    return both.groupBy(date).agg(count(F.col("_p").isNotNull()).alias("present"), count(F.col("_p").isNull()).alias("missing"), count(F.col("_e").isNull()).alias("unexpected"))
+def universe_stability(rows: DataFrame, universe: DataFrame, date: str = "trade_date", examples: int = 20) -> DataFrame:
+    """Per date of rows: expected symbols, how many of them are present, missing and unexpected ones, the first `examples` of both by name, and whether none is missing.
+
+    Expected symbols are counted once and only present ones meet the dates; missing ones are found by the few dates that lack some.
+    """
+    present = rows.select(date, F.col("symbol").cast("string").alias("symbol")).distinct()
+    expected = universe.select(F.col("symbol").cast("string").alias("symbol")).distinct().withColumn("_e", F.lit(True))
+    on = present.join(expected, "symbol", "left")
+    total = expected.agg(F.count(F.lit(1)).alias("expected_symbols"))
+    per = on.groupBy(date).agg(F.count("_e").alias("present_expected_symbols"), F.count(F.when(F.col("_e").isNull(), 1)).alias("unexpected_count"))
+    per = per.crossJoin(F.broadcast(total)).withColumn("missing_count", F.col("expected_symbols") - F.col("present_expected_symbols"))
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(date).orderBy("symbol"))).where(F.col("_r") <= examples)
+        return ranked.groupBy(date).agg(F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias(name))
+
+    odd = listed(on.where("_e is null").select(date, "symbol"), "unexpected_examples")
+    lacking = per.where("missing_count > 0").select(date)
+    absent = lacking.crossJoin(expected.select("symbol")).join(present, [date, "symbol"], "left_anti")
+    out = per.join(listed(absent, "missing_examples"), date, "left").join(odd, date, "left").fillna("", ["missing_examples", "unexpected_examples"])
+    return out.withColumn("safe_for_full_rebuild", F.col("missing_count") == 0)
 
 
 def benchmark_coverage(events: DataFrame, benchmarks: list, least: int, date: str = "trade_date", value: str = "close") -> DataFrame:
@@ -44,6 +58,30 @@ def inventory(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def artifact_manifest(rows: DataFrame, name: str, time: str) -> DataFrame:
-    """One row: name, rows, first and last time."""
-    return rows.agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("row_count"), F.min(time).alias("min_time"), F.max(time).alias("max_time"))
+def artifact_manifest(spark: SparkSession, path: str, time: str, pattern: str = "*.parquet") -> DataFrame:
+    """A row for each Parquet file under path: file, size_bytes, sha256 of its bytes, row_count, schema (names joined by |), min_time and max_time.
+
+    Files are hashed where they are read; one file is one value, so files of 2 GB or more cannot be hashed so.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    name = F.element_at(F.split(F.col("path"), "/"), -1)
+    files = files.select(F.col("path").alias("_path"), name.alias("file"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).parquet(path)
+    counts = rows.groupBy(F.col("_metadata.file_path").alias("_at")).agg(F.count(F.lit(1)).alias("row_count"), F.min(time).alias("min_time"), F.max(time).alias("max_time"))
+    same = F.regexp_replace("_path", "^file:/+", "/") == F.regexp_replace("_at", "^file:/+", "/")
+    out = files.join(counts, same, "left").withColumn("schema", F.lit("|".join(rows.columns)))
+    return out.select("file", "size_bytes", "sha256", F.coalesce("row_count", F.lit(0)).alias("row_count"), "schema", "min_time", "max_time")
+
+
+def report(tables: dict[str, DataFrame], title: str, most: int = 1000) -> str:
+    """A Markdown report: a section and a table for each named result, or `No data.`; small results, `most` rows of each at most."""
+    parts = [f"# {title}", ""]
+    for name, df in tables.items():
+        rows = df.limit(most).collect()
+        parts += [f"## {name}", ""]
+        if rows:
+            parts += ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in rows)]
+        else:
+            parts.append("No data.")
+        parts.append("")
+    return "\n".join(parts)

@@ -63,10 +63,18 @@ class ParquetEvents:
         return numeric_features(self.table)
 
     def fingerprint(self) -> dict:
-        """Files, rows, the schema's SHA-256 and the semantics versions present."""
+        """Files' number, bytes and rows, SHA-256 of the schema and of the files' names, sizes, times and rows, and the semantics versions present."""
         versions = [c for c in ("factor_semantics_version", "trade_semantics_version") if c in self.table.columns]
-        row = self.table.agg(F.count(F.lit(1)).alias("rows"), *(F.sort_array(F.collect_set(c)).alias(c) for c in versions)).first()
-        return {"files": sorted(self.table.inputFiles()), "schema_sha256": hashlib.sha256(self.table.schema.json().encode()).hexdigest(), **row.asDict()}
+        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.path).select("path", F.col("length").alias("bytes"), F.unix_micros("modificationTime").alias("at"))
+        counts = self.table.groupBy(F.col("_metadata.file_path").alias("_at")).agg(F.count(F.lit(1)).alias("rows"), *(F.collect_set(F.col(c).cast("string")).alias(c) for c in versions))
+        bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+        files = listed.join(counts, bare("path") == bare("_at"), "left").fillna(0, ["rows"])
+        line = F.concat_ws("|", "path", *(F.col(c).cast("string") for c in ("bytes", "at", "rows")))
+        row = files.agg(
+            F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"), F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.sha2(line, 256)))).cast("binary"), 256).alias("file_metadata_sha256"),
+            *(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(f"{c}s") for c in versions),
+        ).first()
+        return {"path": self.path, "schema_sha256": hashlib.sha256(self.table.schema.json().encode()).hexdigest(), **row.asDict()}
 
 
 class MonthPack:
@@ -122,23 +130,53 @@ def read_dimension(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumnsRenamed({c: c.removesuffix("_name").removesuffix("_code") for c in rows.columns})
 
 
-#: Names under which edge files give their columns, first match first.
+#: Names under which edge files give their columns, first match first.
 EDGE_NAMES = {
-    "decision_time": ("decision_time", "snapshot_time", "timestamp", "time"), "layer_id": ("layer_id", "layer"), "scale": ("scale", "lookback_minutes", "lookback"),
-    "src_id": ("src_id", "src", "source"), "dst_id": ("dst_id", "dst", "target"), "weight": ("weight", "similarity", "corr"),
+    "src_id": ("src_id", "source_id", "src", "source"), "dst_id": ("dst_id", "target_id", "dst", "target"),
+    "weight": ("weight", "edge_weight", "score"), "layer_id": ("layer_id", "layer", "layer_name"), "decision_time": ("decision_time", "snapshot_time", "ts"),
 }
 
 
 def normalized_edges(rows: DataFrame) -> DataFrame:
-    """Edges under one set of names: no self-loops, null weights 0, abs_weight, scale `default` where absent."""
+    """(decision_time, layer_id, scale, src_id, dst_id, weight, abs_weight) of edges under any of EDGE_NAMES, without self-loops.
+
+    scale is the lookback in minutes with an m, else the column scale, else `default`; a time column that is absent is
+    `unknown`. Weights that are null or no number are 0. Another column that is absent raises ValueError.
+    """
     found = {name: next((c for c in options if c in rows.columns), None) for name, options in EDGE_NAMES.items()}
-    absent = [n for n in ("src_id", "dst_id") if found[n] is None]
+    absent = [n for n, c in found.items() if c is None and n != "decision_time"]
     if absent:
-        raise ValueError(f"missing columns: {absent}")
-    default = {"scale": F.lit("default"), "weight": F.lit(1.0), "layer_id": F.lit(0), "decision_time": F.lit(None).cast("timestamp")}
-    out = rows.select(*((F.col(c) if c else default[n]).alias(n) for n, c in found.items()))
-    weight = F.coalesce(F.col("weight").cast("double"), F.lit(0.0))
-    return out.withColumns({"weight": weight, "abs_weight": F.abs(weight), "scale": F.col("scale").cast("string")}).where("src_id <> dst_id")
+        raise ValueError(f"missing columns: {absent}, found {rows.columns}")
+    if "lookback_minutes" in rows.columns:
+        scale = F.concat(F.col("lookback_minutes").cast("string"), F.lit("m"))
+    else:
+        scale = F.col("scale").cast("string") if "scale" in rows.columns else F.lit("default")
+    time = F.col(found["decision_time"]) if found["decision_time"] else F.lit("unknown")
+    weight = F.coalesce(F.nanvl(F.col(found["weight"]).try_cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+    out = rows.select(time.alias("decision_time"), F.col(found["layer_id"]).alias("layer_id"), scale.alias("scale"), *(F.col(found[c]).cast("long").alias(c) for c in ("src_id", "dst_id")), weight.alias("weight"))
+    return out.withColumn("abs_weight", F.abs("weight")).where("src_id <> dst_id")
+
+
+def partitions(spark: SparkSession, root: str, file: str | None = None, **wanted: list) -> DataFrame:
+    """(path, bytes, one column a key) of files under root whose folders are named key=value, largest first.
+
+    file: a file's name; wanted: the values of a key to keep, e.g. layer_id=["1", "14"]. Only listings are read.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file or "*.parquet").load(root).select("path", F.col("length").alias("bytes"))
+    found = found.withColumn("_keys", F.expr("map_from_entries(transform(filter(split(path, '/'), x -> instr(x, '=') > 1), x -> struct(substring_index(x, '=', 1), substr(x, instr(x, '=') + 1))))"))
+    for key, values in wanted.items():
+        found = found.where(F.col("_keys")[key].isin([str(v) for v in values]))
+    return found.select("path", "bytes", F.col("_keys").alias("keys")).orderBy(F.desc("bytes"), "path")
+
+
+def read_shard(spark: SparkSession, path: str) -> DataFrame:
+    """A shard's edges under one set of names, in order of time; scale `default` where absent."""
+    return normalized_edges(spark.read.parquet(path)).orderBy("decision_time", "src_id", "dst_id")
+
+
+def first_groups(edges: DataFrame, most: int, keys: list[str] = ["decision_time", "layer_id", "scale"]) -> DataFrame:
+    """The edges of the first `most` groups in order of their keys: a cap that a caller asks for, on groups and not on rows."""
+    return edges.join(edges.select(*keys).distinct().orderBy(*keys).limit(most), keys, "left_semi")
 
 
 def canonical_edges(spark: SparkSession, root: str, dates: list[str] | None = None) -> DataFrame:

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import LAYERS, BuildConfig, GraphParameters, Layer
+from ..config import LAYERS, SCALE_ROLES, BuildConfig, GraphParameters, Layer
 from ..operators import graph
 from ..operators.diagnostics import GROUP
 from ..operators.pit import visible_windows
+from ..operators.trajectory import cross_zscore
+
+#: Decision steps of a block, whose decisions share one copy of the events that they see.
+BLOCK = 16
 
-EDGE_ROWS = "layer_id int, lookback_minutes int, src_id long, dst_id long, weight double, src_rank int, dst_rank int, window_points int, vector_dimension int"
+EDGE_ROWS = (
+    "layer_id int, lookback_minutes int, decision_step_minutes int, top_k int, degree_cap int, minimum_similarity float, window_start timestamp, window_end timestamp, src_id long, dst_id long, weight double, "
+    "src_rank int, dst_rank int, directed boolean, lag_bars int, window_points int, vector_dimension int"
+)
+#: What all rows of a graph share besides its key.
+COMMON = ["scale_role", "decision_step_minutes", "top_k", "degree_cap", "minimum_similarity", "window_start", "window_end", "window_points", "vector_dimension"]
 
 
 def pivot_last(rows: pd.DataFrame, column: str, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +68,7 @@ def market_residual(x: np.ndarray, raw: np.ndarray, benchmarks: list[int], least
     return x - (design @ np.linalg.solve(design.T @ design + penalty, design.T @ x.T)).T
 
 
-def layer_vectors(rows: pd.DataFrame, columns: list[str], transform: str, symbols: np.ndarray, least: int, benchmarks: list[int] = ()) -> tuple[np.ndarray, int] | None:
+def layer_vectors(rows: pd.DataFrame, columns: list[str], transform: str, symbols: np.ndarray, least: int, benchmarks: list[int] = (), benchmark_points: int = 8, ridge: float = 1e-6) -> tuple[np.ndarray, int] | None:
     """(symbols x features, points): each column's standardised trajectory; a column of fewer than `least` points is skipped, None if all are."""
     blocks, points = [], 0
     for column in columns:
@@ -68,7 +79,7 @@ def layer_vectors(rows: pd.DataFrame, columns: list[str], transform: str, symbol
             continue
         x = filled(raw)
         if transform.endswith("market_residual"):
-            x = market_residual(x, raw, list(benchmarks), least)
+            x = market_residual(x, raw, list(benchmarks), benchmark_points, ridge)
         elif "cross_sectional" in transform:
             x = x - np.median(x, axis=0)
         blocks.append(row_standardized(x))
@@ -121,50 +132,113 @@ def mutual_edges(x: np.ndarray, symbols: np.ndarray, p: GraphParameters, exact:
     return graph.capped(edges, p.degree_cap)
 
 
-def build_edges(events: DataFrame, decisions: DataFrame, symbols: DataFrame, config: BuildConfig, layers: tuple[Layer, ...] = LAYERS, unit_seconds: int = 60, benchmarks: tuple = ()) -> DataFrame:
-    """Edges of every decision, layer and lookback: (decision_time, EDGE_ROWS).
+def build_graphs(events: DataFrame, decisions: DataFrame, symbols: DataFrame, config: BuildConfig, layers: tuple[Layer, ...] = LAYERS, unit_seconds: int = 60) -> DataFrame:
+    """Edges of every decision, layer and lookback: (decision_time, EDGE_ROWS); a graph without edges is one row with null src_id.
 
-    Each event is exploded to the decisions that see it and to the layers, with a layer's columns alone; a (decision,
-    layer) is one task, which builds its scales: its memory grows with the symbols, its time with their square. The
-    universe (symbol_id, symbol) travels with the task. Layers without one of their columns are skipped.
+    Events travel once a block of decisions: an event goes to the blocks of BLOCK decision steps that see it, with its
+    layers' columns side by side, and a (block, layer) is one task, which cuts the windows of its decisions itself. Its
+    memory grows with the symbols, its time with their square. The universe (symbol_id, symbol), and with it the
+    configuration's benchmarks, travels with the task. Layers without one of their columns are skipped.
     """
     known = symbols.orderBy("symbol_id").collect()
     ids = np.array([r.symbol_id for r in known], np.int64)
-    marks = [n for n, r in enumerate(known) if r.symbol in benchmarks]
+    marks = [n for n, r in enumerate(known) if str(r.symbol) in config.return_corr_benchmarks]
     usable = {x.layer_id: x for x in layers if set(x.columns) <= set(events.columns)}
-    longest = max(back for x in usable.values() for back in x.lookbacks)
-    seen = visible_windows(events.join(symbols, "symbol"), [longest], unit_seconds, decisions)
-    values = lambda x: F.struct(F.lit(x.layer_id).alias("layer_id"), F.array(*(F.col(c).cast("double") for c in x.columns)).alias("v"))
-    long = seen.select("decision_time", "symbol_id", "timestamp", "available_time", F.explode(F.array(*map(values, usable.values()))).alias("x")).select("decision_time", "symbol_id", "timestamp", "available_time", "x.*")
-    names = [x.split()[0] for x in EDGE_ROWS.split(", ")]
+    longest = max((back for x in usable.values() for back in x.lookbacks), default=0)
+    width = BLOCK * unit_seconds
+    block = lambda t: F.floor(F.unix_seconds(t) / width)
+    due = decisions.select("decision_time", block("decision_time").alias("_block")).groupBy("_block").agg(F.array_sort(F.collect_set(F.unix_micros("decision_time"))).alias("_times"))
+    seen = events.join(symbols, "symbol").select(
+        "symbol_id", F.unix_micros("timestamp").alias("at"), F.unix_micros("available_time").alias("known"), *(F.col(c).cast("double") for c in sorted({c for x in usable.values() for c in x.columns})),
+        F.explode(F.sequence(block("timestamp"), F.floor((F.unix_seconds("timestamp") + longest * unit_seconds) / width))).alias("_block"),
+    ).join(due, "_block")
+    part = lambda x: F.struct(F.lit(x.layer_id).alias("layer_id"), F.array(*map(F.col, x.columns)).alias("v"))
+    long = seen.select("_block", "_times", "symbol_id", "at", "known", F.explode(F.array(*map(part, usable.values()))).alias("x")).select("_block", "_times", "symbol_id", "at", "known", "x.*")
+    names = ["decision_time", *(x.split()[0] for x in EDGE_ROWS.split(", "))]
+
+    def graphs(layer: Layer, rows: pd.DataFrame, now: int) -> Iterator[pd.DataFrame]:
+        shown = rows[(rows["available_time"] <= now) & (rows["timestamp"] <= now)]
+        for back in layer.lookbacks:
+            start = now - back * unit_seconds * 1_000_000
+            got = layer_vectors(shown[shown["timestamp"] > start], list(layer.columns), layer.transform, ids, layer.minimum_points(back), marks, config.return_corr_min_benchmark_points, config.return_corr_ridge)
+            if got is None:
+                continue
+            x, points = got
+            p = config.parameters_for(layer.name, layer.family, back)
+            edges = mutual_edges(x, ids, p, layer.transform.startswith("return_corr_"))
+            edges = edges if len(edges) else pd.DataFrame({c: [None] for c in edges.columns})
+            yield edges.assign(
+                decision_time=now, layer_id=layer.layer_id, lookback_minutes=back, decision_step_minutes=1, top_k=p.top_k, degree_cap=p.degree_cap, minimum_similarity=p.minimum_similarity,
+                window_start=start, window_end=now, directed=layer.directed, lag_bars=layer.lag_bars, window_points=points, vector_dimension=x.shape[1],
+            )
 
     def build(p: pd.DataFrame) -> pd.DataFrame:
         layer = usable[int(p["layer_id"].iloc[0])]
-        time = p["decision_time"].iloc[0]
         values = np.array(p["v"].tolist(), float)
-        rows = p[["symbol_id", "timestamp", "available_time"]].assign(**{c: values[:, n] for n, c in enumerate(layer.columns)})
-        out = []
-        for back in layer.lookbacks:
-            window = rows[rows["timestamp"] > time - pd.Timedelta(seconds=back * unit_seconds)]
-            got = layer_vectors(window, list(layer.columns), layer.transform, ids, layer.minimum_points(back), marks)
-            if got is not None:
-                x, points = got
-                edges = mutual_edges(x, ids, config.parameters_for(layer.name, layer.family, back), layer.transform.startswith("return_corr_"))
-                out.append(edges.assign(layer_id=np.int32(layer.layer_id), lookback_minutes=np.int32(back), window_points=np.int32(points), vector_dimension=np.int32(x.shape[1])))
+        rows = pd.DataFrame({"symbol_id": p["symbol_id"].to_numpy(), "timestamp": p["at"].to_numpy(), "available_time": p["known"].to_numpy(), **{c: values[:, n] for n, c in enumerate(layer.columns)}})
+        out = [g for now in p["_times"].iloc[0] for g in graphs(layer, rows, int(now))]
         found = pd.concat(out)[names] if out else pd.DataFrame({n: np.zeros(0) for n in names})
-        found.insert(0, "decision_time", pd.Series([time] * len(found), index=found.index, dtype=p["decision_time"].dtype))
+        for c in ("src_id", "dst_id", "src_rank", "dst_rank"):
+            found[c] = found[c].astype("Int64")
         return found
 
-    return long.groupBy("decision_time", "layer_id").applyInPandas(build, T.StructType([T.StructField("decision_time", T.TimestampType()), *T.StructType.fromDDL(EDGE_ROWS).fields]))
+    # times travel as microseconds, whatever the session's time zone
+    schema = T.StructType.fromDDL("decision_time long, " + EDGE_ROWS.replace(" timestamp", " long"))
+    made = long.groupBy("_block", "layer_id").applyInPandas(build, schema)
+    role = F.coalesce(F.create_map(*(F.lit(x) for kv in SCALE_ROLES.items() for x in kv))[F.col("lookback_minutes")], F.lit(""))
+    return made.withColumns({c: F.timestamp_micros(c) for c in ("decision_time", "window_start", "window_end")}).withColumn("scale_role", role)
+
 
+def build_edges(events: DataFrame, decisions: DataFrame, symbols: DataFrame, config: BuildConfig, layers: tuple[Layer, ...] = LAYERS, unit_seconds: int = 60) -> DataFrame:
+    """The edges of build_graphs alone."""
+    return build_graphs(events, decisions, symbols, config, layers, unit_seconds).where("src_id is not null")
 
-def build_nodes(edges: DataFrame, symbols: DataFrame, signals: DataFrame | None = None) -> DataFrame:
-    """Node features of every graph, and of the multiplex of its structural (30 minute) layers as layer 0. signals: (node_id, signal)."""
+
+def node_signals(events: DataFrame, decisions: DataFrame, symbols: DataFrame, lookback: int, unit_seconds: int = 60) -> DataFrame:
+    """(decision_time, node_id, reversal, signed_flow): each symbol's last visible row of the longest window, as z-scores over the universe.
+
+    reversal is the negative z of ret_1m (or log_ret_1m), signed_flow that of signed_dollar_flow (or its proxy); a column that events lack gives 0.
+    """
+    pick = lambda *names: next((F.col(c).cast("double") for c in names if c in events.columns), F.lit(None).cast("double"))
+    rows = events.select("symbol", "timestamp", "available_time", pick("ret_1m", "log_ret_1m").alias("r"), pick("signed_dollar_flow", "signed_dollar_flow_proxy").alias("f"))
+    seen = visible_windows(rows, [lookback], unit_seconds, decisions)
+    last = seen.groupBy("decision_time", "symbol").agg(F.max_by(F.struct("r", "f"), F.struct("available_time", "timestamp")).alias("x"))
+    universe = symbols.select(F.col("symbol_id").cast("long").alias("node_id"), "symbol")
+    every = last.select("decision_time").distinct().crossJoin(universe).join(last, ["decision_time", "symbol"], "left").select("decision_time", "node_id", F.col("x.r").alias("r"), F.col("x.f").alias("f"))
+    z = cross_zscore(every, "r", ["decision_time"]).withColumnRenamed("z", "_r")
+    z = cross_zscore(z, "f", ["decision_time"])
+    return z.select("decision_time", "node_id", (-F.col("_r")).alias("reversal"), F.col("z").alias("signed_flow"))
+
+
+def build_nodes(graphs: DataFrame, symbols: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """Node features of every graph, those without edges too, and of the multiplex of its structural layers as layer 0.
+
+    The multiplex averages over the structural (30 minute) graphs of a time, each of them once, with edges or without.
+    signals: node_signals; their weighted means over neighbours are neighbor_reversal and neighbor_signed_flow.
+    """
+    key = [*GROUP, *COMMON]
     nodes = symbols.select(F.col("symbol_id").cast("long").alias("node_id"))
-    own = graph.node_metrics(edges, nodes, GROUP).withColumn("layer_participation", (F.col("degree") > 0).cast("double"))
-    whole = graph.multiplex(edges.where("lookback_minutes = 30")).withColumns({"layer_id": F.lit(0), "lookback_minutes": F.lit(30)})
+    edges = graphs.where("src_id is not null")
+    made = graphs.select(*key).distinct()
+    own = graph.node_metrics(edges, nodes, GROUP, made.select(*GROUP)).withColumn("layer_participation", (F.col("degree") > 0).cast("double")).join(made, GROUP)
+    structural = made.where("lookback_minutes = 30")
+    whole = graph.multiplex_metrics(edges.where("lookback_minutes = 30"), nodes, structural)
+    whole = whole.withColumns({"layer_id": F.lit(0), "lookback_minutes": F.lit(30), "scale_role": F.lit("structural"), "decision_step_minutes": F.lit(5), "top_k": F.lit(0), "degree_cap": F.lit(0), "minimum_similarity": F.lit(float("nan")).cast("float")})
     out = own.unionByName(whole, allowMissingColumns=True)
     if signals is not None:
-        means = graph.neighbor_mean(edges, signals, GROUP)
-        out = out.join(means, [*GROUP, "node_id"], "left").fillna({"neighbor_signal": 0.0})
-    return out
+        pooled = edges.where("lookback_minutes = 30").select("decision_time", F.lit(0).alias("layer_id"), F.lit(30).alias("lookback_minutes"), "src_id", "dst_id", "weight")
+        both = edges.select(*GROUP, "src_id", "dst_id", "weight").unionByName(pooled)
+        means = graph.neighbor_means(both, signals, GROUP, {"reversal": "neighbor_reversal", "signed_flow": "neighbor_signed_flow"})
+        out = out.join(means, [*GROUP, "node_id"], "left").fillna(0.0, ["neighbor_reversal", "neighbor_signed_flow"])
+    return out.drop("window_start", "window_end", "window_points", "vector_dimension")
+
+
+def build_snapshots(graphs: DataFrame, nodes: DataFrame, universe: int, layers: tuple[Layer, ...] = LAYERS) -> DataFrame:
+    """A row a graph: universe, active nodes, coverage, isolation, edges, cap saturation, mean degree and strength, the weights' diagnostics, and how it was made."""
+    made = graphs.select(*GROUP, *COMMON).distinct()
+    qa = graph.snapshot_qa(nodes.where("layer_id <> 0").drop(*COMMON), GROUP, 1).drop("degree_cap_saturation")
+    weights = graph.weight_diagnostics(graphs.where("src_id is not null"), GROUP)
+    table = [(x.layer_id, ",".join(x.columns), x.transform, 0 if x.transform.startswith("return_corr_") else graph.lsh_bits(universe)) for x in layers]
+    names = graphs.sparkSession.createDataFrame(table, "layer_id int, used_columns string, transform string, lsh_bits int")
+    out = made.join(qa, GROUP).join(weights, GROUP, "left").join(names, "layer_id")
+    return out.withColumn("degree_cap_saturation", F.col("edge_count") / F.greatest(F.lit(1.0), F.lit(universe) * F.col("degree_cap") / 2.0))

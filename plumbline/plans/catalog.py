@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BuildConfig, Layer
+from ..functions.tokens import safe_token
 from ..operators import alpha, communities, diagnostics, features, forest, graph, paths, pit, qa, semantics, trajectory
 from ..session import ship
 from ..sinks import replaced_layers
@@ -183,7 +184,7 @@ def every_fifth(spark, sf):
   FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS t) LEFT JOIN bars ON "timestamp" <= t AND "timestamp" > t - INTERVAL 5 DAY GROUP BY 1""", (I.BARS,))
 def pit_qa(spark, sf):
     b = I.bars(spark, sf)
-    return pit.pit_qa(b, pit.decision_grid(b, "1 day"), "5 DAYS").withColumn("decision_time", day("decision_time"))
+    return pit.pit_qa(b, pit.decision_grid(b, "1 day"), 5, 86400).withColumn("decision_time", day("decision_time"))
 
 
 @query("SELECT greatest(1, round(median(g))::BIGINT) AS frame_minutes FROM (SELECT date_diff('second', lag(t) OVER (ORDER BY t), t) / 60.0 AS g FROM (SELECT DISTINCT \"timestamp\" AS t FROM bars)) WHERE g > 0", (I.BARS,))
@@ -341,25 +342,34 @@ def lsh_edges(spark, sf):
 BAR_LAYERS = (Layer(1, "return_corr_raw_1m", ("close",), "price", "return_corr_raw_1m", (15, 30)), Layer(4, "signed_flow", ("signed_flow", "n_events"), "trade_flow", "standard", (5, 15, 30)))
 
 
-def _built(spark, sf):
+def _graphs_built(spark, sf):
     b = I.bars(spark, sf)
     symbols = b.select("symbol", F.col("symbol").alias("symbol_id")).distinct()
-    return build.build_edges(b, pit.decision_grid(b, "1 day"), symbols, BuildConfig(top_k=8, degree_cap=6), BAR_LAYERS, 86400), symbols
+    grid = pit.decision_grid(b, "1 day")
+    return build.build_graphs(b, grid, symbols, BuildConfig(), BAR_LAYERS, 86400), symbols, build.node_signals(b.withColumnRenamed("signed_flow", "signed_dollar_flow"), grid, symbols, 30, 86400)
 
 
 @query()
 def graph_build(spark, sf):
-    edges, _ = _built(spark, sf)
+    edges = _graphs_built(spark, sf)[0].where("src_id is not null").drop("window_start", "window_end")
     return rounded(edges.withColumn("decision_time", day("decision_time")), "weight")
 
 
 @query()
 def graph_build_nodes(spark, sf):
-    return rounded(build.build_nodes(*_built(spark, sf)).withColumn("decision_time", day("decision_time")), "strength", "core_z")
+    return rounded(build.build_nodes(*_graphs_built(spark, sf)).withColumn("decision_time", day("decision_time")), "strength", "core_z", "neighbor_reversal", "neighbor_signed_flow")
+
+
+@query()
+def graph_build_snapshots(spark, sf):
+    graphs, symbols, _ = _graphs_built(spark, sf)
+    out = build.build_snapshots(graphs, build.build_nodes(graphs, symbols), 1000, BAR_LAYERS).drop("window_start", "window_end")
+    return out.withColumn("decision_time", day("decision_time"))
 
 
 # ---- diagnostics on yearly edges
 
+#: Linear quantiles.
 THRESH = "th AS (SELECT layer_id, lookback_minutes, quantile_cont(weight, 0.8) AS q80, quantile_cont(weight, 0.9) AS q90, quantile_cont(weight, 0.95) AS q95 FROM edges GROUP BY 1, 2)"
 
 
@@ -371,9 +381,12 @@ def strong_thresholds(spark, sf):
 SNAP = """
 ends AS (SELECT decision_time, layer_id, lookback_minutes, src_id AS node, weight FROM edges UNION ALL SELECT decision_time, layer_id, lookback_minutes, dst_id, weight FROM edges),
 nodes AS (SELECT decision_time, layer_id, lookback_minutes, count(DISTINCT node) AS active_nodes, count(DISTINCT CASE WHEN weight >= q80 THEN node END) AS n80, count(DISTINCT CASE WHEN weight >= q90 THEN node END) AS n90, count(DISTINCT CASE WHEN weight >= q95 THEN node END) AS n95 FROM ends JOIN th USING (layer_id, lookback_minutes) GROUP BY 1, 2, 3),
-snap AS (SELECT decision_time, layer_id, lookback_minutes, count(*) AS edge_count, any_value(active_nodes) AS active_nodes, any_value(active_nodes) / 200 AS node_coverage, avg(weight) AS mean_weight,
-  avg((weight >= q80)::INTEGER) AS strong_ratio_q80, avg((weight >= q90)::INTEGER) AS strong_ratio_q90, avg((weight >= q95)::INTEGER) AS strong_ratio_q95, any_value(n80) / 200 AS strong_coverage_q80, any_value(n90) / 200 AS strong_coverage_q90, any_value(n95) / 200 AS strong_coverage_q95
-  FROM edges JOIN th USING (layer_id, lookback_minutes) JOIN nodes USING (decision_time, layer_id, lookback_minutes) GROUP BY 1, 2, 3)"""
+snap AS (SELECT decision_time, layer_id, lookback_minutes, count(*) AS edge_count, any_value(active_nodes) AS active_nodes, any_value(active_nodes) / 200 AS node_coverage, 1 - any_value(active_nodes) / 200 AS isolated_node_ratio, avg(weight) AS weight_mean,
+  avg((weight >= q80)::INTEGER) AS strong_edge_ratio_q80, avg((weight >= q90)::INTEGER) AS strong_edge_ratio_q90, avg((weight >= q95)::INTEGER) AS strong_edge_ratio_q95, any_value(n80) / 200 AS strong_node_coverage_q80, any_value(n90) / 200 AS strong_node_coverage_q90, any_value(n95) / 200 AS strong_node_coverage_q95
+  FROM edges JOIN th USING (layer_id, lookback_minutes) JOIN nodes USING (decision_time, layer_id, lookback_minutes) GROUP BY 1, 2, 3),
+tails AS (SELECT decision_time, layer_id, lookback_minutes, any_value(p90) AS weight_p90, any_value(p95) AS weight_p95, any_value(p99) AS weight_p99, avg(weight) FILTER (WHERE r <= greatest(1, ceil(n * 0.01))) AS top_1pct_mean_weight, sum(weight) FILTER (WHERE weight >= p95) / sum(weight) AS tail_mass_95
+  FROM (SELECT *, quantile_cont(weight, 0.9) OVER w AS p90, quantile_cont(weight, 0.95) OVER w AS p95, quantile_cont(weight, 0.99) OVER w AS p99, count(*) OVER w AS n, row_number() OVER (w ORDER BY weight DESC) AS r FROM edges WINDOW w AS (PARTITION BY decision_time, layer_id, lookback_minutes)) GROUP BY 1, 2, 3)"""
+SHARES = ("node_coverage", "isolated_node_ratio", "weight_mean", *(f"strong_{k}_{q}" for k in ("edge_ratio", "node_coverage") for q in ("q80", "q90", "q95")))
 
 
 def _snapshots(spark, sf):
@@ -381,112 +394,142 @@ def _snapshots(spark, sf):
     return diagnostics.snapshot_diagnostics(e, 200, diagnostics.strong_thresholds(e))
 
 
-@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, lookback_minutes, edge_count, active_nodes, round(node_coverage, 6) AS node_coverage, round(mean_weight, 6) AS mean_weight, round(strong_ratio_q80, 6) AS strong_ratio_q80, round(strong_ratio_q90, 6) AS strong_ratio_q90, round(strong_ratio_q95, 6) AS strong_ratio_q95, round(strong_coverage_q80, 6) AS strong_coverage_q80, round(strong_coverage_q90, 6) AS strong_coverage_q90, round(strong_coverage_q95, 6) AS strong_coverage_q95 FROM snap", (I.EDGES, THRESH, SNAP))
+def _weights(spark, sf):
+    return _snapshots(spark, sf).join(graph.weight_diagnostics(I.edges(spark, sf), G), G)
+
+
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, lookback_minutes, edge_count, active_nodes, {', '.join(f'round({c}, 6) AS {c}' for c in SHARES)} FROM snap", (I.EDGES, THRESH, SNAP))
 def snapshot_diagnostics(spark, sf):
-    out = _snapshots(spark, sf).withColumn("decision_time", day("decision_time"))
-    return rounded(out, *out.columns[5:])
+    return rounded(_snapshots(spark, sf).withColumn("decision_time", day("decision_time")), *SHARES)
 
 
+#: All pairs and strong ones (q90) frame by frame, nulls in the first.
 TEMP = """
-fr AS (SELECT *, lag(decision_time) OVER w AS p, lag(now) OVER w AS before FROM (SELECT decision_time, layer_id, lookback_minutes, count(*) AS now FROM edges GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY layer_id, lookback_minutes ORDER BY decision_time)),
-kept AS (SELECT e.decision_time, e.layer_id, count(*) AS kept FROM edges e JOIN fr USING (decision_time, layer_id, lookback_minutes) JOIN edges o ON o.decision_time = fr.p AND o.layer_id = e.layer_id AND o.src_id = e.src_id AND o.dst_id = e.dst_id GROUP BY 1, 2),
-temp AS (SELECT decision_time, layer_id, lookback_minutes, now, before, CASE WHEN before IS NOT NULL THEN coalesce(kept, 0) END AS k FROM fr LEFT JOIN kept USING (decision_time, layer_id)),
-tr AS (SELECT decision_time, layer_id, lookback_minutes, (now - k) / greatest(1, now) AS birth_rate, (before - k) / greatest(1, before) AS death_rate, k / greatest(1, before) AS persistence, k / greatest(1, now + before - k) AS jaccard FROM temp)"""
+fp AS (SELECT decision_time, layer_id, lookback_minutes, src_id, dst_id, weight >= q90 AS s FROM edges JOIN th USING (layer_id, lookback_minutes)),
+fr AS (SELECT *, lag(decision_time) OVER w AS p, lag(a_now) OVER w AS a_old, lag(s_now) OVER w AS s_old FROM (SELECT decision_time, layer_id, lookback_minutes, count(*) AS a_now, count(*) FILTER (WHERE s) AS s_now FROM fp GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY layer_id, lookback_minutes ORDER BY decision_time)),
+kept AS (SELECT e.decision_time, e.layer_id, count(*) AS a_kept, count(*) FILTER (WHERE e.s AND o.s) AS s_kept FROM fp e JOIN fr USING (decision_time, layer_id, lookback_minutes) JOIN fp o ON o.decision_time = fr.p AND o.layer_id = e.layer_id AND o.src_id = e.src_id AND o.dst_id = e.dst_id GROUP BY 1, 2),
+temp AS (SELECT fr.*, CASE WHEN p IS NOT NULL THEN coalesce(a_kept, 0) END AS a, CASE WHEN p IS NOT NULL THEN coalesce(s_kept, 0) END AS s FROM fr LEFT JOIN kept USING (decision_time, layer_id)),
+tr AS (SELECT decision_time, layer_id, lookback_minutes, (a_now - a) / greatest(1, a_now) AS all_birth_rate, (a_old - a) / greatest(1, a_old) AS all_death_rate, a / greatest(1, a_old) AS all_persistence, a / greatest(1, a_now + a_old - a) AS all_jaccard,
+  (s_now - s) / greatest(1, s_now) AS strong_birth_rate, (s_old - s) / greatest(1, s_old) AS strong_death_rate, s / greatest(1, s_old) AS strong_persistence, s / greatest(1, s_now + s_old - s) AS strong_jaccard FROM temp)"""
+RATES = tuple(f"{k}_{r}" for k in ("all", "strong") for r in ("birth_rate", "death_rate", "persistence", "jaccard"))
+
+
+def _temporal(spark, sf):
+    e = I.edges(spark, sf)
+    return diagnostics.temporal_diagnostics(e, diagnostics.strong_thresholds(e))
 
 
-@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, lookback_minutes, round(birth_rate, 6) AS birth_rate, round(death_rate, 6) AS death_rate, round(persistence, 6) AS persistence, round(jaccard, 6) AS jaccard FROM tr", (I.EDGES, TEMP))
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, lookback_minutes, {', '.join(f'round({c}, 6) AS {c}' for c in RATES)} FROM tr", (I.EDGES, THRESH, TEMP))
 def temporal_diagnostics(spark, sf):
-    out = diagnostics.temporal_diagnostics(I.edges(spark, sf)).withColumn("decision_time", day("decision_time"))
-    return rounded(out, *out.columns[3:])
+    return rounded(_temporal(spark, sf).withColumn("decision_time", day("decision_time")), *RATES)
 
 
+#: Pairs and nodes by the layers and families that hold them.
 RES = """
-rp AS (SELECT decision_time, src_id, dst_id, count(DISTINCT layer_id) AS l, count(DISTINCT CASE layer_id WHEN 1 THEN 'price' ELSE 'activity' END) AS f FROM edges WHERE layer_id <> 0 GROUP BY 1, 2, 3),
-res AS (SELECT decision_time, count(*) AS pairs, count(*) FILTER (WHERE l >= 2) AS pairs_layers_2, count(*) FILTER (WHERE l >= 3) AS pairs_layers_3, count(*) FILTER (WHERE l >= 5) AS pairs_layers_5, avg(l) AS mean_layers, avg(f) AS mean_families FROM rp GROUP BY 1)"""
+rl AS (SELECT decision_time, layer_id, src_id, dst_id, CASE layer_id WHEN 1 THEN 'price' ELSE 'activity' END AS family FROM edges WHERE layer_id <> 0),
+rp AS (SELECT decision_time, src_id, dst_id, count(DISTINCT layer_id) AS l, count(DISTINCT family) AS f FROM rl GROUP BY 1, 2, 3),
+rn AS (SELECT decision_time, node, count(DISTINCT layer_id) AS l, count(DISTINCT family) AS f FROM (SELECT *, src_id AS node FROM rl UNION ALL SELECT *, dst_id FROM rl) GROUP BY 1, 2),
+res AS (SELECT * FROM (SELECT decision_time, count(*) FILTER (WHERE l >= 2) AS resonant_edges_ge2_layers, count(*) FILTER (WHERE l >= 3) AS resonant_edges_ge3_layers, count(*) FILTER (WHERE f >= 2) AS resonant_edges_ge2_families, count(*) FILTER (WHERE f >= 3) AS resonant_edges_ge3_families, avg(l) AS mean_edge_layer_support FROM rp GROUP BY 1)
+  JOIN (SELECT decision_time, count(*) FILTER (WHERE l >= 5) AS core_nodes_ge5_layers, count(*) FILTER (WHERE f >= 3) AS core_nodes_ge3_families, avg(l) AS mean_node_layer_participation FROM rn GROUP BY 1) USING (decision_time))"""
 
 
 def _resonance(spark, sf):
     return diagnostics.resonance(I.edges(spark, sf), spark.createDataFrame(I.FAMILIES, "layer_id int, family string"))
 
 
-@query(f"SELECT {DAY.format('decision_time')} AS decision_time, pairs, pairs_layers_2, pairs_layers_3, pairs_layers_5, round(mean_layers, 6) AS mean_layers, round(mean_families, 6) AS mean_families FROM res", (I.EDGES, RES))
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, {', '.join(c if c.endswith(('layers', 'families')) else f'round({c}, 6) AS {c}' for c in diagnostics.RESONANCE_METRICS)} FROM res", (I.EDGES, RES))
 def resonance(spark, sf):
-    return rounded(_resonance(spark, sf).withColumn("decision_time", day("decision_time")), "mean_layers", "mean_families")
+    return rounded(_resonance(spark, sf).withColumn("decision_time", day("decision_time")), "mean_edge_layer_support", "mean_node_layer_participation")
+
 
+_DAILY = (diagnostics.SNAPSHOT_METRICS[:9], diagnostics.TEMPORAL_METRICS, diagnostics.RESONANCE_METRICS)
 
-@query(f"""SELECT {DAY.format('decision_time')} AS trade_date, round(a.edge_count, 6) AS edge_count, round(a.node_coverage, 6) AS node_coverage, round(b.birth_rate, 6) AS birth_rate, round(b.jaccard, 6) AS jaccard, round(r.mean_layers, 6) AS mean_layers
-  FROM (SELECT decision_time, avg(edge_count) AS edge_count, avg(node_coverage) AS node_coverage FROM snap GROUP BY 1) a FULL JOIN (SELECT decision_time, avg(birth_rate) AS birth_rate, avg(jaccard) AS jaccard FROM tr GROUP BY 1) b USING (decision_time) FULL JOIN (SELECT decision_time, avg(mean_layers) AS mean_layers FROM res GROUP BY 1) r USING (decision_time)""", (I.EDGES, THRESH, SNAP, TEMP, RES))
+
+@query(f"""SELECT {DAY.format('decision_time')} AS trade_date, {', '.join(f'round({c}, 5) AS {c}' for cs in _DAILY for c in cs)} FROM (SELECT decision_time, {', '.join(f'avg({c}) AS {c}' for c in _DAILY[0])} FROM snap JOIN tails USING (decision_time, layer_id, lookback_minutes) GROUP BY 1)
+  FULL JOIN (SELECT decision_time, {', '.join(f'avg({c}) AS {c}' for c in _DAILY[1])} FROM tr GROUP BY 1) USING (decision_time) FULL JOIN (SELECT decision_time, {', '.join(f'avg({c}) AS {c}' for c in _DAILY[2])} FROM res GROUP BY 1) USING (decision_time)""", (I.EDGES, THRESH, SNAP, TEMP, RES))
 def daily_diagnostics(spark, sf):
     dated = lambda df: df.withColumn("trade_date", day("decision_time"))
-    out = diagnostics.daily(dated(_snapshots(spark, sf)), dated(diagnostics.temporal_diagnostics(I.edges(spark, sf))), dated(_resonance(spark, sf)))
-    return rounded(out, *out.columns[1:])
+    out = diagnostics.daily(dated(_weights(spark, sf)), dated(_temporal(spark, sf)), dated(_resonance(spark, sf)))
+    return rounded(out, *out.columns[1:], digits=5)
 
 
-SPARSE = "sparse AS (SELECT * FROM edges WHERE weight >= 0.9 AND (src_id + dst_id) % 11 = 0)"
 COMP = """
-reach AS (SELECT decision_time, layer_id, src_id AS a, dst_id AS b FROM sparse UNION SELECT decision_time, layer_id, dst_id, src_id FROM sparse UNION SELECT r.decision_time, r.layer_id, r.a, e.b FROM reach r JOIN
-  (SELECT decision_time, layer_id, src_id AS a, dst_id AS b FROM sparse UNION SELECT decision_time, layer_id, dst_id, src_id FROM sparse) e ON e.decision_time = r.decision_time AND e.layer_id = r.layer_id AND e.a = r.b),
-comp AS (SELECT decision_time, layer_id, a AS node_id, least(a, min(b)) AS component_id FROM reach GROUP BY 1, 2, 3)"""
-
-
-def _sparse(spark, sf):
-    return I.edges(spark, sf).where("weight >= 0.9 and (src_id + dst_id) % 11 = 0")
-
-
-@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, node_id, component_id FROM comp", ("RECURSIVE " + I.EDGES.strip(), SPARSE, COMP))
-def graph_components(spark, sf):
-    return diagnostics.graph_components(_sparse(spark, sf), ["decision_time", "layer_id"]).withColumn("decision_time", day("decision_time"))
-
-
-@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, count(*) AS component_count, round(max(n) / 200, 6) AS giant_coverage, round(sum(n * n) / (sum(n) * sum(n)), 6) AS size_hhi FROM (SELECT decision_time, layer_id, component_id, count(*) AS n FROM comp GROUP BY 1, 2, 3) GROUP BY 1, 2", ("RECURSIVE " + I.EDGES.strip(), SPARSE, COMP))
-def component_metrics(spark, sf):
-    m = diagnostics.graph_components(_sparse(spark, sf), ["decision_time", "layer_id"])
-    return rounded(diagnostics.component_metrics(m, ["decision_time", "layer_id"], 200).withColumn("decision_time", day("decision_time")), "giant_coverage", "size_hhi")
+sides AS (SELECT decision_time, layer_id, src_id AS a, dst_id AS b FROM edges UNION ALL SELECT decision_time, layer_id, dst_id, src_id FROM edges),
+reach AS (SELECT decision_time, layer_id, a AS node, least(a, min(b)) AS label FROM sides GROUP BY 1, 2, 3 UNION SELECT e.decision_time, e.layer_id, e.b, r.label FROM reach r JOIN sides e ON e.decision_time = r.decision_time AND e.layer_id = r.layer_id AND e.a = r.node WHERE r.label < e.b),
+comp AS (SELECT decision_time, layer_id, node AS node_id, min(label) AS component_id FROM reach GROUP BY 1, 2, 3)"""
 
 
 def _components(spark, sf):
     return diagnostics.graph_components(I.edges(spark, sf), ["decision_time", "layer_id"])
 
 
-@query()
-def graph_components_whole(spark, sf):
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, node_id, component_id FROM comp", ("RECURSIVE " + I.EDGES.strip(), COMP))
+def graph_components(spark, sf):
     return _components(spark, sf).withColumn("decision_time", day("decision_time"))
 
 
-@query()
-def component_metrics_whole(spark, sf):
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, layer_id, count(*) AS component_count, round(max(n) / 200, 6) AS giant_component_coverage, round(sum(n * n) / (sum(n) * sum(n)), 6) AS component_size_hhi FROM (SELECT decision_time, layer_id, component_id, count(*) AS n FROM comp GROUP BY 1, 2, 3) GROUP BY 1, 2", ("RECURSIVE " + I.EDGES.strip(), COMP))
+def component_metrics(spark, sf):
     m = diagnostics.component_metrics(_components(spark, sf), ["decision_time", "layer_id"], 200)
-    return rounded(m.withColumn("decision_time", day("decision_time")), "giant_coverage", "size_hhi")
+    return rounded(m.withColumn("decision_time", day("decision_time")), "giant_component_coverage", "component_size_hhi")
 
 
-@query(f"""SELECT {DAY.format('decision_time')} AS decision_time, layer_id, round(sum(within / m - (degree / (2 * m)) * (degree / (2 * m))), 6) AS modularity, round(sum(within / m), 6) AS within_ratio FROM (
-  SELECT *, sum(degree) OVER (PARTITION BY decision_time, layer_id) / 2 AS m FROM (SELECT decision_time, layer_id, c, sum(weight) AS degree, sum(w) AS within FROM (
-    SELECT decision_time, layer_id, src_id % 10 AS c, weight, CASE WHEN src_id % 10 = dst_id % 10 THEN weight ELSE 0 END AS w FROM edges UNION ALL SELECT decision_time, layer_id, dst_id % 10, weight, 0 FROM edges) GROUP BY 1, 2, 3)) GROUP BY 1, 2""", (I.EDGES,))
+@query(f"""SELECT {DAY.format('decision_time')} AS decision_time, layer_id, any_value(community_count) AS community_count, round(any_value(hhi), 6) AS community_hhi, round(any_value(top), 6) AS top_community_coverage, round(sum(within / m - (degree / (2 * m)) * (degree / (2 * m))), 6) AS weighted_modularity, round(2 * sum(within - n * (n - 1) / 2), 4) AS cpm_quality, round(sum(within / m), 6) AS within_community_weight_ratio FROM (
+  SELECT *, sum(degree) OVER g / 2 AS m, count(*) OVER g AS community_count, sum(n * n) OVER g / (sum(n) OVER g * sum(n) OVER g) AS hhi, max(n) OVER g / 200 AS top FROM (SELECT decision_time, layer_id, c, sum(weight) AS degree, sum(w) AS within, count(DISTINCT node) AS n FROM (
+    SELECT decision_time, layer_id, src_id % 10 AS c, src_id AS node, weight, CASE WHEN src_id % 10 = dst_id % 10 THEN weight ELSE 0 END AS w FROM edges UNION ALL SELECT decision_time, layer_id, dst_id % 10, dst_id, weight, 0 FROM edges) GROUP BY 1, 2, 3) WINDOW g AS (PARTITION BY decision_time, layer_id)) GROUP BY 1, 2""", (I.EDGES,))
 def modularity(spark, sf):
     e = I.edges(spark, sf)
     group = ["decision_time", "layer_id"]
     m = e.select(*group, F.explode(F.array("src_id", "dst_id")).alias("node_id")).distinct().withColumn("community_id", F.col("node_id") % 10)
-    return rounded(diagnostics.modularity(e, m, group).withColumn("decision_time", day("decision_time")), "modularity", "within_ratio")
+    out = diagnostics.community_metrics(e, m, group, 200).withColumn("decision_time", day("decision_time"))
+    return rounded(rounded(out, "community_hhi", "top_community_coverage", "weighted_modularity", "within_community_weight_ratio"), "cpm_quality", digits=4)
+
 
+#: Two candidates, the graphs of even and of odd years. Means, regime separation, z and score.
+_GOOD, _REGIME = ("strong_edge_ratio_q90", "strong_node_coverage_q90", "weight_p95", "weight_p99", "strong_persistence"), ("strong_edge_ratio_q90", "strong_node_coverage_q90", "weight_p95", "weight_p99", "tail_mass_95", "node_coverage", "strong_birth_rate", "strong_death_rate", "strong_persistence")
+_LATE = "decision_time >= TIMESTAMP '1996-01-01'"
 
-CAND = "cand AS (SELECT layer_id, lookback_minutes, year(decision_time)::VARCHAR AS candidate, edge_count::DOUBLE AS edge_count, node_coverage, mean_weight FROM snap)"
-ZS = "CASE WHEN stddev_pop({0}) OVER w > 1e-12 THEN ({0} - avg({0}) OVER w) / stddev_pop({0}) OVER w ELSE 0 END"
-SCORED = f"scored AS (SELECT *, ({ZS.format('node_coverage')} + {ZS.format('mean_weight')}) / 2 - 0.75 * {ZS.format('edge_count')} AS score FROM cand WINDOW w AS (PARTITION BY layer_id, lookback_minutes))"
+
+def _z_sql(c: str) -> str:
+    return f"({c} - avg({c}) OVER w) / CASE WHEN stddev_pop({c}) OVER w > 0 THEN stddev_pop({c}) OVER w ELSE 1 END"
+
+
+def _effect_sql(c: str) -> str:
+    return f"CASE WHEN stddev_samp({c}) > 0 THEN abs(avg({c}) FILTER (WHERE {_LATE}) - avg({c}) FILTER (WHERE NOT ({_LATE}))) / stddev_samp({c}) END"
+
+
+CAND = f"""
+cand AS (SELECT 'c' || year(decision_time) % 2 AS candidate, *, edge_count / greatest(1.0 * 30 / 2, 1) AS degree_cap_saturation, (edge_count = 0)::INTEGER::DOUBLE AS empty_rate FROM snap JOIN tails USING (decision_time, layer_id, lookback_minutes) JOIN tr USING (decision_time, layer_id, lookback_minutes)),
+runs AS (SELECT candidate, layer_id, lookback_minutes, {', '.join(f'avg({c}) AS {c}' for c in (*_GOOD, 'degree_cap_saturation', 'empty_rate'))}, coalesce(list_avg([{', '.join(_effect_sql(c) for c in _REGIME)}]), 0) AS regime_separation FROM cand GROUP BY 1, 2, 3),
+scored AS (SELECT candidate, layer_id, lookback_minutes, regime_separation, list_avg([{', '.join(_z_sql(c) for c in (*_GOOD, 'regime_separation'))}]) AS reward_score, list_avg([{', '.join(_z_sql(c) for c in diagnostics.BAD_METRICS)}]) AS penalty_score FROM runs WINDOW w AS (PARTITION BY layer_id, lookback_minutes))"""
+SCORE = "round(reward_score - 0.75 * penalty_score, 4) AS multiobjective_score"
+
+
+def _candidates(spark, sf):
+    dated = lambda df: df.withColumn("trade_date", day("decision_time"))
+    snapshot, temporal, out = dated(_weights(spark, sf)), dated(_temporal(spark, sf)), None
+    for k in (0, 1):
+        rows = diagnostics.candidate_rows(snapshot.where(F.year("decision_time") % 2 == k), temporal, f"c{k}", {"top_k": 30, "degree_cap": 30, "minimum_similarity": 0.0})
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _scored(spark, sf):
-    rows = _snapshots(spark, sf).select("layer_id", "lookback_minutes", F.year("decision_time").cast("string").alias("candidate"), F.col("edge_count").cast("double").alias("edge_count"), "node_coverage", "mean_weight")
-    return diagnostics.candidate_scores(rows, ["node_coverage", "mean_weight"], ["edge_count"])
+    rows = _candidates(spark, sf)
+    days = {r[0] for r in rows.select("trade_date").distinct().collect()}
+    late = [d for d in days if d >= "1996"]
+    return diagnostics.candidate_scores(rows, late, sorted(days - set(late)))
 
 
-@query("SELECT layer_id, candidate, round(score, 5) AS score FROM scored", (I.EDGES, THRESH, SNAP, CAND, SCORED))
+@query(f"SELECT candidate, layer_id, lookback_minutes, round(regime_separation, 4) AS regime_separation, round(reward_score, 4) AS reward_score, round(penalty_score, 4) AS penalty_score, {SCORE} FROM scored", (I.EDGES, THRESH, SNAP, TEMP, CAND))
 def candidate_scores(spark, sf):
-    return rounded(_scored(spark, sf).select("layer_id", "candidate", "score"), "score", digits=5)
+    columns = ("regime_separation", "reward_score", "penalty_score", "multiobjective_score")
+    return rounded(_scored(spark, sf).select("candidate", "layer_id", "lookback_minutes", *columns), *columns, digits=4)
 
 
-@query("SELECT layer_id, candidate, round(score, 5) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY layer_id, lookback_minutes ORDER BY score DESC, candidate) = 1", (I.EDGES, THRESH, SNAP, CAND, SCORED))
+@query(f"SELECT layer_id, candidate, {SCORE} FROM scored QUALIFY row_number() OVER (PARTITION BY layer_id, lookback_minutes ORDER BY reward_score - 0.75 * penalty_score DESC, candidate) = 1", (I.EDGES, THRESH, SNAP, TEMP, CAND))
 def best_candidates(spark, sf):
-    return rounded(diagnostics.best_candidates(_scored(spark, sf)).select("layer_id", "candidate", "score"), "score", digits=5)
+    return rounded(diagnostics.best_candidates(_scored(spark, sf)).select("layer_id", "candidate", "multiobjective_score"), "multiobjective_score", digits=4)
 
 
 @query("SELECT layer_id, round(abs(avg(edge_count) FILTER (WHERE y >= 1998) - avg(edge_count) FILTER (WHERE y < 1998)) / nullif(stddev_samp(edge_count), 0), 6) AS effect_size FROM (SELECT *, year(decision_time) AS y FROM snap) GROUP BY 1", (I.EDGES, THRESH, SNAP))
@@ -581,48 +624,59 @@ def theme_forest(spark, sf):
 
 
 def _labels(spark, sf):
-    return alpha.past_labels(I.labels(spark, sf), 1, "label_1", "DAYS", lag=2)
+    return alpha.past_labels(I.labels(spark, sf), [1, 2], 1, "DAYS")
 
 
-PAST = I.LABELS + ",\npl AS (SELECT l.*, p.label_1 AS past_label_1 FROM labels l LEFT JOIN labels p ON p.symbol = l.symbol AND p.decision_time = l.decision_time - INTERVAL 2 DAY)"
+#: The label that began horizon + bar before, not the one that began a horizon before, which ends a bar ahead.
+PAST = I.LABELS + """,
+pl AS (SELECT l.*, p.label_1 AS past_label_1, q.label_2 AS past_label_2 FROM labels l LEFT JOIN labels p ON p.symbol = l.symbol AND p.decision_time = l.decision_time - INTERVAL 2 DAY LEFT JOIN labels q ON q.symbol = l.symbol AND q.decision_time = l.decision_time - INTERVAL 3 DAY)"""
 
 
-@query(f"SELECT {DAY.format('decision_time')} AS decision_time, symbol, label_1, past_label_1 FROM pl", (PAST,))
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, symbol, label_1, label_2, past_label_1, past_label_2 FROM pl", (PAST,))
 def past_labels(spark, sf):
-    return _labels(spark, sf).withColumn("decision_time", day("decision_time")).select("decision_time", "symbol", "label_1", "past_label_1")
+    return _labels(spark, sf).withColumn("decision_time", day("decision_time")).select("decision_time", "symbol", "label_1", "label_2", "past_label_1", "past_label_2")
+
+
+_LABELS = {"label_1": "ret_{}_1", "label_2": "ret_{}_2", "past_label_1": "past_{}_1", "past_label_2": "past_{}_2"}
+_MEANS = [n.format(k) for n in _LABELS.values() for k in ("eq", "core", "top5", "top10")]
+
+
+def _returns_sql(c: str, name: str) -> str:
+    return f"avg({c}) AS {name.format('eq')}, coalesce(sum(core_score * {c}), 0) / nullif(sum(core_score), 0) AS {name.format('core')}, avg({c}) FILTER (WHERE r <= 5) AS {name.format('top5')}, avg({c}) FILTER (WHERE r <= 10) AS {name.format('top10')}"
 
 
-TR_SQL = """(SELECT decision_time, layer_id, scale, level, theme_id, count(*) AS member_count, avg(x) AS mean_return, sum(core_score * x) / nullif(sum(core_score), 0) AS core_weighted_return, avg(x) FILTER (WHERE r <= 5) AS top5_return, avg(x) FILTER (WHERE r <= 10) AS top10_return FROM
-  (SELECT m.*, l.{0} AS x, row_number() OVER (PARTITION BY m.decision_time, m.theme_id ORDER BY core_score DESC, member_id) AS r FROM members m JOIN pl l ON l.symbol = m.member_id AND l.decision_time = m.decision_time) GROUP BY 1, 2, 3, 4, 5)"""
-RETURNS = f"trf AS {TR_SQL.format('label_1')}, trp AS {TR_SQL.format('past_label_1')}"
+#: All horizons, past and future, the weighted mean over all scores.
+RETURNS = f"""
+trr AS (SELECT decision_time, layer_id, scale, level, theme_id, count(*) AS member_count, {', '.join(_returns_sql(c, n) for c, n in _LABELS.items())} FROM
+  (SELECT m.*, label_1, label_2, past_label_1, past_label_2, row_number() OVER (PARTITION BY m.decision_time, m.theme_id ORDER BY core_score DESC, member_id) AS r FROM members m JOIN pl l ON l.symbol = m.member_id AND l.decision_time = m.decision_time) GROUP BY 1, 2, 3, 4, 5)"""
 
 
-@query(f"SELECT {DAY.format('decision_time')} AS decision_time, theme_id, member_count, round(mean_return, 10) AS mean_return, round(core_weighted_return, 10) AS core_weighted_return, round(top5_return, 10) AS top5_return, round(top10_return, 10) AS top10_return FROM trf", (PAST, I.MEMBERS, RETURNS))
+def _returns(spark, sf):
+    return alpha.theme_returns(I.members(spark, sf), _labels(spark, sf))
+
+
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, theme_id, member_count, {', '.join(f'round({c}, 9) AS {c}' for c in _MEANS)} FROM trr", (PAST, I.MEMBERS, RETURNS))
 def theme_returns(spark, sf):
-    out = alpha.theme_returns(I.members(spark, sf), I.labels(spark, sf), "label_1").withColumn("decision_time", day("decision_time")).drop("layer_id", "scale", "level")
-    return rounded(out, "mean_return", "core_weighted_return", "top5_return", "top10_return", digits=10)
+    return rounded(_returns(spark, sf).withColumn("decision_time", day("decision_time")).drop("layer_id", "scale", "level"), *_MEANS, digits=9)
 
 
 def _spillover(spark, sf):
-    m = I.members(spark, sf)
     key = alpha.THEME[:-1]
-    t = m.select(*key, "theme_id").distinct()
+    t = I.members(spark, sf).select(*key, "theme_id").distinct()
     rel = t.withColumnRenamed("theme_id", "src_theme_id").join(t.withColumnRenamed("theme_id", "dst_theme_id"), key).where("src_theme_id < dst_theme_id").withColumn("relation_strength", (F.substring("src_theme_id", 2, 1).cast("int") + 1) / 10.0)
-    labels = _labels(spark, sf)
-    past = alpha.theme_returns(m, labels, "past_label_1")
-    return alpha.spillover(rel, past, alpha.theme_returns(m, labels, "label_1"))
+    return alpha.spillover(rel, _returns(spark, sf), "past_eq_1", ["ret_eq_1", "ret_eq_2"])
 
 
 SPILL = """
 th2 AS (SELECT DISTINCT decision_time, theme_id FROM members),
-spill AS (SELECT s.decision_time, d.theme_id AS dst_theme_id, avg((substr(s.theme_id, 2, 1)::INTEGER + 1) / 10 * coalesce(p.mean_return, 0)) AS signal, avg((substr(s.theme_id, 2, 1)::INTEGER + 1) / 10) AS mean_strength, count(*) AS source_count, any_value(f.mean_return) AS target_return
-  FROM th2 s JOIN th2 d ON s.decision_time = d.decision_time AND s.theme_id < d.theme_id JOIN trp p ON p.decision_time = s.decision_time AND p.theme_id = s.theme_id JOIN trf f ON f.decision_time = d.decision_time AND f.theme_id = d.theme_id GROUP BY 1, 2)"""
+spill AS (SELECT s.decision_time, d.theme_id AS dst_theme_id, avg((substr(s.theme_id, 2, 1)::INTEGER + 1) / 10 * coalesce(p.past_eq_1, 0)) AS signal, avg((substr(s.theme_id, 2, 1)::INTEGER + 1) / 10) AS mean_strength, count(*) AS source_count, any_value(f.ret_eq_1) AS target_1, any_value(f.ret_eq_2) AS target_2
+  FROM th2 s JOIN th2 d ON s.decision_time = d.decision_time AND s.theme_id < d.theme_id JOIN trr p ON p.decision_time = s.decision_time AND p.theme_id = s.theme_id JOIN trr f ON f.decision_time = d.decision_time AND f.theme_id = d.theme_id GROUP BY 1, 2)"""
 
 
-@query(f"SELECT {DAY.format('decision_time')} AS decision_time, dst_theme_id, round(signal, 10) AS signal, round(mean_strength, 10) AS mean_strength, source_count, round(target_return, 10) AS target_return FROM spill", (PAST, I.MEMBERS, RETURNS, SPILL))
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, dst_theme_id, round(signal, 9) AS signal, round(mean_strength, 9) AS mean_strength, source_count, round(target_1, 9) AS target_1, round(target_2, 9) AS target_2 FROM spill", (PAST, I.MEMBERS, RETURNS, SPILL))
 def spillover(spark, sf):
     out = _spillover(spark, sf).withColumn("decision_time", day("decision_time")).drop("layer_id", "scale", "level")
-    return rounded(out, "signal", "mean_strength", "target_return", digits=10)
+    return rounded(out, "signal", "mean_strength", "target_1", "target_2", digits=9)
 
 
 @query(f"""SELECT {DAY.format('decision_time')} AS decision_time, theme_id, any_value(n) AS member_count, round(avg(p) FILTER (WHERE r < greatest(1, floor(n * 0.2))), 10) AS core_past, round(avg(x) FILTER (WHERE r >= n - greatest(1, floor(n * 0.5))), 10) AS peripheral_future,
@@ -654,14 +708,30 @@ def alpha_summary(spark, sf):
     return rounded(rounded(alpha.alpha_summary(_ic(spark, sf), ["side"], "decision_time"), "rank_ic", "spread", "positive_date_ratio", digits=5), "t_stat", digits=4)
 
 
-BIRTH = "bt AS (SELECT trf.*, min(decision_time) OVER (PARTITION BY layer_id, theme_id) AS f FROM (SELECT * FROM trf WHERE (substr(theme_id, 2, 1)::INTEGER * 3) <= day(decision_time)) trf)"
+#: Births have no predecessor; by the letter, no earlier row of the id.
+BIRTH = """
+tlm AS (SELECT decision_time, 't' || (member_id + day(decision_time)) % 10 AS theme_id, member_id FROM members),
+tls AS (SELECT decision_time, theme_id, count(*) AS n FROM tlm GROUP BY 1, 2),
+tln AS (SELECT decision_time, lead(decision_time) OVER (ORDER BY decision_time) AS nxt FROM (SELECT DISTINCT decision_time FROM tlm)),
+tlo AS (SELECT a.decision_time, nxt, a.theme_id AS s, b.theme_id AS d, count(*) AS o FROM tlm a JOIN tln USING (decision_time) JOIN tlm b ON b.decision_time = nxt AND b.member_id = a.member_id GROUP BY 1, 2, 3, 4),
+tlj AS (SELECT tlo.*, o / (x.n + y.n - o) AS j, o / least(x.n, y.n) AS c FROM tlo JOIN tls x ON x.decision_time = tlo.decision_time AND x.theme_id = s JOIN tls y ON y.decision_time = nxt AND y.theme_id = d),
+tlc AS (SELECT nxt AS decision_time, d AS theme_id FROM (SELECT *, greatest(j, 0.7::DOUBLE * j + 0.3::DOUBLE * c) AS v FROM tlj QUALIFY row_number() OVER (PARTITION BY decision_time, s ORDER BY greatest(j, 0.7::DOUBLE * j + 0.3::DOUBLE * c) DESC, d) = 1) WHERE v >= 0.15 OR j >= 0.25),
+tlr AS (SELECT m.decision_time, theme_id, avg(label_1) AS x FROM tlm m JOIN pl l ON l.symbol = m.member_id AND l.decision_time = m.decision_time GROUP BY 1, 2)"""
 
 
-@query(f"""SELECT {DAY.format('decision_time')} AS decision_time, count(*) FILTER (WHERE f = decision_time) AS born, round(avg(mean_return) FILTER (WHERE f = decision_time), 5) AS born_return, round(avg(mean_return) FILTER (WHERE f <> decision_time), 5) AS old_return,
-  round(avg(mean_return) FILTER (WHERE f = decision_time) - avg(mean_return) FILTER (WHERE f <> decision_time), 5) AS excess FROM bt GROUP BY 1""", (PAST, I.MEMBERS, RETURNS, BIRTH))
+@query(f"""SELECT {DAY.format('decision_time')} AS decision_time, count(*) FILTER (WHERE b) AS born, round(avg(x) FILTER (WHERE b), 9) AS born_return, round(avg(x) FILTER (WHERE NOT b), 9) AS old_return, round(avg(x) FILTER (WHERE b) - avg(x) FILTER (WHERE NOT b), 9) AS excess
+  FROM (SELECT *, (decision_time, theme_id) NOT IN (SELECT (decision_time, theme_id) FROM tlc) AS b FROM tlr) GROUP BY 1""", (PAST, I.MEMBERS, BIRTH))
 def theme_birth(spark, sf):
-    r = alpha.theme_returns(I.members(spark, sf), I.labels(spark, sf), "label_1").where(F.substring("theme_id", 2, 1).cast("int") * 3 <= F.dayofmonth("decision_time"))
-    return rounded(alpha.theme_birth(r).withColumn("decision_time", day("decision_time")), "born_return", "old_return", "excess", digits=5)
+    m = I.members(spark, sf).withColumn("theme_id", F.concat(F.lit("t"), ((F.col("member_id") + F.dayofmonth("decision_time")) % 10).cast("string")))
+    born = alpha.births(alpha.theme_returns(m, I.labels(spark, sf)), forest.continuation(m, ["layer_id"]), ["layer_id"])
+    return rounded(alpha.theme_birth(born, "ret_eq_1").withColumn("decision_time", day("decision_time")), "born_return", "old_return", "excess", digits=9)
+
+
+@query(f"""SELECT {DAY.format('decision_time')} AS decision_time, count(*) FILTER (WHERE f = decision_time) AS born, round(avg(ret_eq_1) FILTER (WHERE f = decision_time), 9) AS born_return, round(avg(ret_eq_1) FILTER (WHERE f <> decision_time), 9) AS old_return,
+  round(avg(ret_eq_1) FILTER (WHERE f = decision_time) - avg(ret_eq_1) FILTER (WHERE f <> decision_time), 9) AS excess FROM (SELECT *, min(decision_time) OVER (PARTITION BY theme_id) AS f FROM trr) GROUP BY 1""", (PAST, I.MEMBERS, RETURNS))
+def theme_birth_by_id(spark, sf):
+    born = alpha.first_seen(_returns(spark, sf), ["layer_id"])
+    return rounded(alpha.theme_birth(born, "ret_eq_1").withColumn("decision_time", day("decision_time")), "born_return", "old_return", "excess", digits=9)
 
 
 # ---- communities, consensus, lifecycle, paths
@@ -673,7 +743,8 @@ def _graphs(spark, sf):
 
 @query()
 def communities_detected(spark, sf):
-    return communities.detect(_graphs(spark, sf), ["snapshot_time", "layer_id"]).withColumn("snapshot_time", day("snapshot_time"))
+    out = communities.detect(_graphs(spark, sf), ["snapshot_time", "layer_id"]).withColumn("snapshot_time", day("snapshot_time"))
+    return rounded(out, "modularity")
 
 
 def _units(spark, sf):
@@ -692,7 +763,7 @@ us AS (SELECT DISTINCT "timestamp" AS snapshot_time, 'signed_flow@30m' AS layer_
 def consensus_pairs(spark, sf):
     weights = {"signed_flow": 0.5, "price_impact": 0.5}
     out = communities.pair_scores(_units(spark, sf), weights, least=0.8)
-    return rounded(out.withColumn("snapshot_time", day("snapshot_time")), "score")
+    return rounded(out.withColumn("snapshot_time", day("snapshot_time")).drop("layers"), "score")
 
 
 def _themes(spark, sf):
@@ -764,41 +835,54 @@ def _theme_members(spark, sf):
     return I.table(spark, sf, "customer").select(F.concat(F.lit("t"), (F.col("c_custkey") % 20).cast("string")).alias("theme_id"), F.col("c_custkey").alias("member_id"))
 
 
+def _theme_lists(spark, sf):
+    return _theme_members(spark, sf).groupBy("theme_id").agg(F.array_sort(F.collect_list("member_id")).alias("members"))
+
+
+#: Commonest values, ties by the first member.
 TOPS = """
-tops AS (SELECT theme_id, sector AS value, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY theme_id) AS share, row_number() OVER (PARTITION BY theme_id ORDER BY count(*) DESC, sector) AS r FROM tm JOIN metadata ON symbol_id = member_id WHERE sector IS NOT NULL GROUP BY 1, 2),
-topi AS (SELECT theme_id, industry AS value, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY theme_id) AS share, row_number() OVER (PARTITION BY theme_id ORDER BY count(*) DESC, industry) AS r FROM tm JOIN metadata ON symbol_id = member_id WHERE industry IS NOT NULL GROUP BY 1, 2)"""
+tops AS (SELECT theme_id, sector AS value, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY theme_id) AS share, row_number() OVER (PARTITION BY theme_id ORDER BY count(*) DESC, min(member_id)) AS r FROM tm JOIN metadata ON symbol_id = member_id WHERE sector IS NOT NULL GROUP BY 1, 2),
+topi AS (SELECT theme_id, industry AS value, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY theme_id) AS share, row_number() OVER (PARTITION BY theme_id ORDER BY count(*) DESC, min(member_id)) AS r FROM tm JOIN metadata ON symbol_id = member_id WHERE industry IS NOT NULL GROUP BY 1, 2),
+capped AS (SELECT theme_id, count(*) AS known, CASE WHEN median(market_cap) >= 200e9 THEN 'Mega-Cap' WHEN median(market_cap) >= 10e9 THEN 'Large-Cap' WHEN median(market_cap) >= 2e9 THEN 'Mid-Cap' WHEN median(market_cap) >= 300e6 THEN 'Small-Cap' ELSE 'Micro-Cap' END AS bucket,
+  list(symbol::VARCHAR ORDER BY member_id) AS symbols, list(company ORDER BY member_id) AS companies FROM tm JOIN metadata ON symbol_id = member_id GROUP BY 1)"""
 
 
-@query("""SELECT m.theme_id, m.member_count, CASE WHEN cap >= 200e9 THEN 'mega' WHEN cap >= 10e9 THEN 'large' WHEN cap >= 2e9 THEN 'mid' WHEN cap >= 300e6 THEN 'small' ELSE 'micro' END AS market_cap_bucket, s.value AS main_sector, round(s.share, 6) AS sector_coherence, i.value AS main_industry, round(i.share, 6) AS industry_coherence
-  FROM (SELECT theme_id, count(*) AS member_count, median(market_cap) AS cap FROM tm LEFT JOIN metadata ON symbol_id = member_id GROUP BY 1) m JOIN tops s ON s.theme_id = m.theme_id AND s.r = 1 JOIN topi i ON i.theme_id = m.theme_id AND i.r = 1""", (I.METADATA, TL, TOPS))
+@query("""SELECT theme_id AS theme_instance_id, s.value || '/' || i.value || ' (' || bucket || '): ' || array_to_string(symbols[1:3], ', ') AS label_short, s.value AS sector_summary, i.value AS industry_summary, array_to_string(list_sort(list_distinct(['flow', 'price', s.value, i.value])), ',') AS tags, array_to_string(companies[1:5], ',') AS top_companies, array_to_string(symbols[1:5], ',') AS top_symbols, bucket AS market_cap_bucket, round(s.n / known, 6) AS semantic_coherence_score
+  FROM capped JOIN (SELECT * FROM tops WHERE r = 1) s USING (theme_id) JOIN (SELECT * FROM topi WHERE r = 1) i USING (theme_id)""", (I.METADATA, TL, TOPS))
 def semantic_labels(spark, sf):
-    out = semantics.labels(_theme_members(spark, sf), I.metadata(spark, sf)).drop("sector_shares", "industry_shares")
-    return rounded(out, "sector_coherence", "industry_coherence")
+    themes = _theme_lists(spark, sf).select(F.col("theme_id").alias("theme_instance_id"), "members", F.array(F.lit("price"), F.lit("flow")).alias("source_families"), F.lit(False).alias("is_market_mode"))
+    out = semantics.labels(themes, I.metadata(spark, sf)).drop("label_long", "sector_distribution", "industry_distribution")
+    return rounded(out.withColumns({c: F.array_join(c, ",") for c in ("tags", "top_companies", "top_symbols")}), "semantic_coherence_score")
 
 
-@query("""SELECT m.theme_id, round(cov, 6) AS metadata_coverage, array_to_string(names[1:15], ',') AS top_symbols, s.value AS top_sector, round(s.share, 6) AS top_sector_share
-  FROM (SELECT theme_id, avg((symbol IS NOT NULL)::INTEGER) AS cov, list(symbol::VARCHAR ORDER BY member_id) FILTER (WHERE symbol IS NOT NULL) AS names FROM tm LEFT JOIN metadata ON symbol_id = member_id GROUP BY 1) m LEFT JOIN tops s ON s.theme_id = m.theme_id AND s.r = 1""", (I.METADATA, TL, TOPS))
+@query("""SELECT theme_id, 1.0::DOUBLE AS metadata_coverage, array_to_string(symbols[1:15], ',') AS top_symbols, array_to_string(companies[1:8], ' | ') AS top_companies, bucket AS market_cap_bucket, s.value AS top_sector, round(s.share, 6) AS top_sector_share, i.value AS top_industry, round(i.share, 6) AS top_industry_share
+  FROM capped JOIN (SELECT * FROM tops WHERE r = 1) s USING (theme_id) JOIN (SELECT * FROM topi WHERE r = 1) i USING (theme_id)""", (I.METADATA, TL, TOPS))
 def member_summary(spark, sf):
-    return rounded(semantics.member_summary(_theme_members(spark, sf), I.metadata(spark, sf)), "metadata_coverage", "top_sector_share")
+    return rounded(semantics.member_summary(_theme_lists(spark, sf), I.metadata(spark, sf)), "metadata_coverage", "top_sector_share", "top_industry_share")
 
 
 @query("""SELECT theme_id, round(0.35 * 0.5 + 0.25 * 0.6 + 0.2 * 0.7 + 0.1 * 0.8 + 0.1 * least(1, avg(abs(c_acctbal / 10000))), 9) AS theme_quality_score, round(least(1, avg(abs(c_acctbal / 10000))), 9) AS flow_support FROM tm JOIN customer ON c_custkey = member_id GROUP BY 1""", (TL,))
 def theme_quality(spark, sf):
-    t = _theme_members(spark, sf).groupBy("theme_id").agg(F.collect_list("member_id").alias("members")).withColumns({"structure_score": F.lit(0.5), "consensus_score": F.lit(0.6), "stability_score": F.lit(0.7), "semantic_score": F.lit(0.8)})
+    t = _theme_lists(spark, sf).withColumns({"structure_score": F.lit(0.5), "consensus_score": F.lit(0.6), "stability_score": F.lit(0.7), "semantic_score": F.lit(0.8)})
     flow = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("member_id"), (F.col("c_acctbal") / 10000).alias("neighbor_signed_flow"))
     return rounded(semantics.theme_quality(t, flow).select("theme_id", "theme_quality_score", "flow_support"), "theme_quality_score", "flow_support", digits=9)
 
 
-@query(f"SELECT {DAY.format('decision_time')} AS decision_time, count(*) AS communities, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75, round(quantile_cont(n, 0.95), 6) AS p95, round(avg((n <= 5)::INTEGER), 6) AS share_le_5, round(avg((n <= 10)::INTEGER), 6) AS share_le_10, round(avg((n <= 50)::INTEGER), 6) AS share_le_50 FROM (SELECT decision_time, theme_id, count(*) AS n FROM members GROUP BY 1, 2) GROUP BY 1", (I.BARS, I.MEMBERS))
+@query(f"""SELECT {DAY.format('decision_time')} AS snapshot_time, kind AS community_type, count(*) AS community_count, min(n) AS community_size_min, quantile_cont(n, 0.25) AS community_size_p25, quantile_cont(n, 0.5) AS community_size_median, quantile_cont(n, 0.75) AS community_size_p75, round(quantile_cont(n, 0.95), 6) AS community_size_p95, max(n) AS community_size_max, round(avg((n = 3)::INTEGER), 6) AS pct_eq_3_members, round(avg((n <= 5)::INTEGER), 6) AS pct_le_5_members, round(avg((n <= 10)::INTEGER), 6) AS pct_le_10_members
+  FROM (SELECT decision_time, CASE WHEN substr(theme_id, 2)::INTEGER < 4 THEN 'child' ELSE 'parent' END AS kind, theme_id, count(*) AS n FROM members GROUP BY 1, 2, 3) GROUP BY 1, 2""", (I.BARS, I.MEMBERS))
 def size_distribution(spark, sf):
-    sizes = I.members(spark, sf).groupBy("decision_time", "theme_id").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(semantics.size_distribution(sizes, ["decision_time"]).withColumn("decision_time", day("decision_time")), "p95", "share_le_5", "share_le_10", "share_le_50")
+    c = I.members(spark, sf).groupBy(F.col("decision_time").alias("snapshot_time"), "theme_id").agg(F.collect_list("member_id").alias("members")).withColumn("parent_id", F.when(F.substring("theme_id", 2, 9).cast("int") < 4, 9))
+    return rounded(semantics.size_distribution(c, ["snapshot_time"]).withColumn("snapshot_time", day("snapshot_time")), "community_size_p95", "pct_eq_3_members", "pct_le_5_members", "pct_le_10_members")
 
 
-@query("SELECT theme_id, size, core_share, top_sector_share, round(0.4 * core_share + 0.3 * least(1, ln(1 + size) / ln(51)) + 0.3 * top_sector_share, 6) AS leaf_quality FROM (SELECT 't' || p_partkey AS theme_id, p_size AS size, (p_partkey % 10) / 10 AS core_share, (p_partkey % 7) / 7 AS top_sector_share FROM part) ORDER BY 0.4 * core_share + 0.3 * least(1, ln(1 + size) / ln(51)) + 0.3 * top_sector_share DESC, theme_id LIMIT 100")
+@query("""SELECT theme_id, member_count, evidence_layers, round(greatest(s, i), 6) AS semantic_concentration_diagnostic, round(least(1, member_count / 40.0) * 0.3 + least(6, evidence_layers) / 6.0 * 0.35 + c * 0.15 + greatest(s, i) * 0.2, 6) AS forest_quality_score
+  FROM (SELECT 't' || p_partkey AS theme_id, p_size AS member_count, p_partkey % 9 AS evidence_layers, (p_partkey % 10) / 10 AS c, (p_partkey % 7) / 7 AS s, (p_partkey % 5) / 5 AS i FROM part)
+  ORDER BY least(1, member_count / 40.0) * 0.3 + least(6, evidence_layers) / 6.0 * 0.35 + c * 0.15 + greatest(s, i) * 0.2 DESC, evidence_layers DESC, member_count DESC, theme_id LIMIT 100""")
 def forest_quality(spark, sf):
-    leaves = I.table(spark, sf, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("theme_id"), F.col("p_size").alias("size"), ((F.col("p_partkey") % 10) / 10).alias("core_share"), ((F.col("p_partkey") % 7) / 7).alias("top_sector_share"))
-    return rounded(semantics.forest_quality(leaves, 100), "leaf_quality")
+    k = F.col("p_partkey")
+    leaves = I.table(spark, sf, "part").select(F.concat(F.lit("t"), k.cast("string")).alias("theme_id"), F.col("p_size").alias("member_count"), (k % 9).alias("evidence_layers"), ((k % 10) / 10).alias("metadata_coverage"), ((k % 7) / 7).alias("top_sector_share"), ((k % 5) / 5).alias("top_industry_share"))
+    out = semantics.forest_quality(leaves, 100).select("theme_id", "member_count", "evidence_layers", "semantic_concentration_diagnostic", "forest_quality_score")
+    return rounded(out, "semantic_concentration_diagnostic", "forest_quality_score")
 
 
 # ---- QA, stores and serving
@@ -816,16 +900,13 @@ def key_differences(spark, sf):
     return qa.key_differences(a, b, ["key"])
 
 
-@query("""SELECT d AS trade_date, count(p.symbol) AS present, count(*) FILTER (WHERE p.symbol IS NULL) AS missing, count(*) FILTER (WHERE u.symbol IS NULL) AS unexpected FROM (
-  SELECT coalesce(p.d, e.d) AS d, p.symbol AS p_symbol, e.symbol AS e_symbol FROM (SELECT DISTINCT "timestamp"::DATE::VARCHAR AS d, symbol FROM bars) p FULL JOIN (SELECT d, s.symbol FROM (SELECT DISTINCT "timestamp"::DATE::VARCHAR AS d FROM bars), (SELECT DISTINCT c_custkey AS symbol FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 200) s) e ON p.d = e.d AND p.symbol = e.symbol) j, LATERAL (SELECT p_symbol AS symbol) p, LATERAL (SELECT e_symbol AS symbol) u GROUP BY 1""", (I.BARS,))
-def universe_stability(spark, sf):
-    rows = I.bars(spark, sf).select(F.to_date("timestamp").cast("string").alias("trade_date"), "symbol")
-    members = I.table(spark, sf, "customer").where("c_custkey % 3 = 0 and c_custkey < 200").select(F.col("c_custkey").alias("symbol"))
-    return qa.universe_stability(rows, members)
+UNIVERSE = """p AS (SELECT DISTINCT "timestamp"::DATE::VARCHAR AS d, symbol::VARCHAR AS symbol FROM bars), e AS (SELECT DISTINCT c_custkey::VARCHAR AS symbol FROM customer), ds AS (SELECT DISTINCT d FROM p),
+  n AS (SELECT count(*) AS n FROM e), j AS (SELECT ds.d, e.symbol AS expected, p.symbol AS present FROM ds CROSS JOIN e LEFT JOIN p ON p.d = ds.d AND p.symbol = e.symbol UNION ALL SELECT p.d, NULL, p.symbol FROM p WHERE p.symbol NOT IN (SELECT symbol FROM e))"""
 
 
-@query()
-def universe_stability_whole(spark, sf):
+@query("""SELECT d AS trade_date, any_value(n) AS expected_symbols, count(present) FILTER (WHERE expected IS NOT NULL) AS present_expected_symbols, count(*) FILTER (WHERE present IS NULL) AS missing_count, count(*) FILTER (WHERE expected IS NULL) AS unexpected_count,
+  array_to_string(coalesce((list(expected ORDER BY expected) FILTER (WHERE present IS NULL))[1:20], []), ',') AS missing_examples, array_to_string(coalesce((list(present ORDER BY present) FILTER (WHERE expected IS NULL))[1:20], []), ',') AS unexpected_examples, count(*) FILTER (WHERE present IS NULL) = 0 AS safe_for_full_rebuild FROM j, n GROUP BY 1""", (I.BARS, UNIVERSE))
+def universe_stability(spark, sf):
     rows = I.bars(spark, sf).select(F.to_date("timestamp").cast("string").alias("trade_date"), "symbol")
     return qa.universe_stability(rows, I.table(spark, sf, "customer").select(F.col("c_custkey").alias("symbol")))
 
@@ -841,9 +922,10 @@ def inventory(spark, sf):
     return qa.inventory(I.edges(spark, sf).withColumn("y", F.year("decision_time").cast("long")), ["y", "layer_id"])
 
 
-@query(f"SELECT 'bars' AS artifact, count(*) AS row_count, {DAY.format('min(\"timestamp\")')} AS min_time, {DAY.format('max(\"timestamp\")')} AS max_time FROM bars", (I.BARS,))
+@query()
 def artifact_manifest(spark, sf):
-    return qa.artifact_manifest(I.bars(spark, sf), "bars", "timestamp").withColumns({"min_time": day("min_time"), "max_time": day("max_time")})
+    out = qa.artifact_manifest(spark, f"{sf}/events.parquet", "ts")
+    return out.withColumns({"min_time": day("min_time"), "max_time": day("max_time")})
 
 
 PATCH = "patch AS (SELECT decision_time, (CASE layer_id WHEN 1 THEN 1 ELSE 14 END)::INTEGER AS layer_id, lookback_minutes, src_id, dst_id, weight / 2 AS weight FROM edges WHERE layer_id IN (1, 2))"
@@ -870,7 +952,7 @@ def graph_snapshot(spark, sf):
     return features.snapshot(I.edges(spark, sf), "1997-01-01", [1, 3]).select("src_id", "dst_id", "weight")
 
 
-@query(f"""SELECT {DAY.format('b."timestamp"')} AS datetime, b.symbol AS instrument, b."close" AS feature__close, b.n_events AS "feature__n_events", l.label_1 AS label__1, g.g AS feature__graph__flow__degree FROM bars b LEFT JOIN labels l ON l.symbol = b.symbol AND l.decision_time = b."timestamp"
+@query(f"""SELECT {DAY.format('b."timestamp"')} AS datetime, b.symbol AS instrument, b."close" AS feature__close, b.n_events AS "feature__n_events", l.label_1 AS label__1, l.label_2 AS label__2, g.g AS feature__graph__flow__degree FROM bars b LEFT JOIN labels l ON l.symbol = b.symbol AND l.decision_time = b."timestamp"
   LEFT JOIN (SELECT "timestamp", symbol, n_events + 1 AS g FROM bars) g ON g.symbol = b.symbol AND g."timestamp" = b."timestamp" WHERE b."timestamp" >= TIMESTAMP '2024-01-05' AND b."timestamp" <= TIMESTAMP '2024-01-20'""", (I.LABELS,))
 def wide_matrix(spark, sf):
     b = I.bars(spark, sf).withColumnRenamed("timestamp", "decision_time")
@@ -881,14 +963,14 @@ def wide_matrix(spark, sf):
 
 
 @query("""SELECT event_id, upper(trim(' ' || event_type || ' ')) AS token, regexp_extract('flow@' || user_id || 'm', '@([0-9]+)m$', 1) AS minutes, substr(sha256(event_type || ',' || user_id), 1, 12) AS digest, json_extract_string(props, '$.k') AS k, least(user_id, event_id) AS low, greatest(user_id, event_id) AS high, TRY_CAST(event_type AS DOUBLE) AS number,
-  round(sqrt(abs(value)) + ln(1 + abs(value)), 6) AS curve, regexp_replace(event_type || ':' || user_id || ' x', '[: ]', '_', 'g') AS safe, ceil(value)::BIGINT AS up, floor(value)::BIGINT AS down FROM events""")
+  round(sqrt(abs(value)) + ln(1 + abs(value)), 6) AS curve, regexp_replace(event_type || ':' || user_id || ' x=1.5-T', '[^a-zA-Z0-9=_.-]', '_', 'g') AS safe, ceil(value)::BIGINT AS up, floor(value)::BIGINT AS down FROM events""")
 def scalar_functions(spark, sf):
     v = F.col("value")
     user = F.col("user_id").cast("string")
     return I.table(spark, sf, "events").select(
         "event_id", F.upper(F.trim(F.concat(F.lit(" "), "event_type", F.lit(" ")))).alias("token"), F.regexp_extract(F.concat(F.lit("flow@"), user, F.lit("m")), "@([0-9]+)m$", 1).alias("minutes"), F.substring(F.sha2(F.concat_ws(",", "event_type", user).cast("binary"), 256), 1, 12).alias("digest"),
         F.get_json_object("props", "$.k").alias("k"), F.least("user_id", "event_id").alias("low"), F.greatest("user_id", "event_id").alias("high"), F.expr("try_cast(event_type AS double)").alias("number"), F.round(F.sqrt(F.abs(v)) + F.log1p(F.abs(v)), 6).alias("curve"),
-        F.regexp_replace(F.concat("event_type", F.lit(":"), user, F.lit(" x")), "[: ]", "_").alias("safe"), F.ceil(v).alias("up"), F.floor(v).alias("down"),
+        safe_token(F.concat("event_type", F.lit(":"), user, F.lit(" x=1.5-T"))).alias("safe"), F.ceil(v).alias("up"), F.floor(v).alias("down"),
     )
 
 

@@ -87,35 +87,63 @@ def layer_vectors(rows: pd.DataFrame, columns: list[str], transform: str, symbol
     return (np.hstack(blocks), points) if blocks else None
 
 
+def best_of_rows(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value, rank from 1) of the k greatest finite values of each row, ties by the smaller column."""
+    if s.shape[1] > k:
+        last = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        row, column = np.nonzero((s >= last[:, None]) & np.isfinite(s))
+    else:
+        row, column = np.nonzero(np.isfinite(s))
+    value = s[row, column]
+    order = np.lexsort((column, -value, row))
+    row, column, value = row[order], column[order], value[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = rank < k
+    return row[keep], column[keep], value[keep], rank[keep] + 1
+
+
+def code_groups(code: np.ndarray, bits: int, top_k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, candidates) of each LSH code: its nodes, and those of equal code, then of codes one and two bits away while fewer than top_k + 1 are found."""
+    order = np.argsort(code, kind="stable")
+    starts = np.searchsorted(code[order], np.arange((1 << bits) + 1))
+    members = [order[i:j] for i, j in zip(starts, starts[1:])]
+    one = [1 << b for b in range(bits)]
+    rings = [[0], one, [x | y for i, x in enumerate(one) for y in one[i + 1 :]]]
+    for c in np.flatnonzero(np.diff(starts)):
+        near: list[np.ndarray] = []
+        for ring in rings:
+            near += [members[c ^ mask] for mask in ring]
+            if sum(map(len, near)) >= top_k + 1:
+                break
+        yield members[c], np.sort(np.concatenate(near))
+
+
 def neighbours(x: np.ndarray, p: GraphParameters, exact: bool, block: int = 2048, cells: int = 8_192_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(src, dst, similarity, rank) of each row's top_k: exact from the threshold up, else among near LSH codes and then cut at the threshold.
 
-    Similarities are held for `block` rows at a time, fewer where a block would have more than `cells` of them.
+    Similarities are held for `block` rows at a time, fewer where a block would have more than `cells` of them. Rows of
+    one LSH code are multiplied with their candidates alone.
     """
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     u = np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-12)
     n = len(u)
-    block = max(1, min(block, cells // max(n, 1)))
-    if not exact:
+    if exact:
+        groups = [(np.arange(n), np.arange(n))]
+    else:
         bits = graph.lsh_bits(n)
-        code = ((u @ graph.lsh_projection(u.shape[1], bits).astype(float) > 0) << np.arange(bits)).sum(1)
-        sizes = np.bincount(code, minlength=1 << bits)
-        away = np.array([[bin(a ^ b).count("1") for b in range(1 << bits)] for a in range(1 << bits)])
-        reach = np.where(sizes >= p.top_k + 1, 0, np.where((sizes[None, :] * (away <= 1)).sum(1) >= p.top_k + 1, 1, 2))
-    parts = []
-    for start in range(0, n, block):
-        s = u[start : start + block] @ u.T
-        own = np.arange(len(s))
-        s[own, start + own] = -np.inf
-        if exact:
-            s[s < p.minimum_similarity] = -np.inf
-        else:
-            mine = code[start : start + block]
-            s[away[mine][:, code] > reach[mine][:, None]] = -np.inf
-        order = np.argsort(-s, axis=1, kind="stable")[:, : p.top_k]
-        sim = np.take_along_axis(s, order, 1)
-        row, rank = np.nonzero(np.isfinite(sim) & (sim >= p.minimum_similarity))
-        parts.append((start + row, order[row, rank], sim[row, rank], rank + 1))
+        groups = code_groups(((u @ graph.lsh_projection(u.shape[1], bits).astype(float) > 0) << np.arange(bits)).sum(1), bits, p.top_k)
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+    for rows, near in groups:
+        step = max(1, min(block, cells // max(len(near), 1)))
+        for start in range(0, len(rows), step):
+            mine = rows[start : start + step]
+            s = u[mine] @ u[near].T
+            s[np.arange(len(mine)), np.searchsorted(near, mine)] = -np.inf
+            if exact:
+                s[s < p.minimum_similarity] = -np.inf
+            row, column, sim, rank = best_of_rows(s, p.top_k)
+            keep = sim >= p.minimum_similarity
+            parts.append((mine[row[keep]], near[column[keep]], sim[keep], rank[keep]))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 

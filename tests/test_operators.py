@@ -591,6 +591,31 @@ def test_build_has_no_bound_on_symbols(spark):
     assert "weight" in build_edges(bar, pit.decision_grid(bar, "1 day"), symbols, BuildConfig(), catalog.BAR_LAYERS[:1]).columns
 
 
+def test_neighbours_by_codes():
+    """Every node against the nodes of its code, then those one and two bits away while fewer than top_k + 1 are seen; ties to the smaller."""
+    from plumbline.plans.build import best_of_rows, neighbours
+
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.standard_normal((90, 6)), 2, axis=0) + 0.3 * (rng.random((180, 1)) < 0.5) * rng.standard_normal((180, 6))
+    p = BuildConfig().parameters_for("x", "y", 5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    bits = graph.lsh_bits(180)
+    code = [sum(1 << b for b in range(bits) if u[n] @ graph.lsh_projection(6, bits).astype(float)[:, b] > 0) for n in range(180)]
+    want = {}
+    for n in range(180):
+        rings = [[o for o in range(180) if bin(code[o] ^ code[n]).count("1") <= r] for r in range(3)]
+        near = next((m for m in rings if len(m) >= p.top_k + 1), rings[2])
+        best = sorted((o for o in near if o != n), key=lambda o: (-round(float(u[n] @ u[o]), 12), o))[: p.top_k]
+        want |= {(n, o): k for k, o in enumerate(best, 1) if u[n] @ u[o] >= p.minimum_similarity}
+    src, dst, sim, rank = neighbours(x, p, False)
+    assert dict(zip(zip(src.tolist(), dst.tolist()), rank.tolist())) == want and np.allclose(sim, (u[src] * u[dst]).sum(1))
+    s = rng.integers(0, 4, (40, 30)).astype(float)
+    s[rng.random((40, 30)) < 0.2] = -np.inf
+    row, column, value, rank = best_of_rows(s, 5)
+    order = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    assert [(r, c) for r in range(40) for c in order[r] if np.isfinite(s[r, c])] == list(zip(row, column)) and (s[row, column] == value).all()
+
+
 def test_market_residual():
     from plumbline.plans.build import market_residual, rolled
 

@@ -29,7 +29,7 @@ from .plans.build import build_graphs, build_nodes, build_snapshots, node_signal
 from .schemas import TABLES, conform
 from .session import ship
 from .sinks import Store, ThemeStore, _fs, flattened
-from .sources.events import ParquetEvents, read_dimension, read_splits
+from .sources.events import ParquetEvents, read_dimension, read_splits, utc_times
 from .streaming.hysteresis import Hysteresis, replay
 
 
@@ -230,7 +230,7 @@ COMMANDS = {
     "build-date": ("events", "store", "date"), "patch-layers": ("events", "store", "date", "layers"), "features": ("events", "store", "start", "end", "out"), "discover-themes": ("store", "themes"), "relabel-themes": ("themes", "metadata"),
     "flatten": ("shards", "table", "out"), "check-files": ("path",), "repair-files": ("path", "mirror"),
 }
-OPTIONAL = {"build-date": ("config", "universe"), "patch-layers": ("config", "universe"), "discover-themes": ("metadata", "dates", "run"), "relabel-themes": ("dates",)}
+OPTIONAL = {"features": ("config",), "build-date": ("config", "universe"), "patch-layers": ("config", "universe"), "discover-themes": ("metadata", "dates", "run"), "relabel-themes": ("dates",)}
 
 
 def main(args: list[str] | None = None) -> None:
@@ -259,10 +259,10 @@ def main(args: list[str] | None = None) -> None:
             config = ThemeConfig(run_id=a.run) if a.run else ThemeConfig()
             print("\n".join(discover_themes(spark, Store(spark, a.store), ThemeStore(spark, a.themes), config, metadata, dates)))
     elif a.command == "features":
-        events = ParquetEvents(spark, a.events).table.withColumnRenamed("available_time", "decision_time").drop("timestamp", "trade_date")
-        store = Store(spark, a.store)
-        labels = store.read("labels").drop("date").join(store.read("symbols"), "symbol_id").drop("symbol_id")
-        features.wide_matrix(events, labels, None, a.start, a.end).write.mode("overwrite").parquet(a.out)
+        from .api import MatrixLoader  # which builds on this module
+
+        config = load_config(a.config) if a.config else BuildConfig()
+        MatrixLoader(utc_times(ParquetEvents(spark, a.events).table), Store(spark, a.store), config).materialize(a.out, a.start, a.end)
     else:
         source, store = ParquetEvents(spark, a.events), Store(spark, a.store)
         config = load_config(a.config) if a.config else BuildConfig()

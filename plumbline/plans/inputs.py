@@ -80,7 +80,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def metadata(spark: SparkSession, sf: str) -> DataFrame:
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
-    return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"], "left").select(F.col("c_custkey").alias("symbol_id"), F.col("c_custkey").alias("symbol"), F.col("c_name").alias("company"), F.col("c_mktsegment").alias("sector"), F.col("n_name").alias("industry"), (F.col("c_acctbal") * 1e7).alias("market_cap"))
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").select(F.col("c_custkey").alias("symbol_id"), F.col("c_custkey").alias("symbol"), F.col("c_name").alias("company"), F.col("c_mktsegment").alias("sector"), F.col("n_name").alias("industry"), (F.col("c_acctbal") * 1e7).alias("market_cap"))
 
 
 METADATA = """

@@ -577,6 +577,17 @@ def test_build_of_every_decision(spark):
     assert plain.neighbor_signed_flow == pytest.approx(sum(z[n] * w for n, w in near) / sum(w for _, w in near) if near else 0.0, abs=1e-5)
 
 
+def test_build_does_not_look_ahead(spark):
+    """Graphs of one decision from all events and from those available by then are the same."""
+    from plumbline.plans import catalog, inputs
+    from plumbline.plans.build import build_edges
+
+    b = inputs.bars(spark, "/root/testdata/sf0.001").persist()
+    symbols, grid = b.select("symbol", F.col("symbol").alias("symbol_id")).distinct(), pit.decision_grid(b, "1 day")
+    build = lambda e: build_edges(e, grid, symbols, BuildConfig(), catalog.BAR_LAYERS, 86400).withColumn("weight", F.round("weight", 9))
+    assert build(b).where("decision_time = '2024-01-25'").count() and pit.prefix_difference(build, b, datetime(2024, 1, 25)).count() == 0
+
+
 def test_build_has_no_bound_on_symbols(spark):
     from plumbline.plans import catalog
     from plumbline.plans.build import build_edges, neighbours
@@ -642,7 +653,7 @@ def test_config_from_files(tmp_path):
 
 
 def test_command_line(spark, tmp_path):
-    from plumbline import cli
+    from plumbline import api, cli
 
     rng = np.random.default_rng(8)
     rows = [(f"S{s}", datetime(2024, 1, 2, 14, 30) + timedelta(minutes=t), datetime(2024, 1, 2, 14, 31) + timedelta(minutes=t), "2024-01-02", float(100 + rng.random() + np.cos(t * (1 + s % 12))), float(0.1 * rng.standard_normal() + np.sin(t * (1 + s % 12)))) for s in range(48) for t in range(40)]
@@ -663,9 +674,14 @@ def test_command_line(spark, tmp_path):
     assert store.read("edges").count() == len(edges) and store.read("snapshots").count() == len(snapshots)
     manifest = json.loads((tmp_path / "st/manifest.json").read_text())
     assert manifest["multiplex_status"]["layer_id"] == 0 and manifest["patch_history"][0]["merge_stats"]["edges"]["merged_rows"] == len(edges)
-    cli.main(["features", "--events", str(tmp_path / "ev"), "--store", str(tmp_path / "st"), "--start", "2024-01-02 14:30:00", "--end", "2024-01-02 15:00:00", "--out", str(tmp_path / "wide")])
+    cli.main(["features", "--events", str(tmp_path / "ev"), "--store", str(tmp_path / "st"), "--start", "2024-01-02 14:30:00", "--end", "2024-01-02 15:00:00", "--out", str(tmp_path / "wide"), "--config", str(tmp_path / "c.json")])
     wide = spark.read.parquet(str(tmp_path / "wide"))
-    assert wide.count() == 48 * 30 and "label__5" in wide.columns
+    assert wide.count() == 48 * 6 and {"label__5", "feature__close", "feature__graph__signed_flow__degree", "feature__graph__multiplex__core_z"} <= set(wide.columns)
+    assert wide.where("label__5 is not null and feature__graph__signed_flow__degree is not null").count() > 48
+    batches = api.GraphBatches(store)
+    shown = batches.snapshot("2024-01-02", batches.times("2024-01-02")[-1], [4])
+    assert {r.layer_id for r in shown["edges"].collect()} == {4} and {r.layer_id for r in shown["node_features"].collect()} == {0, 4}
+    assert api.GraphPipeline(ParquetEvents(spark, str(tmp_path / "ev")), store).build_pending() == {}
     assert cli.unreadable(spark, str(tmp_path / "wide")).count() == 0
     cli.main(["discover-themes", "--store", str(tmp_path / "st"), "--themes", str(tmp_path / "th"), "--run", "r"])
     themes = ThemeStore(spark, str(tmp_path / "th"))
@@ -681,4 +697,4 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "wide" / f".{good.name}.crc").unlink()
     assert cli.unreadable(spark, str(tmp_path / "wide")).count() == 1
     assert cli.repair(spark, str(tmp_path / "wide"), str(tmp_path / "mirror")) == [(good.name, True)]
-    assert spark.read.parquet(str(tmp_path / "wide")).count() == 48 * 30
+    assert spark.read.parquet(str(tmp_path / "wide")).count() == 48 * 6

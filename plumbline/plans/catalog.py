@@ -697,9 +697,9 @@ def _ic(spark, sf):
     return alpha.rank_ic(_labels(spark, sf).withColumn("side", F.col("symbol") % 2), ["decision_time", "side"], "past_label_1", "label_1")
 
 
-@query(f"SELECT {DAY.format('decision_time')} AS decision_time, side, n, round(rank_ic, 5) AS rank_ic, round(top_mean, 5) AS top_mean, round(bottom_mean, 5) AS bottom_mean, round(hit_rate, 5) AS hit_rate, round(top_mean - bottom_mean, 5) AS spread FROM ic", (PAST, IC))
+@query(f"SELECT {DAY.format('decision_time')} AS decision_time, side, n, round(rank_ic, 9) AS rank_ic, round(top_mean, 9) AS top_mean, round(bottom_mean, 9) AS bottom_mean, round(hit_rate, 9) AS hit_rate, round(top_mean - bottom_mean, 9) AS spread FROM ic", (PAST, IC))
 def rank_ic(spark, sf):
-    return rounded(_ic(spark, sf).withColumn("decision_time", day("decision_time")), "rank_ic", "top_mean", "bottom_mean", "hit_rate", "spread", digits=5)
+    return rounded(_ic(spark, sf).withColumn("decision_time", day("decision_time")), "rank_ic", "top_mean", "bottom_mean", "hit_rate", "spread", digits=9)
 
 
 @query("""SELECT side, sum(n)::BIGINT AS n, round(sum(coalesce(rank_ic, 0) * n) / sum(n), 5) AS rank_ic, round(sum(coalesce(top_mean - bottom_mean, 0) * n) / sum(n), 5) AS spread, round(avg((coalesce(rank_ic, 0) > 0)::INTEGER), 5) AS positive_date_ratio,

@@ -47,14 +47,17 @@ def order_statistics(rows: DataFrame, group: list[str], value: str, ranks: dict[
     return stats.select(*group, "_n").join(found, group)
 
 
-def exact_quantiles(rows: DataFrame, group: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """(group, one column a quantile): exact quantiles with linear interpolation of each group's values, without nulls and NaN."""
+def exact_quantiles(rows: DataFrame, group: list[str], value: str, quantiles: dict[str, float], ranks: dict[str, Column] | None = None, near: dict[str, float] | None = None) -> DataFrame:
+    """(group, one column a quantile): exact quantiles with linear interpolation of each group's values, without nulls and NaN.
+
+    ranks, near: more order statistics to find in the same pass, as order_statistics takes them; then _n stays too.
+    """
     qs = list(quantiles.values())
-    near = {f"{side}{i}": q for i, q in enumerate(qs) for side in ("lo", "hi")}
-    got = order_statistics(rows, group, value, quantile_ranks(qs), near)
+    places = {f"{side}{i}": q for i, q in enumerate(qs) for side in ("lo", "hi")}
+    got = order_statistics(rows, group, value, quantile_ranks(qs) | (ranks or {}), places | (near or {}))
     out = []
     for i, name in enumerate(quantiles):
         share = F.col("_n") * F.lit(float(qs[i])) - F.lit(float(qs[i]))
         low, high = F.col(f"lo{i}"), F.col(f"hi{i}")
         out.append((low + (high - low) * (share - F.floor(share))).alias(name))
-    return got.select(*group, *out)
+    return got.select(*group, *out, *(["_n", *ranks] if ranks else []))

@@ -75,7 +75,7 @@ def rank_ic(rows: DataFrame, keys: list[str], signal: str, target: str, least: i
 
     Groups of fewer than `least` rows or `distinct` different signals are left out.
     """
-    fit = rows.where(F.col(signal).isNotNull() & F.col(target).isNotNull())
+    fit = rows.where(F.col(signal).isNotNull() & F.col(target).isNotNull()).repartition(*keys)  # one exchange for all windows, quantiles and sums
     w = Window.partitionBy(*keys)
 
     def average_rank(c: str):

@@ -223,7 +223,7 @@ def lifecycle(themes: DataFrame, frame_minutes: int, least: float = 0.5, run: st
     followed in order, a task a run, on rows of two ids. run: a column that separates independent runs.
     """
     key = run or "_run"
-    rows = (themes if run else themes.withColumn("_run", F.lit(0))).select(key, "snapshot_time", "theme_instance_id", F.array_distinct("members").alias("members"))
+    rows = (themes if run else themes.withColumn("_run", F.lit(0))).select(key, "snapshot_time", "theme_instance_id", F.array_distinct("members").alias("members")).persist(StorageLevel.DISK_ONLY)  # frames, overlaps and deaths all read them
     times = rows.select(key, "snapshot_time").distinct()
     frames = times.withColumn("frame", F.row_number().over(Window.partitionBy(key).orderBy("snapshot_time")))
     own = rows.join(frames, [key, "snapshot_time"]).select(key, "frame", "snapshot_time", "theme_instance_id")

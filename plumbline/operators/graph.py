@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quantiles import exact_quantiles, order_statistics
+from ..functions.quantiles import exact_quantiles
 
 GROUP = ["decision_time", "layer_id", "lookback_minutes"]
 
@@ -189,8 +189,7 @@ def weight_diagnostics(edges: DataFrame, group: list[str]) -> DataFrame:
     The top's mean is the sum above its least weight and as many of that weight as are left, so no task orders a graph.
     """
     last = {"_least": F.col("_n") - F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.01))}
-    least = order_statistics(edges, group, "weight", last, {"_least": 0.99})
-    q = exact_quantiles(edges, group, "weight", WEIGHT_QUANTILES).join(least, group)
+    q = exact_quantiles(edges, group, "weight", WEIGHT_QUANTILES, last, {"_least": 0.99})
     w, low = F.col("weight"), F.col("_least")
     sums = edges.join(q, group).groupBy(*group).agg(F.sum(F.when(w > low, w)).alias("_above"), F.count(F.when(w > low, w)).alias("_k"), F.sum(F.when(w >= F.col("weight_p95"), w)).alias("_tail"), F.sum("weight").alias("_whole"))
     k = F.greatest(F.lit(1), F.ceil(F.col("_n") * 0.01))

@@ -505,20 +505,12 @@ scored AS (SELECT candidate, layer_id, lookback_minutes, regime_separation, list
 SCORE = "round(reward_score - 0.75 * penalty_score, 4) AS multiobjective_score"
 
 
-def _candidates(spark, sf):
-    dated = lambda df: df.withColumn("trade_date", day("decision_time"))
-    snapshot, temporal, out = dated(_weights(spark, sf)), dated(_temporal(spark, sf)), None
-    for k in (0, 1):
-        rows = diagnostics.candidate_rows(snapshot.where(F.year("decision_time") % 2 == k), temporal, f"c{k}", {"top_k": 30, "degree_cap": 30, "minimum_similarity": 0.0})
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def _scored(spark, sf):
-    rows = _candidates(spark, sf)
-    days = {r[0] for r in rows.select("trade_date").distinct().collect()}
-    late = [d for d in days if d >= "1996"]
-    return diagnostics.candidate_scores(rows, late, sorted(days - set(late)))
+    dated = lambda df: df.withColumn("trade_date", day("decision_time"))
+    rows = diagnostics.candidate_rows(dated(_weights(spark, sf)), dated(_temporal(spark, sf)), "", {"top_k": 30, "degree_cap": 30, "minimum_similarity": 0.0})
+    days = [r[0] for r in dated(I.edges(spark, sf)).select("trade_date").distinct().collect()]
+    rows = rows.withColumn("candidate", F.concat(F.lit("c"), (F.year("decision_time") % 2).cast("string")))
+    return diagnostics.candidate_scores(rows, [d for d in days if d >= "1996"], [d for d in days if d < "1996"])
 
 
 @query(f"SELECT candidate, layer_id, lookback_minutes, round(regime_separation, 4) AS regime_separation, round(reward_score, 4) AS reward_score, round(penalty_score, 4) AS penalty_score, {SCORE} FROM scored", (I.EDGES, THRESH, SNAP, TEMP, CAND))

@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import mixed
-from .work import claim, documents, forget, keyed_texts, shared_folder, ship, stored
+from .work import claim, documents, forget, keyed_texts, setting, shared_folder, ship, stored
 
 GRAM = 40
 #: Bytes of a part; of text for a bucket of the token filter and of the chunk table; records of a bucket of suffixes.
 PART, BUCKET_BYTES, BUCKET_ROWS = 2_000_000, 64_000_000, 100_000
+#: Records sampled for each bucket's splitter; they come to the driver, some 400 bytes each.
+SAMPLES = 20
 #: Bits of a gram's hash that give way to its place when the smallest is sought; parts are shorter than 2^24.
 PLACE = np.uint64(24)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -473,12 +475,13 @@ def suffix_dedup(docs: DataFrame, width: int = 200, text: str = "text", key: str
         rows, path = stored(body.groupBy("piece").cogroup(shared.groupBy("piece")).applyInPandas(emit, RECORDS), "suffix-records", "kind")
         paths.append(path)
         salt = F.xxhash64("chunk", "at")
-        one, path = stored(dealt(rows.where("kind = 0"), ["right", "left", salt], lambda p: settled(p, width, False)), "suffix-settled", "kind")
-        paths.append(path)
-        two, path = stored(dealt(one.where("kind = 0"), [F.substring("right", 1, GRAM), "left", "right", salt], lambda p: settled(p, width, True)), "suffix-cut", "kind")
-        paths.append(path)
-        three, path = stored(dealt(two.where("kind = 0"), ["right"], lambda p: iter([equal_windows(p)])), "suffix-windows", "kind")
-        paths.append(path)
+        with setting(spark, "spark.sql.execution.rangeExchange.sampleSizePerPartition", str(SAMPLES)):
+            one, path = stored(dealt(rows.where("kind = 0"), ["right", "left", salt], lambda p: settled(p, width, False)), "suffix-settled", "kind")
+            paths.append(path)
+            two, path = stored(dealt(one.where("kind = 0"), [F.substring("right", 1, GRAM), "left", "right", salt], lambda p: settled(p, width, True)), "suffix-cut", "kind")
+            paths.append(path)
+            three, path = stored(dealt(two.where("kind = 0"), ["right"], lambda p: iter([equal_windows(p)])), "suffix-windows", "kind")
+            paths.append(path)
         found = rows.where("kind = 1").select("chunk", "lo", "hi")
         for more in (one, two, three):
             found = found.unionByName(more.where("kind = 1").select("chunk", "lo", "hi"))

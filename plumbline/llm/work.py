@@ -45,17 +45,21 @@ def stored(df: DataFrame, name: str, *partitions: str) -> tuple[DataFrame, str]:
 
 
 @contextmanager
-def sorted_scans(spark: SparkSession) -> Iterator[None]:
-    """While this lasts, scans of bucketed tables with one file a bucket tell the planner that buckets are sorted."""
-    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session with a setting, for plans that run while this lasts."""
     before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def sorted_scans(spark: SparkSession):
+    """While this lasts, scans of bucketed tables with one file a bucket tell the planner that buckets are sorted."""
+    return setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+
 class SortedRun:
     """A table in the shared folder, bucketed and sorted by one column, one file a bucket.
 

@@ -8,7 +8,7 @@ the text where it is changed. No SQL expresses the stages (a parser, a tokenizer
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.language_id import identify, labelled_sample
@@ -23,9 +23,15 @@ from plumbline.llm.work import BLANKS, documents, forget, stored
 LEAST_PHRASE, LEAST_CHARS = 2.2, 200
 
 
-def carried(docs: DataFrame, *columns: str) -> DataFrame:
-    """Some columns of docs, and all of them as one struct _row, which no operator's own columns can clash with."""
-    return docs.select(*columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+def carried(docs: DataFrame, *columns: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """Some columns of docs, and the others (or all but `without`) as one struct _row, which no operator's own columns can clash with."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in without] or [F.lit(None).alias("none")]
+    return docs.select(*columns, F.struct(*rest).alias("_row"))
+
+
+def restored(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """docs' columns of carried rows, some of them new."""
+    return rows.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +39,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Repeated rows are judged alike, an empty table stays empty, and columns of docs that identify would replace stay.
     """
-    found = identify(carried(docs, "text"), labelled_sample(docs))
+    found = identify(carried(docs, "text", without=("text",)), labelled_sample(docs))
     spoken = (F.col("phrase_chars") >= LEAST_PHRASE) | (F.length("text") < LEAST_CHARS)
-    return found.where((F.col("lang_pred") != "und") & spoken).select("_row.*")
+    return restored(found.where((F.col("lang_pred") != "und") & spoken), docs, text=F.col("text"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +49,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null ids lose nothing, rows that repeat an id are one document, null text becomes empty, an empty table stays empty.
     """
-    cut = line_dedup(carried(docs, "doc_id", "text"))
+    cut = line_dedup(carried(docs, "doc_id", "text", without=("text", "n_chars")))
     emptied = (F.col("n_dropped") > 0) & (F.length(F.btrim("text", F.lit(BLANKS))) == 0)
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return cut.where(~emptied).select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+    return restored(cut.where(~emptied), docs, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,7 +212,9 @@ def build_graphs(events: DataFrame, decisions: DataFrame, symbols: DataFrame, co
 
     # times travel as microseconds, whatever the session's time zone
     schema = T.StructType.fromDDL("decision_time long, " + EDGE_ROWS.replace(" timestamp", " long"))
-    made = long.groupBy("_block", "layer_id").applyInPandas(build, schema)
+    # a task a group: AQE would join small partitions, whose bytes say little about their work
+    groups = max(due.count() * len(usable), int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    made = long.repartition(groups, "_block", "layer_id").groupBy("_block", "layer_id").applyInPandas(build, schema)
     role = F.coalesce(F.create_map(*(F.lit(x) for kv in SCALE_ROLES.items() for x in kv))[F.col("lookback_minutes")], F.lit(""))
     return made.withColumns({c: F.timestamp_micros(c) for c in ("decision_time", "window_start", "window_end")}).withColumn("scale_role", role)
 

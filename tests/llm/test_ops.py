@@ -381,6 +381,13 @@ def test_packing(docs, none):
         assert at <= 2048
     assert len(bins) == plain_bins([r.length for r in out], 2048)
     assert packing.pack(none, path).count() == 0
+    exact = packing.pack(docs, path, exact=True).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in exact) == want
+    encoder = packing.Encoder(open(path, "rb").read())
+    assert encoder.fast is not None
+    encoder.fast = type("Wrong", (), {"encode_ordinary": lambda self, w: [1], "encode": lambda self, w, allowed_special: [1]})()
+    with pytest.raises(ValueError):
+        encoder.ids([LONG, prose(3, 400)])
 
 
 def test_best_fit_runs():

@@ -367,7 +367,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024,
     verified against the bucket's least bag, which joins most of what belongs together. In buckets that still hold several
     classes, members of different classes are compared by sketch: every bag is verified with the `best` that agree with it
     most, and classes grow; then what still agrees like texts of the threshold (five deviations below it at most) without
-    being one class forms families, in which every two texts are verified, in blocks of `part`. So the classes are those
+    being one class forms families, in which every two texts are verified, in blocks of 4 * part. So the classes are those
     that all bucket pairs, verified on their whole multisets, would give; nothing is capped. With 25 bands of 5, a pair
     at 0.8 shares no bucket once in 20,000 times.
     Null texts and those without a letter or digit are classes of their own, as are rows with a null doc_id (class_id
@@ -409,7 +409,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024,
         old.append(members_path)
         if fresh.isEmpty():
             break
-        checked = verified(fresh.join(tried, ["a", "b"], "left_anti"), texts(fresh), threshold, part) if most else met_families(fresh, texts(fresh), threshold, part)
+        checked = verified(fresh.join(tried, ["a", "b"], "left_anti"), texts(fresh), threshold, part) if most else met_families(fresh, texts(fresh), threshold, 4 * part)
         more, more_path = stored(checked, "near-links")
         old += [more_path, found_path]
         links = links.unionByName(more)

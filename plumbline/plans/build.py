@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import LAYERS, SCALE_ROLES, BuildConfig, GraphParameters, Layer
 from ..operators import graph
@@ -18,6 +20,8 @@ from ..operators.trajectory import cross_zscore
 
 #: Decision steps of a block, whose decisions share one copy of the events that they see.
 BLOCK = 16
+#: Symbol-steps that a block's windows may span, and steps of a symbol that travel as one row.
+ROWS, SPAN = 1_000_000, 8
 
 EDGE_ROWS = (
     "layer_id int, lookback_minutes int, decision_step_minutes int, top_k int, degree_cap int, minimum_similarity float, window_start timestamp, window_end timestamp, src_id long, dst_id long, weight double, "
@@ -27,13 +31,27 @@ EDGE_ROWS = (
 COMMON = ["scale_role", "decision_step_minutes", "top_k", "degree_cap", "minimum_similarity", "window_start", "window_end", "window_points", "vector_dimension"]
 
 
-def pivot_last(rows: pd.DataFrame, column: str, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(timestamps, symbols x timestamps) of a column's last non-null values by availability; timestamps without any value go."""
-    seen = rows[np.isfinite(rows[column])].sort_values(["available_time"], kind="stable").drop_duplicates(["symbol_id", "timestamp"], keep="last")
-    times, at = np.unique(seen["timestamp"].to_numpy(), return_inverse=True)
-    out = np.full((len(symbols), len(times)), np.nan)
-    out[np.searchsorted(symbols, seen["symbol_id"].to_numpy()), at] = seen[column].to_numpy(float)
-    return times, out
+class Pivot:
+    """Events of a task in order of availability, of which decisions take symbols x timestamps matrices.
+
+    at, known: microseconds; row: the symbol's place; values: a column a feature. Of equal (symbol, timestamp) the last
+    available non-null value counts.
+    """
+
+    def __init__(self, row: np.ndarray, at: np.ndarray, known: np.ndarray, values: np.ndarray, symbols: int):
+        order = np.argsort(known, kind="stable")
+        self.known, self.symbols = known[order], symbols
+        self.times, column = np.unique(at, return_inverse=True)
+        self.row, self.column, self.values = row[order].astype(np.int32), column[order].astype(np.int32), values[order]
+
+    def last(self, feature: int, now: int) -> tuple[np.ndarray, np.ndarray]:
+        """(timestamps, symbols x timestamps) of what is known by now of timestamps up to now."""
+        seen, width = np.searchsorted(self.known, now, "right"), np.searchsorted(self.times, now, "right")
+        value = self.values[:seen, feature]
+        some = np.isfinite(value) & (self.column[:seen] < width)
+        out = np.full((self.symbols, width), np.nan)
+        out[self.row[:seen][some], self.column[:seen][some]] = value[some]
+        return self.times[:width], out
 
 
 def filled(x: np.ndarray) -> np.ndarray:
@@ -68,11 +86,14 @@ def market_residual(x: np.ndarray, raw: np.ndarray, benchmarks: list[int], least
     return x - (design @ np.linalg.solve(design.T @ design + penalty, design.T @ x.T)).T
 
 
-def layer_vectors(rows: pd.DataFrame, columns: list[str], transform: str, symbols: np.ndarray, least: int, benchmarks: list[int] = (), benchmark_points: int = 8, ridge: float = 1e-6) -> tuple[np.ndarray, int] | None:
-    """(symbols x features, points): each column's standardised trajectory; a column of fewer than `least` points is skipped, None if all are."""
+def layer_vectors(raws: list[np.ndarray], transform: str, least: int, benchmarks: list[int] = (), benchmark_points: int = 8, ridge: float = 1e-6) -> tuple[np.ndarray, int] | None:
+    """(symbols x features, points): each column's standardised trajectory; a column of fewer than `least` points is skipped, None if all are.
+
+    raws: symbols x timestamps of each column; timestamps without any value go.
+    """
     blocks, points = [], 0
-    for column in columns:
-        _, raw = pivot_last(rows, column, symbols)
+    for raw in raws:
+        raw = raw[:, np.isfinite(raw).any(axis=0)]
         if transform.endswith("rolling_5m"):
             raw = rolled(raw)
         if raw.shape[1] < least:
@@ -102,49 +123,104 @@ def best_of_rows(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return row[keep], column[keep], value[keep], rank[keep] + 1
 
 
-def code_groups(code: np.ndarray, bits: int, top_k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, candidates) of each LSH code: its nodes, and those of equal code, then of codes one and two bits away while fewer than top_k + 1 are found."""
+def code_groups(code: np.ndarray, size: np.ndarray, bits: int, top_k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(vectors, candidates) of each LSH code: its vectors, and those of equal code, then of codes one and two bits away while fewer than top_k + 1 nodes are found. size: a vector's nodes."""
     order = np.argsort(code, kind="stable")
     starts = np.searchsorted(code[order], np.arange((1 << bits) + 1))
     members = [order[i:j] for i, j in zip(starts, starts[1:])]
+    nodes = np.bincount(code, size, 1 << bits)
     one = [1 << b for b in range(bits)]
     rings = [[0], one, [x | y for i, x in enumerate(one) for y in one[i + 1 :]]]
     for c in np.flatnonzero(np.diff(starts)):
         near: list[np.ndarray] = []
+        found = 0
         for ring in rings:
             near += [members[c ^ mask] for mask in ring]
-            if sum(map(len, near)) >= top_k + 1:
+            found += sum(nodes[c ^ mask] for mask in ring)
+            if found >= top_k + 1:
                 break
         yield members[c], np.sort(np.concatenate(near))
 
 
-def neighbours(x: np.ndarray, p: GraphParameters, exact: bool, block: int = 2048, cells: int = 8_192_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def contenders(v: np.ndarray, mine: np.ndarray, near: np.ndarray, k: int, least: float, block: int, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, column) of v: for each of mine those of near whose product with it may be among its k greatest, none surely below least.
+
+    v: unit vectors in 32 bits. Products are made `block` columns at a time and held for `cells` at most; what lies below a
+    row's k-th greatest so far, by more than 32 bits can err, is left out at once.
+    """
+    slack = np.float32((v.shape[1] + 4) * 2.0**-22)
+    wide = max(1, min(block, len(near), cells))
+    step = max(1, cells // wide)
+    right = np.ascontiguousarray(v[near].T)
+    for start in range(0, len(mine), step):
+        rows = mine[start : start + step]
+        left, bound = v[rows], np.full(len(rows), np.float32(least) - slack, np.float32)
+        row, column, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        done = 0
+        while done < len(near):
+            end = min(len(near), max(wide, 4 * done))
+            parts = [(row, column, value)]
+            for at in range(done, end, wide):
+                s = left @ right[:, at : min(at + wide, end)]
+                if not done and s.shape[1] > k:
+                    np.maximum(bound, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - slack, out=bound)
+                hit = np.flatnonzero(s >= bound[:, None])
+                parts.append((hit // s.shape[1], hit % s.shape[1] + at, s.ravel()[hit]))
+            row, column, value = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((-value, row))
+            row, column, value = row[order], column[order], value[order]
+            last = np.arange(len(row)) - np.searchsorted(row, row) == k - 1
+            bound[row[last]] = np.maximum(bound[row[last]], value[last] - slack)
+            keep = value >= bound[row]
+            row, column, value = row[keep], column[keep], value[keep]
+            done = end
+        yield rows[row], near[column]
+
+
+def ranked(row: np.ndarray, column: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value, rank from 0) in order of row, falling value and column."""
+    order = np.lexsort((column, -value, row))
+    row, column, value = row[order], column[order], value[order]
+    return row, column, value, np.arange(len(row)) - np.searchsorted(row, row)
+
+
+def neighbours(x: np.ndarray, p: GraphParameters, exact: bool, block: int = 2048, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(src, dst, similarity, rank) of each row's top_k: exact from the threshold up, else among near LSH codes and then cut at the threshold.
 
-    Similarities are held for `block` rows at a time, fewer where a block would have more than `cells` of them. Rows of
-    one LSH code are multiplied with their candidates alone.
+    Equal rows are searched once: of any vector's rows, no row needs more than the top_k + 1 smallest. Vectors are screened
+    in 32 bits; those that may be among the best are compared in 64, so that equal pairs tie and go to the smaller row.
     """
     norm = np.sqrt((x * x).sum(1, keepdims=True))
-    u = np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-12)
-    n = len(u)
+    u = np.ascontiguousarray(np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-12) + 0.0)
+    n, k = len(u), p.top_k
+    if not n or not u.shape[1]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    _, first, of, size = np.unique(u.view(np.dtype((np.void, u.dtype.itemsize * u.shape[1]))).ravel(), return_index=True, return_inverse=True, return_counts=True)
+    u, member = u[first], np.argsort(of, kind="stable")
+    begin = np.cumsum(size) - size
     if exact:
-        groups = [(np.arange(n), np.arange(n))]
+        groups = [(np.arange(len(u)), np.arange(len(u)))]
     else:
         bits = graph.lsh_bits(n)
-        groups = code_groups(((u @ graph.lsh_projection(u.shape[1], bits).astype(float) > 0) << np.arange(bits)).sum(1), bits, p.top_k)
-    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
-    for rows, near in groups:
-        step = max(1, min(block, cells // max(len(near), 1)))
-        for start in range(0, len(rows), step):
-            mine = rows[start : start + step]
-            s = u[mine] @ u[near].T
-            s[np.arange(len(mine)), np.searchsorted(near, mine)] = -np.inf
-            if exact:
-                s[s < p.minimum_similarity] = -np.inf
-            row, column, sim, rank = best_of_rows(s, p.top_k)
-            keep = sim >= p.minimum_similarity
-            parts.append((mine[row[keep]], near[column[keep]], sim[keep], rank[keep]))
-    return tuple(np.concatenate(x) for x in zip(*parts))
+        groups = code_groups(((u @ graph.lsh_projection(u.shape[1], bits).astype(float) > 0) << np.arange(bits)).sum(1), size, bits, k)
+    short = u.astype(np.float32)
+    found = [pair for rows, near in groups for pair in contenders(short, rows, near, k + 1, p.minimum_similarity, block, cells)]
+    row, column = (np.concatenate(c) for c in zip(*found))
+    sim = np.concatenate([np.einsum("ij,ij->i", u[row[i : i + 100_000]], u[column[i : i + 100_000]]) for i in range(0, len(row), 100_000)] or [np.zeros(0)])
+    keep = sim >= p.minimum_similarity
+    row, column, sim = row[keep], column[keep], sim[keep]
+    many = np.minimum(size[column], k + 1)
+    at = np.repeat(np.arange(len(row)), many)
+    row, dst, sim, rank = ranked(row[at], member[begin[column[at]] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)], sim[at])
+    row, dst, sim = row[rank <= k], dst[rank <= k], sim[rank <= k]
+    starts = np.searchsorted(row, np.arange(len(u) + 1))
+    many = np.diff(starts)[of]
+    src = np.repeat(np.arange(n), many)
+    at = starts[of[src]] + np.arange(len(src)) - np.repeat(np.cumsum(many) - many, many)
+    other = dst[at] != src
+    src, at = src[other], at[other]
+    rank = np.arange(len(src)) - np.searchsorted(src, src) + 1
+    return src[rank <= k], dst[at[rank <= k]], sim[at[rank <= k]], rank[rank <= k]
 
 
 def mutual_edges(x: np.ndarray, symbols: np.ndarray, p: GraphParameters, exact: bool) -> pd.DataFrame:
@@ -163,58 +239,61 @@ def mutual_edges(x: np.ndarray, symbols: np.ndarray, p: GraphParameters, exact:
 def build_graphs(events: DataFrame, decisions: DataFrame, symbols: DataFrame, config: BuildConfig, layers: tuple[Layer, ...] = LAYERS, unit_seconds: int = 60) -> DataFrame:
     """Edges of every decision, layer and lookback: (decision_time, EDGE_ROWS); a graph without edges is one row with null src_id.
 
-    Events travel once a block of decisions: an event goes to the blocks of BLOCK decision steps that see it, with its
-    layers' columns side by side, and a (block, layer) is one task, which cuts the windows of its decisions itself. Its
-    memory grows with the symbols, its time with their square. The universe (symbol_id, symbol), and with it the
-    configuration's benchmarks, travels with the task. Layers without one of their columns are skipped.
+    A symbol's events of SPAN steps travel as one row of arrays to each block of decisions that sees some of them, once a
+    layer with the layer's columns, and a (block, layer) is one task, which cuts the windows of its decisions itself. A block
+    has up to BLOCK decision steps, fewer if the symbols are so many that it would hold more than ROWS symbol-steps. Its
+    memory grows with the symbols, its time with the square of those that differ. The universe (symbol_id, symbol), and with
+    it the configuration's benchmarks, travels with the task. Layers without one of their columns are skipped.
     """
     known = symbols.orderBy("symbol_id").collect()
     ids = np.array([r.symbol_id for r in known], np.int64)
     marks = [n for n, r in enumerate(known) if str(r.symbol) in config.return_corr_benchmarks]
     usable = {x.layer_id: x for x in layers if set(x.columns) <= set(events.columns)}
     longest = max((back for x in usable.values() for back in x.lookbacks), default=0)
-    width = BLOCK * unit_seconds
-    block = lambda t: F.floor(F.unix_seconds(t) / width)
-    due = decisions.select("decision_time", block("decision_time").alias("_block")).groupBy("_block").agg(F.array_sort(F.collect_set(F.unix_micros("decision_time"))).alias("_times"))
-    seen = events.join(symbols, "symbol").select(
-        "symbol_id", F.unix_micros("timestamp").alias("at"), F.unix_micros("available_time").alias("known"), *(F.col(c).cast("double") for c in sorted({c for x in usable.values() for c in x.columns})),
-        F.explode(F.sequence(block("timestamp"), F.floor((F.unix_seconds("timestamp") + longest * unit_seconds) / width))).alias("_block"),
-    ).join(due, "_block")
-    part = lambda x: F.struct(F.lit(x.layer_id).alias("layer_id"), F.array(*map(F.col, x.columns)).alias("v"))
-    long = seen.select("_block", "_times", "symbol_id", "at", "known", F.explode(F.array(*map(part, usable.values()))).alias("x")).select("_block", "_times", "symbol_id", "at", "known", "x.*")
-    names = ["decision_time", *(x.split()[0] for x in EDGE_ROWS.split(", "))]
-
-    def graphs(layer: Layer, rows: pd.DataFrame, now: int) -> Iterator[pd.DataFrame]:
-        shown = rows[(rows["available_time"] <= now) & (rows["timestamp"] <= now)]
+    width = unit_seconds * min(BLOCK, max(1, ROWS // max(1, len(known)) - longest))
+    span = SPAN * unit_seconds
+    block = lambda seconds: F.floor(seconds / width)
+    due = decisions.select("decision_time", block(F.unix_seconds("decision_time")).alias("_block")).groupBy("_block").agg(F.array_sort(F.collect_set(F.unix_micros("decision_time"))).alias("_times"))
+    rows = events.join(symbols, "symbol").select("symbol_id", F.floor(F.unix_seconds("timestamp") / span).alias("_span"), F.struct(
+        F.unix_micros("timestamp").alias("at"), F.unix_micros("available_time").alias("known"), *(F.col(c).cast("double").alias(c) for c in sorted({c for x in usable.values() for c in x.columns})),
+    ).alias("e")).groupBy("symbol_id", "_span").agg(F.collect_list("e").alias("e"))
+    part = lambda x: F.struct(F.lit(x.layer_id).alias("layer_id"), F.flatten(F.transform("e", lambda e: F.array(*(e[c] for c in x.columns)))).alias("v"))
+    shaped = rows.select("symbol_id", "_span", F.col("e.at").alias("at"), F.col("e.known").alias("known"), F.explode(F.array(*map(part, usable.values()))).alias("x")).select("symbol_id", "_span", "at", "known", "x.*")
+    long = shaped.withColumn("_block", F.explode(F.sequence(block(F.col("_span") * span), block((F.col("_span") + 1) * span - 1 + longest * unit_seconds)))).drop("_span").join(due, "_block")
+    names = [x.split()[0] for x in ("decision_time long, " + EDGE_ROWS).split(", ")]
+    # times travel as microseconds, whatever the session's time zone
+    schema = T.StructType.fromDDL("decision_time long, " + EDGE_ROWS.replace(" timestamp", " long"))
+    shape = to_arrow_schema(schema)
+
+    def graphs(layer: Layer, pivot: Pivot, now: int) -> Iterator[pa.Table]:
+        seen = [pivot.last(n, now) for n in range(len(layer.columns))]
         for back in layer.lookbacks:
             start = now - back * unit_seconds * 1_000_000
-            got = layer_vectors(shown[shown["timestamp"] > start], list(layer.columns), layer.transform, ids, layer.minimum_points(back), marks, config.return_corr_min_benchmark_points, config.return_corr_ridge)
+            raws = [x[:, np.searchsorted(times, start, "right") :] for times, x in seen]
+            got = layer_vectors(raws, layer.transform, layer.minimum_points(back), marks, config.return_corr_min_benchmark_points, config.return_corr_ridge)
             if got is None:
                 continue
             x, points = got
             p = config.parameters_for(layer.name, layer.family, back)
             edges = mutual_edges(x, ids, p, layer.transform.startswith("return_corr_"))
             edges = edges if len(edges) else pd.DataFrame({c: [None] for c in edges.columns})
-            yield edges.assign(
+            found = edges.assign(
                 decision_time=now, layer_id=layer.layer_id, lookback_minutes=back, decision_step_minutes=1, top_k=p.top_k, degree_cap=p.degree_cap, minimum_similarity=p.minimum_similarity,
                 window_start=start, window_end=now, directed=layer.directed, lag_bars=layer.lag_bars, window_points=points, vector_dimension=x.shape[1],
             )
+            yield pa.Table.from_pandas(found[names], shape, preserve_index=False)
 
-    def build(p: pd.DataFrame) -> pd.DataFrame:
-        layer = usable[int(p["layer_id"].iloc[0])]
-        values = np.array(p["v"].tolist(), float)
-        rows = pd.DataFrame({"symbol_id": p["symbol_id"].to_numpy(), "timestamp": p["at"].to_numpy(), "available_time": p["known"].to_numpy(), **{c: values[:, n] for n, c in enumerate(layer.columns)}})
-        out = [g for now in p["_times"].iloc[0] for g in graphs(layer, rows, int(now))]
-        found = pd.concat(out)[names] if out else pd.DataFrame({n: np.zeros(0) for n in names})
-        for c in ("src_id", "dst_id", "src_rank", "dst_rank"):
-            found[c] = found[c].astype("Int64")
-        return found
+    def build(t: pa.Table) -> pa.Table:
+        layer = usable[t["layer_id"][0].as_py()]
+        at = t["at"].combine_chunks()
+        row = np.repeat(np.searchsorted(ids, t["symbol_id"].to_numpy()), at.value_lengths().to_numpy())
+        values = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(layer.columns))
+        pivot = Pivot(row, at.flatten().to_numpy(), t["known"].combine_chunks().flatten().to_numpy(), values, len(ids))
+        return pa.concat_tables([shape.empty_table(), *(g for now in t["_times"][0].as_py() for g in graphs(layer, pivot, now))])
 
-    # times travel as microseconds, whatever the session's time zone
-    schema = T.StructType.fromDDL("decision_time long, " + EDGE_ROWS.replace(" timestamp", " long"))
     # a task a group: AQE would join small partitions, whose bytes say little about their work
     groups = max(due.count() * len(usable), int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    made = long.repartition(groups, "_block", "layer_id").groupBy("_block", "layer_id").applyInPandas(build, schema)
+    made = long.repartition(groups, "_block", "layer_id").groupBy("_block", "layer_id").applyInArrow(build, schema)
     role = F.coalesce(F.create_map(*(F.lit(x) for kv in SCALE_ROLES.items() for x in kv))[F.col("lookback_minutes")], F.lit(""))
     return made.withColumns({c: F.timestamp_micros(c) for c in ("decision_time", "window_start", "window_end")}).withColumn("scale_role", role)
 

@@ -1,6 +1,7 @@
 """Small fixtures with known results, and invariants of operators that SQL does not express."""
 
 import json
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -627,6 +628,42 @@ def test_neighbours_by_codes():
     assert [(r, c) for r in range(40) for c in order[r] if np.isfinite(s[r, c])] == list(zip(row, column)) and (s[row, column] == value).all()
 
 
+def test_neighbours_of_copies():
+    """Equal rows tie and go to the smaller row, and are searched once: 30,000 rows of 300 vectors cost no 900 million products."""
+    from plumbline.plans.build import neighbours
+
+    p = BuildConfig().parameters_for("return_corr_raw_1m", "price", 30)
+    few = np.random.default_rng(3).standard_normal((30, 12))
+    x = np.tile(few, (20, 1))
+    u = few / np.linalg.norm(few, axis=1, keepdims=True)
+    for exact in (True, False):
+        src, dst, sim, rank = neighbours(x, p, exact)
+        for n in (0, 31, 599):
+            want = [n % 30 + 30 * i for i in range(p.top_k + 1)]
+            assert dst[src == n].tolist() == [m for m in want if m != n][: p.top_k] and rank[src == n].tolist() == list(range(1, p.top_k + 1)) and np.allclose(sim[src == n], 1)
+    pairs = np.tile(few[:, :6], (2, 1))
+    src, dst, sim, rank = neighbours(pairs, p, True)
+    unit = pairs / np.linalg.norm(pairs, axis=1, keepdims=True)
+    for n in range(60):
+        s = {o: round(float(unit[n] @ unit[o]), 12) for o in range(60) if o != n and unit[n] @ unit[o] >= p.minimum_similarity}
+        assert dst[src == n].tolist() == sorted(s, key=lambda o: (-s[o], o))[: p.top_k] and np.allclose(sim[src == n], [s[o] for o in dst[src == n]])
+    began = time.process_time()
+    assert len(neighbours(np.tile(np.random.default_rng(4).standard_normal((300, 30)), (100, 1)), p, True)[0]) == 30_000 * p.top_k
+    assert time.process_time() - began < 3
+
+
+def test_build_of_many_symbols(spark, monkeypatch):
+    """Blocks of a single decision, as large universes have them, and of sixteen give the same graphs."""
+    from plumbline.plans import build, catalog
+
+    sf = "/root/testdata/sf0.001"
+    whole = catalog.QUERIES["graph_build"](spark, sf).toPandas()
+    monkeypatch.setattr(build, "ROWS", 1)
+    single = catalog.QUERIES["graph_build"](spark, sf).toPandas()
+    order = ["decision_time", "layer_id", "lookback_minutes", "src_id", "dst_id"]
+    assert len(whole) and whole.sort_values(order, ignore_index=True).equals(single.sort_values(order, ignore_index=True))
+
+
 def test_market_residual():
     from plumbline.plans.build import market_residual, rolled
 

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,7 +16,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..config import LAYERS, SCALE_ROLES, BuildConfig, GraphParameters, Layer
 from ..operators import graph
 from ..operators.diagnostics import GROUP
-from ..operators.pit import visible_windows
 from ..operators.trajectory import cross_zscore
 
 #: Decision steps of a block, whose decisions share one copy of the events that they see.
@@ -307,10 +307,18 @@ def node_signals(events: DataFrame, decisions: DataFrame, symbols: DataFrame, lo
     """(decision_time, node_id, reversal, signed_flow): each symbol's last visible row of the longest window, as z-scores over the universe.
 
     reversal is the negative z of ret_1m (or log_ret_1m), signed_flow that of signed_dollar_flow (or its proxy); a column that events lack gives 0.
+    A row goes to the decisions from which it is seen until the symbol's next row is, unless that one leaves the window first.
     """
     pick = lambda *names: next((F.col(c).cast("double") for c in names if c in events.columns), F.lit(None).cast("double"))
-    rows = events.select("symbol", "timestamp", "available_time", pick("ret_1m", "log_ret_1m").alias("r"), pick("signed_dollar_flow", "signed_dollar_flow_proxy").alias("f"))
-    seen = visible_windows(rows, [lookback], unit_seconds, decisions)
+    first = F.ceil(F.unix_seconds("timestamp") / unit_seconds)
+    rows = events.select(
+        "symbol", "timestamp", "available_time", pick("ret_1m", "log_ret_1m").alias("r"), pick("signed_dollar_flow", "signed_dollar_flow_proxy").alias("f"),
+        F.greatest(first, F.ceil(F.unix_micros("available_time") / (unit_seconds * 1_000_000))).alias("_from"), (first + lookback - 1).alias("_to"),
+    )
+    w = Window.partitionBy("symbol").orderBy("available_time", "timestamp")
+    rows = rows.withColumns({"_next": F.lead("_from").over(w), "_last": F.lead("_to").over(w)})
+    rows = rows.withColumn("_to", F.when(F.col("_last") >= F.col("_to"), F.least("_to", F.col("_next") - 1)).otherwise(F.col("_to"))).where("_from <= _to")
+    seen = rows.withColumn("decision_time", F.explode(F.sequence("_from", "_to"))).withColumn("decision_time", F.timestamp_seconds(F.col("decision_time") * unit_seconds)).join(decisions, "decision_time", "left_semi")
     last = seen.groupBy("decision_time", "symbol").agg(F.max_by(F.struct("r", "f"), F.struct("available_time", "timestamp")).alias("x"))
     universe = symbols.select(F.col("symbol_id").cast("long").alias("node_id"), "symbol")
     every = last.select("decision_time").distinct().crossJoin(universe).join(last, ["decision_time", "symbol"], "left").select("decision_time", "node_id", F.col("x.r").alias("r"), F.col("x.f").alias("f"))
@@ -319,27 +327,81 @@ def node_signals(events: DataFrame, decisions: DataFrame, symbols: DataFrame, lo
     return z.select("decision_time", "node_id", (-F.col("_r")).alias("reversal"), F.col("z").alias("signed_flow"))
 
 
+NODE_ROWS = "layer_id int, lookback_minutes int, node_id long, degree long, strength double, core_z double, layer_participation double, scale_role string, decision_step_minutes int, top_k int, degree_cap int, minimum_similarity float"
+
+
 def build_nodes(graphs: DataFrame, symbols: DataFrame, signals: DataFrame | None = None) -> DataFrame:
     """Node features of every graph, those without edges too, and of the multiplex of its structural layers as layer 0.
 
     The multiplex averages over the structural (30 minute) graphs of a time, each of them once, with edges or without.
-    signals: node_signals; their weighted means over neighbours are neighbor_reversal and neighbor_signed_flow.
+    signals: node_signals; their weighted means over neighbours are neighbor_reversal and neighbor_signed_flow. A time's
+    edges are one task, and only they and the signals travel. graphs is read twice: store it first.
     """
-    key = [*GROUP, *COMMON]
-    nodes = symbols.select(F.col("symbol_id").cast("long").alias("node_id"))
-    edges = graphs.where("src_id is not null")
-    made = graphs.select(*key).distinct()
-    own = graph.node_metrics(edges, nodes, GROUP, made.select(*GROUP)).withColumn("layer_participation", (F.col("degree") > 0).cast("double")).join(made, GROUP)
-    structural = made.where("lookback_minutes = 30")
-    whole = graph.multiplex_metrics(edges.where("lookback_minutes = 30"), nodes, structural)
-    whole = whole.withColumns({"layer_id": F.lit(0), "lookback_minutes": F.lit(30), "scale_role": F.lit("structural"), "decision_step_minutes": F.lit(5), "top_k": F.lit(0), "degree_cap": F.lit(0), "minimum_similarity": F.lit(float("nan")).cast("float")})
-    out = own.unionByName(whole, allowMissingColumns=True)
-    if signals is not None:
-        pooled = edges.where("lookback_minutes = 30").select("decision_time", F.lit(0).alias("layer_id"), F.lit(30).alias("lookback_minutes"), "src_id", "dst_id", "weight")
-        both = edges.select(*GROUP, "src_id", "dst_id", "weight").unionByName(pooled)
-        means = graph.neighbor_means(both, signals, GROUP, {"reversal": "neighbor_reversal", "signed_flow": "neighbor_signed_flow"})
-        out = out.join(means, [*GROUP, "node_id"], "left").fillna(0.0, ["neighbor_reversal", "neighbor_signed_flow"])
-    return out.drop("window_start", "window_end", "window_points", "vector_dimension")
+    ids = np.sort(symbols.select("symbol_id").toArrow()["symbol_id"].to_numpy()).astype(np.int64)
+    how = ["scale_role", "decision_step_minutes", "top_k", "degree_cap", "minimum_similarity"]
+    key = ["layer_id", "lookback_minutes"]
+    at = F.unix_micros("decision_time").alias("at")
+    made = graphs.select(*GROUP, *how).distinct().select(at, *key, F.lit(None).cast("long").alias("src_id"), F.lit(None).cast("long").alias("dst_id"), F.lit(None).cast("double").alias("weight"), F.struct(*how).alias("how"))
+    rows = graphs.where("src_id is not null").select(at, *key, "src_id", "dst_id", "weight", F.lit(None).cast(made.schema["how"].dataType).alias("how")).unionByName(made)
+    names = [] if signals is None else ["reversal", "signed_flow"]
+    schema = T.StructType.fromDDL("at long, " + NODE_ROWS + "".join(f", neighbor_{c} double" for c in names))
+    shape = to_arrow_schema(schema)
+    n = len(ids)
+
+    def features(now: int, layer: int, back: int, said: dict, degree: np.ndarray, strength: np.ndarray, part: np.ndarray, sums: list[np.ndarray], weight: np.ndarray) -> pa.Table:
+        z = strength - strength.mean()
+        deviation = np.sqrt((z * z).mean())
+        core = z / deviation if deviation > 1e-12 else np.zeros(n)
+        means = [np.divide(x, weight, out=np.zeros(n), where=np.abs(weight) > 0) for x in sums]
+        same = lambda v, c: pa.repeat(pa.scalar(v, shape.field(c).type), n)
+        return pa.Table.from_arrays([same(now, "at"), same(layer, "layer_id"), same(back, "lookback_minutes"), *map(pa.array, (ids, degree, strength, core, part)), *(same(said[c], c) for c in how), *map(pa.array, means)], schema=shape)
+
+    def build(t: pa.Table, s: pa.Table | None = None) -> pa.Table:
+        out = [shape.empty_table()]
+        if not t.num_rows:
+            return out[0]
+        signal = [np.zeros(n) for _ in names]
+        if s is not None and s.num_rows:
+            place = np.searchsorted(ids, s["node_id"].to_numpy())
+            for x, c in zip(signal, names):
+                x[place] = np.nan_to_num(s[c].to_numpy())
+        own = t["how"].is_valid()
+        found = sorted(t.filter(own).select(["at", *key, "how"]).to_pylist(), key=lambda r: (r["layer_id"], r["lookback_minutes"]))
+        t = t.filter(pc.invert(own))
+        code = t["layer_id"].to_numpy().astype(np.int64) << 32 | t["lookback_minutes"].to_numpy()
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        a, b = (np.searchsorted(ids, t[c].to_numpy())[order] for c in ("src_id", "dst_id"))
+        w, now = t["weight"].to_numpy()[order], None
+        pooled, layers = [np.zeros(0, np.int64)], set()
+        whole = [np.zeros(n), np.zeros(n), [np.zeros(n) for _ in names]]
+        for g in found:
+            now = g["at"]
+            name = g["layer_id"] << 32 | g["lookback_minutes"]
+            i, j = np.searchsorted(code, (name, name + 1))
+            x, y, v = a[i:j], b[i:j], w[i:j]
+            both = np.concatenate([x, y])
+            degree, strength = np.bincount(both, minlength=n), np.bincount(both, np.concatenate([v, v]), n)
+            sums = [np.bincount(x, v * c[y], n) + np.bincount(y, v * c[x], n) for c in signal]
+            some = (degree > 0).astype(float)
+            out.append(features(now, g["layer_id"], g["lookback_minutes"], g["how"], degree, strength, some, sums, strength))
+            if g["lookback_minutes"] == 30:
+                layers.add(g["layer_id"])
+                pooled.append(np.minimum(x, y) * n + np.maximum(x, y))
+                whole = [whole[0] + strength, whole[1] + some, [p + q for p, q in zip(whole[2], sums)]]
+        if layers:
+            pairs = np.unique(np.concatenate(pooled))
+            degree = np.bincount(pairs // n, minlength=n) + np.bincount(pairs % n, minlength=n)
+            said = {"scale_role": "structural", "decision_step_minutes": 5, "top_k": 0, "degree_cap": 0, "minimum_similarity": float("nan")}
+            out.append(features(now, 0, 30, said, degree, whole[0] / len(layers), whole[1] / len(layers), whole[2], whole[0]))
+        return pa.concat_tables(out)
+
+    grouped = rows.groupBy("at")
+    if signals is None:
+        out = grouped.applyInArrow(lambda t: build(t), schema)
+    else:
+        out = grouped.cogroup(signals.select(at, "node_id", *names).groupBy("at")).applyInArrow(lambda t, s: build(t, s), schema)
+    return out.select(F.timestamp_micros("at").alias("decision_time"), *(c for c in out.columns if c != "at"))
 
 
 def build_snapshots(graphs: DataFrame, nodes: DataFrame, universe: int, layers: tuple[Layer, ...] = LAYERS) -> DataFrame:

@@ -664,6 +664,48 @@ def test_build_of_many_symbols(spark, monkeypatch):
     assert len(whole) and whole.sort_values(order, ignore_index=True).equals(single.sort_values(order, ignore_index=True))
 
 
+def test_nodes_equal_the_declarative_path(spark):
+    """build_nodes beside joins and windows, with a graph without edges; graphs are built once for all that reads them."""
+    from plumbline.operators.diagnostics import GROUP
+    from plumbline.plans import build, catalog
+
+    graphs, symbols, signals = catalog._graphs_built(spark, "/root/testdata/sf0.001")
+    graphs = graphs.where("lookback_minutes <> 5").withColumn("src_id", F.when(F.col("layer_id") * 10 + F.dayofmonth("decision_time") != 30, F.col("src_id"))).persist()
+    got = build.build_nodes(graphs, symbols, signals).withColumns({c: F.round(c, 9) for c in ("strength", "core_z", "neighbor_reversal", "neighbor_signed_flow")}).persist()
+    edges, nodes, made = graphs.where("src_id is not null"), symbols.select(F.col("symbol_id").cast("long").alias("node_id")), graphs.select(*GROUP).distinct()
+    own = graph.node_metrics(edges, nodes, GROUP, made).select(*GROUP, "node_id", "degree", "strength", "core_z")
+    whole = graph.multiplex_metrics(edges.where("lookback_minutes = 30"), nodes, made.where("lookback_minutes = 30"))
+    whole = whole.select("decision_time", F.lit(0).alias("layer_id"), F.lit(30).alias("lookback_minutes"), "node_id", "degree", "strength", "core_z", "layer_participation")
+    pooled = edges.where("lookback_minutes = 30").withColumn("layer_id", F.lit(0))
+    means = graph.neighbor_means(edges.unionByName(pooled), signals, GROUP, {"reversal": "neighbor_reversal", "signed_flow": "neighbor_signed_flow"})
+    want = own.withColumn("layer_participation", (F.col("degree") > 0).cast("double")).unionByName(whole).join(means, [*GROUP, "node_id"], "left").fillna(0.0)
+    both = got.join(want.toDF(*(c if c in (*GROUP, "node_id") else f"_{c}" for c in want.columns)), [*GROUP, "node_id"]).persist()
+    assert both.count() == got.count() == want.count() > 1000 and got.where("layer_id = 0").count()
+    for c in ("degree", "strength", "core_z", "layer_participation", "neighbor_reversal", "neighbor_signed_flow"):
+        assert both.where(F.abs(F.col(c) - F.col(f"_{c}")) > 1e-8).count() == 0, c
+    plan = catalog.QUERIES["graph_build_nodes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") >= 2 and "Window [lead(" in plan
+
+
+def test_signals_of_late_rows(spark):
+    """A row counts until the symbol's next one is seen, and again once that one, with an earlier time, has left the window."""
+    from plumbline.plans.build import node_signals
+
+    rows = [("a", 0, 1, 5.0), ("a", 3, 3, 7.0), ("a", 1, 4, 9.0), ("b", 0, 1, 1.0)]
+    events = spark.createDataFrame([(s, minutes(t), minutes(k), r) for s, t, k, r in rows], "symbol string, timestamp timestamp, available_time timestamp, ret_1m double")
+    grid = spark.createDataFrame([(minutes(n),) for n in range(8)], "decision_time timestamp")
+    symbols = spark.createDataFrame([(1, "a"), (2, "b")], "symbol_id long, symbol string")
+    got = {(r.decision_time, r.node_id): r.reversal for r in node_signals(events, grid, symbols, 4).collect()}
+    for n in range(8):
+        seen = {s: max(((k, t, r) for x, t, k, r in rows if x == s and k <= n and n - 4 < t), default=None) for s in "ab"}
+        value = [seen[s][2] for s in "ab" if seen[s]]
+        for i, s in enumerate("ab", 1):
+            if value:
+                assert got[minutes(n), i] == pytest.approx((np.mean(value) - seen[s][2]) / np.std(value) if seen[s] and np.std(value) else 0.0)
+            else:
+                assert (minutes(n), i) not in got
+
+
 def test_market_residual():
     from plumbline.plans.build import market_residual, rolled
 

@@ -687,6 +687,14 @@ def test_nodes_equal_the_declarative_path(spark):
     assert plan.count("InMemoryRelation") >= 2 and "Window [lead(" in plan
 
 
+def test_snapshots_read_stored_graphs(spark):
+    """The graphs are built once, though their keys, nodes and weights all read them."""
+    from plumbline.plans import catalog
+
+    plan = catalog.QUERIES["graph_build_snapshots"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("InMemoryRelation") >= 3
+
+
 def test_signals_of_late_rows(spark):
     """A row counts until the symbol's next one is seen, and again once that one, with an earlier time, has left the window."""
     from plumbline.plans.build import node_signals

@@ -215,6 +215,47 @@ def test_consensus_of_pairs_below_the_threshold(spark):
     assert theme[0].consensus_score == pytest.approx((2 * 2.0 + 1.1) / 3) and theme[0].source_layers == ["a", "b", "c"]
 
 
+def random_units(rng, members, layers=3, communities=5):
+    """Overlapping communities of two times, with repeated rows, market mode and an excluded layer."""
+    rows = []
+    for time in (T0, minutes(15)):
+        for layer in range(layers):
+            for c in range(communities):
+                some = rng.choice(members, int(rng.integers(2, members // 2)), replace=False).tolist()
+                rows.append((time, f"l{layer}@15m", c, some + some[:1], bool(rng.random() < 0.1)))
+        rows += [(time, "return_corr@15m", 0, list(range(members)), False), rows[-1], (time, "l0@15m", 99, [], False)]
+    return rows
+
+
+def plain_scores(rows, weights):
+    score, layers = Counter(), {}
+    for time, layer, _, members, market in rows:
+        bare = layer.removesuffix("@15m")
+        if market or bare == "return_corr":
+            continue
+        m = sorted(set(members))
+        for i, a in enumerate(m):
+            for b in m[i + 1 :]:
+                score[time, a, b] += weights.get(bare, 1.0)
+                layers.setdefault((time, a, b), set()).add(bare)
+    return score, layers
+
+
+def test_pair_scores_of_classes(spark, monkeypatch):
+    """Every pair that scores enough, and no other, from classes of members; two communities of 4,000 make no pair but their common ones."""
+    rng, weights = np.random.default_rng(11), {"l1": 0.25}
+    monkeypatch.setattr(communities, "SLICE", 3)
+    rows = random_units(rng, 40)
+    want, layers = plain_scores(rows, weights)
+    for least in (0.0, 1.2):
+        got = {(r.snapshot_time, r.a, r.b): (r.score, set(r.layers)) for r in communities.pair_scores(spark.createDataFrame(rows, UNITS), weights, least=least).collect()}
+        assert got == {k: (pytest.approx(v), layers[k]) for k, v in want.items() if v >= least} and got
+    large = spark.createDataFrame([(T0, "a", 0, list(range(4000)), False), (T0, "b", 0, list(range(3990, 8000)), False)], UNITS)
+    classes, scores = communities.class_scores(large)
+    assert classes.count() == 3 and scores.count() == 5
+    assert communities.pair_scores(large, least=1.5).count() == 45
+
+
 def test_lifecycle(spark):
     rows = [(T0, "a", [1, 2, 3]), (T0, "z", [50, 51]), (minutes(15), "b", [1, 2, 3, 4]), (minutes(15), "c", [2, 3]), (minutes(30), "d", [9, 10])]
     out = {(r.theme_instance_id, r.event_type): r for r in communities.lifecycle(spark.createDataFrame(rows, "snapshot_time timestamp, theme_instance_id string, members array<long>"), 15).collect()}

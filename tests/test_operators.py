@@ -218,12 +218,12 @@ def test_consensus_of_pairs_below_the_threshold(spark):
 def random_units(rng, members, layers=3, communities=5):
     """Overlapping communities of two times, with repeated rows, market mode and an excluded layer."""
     rows = []
-    for time in (T0, minutes(15)):
+    for at in (T0, minutes(15)):
         for layer in range(layers):
             for c in range(communities):
                 some = rng.choice(members, int(rng.integers(2, members // 2)), replace=False).tolist()
-                rows.append((time, f"l{layer}@15m", c, some + some[:1], bool(rng.random() < 0.1)))
-        rows += [(time, "return_corr@15m", 0, list(range(members)), False), rows[-1], (time, "l0@15m", 99, [], False)]
+                rows.append((at, f"l{layer}@15m", c, some + some[:1], bool(rng.random() < 0.1)))
+        rows += [(at, "return_corr@15m", 0, list(range(members)), False), rows[-1], (at, "l0@15m", 99, [], False)]
     return rows
 
 
@@ -256,6 +256,45 @@ def test_pair_scores_of_classes(spark, monkeypatch):
     assert communities.pair_scores(large, least=1.5).count() == 45
 
 
+def test_themes_of_classes(spark):
+    """Themes of linked classes and of classes alone: members by plain moves or whole, means over all scored pairs inside, numbers by least member."""
+    rng, weights = np.random.default_rng(5), {"l1": 0.25}
+    rows = random_units(rng, 30)
+    for time in (T0, minutes(15)):
+        rows += [(time, "l0@15m", 50, list(range(100, 140)), False), (time, "l2@15m", 50, list(range(100, 140)), False), (time, "l2@15m", 51, [20, 100, 101], False)]
+    score, layers = plain_scores(rows, weights)
+    families = {"l0": "x", "l1": "y", "l2": "z"}
+    got = communities.consensus_themes(spark.createDataFrame(rows, UNITS), families, least=2.0, weights=weights, universe=150).collect()
+    for time in (T0, minutes(15)):
+        strong = {k[1:]: v for k, v in score.items() if k[0] == time and v >= 2.0}
+        a, b = (np.array([k[i] for k in sorted(strong)]) for i in (0, 1))
+        w = np.array([strong[k] for k in sorted(strong)])
+        inner = [x for c in ({100, 101}, set(range(102, 140))) for x in c]
+        assert set(inner) <= set(a.tolist()) | set(b.tolist())
+        mine = sorted((r for r in got if r.snapshot_time == time), key=lambda r: r.members[0])
+        assert [r.theme_path_id for r in mine] == sorted(r.theme_path_id for r in mine)
+        assert any(set(range(102, 140)) <= set(r.members) for r in mine)
+        total, degree, near = 2 * w.sum(), Counter(), {}
+        for x, y, v in zip(a.tolist(), b.tolist(), w.tolist()):
+            degree.update({x: v, y: v})
+            near.setdefault(x, {})[y] = near.setdefault(y, {})[x] = v
+        gain = lambda n, some: sum(v for o, v in near[n].items() if o in some and o != n) - degree[n] * sum(degree[o] for o in some if o != n) / total  # noqa: B023, E731
+        for r in mine:
+            inside = [k for i, x in enumerate(r.members) for y in r.members[i + 1 :] if (k := (time, x, y)) in score]
+            assert r.consensus_score == pytest.approx(sum(score[k] for k in inside) / len(inside)) and r.source_layers == sorted(set().union(*(layers[k] for k in inside)))
+            assert r.is_market_mode == (len(r.members) > 22.5) and r.size_share == pytest.approx(len(r.members) / 150)
+            for n in r.members:
+                assert all(gain(n, r.members) >= gain(n, o.members) - 1e-9 for o in mine if o is not r)
+
+
+def test_themes_of_large_communities(spark):
+    """Two communities of 3,000 are one class, and 4.5 million pairs are never made."""
+    one = spark.createDataFrame([(T0, layer, 0, list(range(3000)), False) for layer in ("a", "b")], UNITS)
+    began = time.perf_counter()
+    theme = communities.consensus_themes(one, {"a": "x", "b": "y"}, least=2.0).collect()
+    assert len(theme) == 1 and theme[0].members == list(range(3000)) and theme[0].consensus_score == 2.0 and time.perf_counter() - began < 20
+
+
 def test_lifecycle(spark):
     rows = [(T0, "a", [1, 2, 3]), (T0, "z", [50, 51]), (minutes(15), "b", [1, 2, 3, 4]), (minutes(15), "c", [2, 3]), (minutes(30), "d", [9, 10])]
     out = {(r.theme_instance_id, r.event_type): r for r in communities.lifecycle(spark.createDataFrame(rows, "snapshot_time timestamp, theme_instance_id string, members array<long>"), 15).collect()}

@@ -295,6 +295,16 @@ def test_themes_of_large_communities(spark):
     assert len(theme) == 1 and theme[0].members == list(range(3000)) and theme[0].consensus_score == 2.0 and time.perf_counter() - began < 20
 
 
+def test_lifecycle_reads_kept_themes(spark):
+    """The lifecycle's plan begins at the communities that were found once."""
+    from plumbline.plans import catalog
+
+    for name in ("theme_lifecycle",):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+        assert "ExistingRDD" in plan or "LogicalRDD" in plan or "parquet" in plan
+        assert "layer_name" not in plan and "events" not in plan
+
+
 def test_lifecycle(spark):
     rows = [(T0, "a", [1, 2, 3]), (T0, "z", [50, 51]), (minutes(15), "b", [1, 2, 3, 4]), (minutes(15), "c", [2, 3]), (minutes(30), "d", [9, 10])]
     out = {(r.theme_instance_id, r.event_type): r for r in communities.lifecycle(spark.createDataFrame(rows, "snapshot_time timestamp, theme_instance_id string, members array<long>"), 15).collect()}

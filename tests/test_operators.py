@@ -296,10 +296,10 @@ def test_themes_of_large_communities(spark):
 
 
 def test_lifecycle_reads_kept_themes(spark):
-    """The lifecycle's plan begins at the communities that were found once."""
+    """The lifecycle's plan, and that of the latest events, begin at the communities that were found once."""
     from plumbline.plans import catalog
 
-    for name in ("theme_lifecycle",):
+    for name in ("theme_lifecycle", "theme_latest"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
         assert "ExistingRDD" in plan or "LogicalRDD" in plan or "parquet" in plan
         assert "layer_name" not in plan and "events" not in plan

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .chars import mixed, slabs
 from .components import components, connected
-from .work import claim, documents, forget, keyed_texts, ship, stored
+from .work import claim, documents, forget, keyed_texts, ship, stored, sweep
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -382,6 +382,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024,
     entries = reps.select("bag", F.explode("bands").alias("band"))
     leaders = entries.groupBy("band").agg(F.min("bag").alias("leader"), F.max("bag").alias("last")).where("leader < last").select("band", "leader")
     shared, shared_path = stored(entries.join(leaders, "band"), "buckets")
+    sweep(spark)
     least = max(int(POSITIONS * threshold - 5 * math.sqrt(POSITIONS * threshold * (1 - threshold))), 1)
     sketches = reps.select("bag", "sketch")
 
@@ -392,6 +393,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024,
     near = shared.where("bag > leader").select(F.col("leader").alias("a"), F.col("bag").alias("b")).distinct()
     near = near.join(sketches.toDF("a", "_one"), "a").join(sketches.toDF("b", "_two"), "b")
     tried, tried_path = stored(near.where(alike("_one", "_two")).select("a", "b"), "tried-pairs")
+    sweep(spark)
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
 
     def texts(pairs: DataFrame) -> DataFrame:
@@ -399,6 +401,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024,
         return own.join(reps.join(needed, "bag", "left_semi").select("bag", "rep", "text_id"), ["rep", "text_id"]).groupBy("bag").agg(F.first("text").alias("text"))
 
     links, links_path = stored(verified(tried, texts(tried), threshold, part), "near-links")
+    sweep(spark)
     found, found_path = stored(components(links), "near-classes")
     old = [shared_path, tried_path, links_path]
     for most in (best, None):
@@ -407,14 +410,17 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024,
         members, members_path = stored(classed.join(mixed_bands, "band", "left_semi").join(sketches, "bag").select("band", "bag", "sketch", "class"), "mixed-buckets")
         fresh = unmet_pairs(members, least, block, most)
         old.append(members_path)
+        sweep(spark)
         if fresh.isEmpty():
             break
         checked = verified(fresh.join(tried, ["a", "b"], "left_anti"), texts(fresh), threshold, part) if most else met_families(fresh, texts(fresh), threshold, 4 * part)
         more, more_path = stored(checked, "near-links")
         old += [more_path, found_path]
+        sweep(spark)
         links = links.unionByName(more)
         found, found_path = stored(components(links), "near-classes")
     forget(spark, *old)
+    sweep(spark)
     grouped = reps.join(found.withColumnRenamed("node", "bag"), "bag", "left").select("bag", F.coalesce("component", "bag").alias("class"), "rep")
     first = grouped.groupBy("class").agg(F.min(F.struct("rep", "bag")).alias("first"))
     classes = grouped.join(first, "class").select("bag", F.col("first.rep").alias("least_id"), F.col("first.bag").alias("least_bag"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from decimal import Decimal, localcontext
@@ -309,6 +310,19 @@ def test_near_dedup(spark, docs, none):
     assert near_dedup.near_dedup(none).count() == 0
 
 
+def test_near_dedup_lets_go_of_shuffles(spark):
+    """Shuffles of steps that are stored do not wait on disks for the driver's heap to fill."""
+    rows = [(n, prose(n // 3, 60) + " " + prose(1000 + n, n % 9)) for n in range(90)]
+    held = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    before = held()
+    result = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    for _ in range(40):
+        if held() <= before + 5:
+            break
+        time.sleep(0.25)
+    assert held() <= before + 5 and result.count() == 90
+
+
 def test_near_dedup_of_a_chain_and_recall(spark):
     """A chain of texts that each differ from the next by a word, and random pairs about the threshold, against all pairs."""
     rng = np.random.default_rng(8)

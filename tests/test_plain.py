@@ -2,12 +2,12 @@
 
 import hashlib
 from collections import defaultdict
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 
-from plumbline.operators import graph
+from plumbline.operators import communities, graph
 from plumbline.plans import catalog, inputs
 from tests.test_operators import plain_paths
 
@@ -164,6 +164,31 @@ def test_theme_lifecycle_and_latest(spark):
     assert {r.theme_path_id: (r.snapshot_time, r.theme_instance_id) for r in catalog.QUERIES["theme_latest"](spark, SF).collect()} == latest
 
 
+def test_lifecycle_of_runs_in_few_jobs(spark):
+    """Two runs of themes that share members, over uneven times, equal plain versions; the small job is few of Spark's."""
+    rng = np.random.default_rng(5)
+    start, rows = datetime(2024, 11, 3, 5), []
+    for name, frames in (("x", 9), ("y", 6)):
+        for t in np.sort(rng.choice(40, frames, replace=False)).tolist():
+            for k in range(int(rng.integers(1, 9))):
+                rows.append((name, start + timedelta(minutes=15 * t), f"{name}{t}-{k}", rng.choice(30, int(rng.integers(1, 12)), replace=False).tolist()))
+    themes = spark.createDataFrame(rows, "name string, snapshot_time timestamp, theme_instance_id string, members array<long>")
+    spark.sparkContext.setJobGroup("lifecycle-jobs", "lifecycle")
+    try:
+        found = communities.lifecycle(themes, 15, run="name").collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("lifecycle-jobs")) < 20
+    got = {(r.snapshot_time, r.theme_instance_id, r.event_type): (r.theme_path_id, r.age_frames, r.overlap, r.previous_instance_id) for r in found}
+    want = {}
+    for name in "xy":
+        want |= plain_lifecycle([{"snapshot_time": t, "theme_instance_id": i, "members": m} for n, t, i, m in rows if n == name])
+    assert got.keys() == want.keys() and len(found) == len(want)
+    for k, (path, age, overlap, previous) in want.items():
+        assert got[k] == (path, age, pytest.approx(overlap), previous)
+    assert {e for _, _, e in want} == {"birth", "death", "continuation", "split", "merge"}
+
+
 def test_structural_forest(spark):
     by_time = defaultdict(list)
     for u in units(spark):

@@ -189,6 +189,16 @@ def test_lifecycle_of_runs_in_few_jobs(spark):
     assert {e for _, _, e in want} == {"birth", "death", "continuation", "split", "merge"}
 
 
+def test_theme_latest_in_few_jobs(spark):
+    """Where no classes are linked, no job is spent on a graph of members."""
+    spark.sparkContext.setJobGroup("latest-jobs", "latest")
+    try:
+        assert catalog.QUERIES["theme_latest"](spark, SF).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("latest-jobs")) < 33
+
+
 def test_structural_forest(spark):
     by_time = defaultdict(list)
     for u in units(spark):

@@ -417,8 +417,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, block: int = 1024,
         more, more_path = stored(checked, "near-links")
         old += [more_path, found_path]
         sweep(spark)
-        links = links.unionByName(more)
-        found, found_path = stored(components(links), "near-classes")
+        found, found_path = stored(components(found.toDF("a", "b").unionByName(more)), "near-classes")
     forget(spark, *old)
     sweep(spark)
     grouped = reps.join(found.withColumnRenamed("node", "bag"), "bag", "left").select("bag", F.coalesce("component", "bag").alias("class"), "rep")

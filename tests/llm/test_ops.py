@@ -260,6 +260,26 @@ def test_components(spark):
     assert comp.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "binary", "string"])
+def test_components_of_few_links_take_few_jobs(spark, kind):
+    """Few links are connected by one task, not by rounds of exchanges; both ways give the same, whatever the nodes are."""
+    rng = np.random.default_rng(3)
+    name = {"long": int, "binary": lambda n: bytes([255 - n % 256, n // 256]), "string": lambda n: f"{n}é"}[kind]
+    links = [(name(a), name(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(name(n), name(n + 1)) for n in range(400, 460)] + [(name(5), name(5)), (None, name(7))]
+    df = spark.createDataFrame(links, f"a {kind}, b {kind}").repartition(8)
+    want = plain_components([x for x in links if None not in x], {n for x in links for n in x if n is not None})
+    context = spark.sparkContext
+    for given in ({}, {"alone": 0}):
+        context.setJobGroup(f"components-{kind}-{len(given)}", "")
+        found = comp.components(df, **given)
+        jobs = len(context.statusTracker().getJobIdsForGroup(f"components-{kind}-{len(given)}"))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert {r.node: r.component for r in found.collect()} == {n: c for n, c in want.items() if n != c}
+        assert jobs > 12 if given else jobs <= 6, jobs
+    none = df.where("a = b")
+    assert comp.components(none).count() == comp.components(none, alone=-1).count() == 0
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((6, 8))
